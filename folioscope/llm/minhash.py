@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -200,8 +201,8 @@ def components(edges: DataFrame) -> DataFrame:
 def _tiles(least: int):
     def run(key, table):
         t = table.combine_chunks()
-        left = t.filter(pa.compute.equal(t["side"], 0))
-        right = t.filter(pa.compute.equal(t["side"], 1))
+        left = t.filter(pc.equal(t["side"], 0))
+        right = t.filter(pc.equal(t["side"], 1))
         src, dst = [], []
         if len(left) and len(right):
             grid = lambda x: np.frombuffer(b"".join(x["sig"].to_pylist()), "<u2").reshape(len(x), BINS)
