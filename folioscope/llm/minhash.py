@@ -207,13 +207,13 @@ def _tiles(least: int):
         if len(left) and len(right):
             grid = lambda x: np.frombuffer(b"".join(x["sig"].to_pylist()), "<u2").reshape(len(x), BINS)
             p, q = grid(left), grid(right)
-            pi, qi = left["doc_id"].to_numpy(), right["doc_id"].to_numpy()
-            pc, qc = left["component"].to_numpy(), right["component"].to_numpy()
+            p_id, q_id = left["doc_id"].to_numpy(), right["doc_id"].to_numpy()
+            p_part, q_part = left["component"].to_numpy(), right["component"].to_numpy()
             for k in range(len(left)):
-                hit = ((q == p[k]).sum(1) >= least) & (qc != pc[k]) & ((qi > pi[k]) | (key[1].as_py() != key[2].as_py()))
-                found = qi[hit]
-                src += np.minimum(found, pi[k]).tolist()
-                dst += np.maximum(found, pi[k]).tolist()
+                hit = ((q == p[k]).sum(1) >= least) & (q_part != p_part[k]) & ((q_id > p_id[k]) | (key[1].as_py() != key[2].as_py()))
+                found = q_id[hit]
+                src += np.minimum(found, p_id[k]).tolist()
+                dst += np.maximum(found, p_id[k]).tolist()
         return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
 
     return run
