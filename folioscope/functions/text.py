@@ -68,7 +68,7 @@ def fold(text: Column) -> Column:
 
 def tag_name(text: Column) -> Column:
     """A tag in canonical form: plain lower-case words joined by hyphens."""
-    return F.trim(F.lit("-"), F.regexp_replace(F.lower(strip_accents(F.trim(text))), r"[^a-z0-9]+", "-"))
+    return F.trim(F.regexp_replace(F.lower(strip_accents(F.trim(text))), r"[^a-z0-9]+", "-"), F.lit("-"))
 
 
 def tokens(text: Column) -> Column:
@@ -143,7 +143,7 @@ def snippet(text: Column, most: int = 200) -> Column:
 
 
 def file_slug(text: Column) -> Column:
-    return F.substring(F.trim(F.lit("_"), F.regexp_replace(text, r"[^A-Za-z0-9-]+", "_")), 1, 60)
+    return F.substring(F.trim(F.regexp_replace(text, r"[^A-Za-z0-9-]+", "_"), F.lit("_")), 1, 60)
 
 
 def thread_slug(text: Column) -> Column:
