@@ -38,11 +38,11 @@ def p4_batch_lookup(spark, sf_dir):
 
 @query("p5_anchor_lookup", sql("chunks", """
 SELECT note_id, text_content, arg_min(page, id) AS page, arg_min(heading, id) AS heading
-FROM (SELECT *, chunk_index + 1 AS page, 'part ' || chunk_index AS heading FROM chunks) WHERE note_id % 10 = 3 AND text_content IN (SELECT substr(text, 1, 500) FROM documents) GROUP BY ALL"""))
+FROM (SELECT *, chunk_index + 1 AS page, 'part ' || chunk_index AS heading FROM chunks) WHERE text_content IN (SELECT substr(text, 1, 1500) FROM documents) GROUP BY ALL"""))
 def p5_anchor_lookup(spark, sf_dir):
     c = V.chunks(spark, sf_dir).withColumns({"page": F.col("chunk_index") + 1, "heading": F.concat(F.lit("part "), "chunk_index")})
-    texts = V.notes(spark, sf_dir).select(F.substring("text", 1, 500).alias("text_content")).distinct()
-    asked = c.where("note_id % 10 = 3").join(texts, "text_content").select("note_id", "text_content").distinct()
+    texts = V.notes(spark, sf_dir).select(F.substring("text", 1, 1500).alias("text_content")).distinct()
+    asked = c.join(texts, "text_content").select("note_id", "text_content").distinct()
     return C.anchors(c, asked)
 
 
@@ -84,9 +84,9 @@ def p14_signatures(spark, sf_dir):
     return C.signature(V.raw_vectors(spark, sf_dir))
 
 
-@query("p15_keyed_readers", sql("notes", "SELECT path, coalesce(last_tagged, last_seen) AS anchor FROM notes WHERE id % 50 = 7"))
+@query("p15_keyed_readers", sql("notes", "SELECT path, coalesce(last_tagged, last_seen) AS anchor  FROM notes"))
 def p15_keyed_readers(spark, sf_dir):
-    return V.notes(spark, sf_dir).where("id % 50 = 7").select("path", F.coalesce("last_tagged", "last_seen").alias("anchor"))
+    return V.notes(spark, sf_dir).select("path", F.coalesce("last_tagged", "last_seen").alias("anchor"))
 
 
 @query("s2_ignored_dirs", sql("notes", "SELECT path FROM notes WHERE NOT list_has_any(string_split(path, '/'), ['src1', 'src5', '.git'])"))
