@@ -37,6 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -116,16 +117,42 @@ def _by_document(doc: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, pa.Arra
     return doc[order][at], _binary(data[order], at)
 
 
+def squeeze(*columns: np.ndarray) -> bytes:
+    """Columns of numbers as compressed planes of equal bytes."""
+    z = zstandard.ZstdCompressor(level=1)
+    parts = [z.compress(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), c.dtype.itemsize).T)) for c in columns]
+    return np.array([len(p) for p in parts], "<u4").tobytes() + b"".join(parts)
+
+
+def unsqueeze(packed: bytes, *dtypes) -> list[np.ndarray]:
+    z, out, at = zstandard.ZstdDecompressor(), [], 4 * len(dtypes)
+    for size, dtype in zip(np.frombuffer(packed, "<u4", len(dtypes)), dtypes, strict=True):
+        raw = np.frombuffer(z.decompress(packed[at : at + size]), np.uint8)
+        width = np.dtype(dtype).itemsize
+        out.append(np.ascontiguousarray(raw.reshape(width, len(raw) // width).T).view(dtype).reshape(-1))
+        at += size
+    return out
+
+
+def _gaps(ascending: np.ndarray) -> np.ndarray:
+    return np.diff(ascending, prepend=np.int64(0))
+
+
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> U(32)) % U(buckets)).astype(np.int64)
 
 
-ANCHORS = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("reply", pa.binary()), ("hash", pa.binary()), ("row", pa.binary()), ("docs", pa.binary()), ("place", pa.binary())])
-PLACE = np.dtype([("place", "<u4")])
+#: A row has a document's reply, or what is sent to a bucket.
+SENT = pa.schema([("bucket", pa.int32()), ("_key", pa.int64()), ("reply", pa.binary()), ("sent", pa.binary())])
 
 
-def _nulls(n: int) -> pa.Array:
-    return pa.nulls(n, pa.binary())
+def _replies(bucket_of, owner: np.ndarray, reply: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(bucket_of(owner).astype(np.int32)), pa.array(owner), reply, pa.nulls(len(owner), pa.binary())], schema=SENT)
+
+
+def _sendings(buckets: np.ndarray, sent: list[bytes]) -> pa.RecordBatch:
+    n = len(buckets)
+    return pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(sent, pa.binary())], schema=SENT)
 
 
 def _send_anchors(buckets: int):
@@ -139,33 +166,23 @@ def _send_anchors(buckets: int):
         several = np.minimum.reduceat(d[order], at) != np.maximum.reduceat(d[order], at)
         shared = np.zeros(len(h), bool)
         shared[order] = np.repeat(several, np.diff(np.append(at, len(h))))
-        once = np.ones(len(h), bool)
-        once[order[np.setdiff1d(np.arange(len(h)), at)]] = False
         # anchors of several documents of the batch are known to be shared: the
-        # documents are told here, and one copy tells the others
+        # documents are told here, and the hash alone tells the others
         owner, reply = _by_document(d[shared], p[shared])
         if len(owner):
-            yield pa.RecordBatch.from_arrays([pa.array((owner % buckets).astype(np.int32)), pa.array(owner), reply, *(_nulls(len(owner)) for _ in range(4))], schema=ANCHORS)
-        keep = ~shared | once
-        h, d, p, s = h[keep], d[keep], p[keep], shared[keep]
-        names, row = np.unique(d, return_inverse=True)
-        row = row.astype("<u4")
-        row[s] = NONE
-        b = _bucket(h, buckets)
-        order = np.argsort(b, kind="stable")
-        at = _starts(b[order])
-        row, b = row[order], b[order]
-        doc_rows, doc_at = [], [0]
-        for lo, hi in zip(at, np.append(at[1:], len(b)), strict=True):
-            used, inverse = np.unique(row[lo:hi], return_inverse=True)
-            ids = np.append(names, 0)[np.minimum(used, len(names))]
-            doc_rows.append(ids)
-            doc_at.append(doc_at[-1] + len(ids))
-            row[lo:hi] = np.where(row[lo:hi] == NONE, NONE, inverse)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(b[at].astype(np.int32)), pa.nulls(len(at), pa.int64()), _nulls(len(at)), _binary(h[order], at), _binary(row, at), _binary(np.concatenate(doc_rows), np.array(doc_at[:-1])), _binary(p[order], at)],
-            schema=ANCHORS,
-        )
+            yield _replies(lambda x: x % buckets, owner, reply)
+        known = h[order[at[several]]]
+        known_bucket, bucket = _bucket(known, buckets), _bucket(h, buckets)
+        order = np.lexsort((d, bucket))
+        order = order[~shared[order]]
+        which = np.arange(buckets)
+        lo, hi = np.searchsorted(bucket[order], which), np.searchsorted(bucket[order], which, side="right")
+        sent = []
+        for b in which:
+            rows = order[lo[b] : hi[b]]
+            # within a bucket 32 bits are enough: what they confuse is sorted out by the contexts
+            sent.append(squeeze(h[rows].astype("<u4"), _gaps(d[rows]), p[rows], known[known_bucket == b].astype("<u4")))
+        yield _sendings(which, sent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,34 +203,34 @@ def _send_anchors(buckets: int):
     return run
 
 
-def _join(column: pa.ChunkedArray, dtype) -> np.ndarray:
-    return np.frombuffer(b"".join(x for x in column.to_pylist() if x), dtype)
+def _split(table) -> tuple[pa.Table, list[bytes]]:
+    """Replies that only pass through, and what was sent to the bucket."""
+    table = table.select(["_key", "reply", "sent"])
+    told = table.filter(pc.is_valid(table["_key"])).select(["_key", "reply"])
+    return told, table.filter(pc.is_null(table["_key"]))["sent"].to_pylist()
 
 
 def _shared_anchors(table):
     """Of one bucket: for each document the places of its anchors that others have."""
-    told = table.filter(pc.is_valid(table["doc_id"])).select(["doc_id", "reply"])
-    sent = table.filter(pc.is_null(table["doc_id"]))
-    if not len(sent):
+    told, sent = _split(table)
+    if not sent:
         return told
-    h, place = _join(sent["hash"], np.uint64), _join(sent["place"], "<u4")
-    rows, docs = [np.frombuffer(x, "<u4") for x in sent["row"].to_pylist()], [np.frombuffer(x, np.int64) for x in sent["docs"].to_pylist()]
-    row = np.concatenate(rows)
-    doc = np.concatenate([np.append(y, 0)[np.minimum(x, len(y))] for x, y in zip(rows, docs, strict=True)])
+    parts = [unsqueeze(x, "<u4", np.int64, "<u4", "<u4") for x in sent]
+    h, place, known = (np.concatenate([x[k] for x in parts]) for k in (0, 2, 3))
+    doc = np.concatenate([np.cumsum(x[1]) for x in parts])
     order = np.argsort(h)
-    at = _starts(h[order])
-    known = row[order] == NONE
-    low = np.minimum.reduceat(np.where(known, LAST, doc[order]), at)
-    high = np.maximum.reduceat(np.where(known, -LAST, doc[order]), at)
-    group = np.maximum.reduceat(known, at) | (low < high)
-    keep = np.repeat(group, np.diff(np.append(at, len(h)))) & ~known
+    h = h[order]
+    at = _starts(h)
+    if not len(at):
+        return told
+    low, high = np.minimum.reduceat(doc[order], at), np.maximum.reduceat(doc[order], at)
+    keep = np.repeat((low < high) | np.isin(h[at], known), np.diff(np.append(at, len(h))))
     owner, reply = _by_document(doc[order][keep], place[order][keep])
-    return pa.concat_tables([told, pa.table({"doc_id": owner, "reply": reply}, schema=told.schema)])
+    return pa.concat_tables([told, pa.table({"_key": owner, "reply": reply}, schema=told.schema)])
 
 
-CONTEXT = np.dtype([("hash", "<u8"), ("key", "<u8"), ("doc", "<i8"), ("text", "<i8"), ("place", "<u4"), ("left", "u1"), ("right", "u1"), ("bytes", "u1", (2 * SIDE,))])
-MARK = np.dtype([("text", "<i8"), ("place", "<u4"), ("mask", "<u4")])
-CONTEXTS = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("reply", pa.binary()), ("contexts", pa.binary())])
+CONTEXT = np.dtype([("hash", "<u8"), ("key", "<u8"), ("doc", "<i8"), ("text", "<u4"), ("place", "<u4"), ("left", "u1"), ("right", "u1"), ("bytes", "u1", (2 * SIDE,))])
+MARK = np.dtype([("text", "<u4"), ("place", "<u4"), ("mask", "<u4")])
 
 
 def contexts(raw: np.ndarray, places: np.ndarray, doc: int, text: int) -> np.ndarray:
@@ -252,25 +269,25 @@ def _send_contexts(buckets: int):
         if not held:
             return
         c = np.concatenate(held)
-        order = np.lexsort((c["doc"], c["key"], c["hash"]))
-        c = c[order]
+        c = c[np.lexsort((c["doc"], c["key"], c["hash"]))]
         new = np.concatenate([[True], (c["hash"][1:] != c["hash"][:-1]) | (c["key"][1:] != c["key"][:-1])])
         first = np.repeat(c["doc"][new], np.diff(np.append(np.flatnonzero(new), len(c))))
         # a whole context that an earlier document of the batch has is covered
         later = c["doc"] > first
         owner, reply = _by_document(c["doc"][later], _marks(c[later], _all_places(c["left"][later], c["right"][later])))
         if len(owner):
-            yield pa.RecordBatch.from_arrays([pa.array((owner % buckets).astype(np.int32)), pa.array(owner), reply, _nulls(len(owner))], schema=CONTEXTS)
+            yield _replies(lambda x: x % buckets, owner, reply)
         c = c[~later]
-        b = _bucket(c["hash"], buckets)
-        order = np.argsort(b, kind="stable")
-        at = _starts(b[order])
-        yield pa.RecordBatch.from_arrays([pa.array(b[order][at].astype(np.int32)), pa.nulls(len(at), pa.int64()), _nulls(len(at)), _binary(c[order], at)], schema=CONTEXTS)
+        bucket = _bucket(c["hash"], buckets)
+        order = np.lexsort((c["place"], c["doc"], bucket))
+        c, bucket = c[order], bucket[order]
+        at = _starts(bucket)
+        yield _sendings(bucket[at], [_pack_contexts(x) for x in np.split(c, at[1:])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offsets, raw = text_bytes(batch.column("text"))
-            ids, names = batch.column("doc_id").to_numpy(), batch.column("text_hash").to_numpy()
+            ids, names = batch.column("_key").to_numpy(), batch.column("text_hash").to_numpy()
             held, n = [], 0
             for k, replies in enumerate(batch.column("replies").to_pylist()):
                 text = raw[offsets[k] : offsets[k + 1]]
@@ -278,7 +295,7 @@ def _send_contexts(buckets: int):
                 # another text under the same id may have had places beyond this one's end
                 places = places[places <= len(text) - GRAM]
                 if len(places):
-                    held.append(contexts(text, places, ids[k], names[k]))
+                    held.append(contexts(text, places, ids[k], names[k] & NONE))
                     n += len(places)
                 if n >= HELD // 4:
                     yield from flush(held)
@@ -288,6 +305,18 @@ def _send_contexts(buckets: int):
     return run
 
 
+def _pack_contexts(c: np.ndarray) -> bytes:
+    flat = np.ascontiguousarray(c["bytes"]).reshape(-1)
+    return squeeze(np.ascontiguousarray(c["hash"]), _gaps(c["doc"]), *(np.ascontiguousarray(c[x]) for x in ("text", "place", "left", "right")), flat)
+
+
+def _unpack_contexts(packed: bytes) -> np.ndarray:
+    h, doc, text, place, left, right, flat = unsqueeze(packed, "<u8", np.int64, "<u4", "<u4", "u1", "u1", "u1")
+    c = np.zeros(len(h), CONTEXT)
+    c["hash"], c["doc"], c["text"], c["place"], c["left"], c["right"], c["bytes"] = h, np.cumsum(doc), text, place, left, right, flat.reshape(-1, 2 * SIDE)
+    return c
+
+
 class RunIndex:
     """Aligned contexts as a run-compressed Burrows-Wheeler transform.
 
@@ -346,14 +375,13 @@ class RunIndex:
 
 def _matched(table):
     """Of one bucket: for each document the places at which to remove strings."""
-    told = table.filter(pc.is_valid(table["doc_id"])).select(["doc_id", "reply"])
-    sent = table.filter(pc.is_null(table["doc_id"]))
-    if not len(sent):
+    told, sent = _split(table)
+    if not sent:
         return told
-    c = np.frombuffer(b"".join(sent["contexts"].to_pylist()), CONTEXT)
+    c = np.concatenate([_unpack_contexts(x) for x in sent])
     mask = RunIndex(c).matches()
     owner, reply = _by_document(c["doc"][mask > 0], _marks(c[mask > 0], mask[mask > 0]))
-    return pa.concat_tables([told, pa.table({"doc_id": owner, "reply": reply}, schema=told.schema)])
+    return pa.concat_tables([told, pa.table({"_key": owner, "reply": reply}, schema=told.schema)])
 
 
 def spans(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -375,7 +403,7 @@ def _cut(texts: bool):
             for k, replies in enumerate(batch.column("replies").to_pylist()):
                 text = raw[offsets[k] : offsets[k + 1]]
                 marks = np.frombuffer(b"".join(replies or []), MARK)
-                begin, end = spans(marks[marks["text"] == names[k]])
+                begin, end = spans(marks[marks["text"] == names[k] & NONE])
                 pieces, at = [], 0
                 for b, e in zip(begin.tolist(), end.tolist(), strict=True):
                     pieces.append(text[at:b])
@@ -394,8 +422,8 @@ def _cut(texts: bool):
             if texts:
                 columns.append(pa.array(kept, pa.string()))
                 names_.append("kept_text")
-            rest_ = [c for c in batch.schema.names if c not in ("text", "text_hash", "replies", "_key")]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in rest_] + columns, rest_ + names_)
+            extra = [c for c in batch.schema.names if c == "doc_id" or c.startswith("_fs_")]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in extra] + columns, [c.removeprefix("_fs_") for c in extra] + names_)
 
     return run
 
@@ -404,22 +432,22 @@ def remove_repeats(docs: DataFrame, texts: bool = False, keep: list[str] | None
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row; with
     ``texts`` also kept_text, and the columns ``keep`` of ``docs`` first."""
     spark = docs.sparkSession
-    # four buckets a task even out their sizes
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     extra = [c for c in (keep or []) if c not in ("doc_id", "text")]
     key = F.coalesce(F.col("doc_id"), F.lit(LAST)).cast("long")
-    rows = docs.select("doc_id", key.alias("_key"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), *extra)
-    reply = "doc_id long, reply binary"
+    # both joins take the same columns, so that the texts are exchanged once
+    rows = docs.select(key.alias("_key"), "doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), *[F.col(c).alias(f"_fs_{c}") for c in extra])
+    sent = "bucket int, _key long, reply binary, sent binary"
 
     def by_document(df: DataFrame) -> DataFrame:
-        return df.groupBy(F.col("doc_id").alias("_owner")).agg(F.collect_list("reply").alias("replies"))
-
-    sent = docs.select(key.alias("doc_id"), "text").mapInArrow(_send_anchors(buckets), "bucket int, doc_id long, reply binary, hash binary, row binary, docs binary, place binary")
-    shared = by_document(sent.groupBy("bucket").applyInArrow(_shared_anchors, reply))
-    around = rows.join(shared.hint("shuffle_hash"), F.col("_key") == F.col("_owner")).select(F.col("_key").alias("doc_id"), "text", "text_hash", "replies")
-    found = around.mapInArrow(_send_contexts(buckets), "bucket int, doc_id long, reply binary, contexts binary")
-    marked = by_document(found.groupBy("bucket").applyInArrow(_matched, reply))
-    out = rows.join(marked.hint("shuffle_hash"), F.col("_key") == F.col("_owner"), "left").drop("_owner")
+        return df.groupBy(F.col("_key").alias("_owner")).agg(F.collect_list("reply").alias("replies")).hint("shuffle_hash")
+
+    found = docs.select(key.alias("doc_id"), "text").mapInArrow(_send_anchors(buckets), sent)
+    shared = by_document(found.groupBy("bucket").applyInArrow(_shared_anchors, "_key long, reply binary"))
+    around = rows.join(shared, F.col("_key") == F.col("_owner")).select(*rows.columns, "replies")
+    found = around.mapInArrow(_send_contexts(buckets), sent)
+    marked = by_document(found.groupBy("bucket").applyInArrow(_matched, "_key long, reply binary"))
+    out = rows.join(marked, F.col("_key") == F.col("_owner"), "left").select(*rows.columns, "replies")
     types = dict(docs.dtypes)
     schema = "doc_id long, " + "".join(f"`{c}` {types[c]}, " for c in extra) + "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if texts else "")
-    return out.select("doc_id", "_key", "text", "text_hash", *extra, "replies").mapInArrow(_cut(texts), schema)
+    return out.mapInArrow(_cut(texts), schema)
