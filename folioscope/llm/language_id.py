@@ -133,36 +133,57 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LA
     return KernelModel.fit(bits, [lang for (lang, _), _ in rows], landmarks)
 
 
+def predictions(model: KernelModel | None, texts: pa.Array, land: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Language and probability of each text, ``BATCH`` of them at a time."""
+    lang, score = np.full(len(texts), "und", object), np.zeros(len(texts))
+    if model is None:
+        return lang, score
+    held, at = np.zeros((BATCH, WIDTH), np.uint8), []
+
+    def flush() -> None:
+        if at:
+            best, p = model.score(held[: len(at)], land)
+            for k, i in enumerate(at):
+                lang[i], score[i] = model.languages[best[k]], p[k]
+            at.clear()
+
+    for i, t in enumerate(texts):
+        g = grams(t.as_py())
+        if g is not None:
+            held[len(at)] = g
+            at.append(i)
+            if len(at) == BATCH:
+                flush()
+    flush()
+    return lang, score
+
+
 def _scorer(model: KernelModel | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         land = model.matrix() if model else None
-        held = np.zeros((BATCH, WIDTH), np.uint8)
         for b in batches:
-            n = b.num_rows
-            lang, score = np.full(n, "und", object), np.zeros(n)
-            if model:
-                at: list[int] = []
-
-                def flush() -> None:
-                    if at:
-                        best, p = model.score(held[: len(at)], land)  # noqa: B023
-                        for k, i in enumerate(at):
-                            lang[i], score[i] = model.languages[best[k]], p[k]
-                        at.clear()
-
-                for i, t in enumerate(b.column("text")):
-                    g = grams(t.as_py())
-                    if g is not None:
-                        held[len(at)] = g
-                        at.append(i)
-                        if len(at) == BATCH:
-                            flush()
-                flush()
+            lang, score = predictions(model, b.column("text"), land)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(lang.tolist(), pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
     return run
 
 
+def _accepter(model: KernelModel | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        land = model.matrix() if model else None
+        for b in batches:
+            lang, _ = predictions(model, b.column("text"), land)
+            yield b.filter(pa.array((lang != "und").tolist(), pa.bool_()))
+
+    return run
+
+
+def accepted(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
+    """The rows of ``docs``, with all columns, whose language can be told."""
+    model = train(docs.where(fold_of(F.col("doc_id"), folds) != held))
+    return docs.mapInArrow(_accepter(model), docs.schema)
+
+
 def identify(docs: DataFrame, train_on: DataFrame | None = None, folds: int = 4, held: int = 2) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row of ``docs``.
 
