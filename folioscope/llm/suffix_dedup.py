@@ -142,17 +142,39 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> U(32)) % U(buckets)).astype(np.int64)
 
 
-#: A row has a document's reply, or what is sent to a bucket.
-SENT = pa.schema([("bucket", pa.int32()), ("_key", pa.int64()), ("reply", pa.binary()), ("sent", pa.binary())])
+#: Rows go to a bucket: replies for documents of this group, or what is sent.
+SENT = pa.schema([("bucket", pa.int32()), ("reply", pa.binary()), ("sent", pa.binary())])
+PLACE = np.dtype([("place", "<u4")])
+MARK = np.dtype([("text", "<u4"), ("place", "<u4"), ("mask", "<u4")])
+
+
+def _replies(owner: np.ndarray, data: np.ndarray, groups: int) -> tuple[np.ndarray, list[bytes]]:
+    """Rows of fixed size for documents, packed by group of documents."""
+    group = owner % groups
+    order = np.lexsort((owner, group))
+    at = _starts(group[order])
+    parts = np.split(order, at[1:]) if len(at) else []
+    return group[order][at], [squeeze(_gaps(owner[x]), *(np.ascontiguousarray(data[f][x]) for f in data.dtype.names)) for x in parts]
+
 
+def _row(buckets: np.ndarray, replies: list | None, sent: list | None) -> pa.RecordBatch:
+    empty = pa.nulls(len(buckets), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int32)), empty if replies is None else pa.array(replies, pa.binary()), empty if sent is None else pa.array(sent, pa.binary())], schema=SENT)
 
-def _replies(bucket_of, owner: np.ndarray, reply: pa.Array) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(bucket_of(owner).astype(np.int32)), pa.array(owner), reply, pa.nulls(len(owner), pa.binary())], schema=SENT)
 
+def _merged(dtype: np.dtype):
+    """Replies of one group, from all buckets, as one row of bytes a document."""
 
-def _sendings(buckets: np.ndarray, sent: list[bytes]) -> pa.RecordBatch:
-    n = len(buckets)
-    return pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(sent, pa.binary())], schema=SENT)
+    def run(table):
+        parts = [unsqueeze(x, np.int64, *(dtype[f] for f in dtype.names)) for x in table["reply"].to_pylist()]
+        owner = np.concatenate([np.cumsum(x[0]) for x in parts])
+        data = np.zeros(len(owner), dtype)
+        for k, f in enumerate(dtype.names):
+            data[f] = np.concatenate([x[k + 1] for x in parts])
+        ids, rows = _by_document(owner, data)
+        return pa.table({"_owner": pa.array(ids), "replies": rows})
+
+    return run
 
 
 def _send_anchors(buckets: int):
@@ -168,9 +190,9 @@ def _send_anchors(buckets: int):
         shared[order] = np.repeat(several, np.diff(np.append(at, len(h))))
         # anchors of several documents of the batch are known to be shared: the
         # documents are told here, and the hash alone tells the others
-        owner, reply = _by_document(d[shared], p[shared])
-        if len(owner):
-            yield _replies(lambda x: x % buckets, owner, reply)
+        if shared.any():
+            group, replies = _replies(d[shared], p[shared].view(PLACE), buckets)
+            yield _row(group, replies, None)
         known = h[order[at[several]]]
         known_bucket, bucket = _bucket(known, buckets), _bucket(h, buckets)
         order = np.lexsort((d, bucket))
@@ -182,7 +204,7 @@ def _send_anchors(buckets: int):
             rows = order[lo[b] : hi[b]]
             # within a bucket 32 bits are enough: what they confuse is sorted out by the contexts
             sent.append(squeeze(h[rows].astype("<u4"), _gaps(d[rows]), p[rows], known[known_bucket == b].astype("<u4")))
-        yield _sendings(which, sent)
+        yield _row(which, None, sent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,32 +227,37 @@ def _send_anchors(buckets: int):
 
 def _split(table) -> tuple[pa.Table, list[bytes]]:
     """Replies that only pass through, and what was sent to the bucket."""
-    table = table.select(["_key", "reply", "sent"])
-    told = table.filter(pc.is_valid(table["_key"])).select(["_key", "reply"])
-    return told, table.filter(pc.is_null(table["_key"]))["sent"].to_pylist()
+    table = table.select(["bucket", "reply", "sent"])
+    told = table.filter(pc.is_valid(table["reply"])).select(["bucket", "reply"])
+    return told, table.filter(pc.is_valid(table["sent"]))["sent"].to_pylist()
+
+
+def _answer(told: pa.Table, owner: np.ndarray, data: np.ndarray, groups: int) -> pa.Table:
+    group, replies = _replies(owner, data, groups)
+    return pa.concat_tables([told, pa.table([pa.array(group.astype(np.int32)), pa.array(replies, pa.binary())], schema=told.schema)])
 
 
-def _shared_anchors(table):
+def _shared_anchors(groups: int):
     """Of one bucket: for each document the places of its anchors that others have."""
-    told, sent = _split(table)
-    if not sent:
-        return told
-    parts = [unsqueeze(x, "<u4", np.int64, "<u4", "<u4") for x in sent]
-    h, place, known = (np.concatenate([x[k] for x in parts]) for k in (0, 2, 3))
-    doc = np.concatenate([np.cumsum(x[1]) for x in parts])
-    order = np.argsort(h)
-    h = h[order]
-    at = _starts(h)
-    if not len(at):
-        return told
-    low, high = np.minimum.reduceat(doc[order], at), np.maximum.reduceat(doc[order], at)
-    keep = np.repeat((low < high) | np.isin(h[at], known), np.diff(np.append(at, len(h))))
-    owner, reply = _by_document(doc[order][keep], place[order][keep])
-    return pa.concat_tables([told, pa.table({"_key": owner, "reply": reply}, schema=told.schema)])
+
+    def run(table):
+        told, sent = _split(table)
+        parts = [unsqueeze(x, "<u4", np.int64, "<u4", "<u4") for x in sent]
+        if not sum(len(x[0]) for x in parts):
+            return told
+        h, place, known = (np.concatenate([x[k] for x in parts]) for k in (0, 2, 3))
+        doc = np.concatenate([np.cumsum(x[1]) for x in parts])
+        order = np.argsort(h)
+        h = h[order]
+        at = _starts(h)
+        low, high = np.minimum.reduceat(doc[order], at), np.maximum.reduceat(doc[order], at)
+        keep = np.repeat((low < high) | np.isin(h[at], known), np.diff(np.append(at, len(h))))
+        return _answer(told, doc[order][keep], place[order][keep].view(PLACE), groups)
+
+    return run
 
 
 CONTEXT = np.dtype([("hash", "<u8"), ("key", "<u8"), ("doc", "<i8"), ("text", "<u4"), ("place", "<u4"), ("left", "u1"), ("right", "u1"), ("bytes", "u1", (2 * SIDE,))])
-MARK = np.dtype([("text", "<u4"), ("place", "<u4"), ("mask", "<u4")])
 
 
 def contexts(raw: np.ndarray, places: np.ndarray, doc: int, text: int) -> np.ndarray:
@@ -274,15 +301,15 @@ def _send_contexts(buckets: int):
         first = np.repeat(c["doc"][new], np.diff(np.append(np.flatnonzero(new), len(c))))
         # a whole context that an earlier document of the batch has is covered
         later = c["doc"] > first
-        owner, reply = _by_document(c["doc"][later], _marks(c[later], _all_places(c["left"][later], c["right"][later])))
-        if len(owner):
-            yield _replies(lambda x: x % buckets, owner, reply)
+        if later.any():
+            group, replies = _replies(c["doc"][later], _marks(c[later], _all_places(c["left"][later], c["right"][later])), buckets)
+            yield _row(group, replies, None)
         c = c[~later]
         bucket = _bucket(c["hash"], buckets)
         order = np.lexsort((c["place"], c["doc"], bucket))
         c, bucket = c[order], bucket[order]
         at = _starts(bucket)
-        yield _sendings(bucket[at], [_pack_contexts(x) for x in np.split(c, at[1:])])
+        yield _row(bucket[at], None, [_pack_contexts(x) for x in np.split(c, at[1:])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -291,7 +318,7 @@ def _send_contexts(buckets: int):
             held, n = [], 0
             for k, replies in enumerate(batch.column("replies").to_pylist()):
                 text = raw[offsets[k] : offsets[k + 1]]
-                places = np.unique(np.frombuffer(b"".join(replies), "<u4")).astype(np.int64)
+                places = np.unique(np.frombuffer(replies, "<u4")).astype(np.int64)
                 # another text under the same id may have had places beyond this one's end
                 places = places[places <= len(text) - GRAM]
                 if len(places):
@@ -373,15 +400,18 @@ class RunIndex:
             self.left()
 
 
-def _matched(table):
+def _matched(groups: int):
     """Of one bucket: for each document the places at which to remove strings."""
-    told, sent = _split(table)
-    if not sent:
-        return told
-    c = np.concatenate([_unpack_contexts(x) for x in sent])
-    mask = RunIndex(c).matches()
-    owner, reply = _by_document(c["doc"][mask > 0], _marks(c[mask > 0], mask[mask > 0]))
-    return pa.concat_tables([told, pa.table({"_key": owner, "reply": reply}, schema=told.schema)])
+
+    def run(table):
+        told, sent = _split(table)
+        if not sent:
+            return told
+        c = np.concatenate([_unpack_contexts(x) for x in sent])
+        mask = RunIndex(c).matches()
+        return _answer(told, c["doc"][mask > 0], _marks(c[mask > 0], mask[mask > 0]), groups)
+
+    return run
 
 
 def spans(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -402,7 +432,7 @@ def _cut(texts: bool):
             size, removed, number, digest, kept = [], [], [], [], []
             for k, replies in enumerate(batch.column("replies").to_pylist()):
                 text = raw[offsets[k] : offsets[k + 1]]
-                marks = np.frombuffer(b"".join(replies or []), MARK)
+                marks = np.frombuffer(replies or b"", MARK)
                 begin, end = spans(marks[marks["text"] == names[k] & NONE])
                 pieces, at = [], 0
                 for b, e in zip(begin.tolist(), end.tolist(), strict=True):
@@ -437,16 +467,16 @@ def remove_repeats(docs: DataFrame, texts: bool = False, keep: list[str] | None
     key = F.coalesce(F.col("doc_id"), F.lit(LAST)).cast("long")
     # both joins take the same columns, so that the texts are exchanged once
     rows = docs.select(key.alias("_key"), "doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), *[F.col(c).alias(f"_fs_{c}") for c in extra])
-    sent = "bucket int, _key long, reply binary, sent binary"
+    sent, reply = "bucket int, reply binary, sent binary", "bucket int, reply binary"
 
-    def by_document(df: DataFrame) -> DataFrame:
-        return df.groupBy(F.col("_key").alias("_owner")).agg(F.collect_list("reply").alias("replies")).hint("shuffle_hash")
+    def by_document(replies: DataFrame, dtype: np.dtype) -> DataFrame:
+        return replies.groupBy("bucket").applyInArrow(_merged(dtype), "_owner long, replies binary").hint("shuffle_hash")
 
     found = docs.select(key.alias("doc_id"), "text").mapInArrow(_send_anchors(buckets), sent)
-    shared = by_document(found.groupBy("bucket").applyInArrow(_shared_anchors, "_key long, reply binary"))
+    shared = by_document(found.groupBy("bucket").applyInArrow(_shared_anchors(buckets), reply), PLACE)
     around = rows.join(shared, F.col("_key") == F.col("_owner")).select(*rows.columns, "replies")
     found = around.mapInArrow(_send_contexts(buckets), sent)
-    marked = by_document(found.groupBy("bucket").applyInArrow(_matched, "_key long, reply binary"))
+    marked = by_document(found.groupBy("bucket").applyInArrow(_matched(buckets), reply), MARK)
     out = rows.join(marked, F.col("_key") == F.col("_owner"), "left").select(*rows.columns, "replies")
     types = dict(docs.dtypes)
     schema = "doc_id long, " + "".join(f"`{c}` {types[c]}, " for c in extra) + "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if texts else "")
