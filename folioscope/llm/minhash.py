@@ -10,12 +10,15 @@ smallest id to each other one, so their number is the number of members.
 Edges are confirmed on the full sets, and confirmed ones merged to components.
 
 A star finds no link between two members that are both unlike its centre. So
-buckets that still hold members of several components are looked at again: in
-tiles of bounded size, pairs from different components whose signatures agree
-about as often as similar sets do are confirmed on full sets too, and merged.
+buckets that still hold members of several components are looked at again in
+tiles of bounded size. There, parity sketches are compared: a set's sketch has
+a bit for each of about four times as many cells as items, the parity of the
+items in the cell. Two sketches differ in no more bits than their sets have
+items apart, so a pair whose sketches differ too much is ruled out for certain;
+the few others are confirmed on full sets and merged.
 
 With ``ROWS`` rows in each of ``BANDS`` bands a pair with similarity 0.8 misses
-all buckets with probability below 1e-5.
+all buckets with probability below 3e-5.
 
 Cases: a null text, or one without words, has an empty set and is linked with
 nothing; one word is a set of that word; repeated rows of an id are one
@@ -39,15 +42,11 @@ from pyspark.sql import functions as F
 from folioscope.llm.bytesets import ODD, U, mix, slices, text_bytes
 from folioscope.llm.common import discard, written
 
-BANDS, ROWS = 32, 5
+BANDS, ROWS = 20, 4
 BINS = BANDS * ROWS
 PERCENT = 80
 #: Members of a bucket in one side of a tile.
 TILE = 512
-#: Least agreement of signatures, in bins, for a pair of a tile to be confirmed:
-#: six standard deviations under the expectation at 0.8.
-AGREE = int(BINS * 0.8 - 6 * (BINS * 0.8 * 0.2) ** 0.5)
-
 
 @functools.cache
 def _byte_values() -> np.ndarray:
@@ -124,10 +123,44 @@ def bands(sig: np.ndarray) -> np.ndarray:
     return out
 
 
+def parity_sketch(items: np.ndarray) -> bytes:
+    """The parities of the items in each cell; the cells are a power of two."""
+    cells = max(64, 1 << (4 * len(items) - 1).bit_length())
+    odd = np.bincount((items & U(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _halved(sketches: np.ndarray) -> np.ndarray:
+    """Sketches of half as many cells."""
+    half = sketches.shape[1] // 2
+    return sketches[:, :half] ^ sketches[:, half:]
+
+
+def close_pairs(left: list[bytes], right: list[bytes], n_left: np.ndarray, n_right: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs that the sketches do not rule out."""
+
+    def classes(rows: list[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        size = np.array([len(x) // 8 for x in rows])
+        return {int(k): (at := np.flatnonzero(size == k), np.frombuffer(b"".join(rows[i] for i in at), np.uint64).reshape(len(at), k)) for k in np.unique(size)}
+
+    p, q, out = classes(left), classes(right), []
+    for k, (i, a) in p.items():
+        for width, (j, b) in q.items():
+            # similar sets differ in size by a quarter at most
+            if width not in (k, 2 * k) and k != 2 * width:
+                continue
+            x, y = (a, b) if width == k else (a, _halved(b)) if width > k else (_halved(a), b)
+            for r in range(len(i)):
+                apart = np.bitwise_count(y ^ x[r]).sum(1, dtype=np.int64)
+                hit = np.flatnonzero((100 + percent) * apart <= (100 - percent) * (n_left[i[r]] + n_right[j]))
+                out.append(np.stack([np.full(len(hit), i[r]), j[hit]]))
+    return tuple(np.concatenate(out, 1)) if out else (np.zeros(0, np.int64),) * 2
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n_shingles", "fp1", "fp2", "bands", "sig"]
+    names = ["doc_id", "n_shingles", "fp1", "fp2", "bands", "parity"]
     for b in batches:
-        n, f1, f2, out, sigs = [], [], [], [], []
+        n, f1, f2, out, parities = [], [], [], [], []
         for items in shingle_sets(b.column("text")):
             n.append(len(items))
             f1.append(np.bitwise_xor.reduce(items) if len(items) else U(0))
@@ -135,13 +168,12 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(items):
                 sig = signature(items)
                 out.append(bands(sig).view(np.int64))
-                # low bits of the minima, for the comparison of whole signatures
-                sigs.append((mix(sig) & U(0xFFFF)).astype("<u2").tobytes())
+                parities.append(parity_sketch(items))
             else:
                 out.append(None)
-                sigs.append(None)
+                parities.append(None)
         as_long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), as_long(f1), as_long(f2), pa.array(out, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), as_long(f1), as_long(f2), pa.array(out, pa.list_(pa.int64())), pa.array(parities, pa.binary())], names)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,44 +230,46 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _tiles(least: int):
+def _tiles(percent: int):
     def run(key, table):
         t = table.combine_chunks()
-        left = t.filter(pc.equal(t["side"], 0))
-        right = t.filter(pc.equal(t["side"], 1))
-        src, dst = [], []
-        if len(left) and len(right):
-            grid = lambda x: np.frombuffer(b"".join(x["sig"].to_pylist()), "<u2").reshape(len(x), BINS)
-            p, q = grid(left), grid(right)
-            p_id, q_id = left["doc_id"].to_numpy(), right["doc_id"].to_numpy()
-            p_part, q_part = left["component"].to_numpy(), right["component"].to_numpy()
-            for k in range(len(left)):
-                hit = ((q == p[k]).sum(1) >= least) & (q_part != p_part[k]) & ((q_id > p_id[k]) | (key[1].as_py() != key[2].as_py()))
-                found = q_id[hit]
-                src += np.minimum(found, p_id[k]).tolist()
-                dst += np.maximum(found, p_id[k]).tolist()
-        return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
+        left, right = t.filter(pc.equal(t["side"], 0)), t.filter(pc.equal(t["side"], 1))
+        if key[1].as_py() == key[2].as_py():
+            right = left
+        p_id, q_id = left["doc_id"].to_numpy(), right["doc_id"].to_numpy()
+        i, j = close_pairs(left["parity"].to_pylist(), right["parity"].to_pylist(), left["n_shingles"].to_numpy(), right["n_shingles"].to_numpy(), percent)
+        good = left["component"].to_numpy()[i] != right["component"].to_numpy()[j]
+        low, high = np.minimum(p_id[i], q_id[j])[good], np.maximum(p_id[i], q_id[j])[good]
+        pairs = np.unique(np.stack([low, high]), axis=1)
+        return pa.table({"src": pa.array(pairs[0], pa.int64()), "dst": pa.array(pairs[1], pa.int64())})
 
     return run
 
 
-def residual_pairs(members: DataFrame, labels: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Pairs from different components that share a bucket and whose signatures
-    agree; members: (band, bucket, doc_id)."""
+def mixed_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members (band, bucket, doc_id, component) of buckets with several
+    components, and the size ``_n`` of their bucket."""
     named = members.join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = named.groupBy("band", "bucket").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count(F.lit(1)).alias("_n")).where("_lo <> _hi")
+    mixed = named.groupBy("band", "bucket").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count(F.lit(1)).alias("_n")).where("_lo <> _hi").drop("_lo", "_hi")
+    return named.join(mixed, ["band", "bucket"])
+
+
+def residual_pairs(mixed: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs from different components that share a bucket and may be similar."""
     blocks = F.ceil(F.col("_n") / TILE).cast("int")
-    rows = named.join(mixed, ["band", "bucket"]).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    # a row of block i is on the left of tiles (i, j >= i) and on the right of tiles (j <= i, i)
+    rows = mixed.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    # a row of block i is on the left of tiles (i, j >= i) and on the right of tiles (j < i, i)
     left = rows.withColumn("j", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1))).select("band", "bucket", F.col("block").alias("i"), "j", F.lit(0).alias("side"), "doc_id", "component")
-    right = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("block")))).select("band", "bucket", "i", F.col("block").alias("j"), F.lit(1).alias("side"), "doc_id", "component")
-    tiles = left.union(right).join(sigs, "doc_id").withColumn("tile", F.xxhash64("band", "bucket"))
-    return tiles.select("tile", "i", "j", "side", "doc_id", "component", "sig").groupBy("tile", "i", "j").applyInArrow(_tiles(AGREE), "src long, dst long").distinct()
+    right = rows.where("block > 0").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("block") - 1))).select("band", "bucket", "i", F.col("block").alias("j"), F.lit(1).alias("side"), "doc_id", "component")
+    tiles = left.union(right).join(sketches, "doc_id").withColumn("tile", F.xxhash64("band", "bucket"))
+    # few bytes but many comparisons: not to be coalesced by size
+    tiles = tiles.repartition(4 * int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions")), "tile", "i", "j")
+    return tiles.select("tile", "i", "j", "side", "doc_id", "component", "n_shingles", "parity").groupBy("tile", "i", "j").applyInArrow(_tiles(percent), "src long, dst long").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs``."""
-    sketch = written(docs.select("doc_id", "text").mapInArrow(_sketch, "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>, sig binary"))
+    sketch = written(docs.select("doc_id", "text").mapInArrow(_sketch, "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>, parity binary"))
     # a link of two rows of one id says nothing; equal sets collapse to their smallest id
     full = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL")
     equal = ["n_shingles", "fp1", "fp2"]
@@ -246,16 +280,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     members = written(bucketed.join(shared, ["band", "bucket"]))
     stars = written(members.where("doc_id <> centre").select(F.col("centre").alias("src"), F.col("doc_id").alias("dst")).distinct())
 
-    # sets are made only of the texts that some candidate edge names
+    # sets are made only of the texts that some candidate edge names; those ids
+    # grow with the corpus, so they are exchanged at every size
     named = stars.select(F.col("src").alias("doc_id")).union(stars.select(F.col("dst").alias("doc_id"))).distinct()
-    sets = written(docs.select("doc_id", "text").join(named, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, items binary"))
+    sets = written(docs.select("doc_id", "text").join(named.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, items binary"))
     links = written(confirmed(stars, sets, percent))
     discard(stars)
     labels = components(links)
-    # every cross-component pair of a bucket is looked at, so once is enough
-    more = written(residual_pairs(members.select("band", "bucket", "doc_id"), labels, reps.select("doc_id", "sig")))
-    found = written(confirmed(more, sets, percent))
-    discard(more)
+    mixed = mixed_buckets(members.select("band", "bucket", "doc_id"), labels)
+    found = written(confirmed(residual_pairs(mixed, reps.select("doc_id", "n_shingles", "parity"), percent), sets, percent))
     if found.limit(1).count():
         labels = components(links.union(found))
     for t in (members, sets):
@@ -266,3 +299,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     out = sketch.join(of_group, equal, "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     out = out.withColumn("component_id", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def representatives(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """One document of each group of near-duplicates, with all columns: that of
+    smallest id, and of repeated rows of an id with equal text one."""
+    kept = written(near_duplicates(docs, percent).where("kept").groupBy(F.col("doc_id").alias("_fs_id")).agg(F.count(F.lit(1)).alias("_fs_n")))
+    out = docs.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_fs_id")), "left_semi")
+    if kept.where("_fs_n > 1 AND _fs_id IS NOT NULL").limit(1).count():
+        one = out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"])
+        return one.unionByName(out.where("doc_id IS NULL"))
+    return out
