@@ -453,14 +453,15 @@ def _cut(texts: bool):
                 columns.append(pa.array(kept, pa.string()))
                 names_.append("kept_text")
             extra = [c for c in batch.schema.names if c == "doc_id" or c.startswith("_fs_")]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in extra] + columns, [c.removeprefix("_fs_") for c in extra] + names_)
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in extra] + columns, extra + names_)
 
     return run
 
 
 def remove_repeats(docs: DataFrame, texts: bool = False, keep: list[str] | None = None) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row; with
-    ``texts`` also kept_text, and the columns ``keep`` of ``docs`` first."""
+    ``texts`` also kept_text; the columns ``keep`` of ``docs`` are carried along
+    with ``_fs_`` before their names."""
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     extra = [c for c in (keep or []) if c not in ("doc_id", "text")]
@@ -479,5 +480,13 @@ def remove_repeats(docs: DataFrame, texts: bool = False, keep: list[str] | None
     marked = by_document(found.groupBy("bucket").applyInArrow(_matched(buckets), reply), MARK)
     out = rows.join(marked, F.col("_key") == F.col("_owner"), "left").select(*rows.columns, "replies")
     types = dict(docs.dtypes)
-    schema = "doc_id long, " + "".join(f"`{c}` {types[c]}, " for c in extra) + "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if texts else "")
+    schema = "doc_id long, " + "".join(f"`_fs_{c}` {types[c]}, " for c in extra) + "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if texts else "")
     return out.mapInArrow(_cut(texts), schema)
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all columns, the repeats cut out of their text
+    and ``n_chars``, if there, counted anew."""
+    out = remove_repeats(docs, texts=True, keep=docs.columns)
+    new = {"doc_id": F.col("doc_id"), "text": F.col("kept_text").alias("text"), "n_chars": F.length("kept_text").cast("long").alias("n_chars")}
+    return out.select(*[new.get(c, F.col(f"`_fs_{c}`").alias(c)) for c in docs.columns])

@@ -75,7 +75,7 @@ def test_every_string_has_an_anchor():
 def test_kept_text_is_valid(spark):
     rows = [(1, "é" * 40), (2, "a" + "é" * 40), (3, "no repeats here")]
     d = spark.createDataFrame([(i, t, "s") for i, t in rows], COLUMNS)
-    got = {r.doc_id: (r.kept_text, r.source) for r in S.remove_repeats(d, texts=True, keep=["source"]).collect()}
+    got = {r.doc_id: (r.text, r.source) for r in S.without_repeats(d).collect()}
     assert got == {1: ("é" * 40, "s"), 2: ("a", "s"), 3: ("no repeats here", "s")}
 
 
