@@ -15,7 +15,6 @@ very long rows are treated as the operators' modules say.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from folioscope.llm import language_id, minhash, mixing, packing, suffix_dedup
 from folioscope.llm.common import read_table, written
@@ -30,9 +29,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = suffix_dedup.remove_repeats(docs, texts=True, keep=[c for c in docs.columns if c != "n_chars"])
-    new = {"text": F.col("kept_text").alias("text"), "n_chars": F.length("kept_text").cast("long").alias("n_chars")}
-    return out.select(*[new.get(c, F.col(f"`{c}`")) for c in docs.columns])
+    return suffix_dedup.without_repeats(docs)
 
 
 def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
