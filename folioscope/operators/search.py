@@ -20,21 +20,26 @@ MOST_TERMS = 50
 
 @dataclass
 class TextIndex:
-    """postings: token, id, note_id, tf, places, length; chunks: id, note_id, length."""
+    """places: token, id, note_id, length, place; chunks: id, note_id, length."""
 
-    postings: DataFrame
+    places: DataFrame
     chunks: DataFrame
 
+    def postings(self, wanted: DataFrame | None = None) -> DataFrame:
+        """token, id, note_id, length and its sorted places; only of the tokens
+        ``wanted``, if given, which are picked before anything is exchanged."""
+        at = self.places if wanted is None else self.places.join(wanted.select("token").distinct(), "token", "left_semi")
+        return at.groupBy("token", "id", "note_id", "length").agg(F.sort_array(F.collect_list("place")).alias("places"))
+
 
 def text_index(chunks: DataFrame, text: str = "text_content") -> TextIndex:
-    """Postings of chunks (id, note_id, text), one row a token and chunk.
+    """Places of the tokens of chunks (id, note_id, text).
 
     Write them to a table to search more than once.
     """
     words = chunks.select("id", "note_id", tokens(F.col(text)).alias("w")).withColumn("length", F.size("w"))
     at = words.select("id", "note_id", "length", F.posexplode("w").alias("place", "token"))
-    postings = at.groupBy("token", "id", "note_id", "length").agg(F.sort_array(F.collect_list("place")).alias("places"))
-    return TextIndex(postings, words.select("id", "note_id", "length"))
+    return TextIndex(at, words.select("id", "note_id", "length"))
 
 
 def bm25(index: TextIndex, questions: DataFrame, limit: int = 20, allowed: DataFrame | None = None) -> DataFrame:
@@ -46,7 +51,7 @@ def bm25(index: TextIndex, questions: DataFrame, limit: int = 20, allowed: DataF
     """
     terms = questions.select("query_id", F.posexplode(F.slice(F.array_remove(F.split("question", r"\s+"), ""), 1, MOST_TERMS)).alias("term", "word"))
     asked = terms.select("query_id", "term", tokens(F.col("word")).alias("t")).select("query_id", "term", F.size("t").alias("m"), F.posexplode("t").alias("j", "token"))
-    hit = asked.join(index.postings, "token")
+    hit = asked.join(index.postings(asked), "token")
     begins = F.transform("places", lambda p: p - F.col("j"))
     grouped = hit.withColumn("begins", begins).groupBy("query_id", "term", "m", "id", "note_id", "length").agg(F.collect_list("begins").alias("all"))
     tf = F.size(F.aggregate(F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(0))), F.get("all", 0), lambda a, x: F.array_intersect(a, x)))

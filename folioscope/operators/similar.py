@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,7 +22,25 @@ def _blocks(rows: DataFrame, n: int) -> DataFrame:
 
 
 def _matrix(column) -> np.ndarray:
-    return np.array(column.to_pylist(), dtype=np.float64)
+    """Vectors of one length as rows of a matrix."""
+    column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(column), -1)
+
+
+def _lengths(column) -> np.ndarray:
+    return pc.list_value_length(column).to_numpy()
+
+
+def _best(score: np.ndarray, needed: int, decimals: int) -> np.ndarray:
+    """Columns of the best rounded scores of each row; ties go to the earlier."""
+    n = score.shape[1]
+    # scores as whole numbers, with the column below them, are all distinct
+    key = np.rint(score * 10**decimals).astype(np.int64) * n + np.arange(n - 1, -1, -1)
+    if needed < n:
+        top = np.argpartition(key, n - needed, axis=1)[:, n - needed :]
+        key = np.take_along_axis(key, top, 1)
+        return np.take_along_axis(top, np.argsort(-key, axis=1), 1)
+    return np.argsort(-key, axis=1)
 
 
 def _same_length(rows: DataFrame) -> DataFrame:
@@ -43,7 +62,7 @@ def top_k(queries: DataFrame, items: DataFrame, needed: int, decimals: int = 6)
 
     def run(key, table):
         table = table.combine_chunks()
-        side, size = table["side"].to_numpy(), np.array([len(v) for v in table["vector"]])
+        side, size = table["side"].to_numpy(), _lengths(table["vector"])
         out = []
         for d in np.unique(size):
             a = table.take(np.flatnonzero((side == 0) & (size == d)))
@@ -53,7 +72,7 @@ def top_k(queries: DataFrame, items: DataFrame, needed: int, decimals: int = 6)
             ids = b["id"].to_numpy()
             order = np.argsort(ids, kind="stable")
             score = np.round(_matrix(a["vector"]) @ _matrix(b["vector"]).T, decimals)[:, order]
-            best = np.argsort(-score, axis=1, kind="stable")[:, :needed]
+            best = _best(score, needed, decimals)
             rows = np.repeat(np.arange(len(a)), best.shape[1])
             at = order[best.ravel()]
             out.append(pa.table({"query_id": a["id"].take(rows), "id": b["id"].take(at), "note_id": b["note_id"].take(at), "score": np.take_along_axis(score, best, 1).ravel()}))
@@ -93,7 +112,7 @@ def pairs_over(rows: DataFrame, least: float, decimals: int = 6) -> DataFrame:
 
     def run(key, table):
         table = table.combine_chunks()
-        side, size = table["side"].to_numpy(), np.array([len(v) for v in table["vector"]])
+        side, size = table["side"].to_numpy(), _lengths(table["vector"])
         same = key[0].as_py() == key[1].as_py()
         a_ids, b_ids, scores = [], [], []
         for d in np.unique(size):

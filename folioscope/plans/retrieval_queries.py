@@ -62,7 +62,7 @@ _CHUNK_LEX = _LEX.format(key="id", text="text_content", table="held")
 def a16_corpus_stats(spark, sf_dir):
     index = S.text_index(V.chunks(spark, sf_dir))
     stats = index.chunks.agg(F.count(F.lit(1)).alias("docs"), F.round(F.avg("length"), 6).alias("mean"))
-    return index.postings.groupBy("token").agg(F.count(F.lit(1)).alias("chunks")).crossJoin(F.broadcast(stats))
+    return index.places.select("token", "id").distinct().groupBy("token").agg(F.count(F.lit(1)).alias("chunks")).crossJoin(F.broadcast(stats))
 
 
 @query("r1_bm25", _with("chunks", _INDEX) + " SELECT query_id, id, note_id, score, rank FROM bm25 WHERE rank <= 20")
