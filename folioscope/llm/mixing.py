@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import WORD, ranked, spread_hash, word_count
+from folioscope.llm.common import WORD, ranked, spread_hash, word_count, written
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -63,8 +63,9 @@ def offset(source: Column, seed: int) -> Column:
 
 def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 1) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies) of every row of ``docs``."""
-    d = docs.select("doc_id", "source", word_count(F.col("text")).alias("size")).withColumn("_h", spread_hash(F.col("doc_id")))
-    goal = targets(d.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
+    # texts are read once; one row a source has a size that the planner can see
+    d = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")).withColumn("_h", spread_hash(F.col("doc_id"))))
+    goal = written(targets(d.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most))
     salt = size_class(F.col("size")) * SPREAD + F.col("_h") % SPREAD
     d = ranked(d, ["source"], ["size", "_h", "doc_id"], salt, "_rank")
     d = d.join(goal.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
@@ -76,12 +77,18 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST,
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` as often as the plan takes them, with their columns."""
-    number = F.row_number().over(W.partitionBy("doc_id").orderBy(F.col("source").asc_nulls_last(), "_fs_size"))
-    rows = docs.withColumn("_fs_size", word_count(F.col("text"))).withColumn("_fs_row", number)
-    copies = plan(docs, **how).select(F.col("doc_id").alias("_fs_id"), F.col("source"), F.col("size").alias("_fs_size"), "copies")
-    copies = copies.withColumn("_fs_nth", F.row_number().over(W.partitionBy("_fs_id").orderBy(F.col("source").asc_nulls_last(), "_fs_size")))
-    copies = copies.where("copies > 0").select("_fs_id", "_fs_nth", F.col("copies").cast("int").alias("_fs_copies"))
-    joined = rows.join(copies, F.col("doc_id").eqNullSafe(F.col("_fs_id")) & (F.col("_fs_row") == F.col("_fs_nth")))
+    copies = written(plan(docs, **how).select(F.col("doc_id").alias("_fs_id"), F.col("source"), F.col("size").alias("_fs_size"), F.col("copies").cast("int").alias("_fs_copies")))
+    same = F.col("doc_id").eqNullSafe(F.col("_fs_id"))
+    if copies.groupBy("_fs_id").count().where("count > 1").limit(1).count():
+        # rows of one id are told apart by their order
+        order = [F.col("source").asc_nulls_last(), "_fs_size"]
+        rows = docs.withColumn("_fs_size", word_count(F.col("text"))).withColumn("_fs_row", F.row_number().over(W.partitionBy("doc_id").orderBy(*order)))
+        copies = copies.withColumn("_fs_nth", F.row_number().over(W.partitionBy("_fs_id").orderBy(*order)))
+        same = same & (F.col("_fs_row") == F.col("_fs_nth"))
+    else:
+        rows = docs
+    taken = copies.where("_fs_copies > 0").drop("source", "_fs_size")
+    joined = rows.join(taken.hint("shuffle_hash"), same)
     return joined.withColumn("_fs_copy", F.explode(F.sequence(F.lit(1), F.col("_fs_copies")))).select(*[joined[c] for c in docs.columns])
 
 
