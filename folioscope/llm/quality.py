@@ -162,8 +162,10 @@ def _distances(rows: DataFrame, shape: DataFrame) -> DataFrame:
 def _grouped(rows: DataFrame, passed: Column) -> DataFrame:
     """Adds the group ``g``: language and source, or what it is pooled into."""
     lang, source = F.coalesce(F.concat(F.lit("="), "lang"), F.lit("-")), F.coalesce(F.concat(F.lit("="), "source"), F.lit("-"))
-    n = rows.where(passed).groupBy("lang", "source").agg(F.count(F.lit(1)).alias("_n"))
-    per_lang = n.where(F.col("_n") < LEAST).groupBy("lang").agg(F.sum("_n").alias("_nl"))
+    # group tables are written so that the planner sees their size: a small one
+    # is broadcast, and the rows of a hot group stay where they are
+    n = written(rows.where(passed).groupBy("lang", "source").agg(F.count(F.lit(1)).alias("_n")))
+    per_lang = written(n.where(F.col("_n") < LEAST).groupBy("lang").agg(F.sum("_n").alias("_nl")))
     n = n.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), "_n")
     per_lang = per_lang.select(F.col("lang").alias("_lang2"), "_nl")
     out = rows.join(n, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
@@ -181,10 +183,10 @@ def judge(docs: DataFrame) -> DataFrame:
 
     # start: medians, and median absolute deviations as a diagonal shape
     long = fit.select("g", F.posexplode(F.array(*FEATURES)).alias("i", "x"))
-    middle = cell_quantile(long, ["g", "i"], F.col("x"), CELLS, 0.5, "m").drop("_all")
-    away = long.join(middle.withColumnsRenamed({"g": "_g", "i": "_i"}), (F.col("g") == F.col("_g")) & (F.col("i") == F.col("_i"))).select("g", "i", "m", F.abs(F.col("x") - F.col("m")).alias("x"))
+    middle = written(cell_quantile(long, ["g", "i"], F.col("x"), CELLS, 0.5, "m"))
+    away = long.join(middle.drop("_all").withColumnsRenamed({"g": "_g", "i": "_i"}), (F.col("g") == F.col("_g")) & (F.col("i") == F.col("_i"))).select("g", "i", "m", F.abs(F.col("x") - F.col("m")).alias("x"))
     spread = cell_quantile(away, ["g", "i"], F.col("x"), CELLS, 0.5, "s")
-    both = middle.join(spread, ["g", "i"]).groupBy("g").agg(
+    both = middle.drop("_all").join(spread, ["g", "i"]).groupBy("g").agg(
         F.max("_all").alias("n"), *(F.max(F.when(F.col("i") == i, F.col("m"))).alias(f"m{i}") for i in range(D)), *(F.max(F.when(F.col("i") == i, 1.4826 * F.col("s"))).alias(f"s{i}") for i in range(D))
     )
     start = both.withColumns({f"c{i}{j}": F.col(f"s{i}") * F.col(f"s{i}") if i == j else F.lit(0.0) for i in range(D) for j in range(i + 1)})
@@ -193,7 +195,7 @@ def judge(docs: DataFrame) -> DataFrame:
     near = F.log1p(F.col("d2"))
     for step in range(STEPS):
         d = _distances(fit, shape)
-        cut = cell_quantile(d, ["g"], near, CELLS, KEEP, "cut").drop("_all").withColumnRenamed("g", "_g")
+        cut = written(cell_quantile(d, ["g"], near, CELLS, KEEP, "cut").drop("_all").withColumnRenamed("g", "_g"))
         nearest = d.join(cut, F.col("g") == F.col("_g")).where(near < F.col("cut"))
         after = written(_moments(nearest, consistency(KEEP)))
         discard(shape)
