@@ -20,6 +20,7 @@ from folioscope.operators import answer, catalog, chunking, evaluate, freshness,
 from folioscope.sources import formats as extractors
 from folioscope.sources import vault as vaults
 from folioscope.sources.config import Settings
+from folioscope.streaming import debounce
 
 NOTES = "id long, path string, title string, category string, format string, content_hash string, file_hash string, size_bytes long, last_seen timestamp, last_tagged timestamp, text string"
 CHUNKS = "id long, note_id long, chunk_index int, text_content string, vector array<double>, page int, heading string, chunk_hash string"
@@ -57,10 +58,13 @@ class Engine:
 
     # -- building
 
-    def scan(self, vault: str, formats: Sequence[str] | None = None, now: Column | None = None, tag: bool = True) -> DataFrame:
-        """Bring the index up to date with a folder; returns how files fared."""
+    def scan(self, vault: str, formats: Sequence[str] | None = None, now: Column | None = None, tag: bool = True, only: DataFrame | None = None) -> DataFrame:
+        """Bring the index up to date with a folder, or with the paths ``only``
+        in it; returns how files fared."""
         s, now = self.settings, F.current_timestamp() if now is None else now
         files = vaults.scan(self.spark, vault, formats or s.formats, s.ignored_dirs, s.sidecar_dir).select(F.col("rel").alias("path"), "ext", "content")
+        if only is not None:
+            files = files.join(only.select("path").distinct(), "path", "left_semi")
         stored = self.notes
         hashed = files.withColumn("file_hash", F.sha2("content", 256))
         same = hashed.select("path", "file_hash").join(stored.select("path", F.col("file_hash")), ["path", "file_hash"], "left_semi")
@@ -97,6 +101,15 @@ class Engine:
         self.tables.replace("scan_report", out)
         return self.tables.current("scan_report")
 
+    def watch(self, events: DataFrame, vault: str, checkpoint: str, quiet: str = debounce.QUIET, late: str = "10 minutes"):
+        """Scan the files of a stream of events (path, kind, ts) once each is quiet."""
+        seen = debounce.watched(events, self.settings.formats, self.settings.ignored_dirs)
+
+        def handle(paths: DataFrame, _: int) -> None:
+            self.scan(vault, only=paths)
+
+        return debounce.process(debounce.debounced(seen, quiet, late), handle, checkpoint)
+
     def _rechunk(self, texts: DataFrame, sections: DataFrame) -> None:
         s = self.settings
         how = {"size": s.chunk_size, "overlap": s.chunk_overlap}

@@ -58,6 +58,17 @@ def test_life_of_an_index(spark, vault, tmp_path):
     assert all(len(e.tables.versions(t)) == 1 for t in e.maintain(1) if e.tables.versions(t))
 
 
+def test_watch_scans_quiet_files(spark, vault, tmp_path):
+    e = Engine(spark, str(tmp_path / "index"))
+    rows = [("backup.md", "modified", "2024-01-01 00:00:00"), ("sub/gothic.md", "created", "2024-01-01 00:00:10"), ("later.md", "modified", "2024-01-02 00:00:00")]
+    ev = spark.createDataFrame(rows, "path string, kind string, at string").select("path", "kind", F.col("at").cast("timestamp").alias("ts"))
+    ev.coalesce(1).write.parquet(str(tmp_path / "events"))
+    q = e.watch(spark.readStream.schema(ev.schema).parquet(str(tmp_path / "events")), str(vault), str(tmp_path / "ck"))
+    q.processAllAvailable()
+    q.stop()
+    assert {r.path for r in e.notes.collect()} == {"backup.md", "sub/gothic.md"}
+
+
 def test_mentions_and_categories(spark):
     notes = spark.createDataFrame([(1, "a/plan.md", "Backup plan"), (2, "b.md", "Gothic architecture"), (3, "c.md", "backup PLAN")], "id long, path string, title string")
     m = spark.createDataFrame([("a/plan.md",), ("backup plan",), ("gothic architectur",), ("zzz",)], "mention string")
