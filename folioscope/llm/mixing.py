@@ -8,7 +8,9 @@ sources ordered by cap per weight). Within a source every document has the same
 expected number of copies, target over size. Documents are ordered by size
 class, so that each stretch of the order has all kinds of sizes only once; the
 prefix sums of the expected copies plus one random offset a source are cut at
-the integers, and a document is emitted once for each integer crossed.
+the integers, and a document is emitted once for each integer crossed. Of
+``TRIES`` random offsets a source takes the one whose words come nearest to its
+target, which matters where a few long documents make up most of a source.
 
 Cases: a null text has size 0; a null source is a source of its own; a source
 whose documents are all empty gets target 0 and nothing is taken; equal and
@@ -29,6 +31,8 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 #: Cells of one size class of a source are at most this many, by hash.
 SPREAD = 64
+#: Random offsets that a source chooses from.
+TRIES = 32
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -55,9 +59,9 @@ def size_class(size: Column) -> Column:
     return bits * 32 + F.floor(size / F.pow(F.lit(2.0), F.greatest(bits - 5, F.lit(0))))
 
 
-def offset(source: Column, seed: int) -> Column:
-    """The random offset of a source, in [0, 1)."""
-    named = F.concat(F.lit(f"{seed}:"), F.coalesce(source, F.lit("")), F.when(source.isNull(), "null").otherwise(""))
+def offset(source: Column, seed: int, turn: int) -> Column:
+    """A random offset of a source, in [0, 1)."""
+    named = F.concat(F.lit(f"{seed}:{turn}:"), F.coalesce(source, F.lit("")), F.when(source.isNull(), "null").otherwise(""))
     return F.conv(F.substring(F.md5(named.cast("binary")), 1, 8), 16, 10).cast("long") / F.lit(2.0**32)
 
 
@@ -68,11 +72,20 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST,
     goal = written(targets(d.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most))
     salt = size_class(F.col("size")) * SPREAD + F.col("_h") % SPREAD
     d = ranked(d, ["source"], ["size", "_h", "doc_id"], salt, "_rank")
-    d = d.join(goal.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    u = offset(F.col("source"), seed)
-    copies = F.floor(each * F.col("_rank") + u) - F.floor(each * (F.col("_rank") - 1) + u)
-    return d.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
+    d = written(d.join(goal.withColumn("_each", each).withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))))
+
+    def copies(u: Column) -> Column:
+        return F.floor(F.col("_each") * F.col("_rank") + u) - F.floor(F.col("_each") * (F.col("_rank") - 1) + u)
+
+    # the offsets are constants of a source, tried in one pass
+    offsets = written(goal.select(F.col("source").alias("_of"), *(offset(F.col("source"), seed, k).alias(f"_u{k}") for k in range(TRIES))))
+    tried = d.join(offsets, F.col("source").eqNullSafe(F.col("_of")))
+    words = tried.groupBy("source", "target").agg(*(F.sum(copies(F.col(f"_u{k}")) * F.col("size")).alias(f"_t{k}") for k in range(TRIES)), *(F.first(f"_u{k}").alias(f"_u{k}") for k in range(TRIES)))
+    best = F.array_min(F.array(*(F.struct(F.abs(F.col(f"_t{k}") - F.col("target")).alias("off"), F.lit(k).alias("k"), F.col(f"_u{k}").alias("u")) for k in range(TRIES))))
+    chosen = written(words.select(F.col("source").alias("_of"), best["u"].alias("_u")))
+    out = d.join(chosen, F.col("source").eqNullSafe(F.col("_of")))
+    return out.select("doc_id", "source", "size", "source_size", "target", copies(F.col("_u")).alias("copies"))
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
@@ -116,11 +129,15 @@ r AS (
            h % 64, size, h, doc_id) AS n
   FROM d),
 e AS (
-  SELECT r.doc_id, r.size, t.source_size, t.target, r.n,
-         CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS each,
-         CAST('0x' || substr(md5('1:' || coalesce(r.source, '') || CASE WHEN r.source IS NULL THEN 'null' ELSE '' END), 1, 8) AS BIGINT) / 4294967296.0 AS u
-  FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       CAST(floor(each * n + u) - floor(each * (n - 1) + u) AS BIGINT) * size AS taken
-FROM e
+  SELECT r.doc_id, r.source, r.size, t.source_size, t.target, r.n, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS each
+  FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source),
+u AS (
+  SELECT source, k, CAST('0x' || substr(md5('1:' || k || ':' || coalesce(source, '') || CASE WHEN source IS NULL THEN 'null' ELSE '' END), 1, 8) AS BIGINT) / 4294967296.0 AS u
+  FROM t, range({TRIES}) k(k)),
+tried AS (
+  SELECT e.source, u.u, k, abs(sum(CAST(floor(each * n + u) - floor(each * (n - 1) + u) AS BIGINT) * size) - any_value(target)) AS off
+  FROM e JOIN u ON e.source IS NOT DISTINCT FROM u.source GROUP BY ALL),
+chosen AS (SELECT source, arg_min(u, (off, k)) AS u FROM tried GROUP BY 1)
+SELECT doc_id, size, source_size, target, CAST(floor(each * n + u) - floor(each * (n - 1) + u) AS BIGINT) * size AS taken
+FROM e JOIN chosen c ON e.source IS NOT DISTINCT FROM c.source
 """
