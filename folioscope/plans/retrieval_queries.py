@@ -49,9 +49,14 @@ def _with(views: str, *parts: str) -> str:
     return "WITH " + ",\n".join([V.SQL[v] for v in views.split()] + list(parts))
 
 
+def held(rows):
+    """Rows that several steps read, in the checkpoint folder if there is one."""
+    return rows.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else rows
+
+
 def _lexed(spark, sf_dir):
     """Chunks with their offline vectors."""
-    return P.embedded(V.chunks(spark, sf_dir).select("id", "note_id", "chunk_index", "text_content"), "text_content")
+    return held(P.embedded(V.chunks(spark, sf_dir).select("id", "note_id", "chunk_index", "text_content"), "text_content"))
 
 
 _SOME = "held AS (SELECT id, note_id, text_content FROM chunks)"
@@ -115,7 +120,7 @@ def r8_filtered_knn(spark, sf_dir):
 
 @query("r27_embed", _with("chunks", _SOME, _CHUNK_LEX) + " SELECT id, count(*) AS buckets, round(sum(w * (bucket + 1)), 6) AS moment FROM lex GROUP BY 1")
 def r27_embed(spark, sf_dir):
-    v = _lexed(spark, sf_dir)
+    v = P.embedded(V.chunks(spark, sf_dir).select("id", "text_content"), "text_content")
     moment = F.aggregate(F.transform("vector", lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x)
     return v.select("id", F.size(F.filter("vector", lambda x: x != 0)).cast("long").alias("buckets"), F.round(moment, 6).alias("moment"))
 
@@ -219,7 +224,7 @@ _POOLED = """
 
 
 def _pooled(spark, sf_dir):
-    return X.mean_pool(_lexed(spark, sf_dir), ["note_id"]).select(F.col("note_id").alias("id"), "vector")
+    return held(X.mean_pool(_lexed(spark, sf_dir), ["note_id"]).select(F.col("note_id").alias("id"), "vector"))
 
 
 @query("j15_note_pairs", _with("chunks", _SOME, _CHUNK_LEX, _POOLED) + " SELECT a_id, b_id, score FROM pairs WHERE a_id < b_id AND score >= 0.85")
