@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +12,7 @@ import pyarrow as pa
 ODD = 0x9E3779B97F4A7C15
 U = np.uint64
 #: Bytes that numpy works on at once; texts larger than that are taken alone.
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -39,3 +41,17 @@ def slices(offsets: np.ndarray, most: int = SLICE) -> Iterator[tuple[int, int]]:
         b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + most, side="right")) - 1)
         yield a, b
         a = b
+
+
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller ones, so that what is made of one stays small.
+
+    At the end of a task, freed memory goes back to the system: workers live on
+    between tasks.
+    """
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

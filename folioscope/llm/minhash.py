@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folioscope.llm.bytesets import ODD, U, mix, slices, text_bytes
+from folioscope.llm.bytesets import ODD, U, mix, parts, slices, text_bytes
 from folioscope.llm.common import discard, written
 
 BANDS, ROWS = 20, 4
@@ -159,7 +159,7 @@ def close_pairs(left: list[bytes], right: list[bytes], n_left: np.ndarray, n_rig
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n_shingles", "fp1", "fp2", "bands", "parity"]
-    for b in batches:
+    for b in parts(batches):
         n, f1, f2, out, parities = [], [], [], [], []
         for items in shingle_sets(b.column("text")):
             n.append(len(items))
@@ -177,13 +177,13 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in parts(batches):
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x.tobytes() for x in shingle_sets(b.column("text"))], pa.large_binary())], ["doc_id", "items"])
 
 
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             good = []
             for x, y in zip(b.column("x"), b.column("y"), strict=True):
                 p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)

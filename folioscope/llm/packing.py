@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import bisect
 import functools
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -30,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.llm.bytesets import parts
 from folioscope.llm.common import ranked, spread_hash, written
 
 LIMIT, END = 1024, 2
@@ -57,14 +59,21 @@ class Tokenizer:
 
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer as Library
 
-        self.library = Library.from_file(public_tokenizers.path(f"{vocabulary}.json"))
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.path = public_tokenizers.path(f"{vocabulary}.json")
+        with open(self.path, encoding="utf-8") as f:
+            self.special = [t["content"] for t in json.load(f)["added_tokens"]]
         with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    @functools.cached_property
+    def library(self):
+        """Loaded for the first text that needs it."""
+        from tokenizers import Tokenizer as Library
+
+        return Library.from_file(self.path)
+
     def ids(self, text: str) -> list[int]:
         if self.OTHER.search(text) or any(x in text for x in self.special):
             return self.library.encode(text, add_special_tokens=False).ids
@@ -87,7 +96,7 @@ def cut(n: int, limit: int) -> list[tuple[int, int]]:
 def _pieces(limit: int, end: int, vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(vocabulary)
-        for b in batches:
+        for b in parts(batches):
             owner, piece, start, length, crc = [], [], [], [], []
             for i, text in enumerate(b.column("text")):
                 ids = np.array([*t.ids(text.as_py() or ""), end], "<u4")

@@ -41,16 +41,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.bytesets import ODD, U, mix, text_bytes
+from folioscope.llm.bytesets import ODD, U, mix, parts, text_bytes
 
 SPAN, GRAM = 50, 24
 #: Bytes of context on each side of an anchor, and places of a string around it.
 SIDE = SPAN - GRAM
 PLACES = SIDE + 1
 #: Anchors of a batch that are held before they are sent.
-HELD = 1 << 20
+HELD = 1 << 18
 #: Bytes of a text that are hashed at once.
-PIECE = 1 << 19
+PIECE = 1 << 17
 LAST = (1 << 63) - 1
 NONE = 0xFFFFFFFF
 
@@ -207,10 +207,10 @@ def _send_anchors(buckets: int):
         yield _row(which, None, sent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        hashes, docs, places, n = [], [], [], 0
+        for batch in parts(batches):
             offsets, raw = text_bytes(batch.column("text"))
             ids = batch.column("doc_id").to_numpy()
-            hashes, docs, places, n = [], [], [], 0
             for k in np.flatnonzero(np.diff(offsets) >= SPAN):
                 h, p = anchors(raw[offsets[k] : offsets[k + 1]])
                 hashes.append(h)
@@ -220,7 +220,7 @@ def _send_anchors(buckets: int):
                 if n >= HELD:
                     yield from flush(hashes, docs, places)
                     hashes, docs, places, n = [], [], [], 0
-            yield from flush(hashes, docs, places)
+        yield from flush(hashes, docs, places)
 
     return run
 
@@ -312,10 +312,10 @@ def _send_contexts(buckets: int):
         yield _row(bucket[at], None, [_pack_contexts(x) for x in np.split(c, at[1:])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        held, n = [], 0
+        for batch in parts(batches):
             offsets, raw = text_bytes(batch.column("text"))
             ids, names = batch.column("_key").to_numpy(), batch.column("text_hash").to_numpy()
-            held, n = [], 0
             for k, replies in enumerate(batch.column("replies").to_pylist()):
                 text = raw[offsets[k] : offsets[k + 1]]
                 places = np.unique(np.frombuffer(replies, "<u4")).astype(np.int64)
@@ -324,10 +324,10 @@ def _send_contexts(buckets: int):
                 if len(places):
                     held.append(contexts(text, places, ids[k], names[k] & NONE))
                     n += len(places)
-                if n >= HELD // 4:
+                if n >= HELD // 2:
                     yield from flush(held)
                     held, n = [], 0
-            yield from flush(held)
+        yield from flush(held)
 
     return run
 
@@ -426,7 +426,7 @@ def spans(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _cut(texts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             offsets, raw = text_bytes(batch.column("text"))
             names = batch.column("text_hash").to_numpy()
             size, removed, number, digest, kept = [], [], [], [], []
