@@ -1,8 +1,8 @@
 """Near-duplicate documents by one-permutation MinHash.
 
-The set of a document is its distinct 2-word shingles (ASCII lower case). Equal
-sets collapse to the smallest id by a fingerprint. Of each distinct set one
-permutation's hashes are cut into ``BINS`` bins of which the minima are the
+The set of a document is its distinct shingles of ``width`` words, 2 unless the
+caller says otherwise (ASCII lower case). Equal sets collapse to the smallest id
+by a fingerprint. Of each distinct set one permutation's hashes are cut into ``BINS`` bins of which the minima are the
 signature; an empty bin takes the value of another that a hash of the bin picks
 (optimal densification), and bins are grouped into bands. Sets that agree in a
 band share a bucket; a bucket gives star-shaped candidate edges, from its
@@ -21,7 +21,7 @@ With ``ROWS`` rows in each of ``BANDS`` bands a pair with similarity 0.8 misses
 all buckets with probability below 3e-5.
 
 Cases: a null text, or one without words, has an empty set and is linked with
-nothing; one word is a set of that word; repeated rows of an id are one
+nothing; fewer words than a shingle has are a set of one; repeated rows of an id are one
 document with several rows, each returned; ids must not be null for linking (a
 row with null id is returned alone); an empty table gives an empty result;
 other columns are not read.
@@ -45,6 +45,8 @@ from folioscope.llm.common import discard, written
 BANDS, ROWS = 20, 4
 BINS = BANDS * ROWS
 PERCENT = 80
+#: Words of a shingle.
+WIDTH = 2
 #: Members of a bucket in one side of a tile.
 TILE = 512
 
@@ -89,16 +91,25 @@ def word_hashes(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     return h, np.searchsorted(at, bounds)
 
 
-def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
+def _shingles(h: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each ``width`` words in a row."""
+    n = len(h) - width + 1
+    out = h[: max(n, 0)]
+    for k in range(1, width):
+        out = mix(out * U(ODD) + mix(h[k : k + len(out)]))
+    return out
+
+
+def shingle_sets(column: pa.Array, width: int = WIDTH) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text of a column."""
     offsets, raw = text_bytes(column)
     for a, b in slices(offsets):
         bounds = offsets[a : b + 1] - offsets[a]
         h, words = word_hashes(raw[offsets[a] : offsets[b]], bounds)
-        pair = mix(h[:-1] * U(ODD) + mix(h[1:])) if len(h) > 1 else h[:0]
+        every = _shingles(h, width)
         for k in range(b - a):
             s, e = words[k], words[k + 1]
-            yield np.unique(pair[s : e - 1]) if e - s > 1 else h[s:e]
+            yield np.unique(every[s : e - width + 1]) if e - s >= width else _shingles(h[s:e], max(1, e - s))
 
 
 def signature(items: np.ndarray) -> np.ndarray:
@@ -157,28 +168,35 @@ def close_pairs(left: list[bytes], right: list[bytes], n_left: np.ndarray, n_rig
     return tuple(np.concatenate(out, 1)) if out else (np.zeros(0, np.int64),) * 2
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketch(width: int):
     names = ["doc_id", "n_shingles", "fp1", "fp2", "bands", "parity"]
-    for b in parts(batches):
-        n, f1, f2, out, parities = [], [], [], [], []
-        for items in shingle_sets(b.column("text")):
-            n.append(len(items))
-            f1.append(np.bitwise_xor.reduce(items) if len(items) else U(0))
-            f2.append(mix(items + U(3)).sum(dtype=np.uint64))
-            if len(items):
-                sig = signature(items)
-                out.append(bands(sig).view(np.int64))
-                parities.append(parity_sketch(items))
-            else:
-                out.append(None)
-                parities.append(None)
-        as_long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), as_long(f1), as_long(f2), pa.array(out, pa.list_(pa.int64())), pa.array(parities, pa.binary())], names)
-
-
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in parts(batches):
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x.tobytes() for x in shingle_sets(b.column("text"))], pa.large_binary())], ["doc_id", "items"])
+    as_long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts(batches):
+            n, f1, f2, out, parities = [], [], [], [], []
+            for items in shingle_sets(b.column("text"), width):
+                n.append(len(items))
+                f1.append(np.bitwise_xor.reduce(items) if len(items) else U(0))
+                f2.append(mix(items + U(3)).sum(dtype=np.uint64))
+                if len(items):
+                    sig = signature(items)
+                    out.append(bands(sig).view(np.int64))
+                    parities.append(parity_sketch(items))
+                else:
+                    out.append(None)
+                    parities.append(None)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), as_long(f1), as_long(f2), pa.array(out, pa.list_(pa.int64())), pa.array(parities, pa.binary())], names)
+
+    return run
+
+
+def _sets(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts(batches):
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x.tobytes() for x in shingle_sets(b.column("text"), width)], pa.large_binary())], ["doc_id", "items"])
+
+    return run
 
 
 def _confirm(percent: int):
@@ -267,9 +285,9 @@ def residual_pairs(mixed: DataFrame, sketches: DataFrame, percent: int) -> DataF
     return tiles.select("tile", "i", "j", "side", "doc_id", "component", "n_shingles", "parity").groupBy("tile", "i", "j").applyInArrow(_tiles(percent), "src long, dst long").distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs``."""
-    sketch = written(docs.select("doc_id", "text").mapInArrow(_sketch, "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>, parity binary"))
+    sketch = written(docs.select("doc_id", "text").mapInArrow(_sketch(width), "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>, parity binary"))
     # a link of two rows of one id says nothing; equal sets collapse to their smallest id
     full = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL")
     equal = ["n_shingles", "fp1", "fp2"]
@@ -283,7 +301,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # sets are made only of the texts that some candidate edge names; those ids
     # grow with the corpus, so they are exchanged at every size
     named = stars.select(F.col("src").alias("doc_id")).union(stars.select(F.col("dst").alias("doc_id"))).distinct()
-    sets = written(docs.select("doc_id", "text").join(named.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, items binary"))
+    sets = written(docs.select("doc_id", "text").join(named.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, items binary"))
     links = written(confirmed(stars, sets, percent))
     discard(stars)
     labels = components(links)
@@ -301,10 +319,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def representatives(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def representatives(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """One document of each group of near-duplicates, with all columns: that of
     smallest id, and of repeated rows of an id with equal text one."""
-    kept = written(near_duplicates(docs, percent).where("kept").groupBy(F.col("doc_id").alias("_fs_id")).agg(F.count(F.lit(1)).alias("_fs_n")))
+    kept = written(near_duplicates(docs, percent, width).where("kept").groupBy(F.col("doc_id").alias("_fs_id")).agg(F.count(F.lit(1)).alias("_fs_n")))
     out = docs.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_fs_id")), "left_semi")
     if kept.where("_fs_n > 1 AND _fs_id IS NOT NULL").limit(1).count():
         one = out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"])

@@ -118,3 +118,26 @@ def test_signatures_agree_as_often_as_sets_do():
         a, b = np.sort(items[:36]), np.sort(items[4:])
         same.append((M.signature(a) == M.signature(b)).mean())
     assert abs(np.mean(same) - 0.8) < 0.03
+
+
+def wide(text, width):
+    w = (text or "").encode().lower().split()
+    return frozenset(zip(*(w[k:] for k in range(width)), strict=False)) if len(w) >= width else frozenset([tuple(w)] if w else [])
+
+
+def test_sets_of_wider_shingles():
+    texts = [None, "", " \n", "a", "a b", "b a", "a b c d", "a b c d e", "A b c\td e", "a b c d e f", "x a b c d e", "e d c b a", "a b c d e a b c d e"]
+    for width in (1, 2, 3, 5):
+        got = list(M.shingle_sets(pa.array(texts, pa.string()), width))
+        for a, x in zip(texts, got, strict=True):
+            assert len(x) == len(wide(a, width))
+            for b, y in zip(texts, got, strict=True):
+                assert len(np.intersect1d(x, y)) == len(wide(a, width) & wide(b, width)), (width, a, b)
+
+
+def test_components_of_wider_shingles(spark, monkeypatch):
+    texts = rows(1)
+    monkeypatch.setattr("tests.llm.test_minhash.shingles", lambda text: wide(text, 5))
+    want = brute(texts)
+    d = spark.createDataFrame([(i, t, None, None, None) for i, t in texts], COLUMNS)
+    assert {r.doc_id: r.component_id for r in M.near_duplicates(d, width=5).collect()} == want

@@ -73,3 +73,10 @@ def test_extra_columns_and_empty_table(spark, sf_dir):
 def test_registered():
     names = set(queries.queries())
     assert {n.split("_")[0] for n in names} == {f"op{k}" for k in range(1, 11)}
+
+
+def test_near_duplicate_stage_takes_five_words(steps, monkeypatch):
+    before, after, _ = steps[1]
+    monkeypatch.setattr(test_minhash, "shingles", lambda text: test_minhash.wide(text, 5))
+    parts = test_minhash.brute([(r.doc_id, r.text) for r in before])
+    assert Counter(r.doc_id for r in after) == Counter({i: 1 for i, c in parts.items() if i == c})
