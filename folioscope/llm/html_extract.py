@@ -9,9 +9,12 @@ Otherwise the text is told from boilerplate by a suffix array of its host: the
 token streams of all pages of a host, outside of marked content, are
 concatenated, with a token between blocks. Suffixes are dealt to buckets by
 their first ``RUN`` tokens, so that a host of any size spreads over tasks; each
-bucket sorts its part of the array, and where neighbours from distinct pages
-agree on ``RUN`` tokens, these tokens are covered. Covered runs are removed and
-the unique runs of a block are kept.
+bucket sorts its part of the array and counts the pages that agree on ``RUN``
+tokens. Where these are the share ``SHARE`` of the host's pages, and two at
+least, the tokens are covered. Pages of a host with equal content are one page
+in this, so a text that is published again under another address is not held
+against itself. Covered runs are removed and the unique runs of a block are
+kept.
 
 Marked content is not held against the array: texts that a host publishes twice
 are repeated across its pages without being boilerplate.
@@ -34,9 +37,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.llm.common import written
 from folioscope.llm.suffix_dedup import squeeze, unsqueeze
 
 RUN = 6
+#: Share of a host's distinct pages that repeat what is boilerplate.
+SHARE = 0.1
 #: Elements whose content is never main text.
 OUT = frozenset("nav header footer aside form button select textarea label option menu dialog noscript template svg canvas iframe object audio video map head".split())
 RAW = ("script", "style", "title", "noscript", "iframe", "textarea", "template", "svg")
@@ -168,45 +174,71 @@ def _host(url: str | None) -> str:
     return re.sub(r"^[a-z][a-z0-9+.-]*://", "", (url or "").lower()).split("/")[0]
 
 
-def _suffixes(buckets: int):
+def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each page its host, a hash of its content, whether it asks the array, and its stream."""
+    for b in batches:
+        hosts, contents, asks, streams = [], [], [], []
+        for url, page in zip(b.column("url").to_pylist(), b.column("html"), strict=True):
+            found = blocks(page.as_py())
+            kept = marked(found)
+            host = xxhash.xxh3_64_intdigest(_host(url))
+            hosts.append(host)
+            contents.append(xxhash.xxh3_64_intdigest("\n".join([t for t, p in found if p == "body"] if kept is None else kept), seed=host))
+            asks.append(kept is None)
+            streams.append(squeeze(_stream(found)))
+        as_long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+        yield pa.RecordBatch.from_arrays([b.column("_owner"), as_long(hosts), as_long(contents), pa.array(asks, pa.bool_()), pa.array(streams, pa.binary())], ["_owner", "_host", "_content", "asks", "stream"])
+
+
+def _dealt(buckets: int, h: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    bucket = ((h >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    at = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0]))
+    if len(h):
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[order[at]]), pa.array([squeeze(h[x], *(c[x] for c in columns)) for x in np.split(order, at[1:])], pa.binary())], ["bucket", "sent"])
+
+
+def _hashed(b: pa.RecordBatch) -> list[np.ndarray]:
+    hosts = b.column("_host").to_numpy().view(np.uint64)
+    return [_windows(unsqueeze(x, np.uint64)[0]) ^ host for x, host in zip(b.column("stream").to_pylist(), hosts, strict=True)]
+
+
+def _counted(buckets: int):
+    """The suffixes of distinct pages, and how many pages of the batch have each."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hashes, keys, places, asks = [], [], [], []
-            for key, url, page in zip(b.column("_key").to_numpy(), b.column("url").to_pylist(), b.column("html"), strict=True):
-                found = blocks(page.as_py())
-                h = _windows(_stream(found)) ^ np.uint64(xxhash.xxh3_64_intdigest(_host(url)))
-                hashes.append(h)
-                keys.append(np.full(len(h), key, np.int64))
-                places.append(np.arange(len(h), dtype="<u4"))
-                asks.append(np.full(len(h), marked(found) is None, np.uint8))
-            h, k, p, a = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (hashes, keys, places, asks))
-            if not len(h):
-                continue
-            # a suffix that several pages of the batch share is sent for two of
-            # them and those that ask; the rest could not add anything
-            order = np.lexsort((k, h))
-            nth = np.arange(len(h)) - np.repeat(s := np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]])), np.diff(np.append(s, len(h))))
-            ends = np.concatenate([h[order][1:] != h[order][:-1], [True]])
-            order = order[(nth == 0) | ends | (a[order] == 1)]
-            h, k, p, a = h[order], k[order], p[order], a[order].astype(np.uint8)
-            bucket = ((h >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            at = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0]))
-            parts = np.split(order, at[1:])
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[order[at]]), pa.array([squeeze(h[x], k[x], p[x].astype("<u4"), a[x]) for x in parts], pa.binary())], ["bucket", "sent"])
+            h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *map(np.unique, _hashed(b))]), return_counts=True)
+            none = np.zeros(len(h), np.int64)
+            yield from _dealt(buckets, h, none, none.astype("<u4"), none, n.astype(np.int64))
+
+    return run
+
+
+def _asked(buckets: int):
+    """The suffixes of pages that ask, where they are, and the pages it takes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = _hashed(b)
+            size = [len(h) for h in found]
+            if sum(size):
+                h = np.concatenate(found)
+                owner, need = np.repeat(b.column("_owner").to_numpy(), size), np.repeat(b.column("need").to_numpy(), size)
+                yield from _dealt(buckets, h, owner, np.concatenate([np.arange(n, dtype="<u4") for n in size]), need, np.zeros(len(h), np.int64))
 
     return run
 
 
 def _sorted_part(table):
-    """One bucket of the array: places of pages that ask which other pages share."""
-    parts = [unsqueeze(x, np.uint64, np.int64, "<u4", "u1") for x in table["sent"].to_pylist()]
-    h, k, p, a = (np.concatenate([x[i] for x in parts]) for i in range(4))
-    order = np.lexsort((k, h))
-    h, k = h[order], k[order]
-    at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    shared = np.repeat(np.minimum.reduceat(k, at) != np.maximum.reduceat(k, at), np.diff(np.append(at, len(h)))) & (a[order] == 1)
-    return pa.table({"_owner": pa.array(k[shared], pa.int64()), "place": pa.array(p[order][shared].astype(np.int64))})
+    """One bucket of the array: places of pages that ask which enough pages have."""
+    parts = [unsqueeze(x, np.uint64, np.int64, "<u4", np.int64, np.int64) for x in table["sent"].to_pylist()]
+    h, k, p, need, n = (np.concatenate([x[i] for x in parts]) for i in range(5))
+    order = np.argsort(h, kind="stable")
+    at = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
+    pages = np.repeat(np.add.reduceat(n[order], at), np.diff(np.append(at, len(h))))
+    covered = order[(need[order] > 0) & (pages >= need[order])]
+    return pa.table({"_owner": pa.array(k[covered], pa.int64()), "place": pa.array(p[covered].astype(np.int64))})
 
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
@@ -268,8 +300,15 @@ def extract(pages: DataFrame) -> DataFrame:
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     marks = F.col("html").rlike(r"(?i)<(article|main)[\s/>]")
     simple = rows.where(marks).mapInArrow(_marked_text, SCHEMA)
-    keyed = rows.withColumn("_key", F.xxhash64("page_id", "url", "html"))
-    suffixes = keyed.select("_key", "url", "html").mapInArrow(_suffixes(buckets), "bucket int, sent binary")
+    keyed = rows.withColumn("_owner", F.xxhash64("url", "html"))
+    streams = written(keyed.select("_owner", "url", "html").mapInArrow(_streams, "_owner long, _host long, _content long, asks boolean, stream binary"))
+    distinct = streams.groupBy("_host", "_content").agg(F.min("stream").alias("stream"))
+    # written so that the planner sees its size
+    hosts = written(streams.groupBy("_host", "_content").agg(F.lit(1).alias("_one")).groupBy("_host").agg(F.count(F.lit(1)).alias("_n")))
+    need = F.greatest(F.lit(2), F.ceil(F.col("_n") * SHARE)).cast("long")
+    asking = streams.where("asks").dropDuplicates(["_owner"]).join(hosts, "_host").select("_owner", "_host", "stream", need.alias("need"))
+    sent = "bucket int, sent binary"
+    suffixes = distinct.select("_host", "stream").mapInArrow(_counted(buckets), sent).union(asking.mapInArrow(_asked(buckets), sent))
     covered = suffixes.groupBy("bucket").applyInArrow(_sorted_part, "_owner long, place long").groupBy("_owner").agg(F.collect_list("place").alias("places"))
-    rest = keyed.where(~marks).join(covered, F.col("_key") == F.col("_owner"), "left").select("page_id", "url", "html", "places")
+    rest = keyed.where(~marks).join(covered, "_owner", "left").select("page_id", "url", "html", "places")
     return simple.union(rest.mapInArrow(_unmarked_text, SCHEMA))

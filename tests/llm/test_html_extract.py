@@ -75,3 +75,18 @@ def test_synthetic_pages(spark, sf_dir):
     got = H.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     assert got.where("n_chars > 0").count() == got.count() == 50
     assert got.where("text LIKE '%track(%' OR text LIKE '%©%'").count() == 0
+
+
+def test_copies_and_shared_phrases_stay(spark):
+    quote = "to be or not to be that is the question"
+    html = lambda k, more="": f"<body><p>Home Products About us Contact Jobs Press</p><p>Page {k} says {' '.join(f'w{k}x{i}' for i in range(20))} {more}</p></body>"
+    rows = [(k, f"http://h.example/{k}", html(k, quote if k in (3, 7) else "")) for k in range(40)]
+    # copies under other addresses, one of them with another menu, and a host that has nothing but copies
+    rows += [(100, "http://h.example/again", html(5)), (101, "http://h.example/more", html(5).replace("<body>", "<body><nav>Other</nav>")), (5, "http://h.example/5", html(5))]
+    rows += [(200, "http://c.example/a", f"<p>{quote}</p>"), (201, "http://c.example/b", f"<p>{quote}</p>")]
+    got = {(r.page_id, r.url): r.text for r in H.extract(pages(spark, rows)).collect()}
+    own = lambda k: f"Page {k} says {' '.join(f'w{k}x{i}' for i in range(20))}"
+    for k in range(40):
+        assert got[k, f"http://h.example/{k}"] == (f"{own(k)} {quote}" if k in (3, 7) else own(k))
+    assert got[100, "http://h.example/again"] == got[101, "http://h.example/more"] == own(5)
+    assert got[200, "http://c.example/a"] == got[201, "http://c.example/b"] == quote
