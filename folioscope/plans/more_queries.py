@@ -15,7 +15,7 @@ from folioscope.operators import search as S
 from folioscope.operators import store
 from folioscope.plans import views as V
 from folioscope.plans.registry import query
-from folioscope.plans.retrieval_queries import _CHUNK_LEX, _INDEX, _POOLED, _SOME, j15_note_pairs, r1_bm25
+from folioscope.plans.retrieval_queries import _CHUNK_LEX, _INDEX, _POOLED, _SOME, for_notes, j15_note_pairs, r1_bm25
 from folioscope.plans.store_queries import _PLAN, _candidates, _stored
 from folioscope.plans.views import MODEL, sql
 from folioscope.sources import vault
@@ -147,9 +147,10 @@ def f37_failures(spark, sf_dir):
     return V.table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 20).alias("question"), (F.slice(ranked, 1, 1) == F.array("text")).alias("first"))
 
 
+@for_notes
 @query("x3_ranked_union", V.sql("chunks", "").rstrip() + ", " + _INDEX.strip() + " SELECT query_id, count(*) AS n FROM (SELECT query_id, id FROM bm25 WHERE rank <= 10 UNION SELECT query_id, note_id * 1000 FROM bm25 WHERE rank <= 10) GROUP BY 1")
-def x3_ranked_union(spark, sf_dir):
-    r = r1_bm25(spark, sf_dir).where("rank <= 10")
+def x3_ranked_union(spark, sf_dir, asked=None):
+    r = r1_bm25(spark, sf_dir, asked).where("rank <= 10")
     return r.select("query_id", "id").union(r.select("query_id", F.col("note_id") * 1000)).distinct().groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -222,9 +223,10 @@ def r39_show(spark, sf_dir):
     return c.select("id", "text_a", "text_b", T.paragraph_around(body, F.lit(8), F.lit(8) + F.length("text_a")).alias("paragraph"))
 
 
+@for_notes
 @query("r41_result_metadata", V.sql("chunks", "").rstrip() + ", " + _INDEX.strip() + " SELECT query_id, b.id, 'doc-' || b.note_id AS title, CAST(b.id % 1000 + 1 AS INT) AS page FROM bm25 b WHERE rank <= 10")
-def r41_result_metadata(spark, sf_dir):
-    r = r1_bm25(spark, sf_dir).where("rank <= 10").select("query_id", "id", "note_id")
+def r41_result_metadata(spark, sf_dir, asked=None):
+    r = r1_bm25(spark, sf_dir, asked).where("rank <= 10").select("query_id", "id", "note_id")
     c = V.chunks(spark, sf_dir).select("id", (F.col("chunk_index") + 1).alias("page"))
     return r.join(c, "id").join(V.notes(spark, sf_dir).select(F.col("id").alias("note_id"), "title"), "note_id").select("query_id", "id", "title", "page")
 

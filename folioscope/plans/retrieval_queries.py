@@ -20,6 +20,20 @@ def questions(spark):
     return spark.createDataFrame(rows, "query_id long, question string")
 
 
+def note_questions(spark, sf_dir):
+    """The text of every note whose id is divisible by 50."""
+    return V.notes(spark, sf_dir).where("id % 50 = 0 AND text IS NOT NULL").select(F.col("id").alias("query_id"), F.col("text").alias("question"))
+
+
+def for_notes(f):
+    """Registers ``f``, which takes questions, a second time over those of notes.
+
+    SQL is too slow for these; they are tested against brute force.
+    """
+    query(f"{f.__name__}_notes")(lambda spark, sf_dir: f(spark, sf_dir, held(note_questions(spark, sf_dir))))
+    return f
+
+
 _TOKENS = "list_filter(regexp_split_to_array(lower(strip_accents({})), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
 _INDEX = f"""
   words AS (SELECT id, note_id, {_TOKENS.format("text_content")} AS w FROM chunks),
@@ -70,17 +84,19 @@ def a16_corpus_stats(spark, sf_dir):
     return index.places.select("token", "id").distinct().groupBy("token").agg(F.count(F.lit(1)).alias("chunks")).crossJoin(F.broadcast(stats))
 
 
+@for_notes
 @query("r1_bm25", _with("chunks", _INDEX) + " SELECT query_id, id, note_id, score, rank FROM bm25 WHERE rank <= 20")
-def r1_bm25(spark, sf_dir):
-    return S.bm25(S.text_index(V.chunks(spark, sf_dir)), questions(spark), 20)
+def r1_bm25(spark, sf_dir, asked=None):
+    return S.bm25(S.text_index(V.chunks(spark, sf_dir)), asked or questions(spark), 20)
 
 
+@for_notes
 @query("r1_bm25_filtered", _with("chunks notes", _INDEX) + """
 SELECT query_id, id, note_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score, id) AS rank FROM bm25
 WHERE note_id IN (SELECT id FROM notes WHERE category = 'journal' OR category LIKE 'journal/%') QUALIFY rank <= 10""".replace("FROM bm25", "FROM (SELECT query_id, id, note_id, score FROM bm25)"))
-def r1_bm25_filtered(spark, sf_dir):
+def r1_bm25_filtered(spark, sf_dir, asked=None):
     allowed = C.note_filter(V.notes(spark, sf_dir), V.note_tags(spark, sf_dir), category="journal")
-    return S.bm25(S.text_index(V.chunks(spark, sf_dir)), questions(spark), 10, allowed)
+    return S.bm25(S.text_index(V.chunks(spark, sf_dir)), asked or questions(spark), 10, allowed)
 
 
 _RAW_DOT = """
@@ -143,51 +159,56 @@ _FUSED = """
 _HYBRID = _with("chunks", _SOME, _CHUNK_LEX, _INDEX.replace("FROM chunks)", "FROM held)", 1), _QLEX, _FUSED)
 
 
-def _asked(spark):
-    q = questions(spark)
+def _asked(spark, asked=None):
+    q = asked or questions(spark)
     return q.join(P.embedded(q, "question"), "query_id")
 
 
-def _hybrid(spark, sf_dir, **how):
+def _hybrid(spark, sf_dir, asked=None, **how):
     c = V.chunks(spark, sf_dir)
-    return S.hybrid(_asked(spark), S.text_index(c), _lexed(spark, sf_dir), **how)
+    return S.hybrid(_asked(spark, asked), S.text_index(c), _lexed(spark, sf_dir), **how)
 
 
+@for_notes
 @query("r6_hybrid", _HYBRID + " SELECT query_id, id, note_id, score, dense_rank, bm25_rank, rank FROM final WHERE rank <= 5")
-def r6_hybrid(spark, sf_dir):
-    return _hybrid(spark, sf_dir)
+def r6_hybrid(spark, sf_dir, asked=None):
+    return _hybrid(spark, sf_dir, asked)
 
 
+@for_notes
 @query("w3_fusion", _HYBRID + " SELECT query_id, id, score, dense_rank, bm25_rank FROM fused")
-def w3_fusion(spark, sf_dir):
+def w3_fusion(spark, sf_dir, asked=None):
     c = V.chunks(spark, sf_dir)
-    near = S.dense(_asked(spark), _lexed(spark, sf_dir), 20, notes=False)
-    return S.fuse(near, S.bm25(S.text_index(c), questions(spark), 20)).select("query_id", "id", "score", "dense_rank", "bm25_rank")
+    near = S.dense(_asked(spark, asked), _lexed(spark, sf_dir), 20, notes=False)
+    return S.fuse(near, S.bm25(S.text_index(c), asked or questions(spark), 20)).select("query_id", "id", "score", "dense_rank", "bm25_rank")
 
 
+@for_notes
 @query("r7_rerank", _HYBRID + """
 SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY r DESC, rank) AS rank FROM (SELECT query_id, id, rank, length(text_content) % 7 AS r FROM final JOIN held USING (id) WHERE rank <= 20)
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY r DESC, rank) <= 5""")
-def r7_rerank(spark, sf_dir):
+def r7_rerank(spark, sf_dir, asked=None):
     text = V.chunks(spark, sf_dir).select("id", (F.length("text_content") % 7).alias("rerank_score"))
-    return _hybrid(spark, sf_dir, rerank=lambda pool: pool.join(text, "id")).select("query_id", "id", "rank")
+    return _hybrid(spark, sf_dir, asked, rerank=lambda pool: pool.join(text, "id")).select("query_id", "id", "rank")
 
 
+@for_notes
 @query("w4_ranked_notes", _HYBRID + " SELECT query_id, note_id, row_number() OVER (PARTITION BY query_id ORDER BY r) AS rank FROM (SELECT query_id, note_id, min(rank) AS r FROM final WHERE rank <= 20 GROUP BY ALL)")
-def w4_ranked_notes(spark, sf_dir):
-    return S.ranked_notes(_pool(spark, sf_dir))
+def w4_ranked_notes(spark, sf_dir, asked=None):
+    return S.ranked_notes(_pool(spark, sf_dir, asked))
 
 
-def _pool(spark, sf_dir):
+def _pool(spark, sf_dir, asked=None):
     c = V.chunks(spark, sf_dir)
-    near = S.dense(_asked(spark), _lexed(spark, sf_dir), 20, notes=False)
-    return S.fuse(near, S.bm25(S.text_index(c), questions(spark), 20)).where("rank <= 20")
+    near = S.dense(_asked(spark, asked), _lexed(spark, sf_dir), 20, notes=False)
+    return S.fuse(near, S.bm25(S.text_index(c), asked or questions(spark), 20)).where("rank <= 20")
 
 
+@for_notes
 @query("r20_search_page", _HYBRID + """
 SELECT f.query_id, f.rank, f.note_id, 'doc-' || f.note_id AS title, CASE WHEN length(text_content) > 200 THEN substr(text_content, 1, 200) || '…' ELSE text_content END AS snippet, f.score FROM final f JOIN held USING (id) WHERE rank <= 5""")
-def r20_search_page(spark, sf_dir):
-    return S.shown(_hybrid(spark, sf_dir), V.chunks(spark, sf_dir), V.notes(spark, sf_dir))
+def r20_search_page(spark, sf_dir, asked=None):
+    return S.shown(_hybrid(spark, sf_dir, asked), V.chunks(spark, sf_dir), V.notes(spark, sf_dir))
 
 
 @query("r21_fetch", V.sql("notes", "SELECT id, title, category, size_bytes FROM notes WHERE title = 'doc-17' OR id = 5"))

@@ -11,7 +11,7 @@ from folioscope.operators import catalog as C
 from folioscope.operators import store as K
 from folioscope.plans import views as V
 from folioscope.plans.registry import query
-from folioscope.plans.retrieval_queries import _CHUNK_LEX, _SOME, r6_hybrid
+from folioscope.plans.retrieval_queries import _CHUNK_LEX, _SOME, for_notes, r6_hybrid
 from folioscope.plans.views import MODEL, sql
 from folioscope.streaming import debounce as D
 
@@ -192,16 +192,18 @@ def _anchored(spark, sf_dir):
     return V.chunks(spark, sf_dir).withColumns({"page": F.col("chunk_index") + 1, "heading": F.lit(None).cast("string")})
 
 
+@for_notes
 @query("r18_context")
-def r18_context(spark, sf_dir):
-    return A.context(r6_hybrid(spark, sf_dir), _anchored(spark, sf_dir), V.notes(spark, sf_dir), 3000)
+def r18_context(spark, sf_dir, asked=None):
+    return A.context(r6_hybrid(spark, sf_dir, asked), _anchored(spark, sf_dir), V.notes(spark, sf_dir), 3000)
 
 
+@for_notes
 @query("r19_ask")
-def r19_ask(spark, sf_dir):
+def r19_ask(spark, sf_dir, asked=None):
     from folioscope.plans.retrieval_queries import questions
 
-    return A.ask(questions(spark), r18_context(spark, sf_dir))
+    return A.ask(asked or questions(spark), r18_context(spark, sf_dir, asked))
 
 
 @query("f11_verify_citations", """
