@@ -88,3 +88,23 @@ def test_no_python_in_the_plan(spark):
     d = spark.createDataFrame(corpus(60), COLUMNS)
     plan = Q.judge(d)._jdf.queryExecution().executedPlan().toString() + Q.statistics(d)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_repeated_lines_and_words_are_rejected(spark):
+    r = np.random.default_rng(5)
+    word = lambda: "".join(r.choice(list("abcdefghij"), 6))
+    rows, lines, words = [], range(0, 300, 50), range(25, 300, 50)
+    for k in range(300):
+        text = [[word() for _ in range(10)] for _ in range(20)]
+        if k in lines:
+            # short lines, so that few words repeat
+            text += [["x"]] * 9
+        elif k in words:
+            # a fifth of the words in windows that occur twice, in other lines
+            for i in range(4):
+                text[2 * i][:5] = text[2 * i + 1][5:] = [f"w{i}{j}" for j in range(5)]
+        rows.append((k, "\n".join(" ".join(x) for x in text), "en", "s"))
+    got = {x.doc_id: x for x in Q.judge(spark.createDataFrame(rows, COLUMNS)).collect()}
+    for k, x in got.items():
+        assert not x.base_failed and (x.n_dup_lines > 0) == (k in lines)
+        assert x.kept == (k not in lines and k not in words), k
