@@ -2,12 +2,15 @@
 
 Features of a text are, over its distinct lower-case words, how many of them
 are a given word or begin with a given 3 to 6 letters; the informative ones are
-chosen on the labelled sample. Logistic regression is fitted with an added
-penalty: in every labelled sentence that names a group of people the name is
-swapped for the other names of its kind, and the squared change of the
-sentence's score is part of the loss, as is the score of the name alone. So a
-neutral mention does not move a text towards toxic, whichever labelled texts
-happened to contain it.
+chosen on the labelled sample, and the group names themselves always are
+features. Logistic regression is fitted with an added penalty on
+counterfactuals: in every labelled sentence that names a group of people the
+name is swapped for the other names of its kind and left out, and of a labelled
+text that names none one sentence gets the names of one kind put into it. The
+squared change of the sentence's score is part of the loss. Beginnings that a
+name shares with other words can mark toxic texts; the name's own weight then
+takes that off. So a neutral mention does not move a text towards toxic,
+whichever labelled texts happened to contain it.
 
 The fit uses at most ``PER_CLASS`` labelled texts a class, chosen by hash; that
 bounds what reaches the driver. Scores are sums of word weights over the whole
@@ -23,6 +26,7 @@ text score the same; an empty table gives an empty result; other columns of
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,6 +59,11 @@ IDENTITY = [
     ["musulmanes", "cristianos", "judíos"],
 ]
 LETTERS = re.compile(r"[^\W\d_]+")
+SENTENCE = re.compile(r"[^.!?\n]+")
+#: (kind, name) of each name; a name's place in this list is its number.
+NAMES = [(kind, name) for kind, names in enumerate(IDENTITY) for name in names]
+#: Stands for the name that is left out.
+NO_NAME = len(NAMES)
 
 
 def words_of(text: str | None) -> set[str]:
@@ -99,13 +108,32 @@ class Classifier:
         return score
 
 
+def counterfactuals(text: str | None) -> list[tuple[int, int]]:
+    """The swaps (name in the sentence, name instead) in the sentences of a text.
+
+    Features are presences of words, so a swap changes a sentence's score by the
+    two names alone, unless the sentence holds the other name already.
+    """
+    out: list[tuple[int, int]] = []
+    sentences = [words for part in SENTENCE.findall(text or "") if (words := words_of(part))]
+    for words in sentences:
+        for k, (kind, name) in enumerate(NAMES):
+            if name in words:
+                out += [(k, j) for j, (g, other) in enumerate(NAMES) if g == kind and other not in words] + [(k, NO_NAME)]
+    if sentences and not out:
+        h = xxhash.xxh3_64_intdigest(text)
+        words, kind = sentences[h % len(sentences)], (h >> 32) % len(IDENTITY)
+        put = [k for k, (g, name) in enumerate(NAMES) if g == kind and name not in words]
+        out = [(k, NO_NAME) for k in put] + [(put[i - 1], k) for i, k in enumerate(put) if len(put) > 1]
+    return out
+
+
 def _rows(vocabulary: list[int]):
     place = {c: k for k, c in enumerate(vocabulary)}
-    kinds = [(g, w) for g, names in enumerate(IDENTITY) for w in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out, named = [], []
+            out, swapped = [], []
             for text in b.column("text"):
                 words = words_of(text.as_py())
                 x = np.zeros(len(vocabulary), np.uint8)
@@ -115,32 +143,36 @@ def _rows(vocabulary: list[int]):
                             x[k] += 1
                 at = np.flatnonzero(x).astype("<u2")
                 out.append(at.tobytes() + x[at].tobytes())
-                named.append([k for k, (_, w) in enumerate(kinds) if w in words])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(out, pa.binary()), pa.array(named, pa.list_(pa.int32()))], ["doc_id", "toxic", "x", "named"])
+                # a name that some text holds very often says no more than once
+                swapped.append([i * (NO_NAME + 1) + j for i, j in sorted(set(counterfactuals(text.as_py())))])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(out, pa.binary()), pa.array(swapped, pa.list_(pa.int32()))], ["doc_id", "toxic", "x", "swapped"])
 
     return run
 
 
-def fit(x: np.ndarray, y: np.ndarray, swaps: np.ndarray, steps: int = 400, ridge: float = RIDGE, penalty: float = PENALTY) -> tuple[np.ndarray, float]:
+def fit(x: np.ndarray, y: np.ndarray, swaps: np.ndarray, times: np.ndarray | None = None, steps: int = 400, ridge: float = RIDGE, penalty: float = PENALTY) -> tuple[np.ndarray, float]:
     """Weights and intercept by accelerated gradient descent.
 
     swaps: rows of feature differences between a sentence and the sentence with
-    its group name swapped (or the name left out).
+    its group name swapped (or the name left out); times: how often each is found.
     """
+    if len(swaps):
+        share = np.ones(len(swaps)) / len(swaps) if times is None else times / times.sum()
+        swaps = swaps * np.sqrt(share)[:, None].astype(np.float32)
     n, d = x.shape
     w, b = np.zeros(d, np.float32), 0.0
     v, vb = w.copy(), b
     weight = np.where(y == 1, n / (2 * max(1, (y == 1).sum())), n / (2 * max(1, (y == 0).sum()))).astype(np.float32)
     lipschitz = 0.25 * float((weight[:, None] * x * x).sum() / n + weight.mean()) / 4 + ridge / n
     if len(swaps):
-        lipschitz += penalty * float((swaps * swaps).sum() / len(swaps))
+        lipschitz += penalty * float((swaps * swaps).sum())
     rate = 1 / lipschitz
     for t in range(1, steps + 1):
         p = 1 / (1 + np.exp(-np.clip(x @ v + vb, -30, 30)))
         r = weight * (p - y)
         g = x.T @ r / n + ridge * v / n
         if len(swaps):
-            g += penalty * (swaps.T @ (swaps @ v)) / len(swaps)
+            g += penalty * (swaps.T @ (swaps @ v))
         new, newb = v - rate * g, vb - rate * float(r.mean())
         k = (t - 1) / (t + 2)
         v, vb = new + k * (new - w), newb + k * (newb - b)
@@ -152,8 +184,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, featur
     """Fit on labelled rows of ``docs`` (doc_id, text); labels: (doc_id, toxic)."""
     labels = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)").distinct()
     chosen = hashed_sample(labels, ["toxic"], per_class, seed=23)
-    # bounded by per_class rows a class
-    sample = written(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
+    # bounded by per_class rows a class: of an id with several rows one text counts
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    sample = written(sample.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")))
     sizes = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes.get(0) or not sizes.get(1):
         discard(sample)
@@ -162,8 +195,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, featur
     pos, neg = F.col("pos") + 0.5, F.col("all") - F.col("pos") + 0.5
     odds = F.log(pos / sizes[1]) - F.log(neg / sizes[0])
     top = counts.where("all >= 3").withColumn("z", F.abs(odds) / F.sqrt(1 / pos + 1 / neg)).orderBy(F.desc("z"), "feature").limit(features)
-    vocabulary = sorted(r.feature for r in top.select("feature").collect())
-    rows = sample.mapInArrow(_rows(vocabulary), "doc_id long, toxic int, x binary, named array<int>").collect()
+    own = {codes(name)[0] for _, name in NAMES}
+    vocabulary = sorted({r.feature for r in top.select("feature").collect()} | own)
+    rows = sample.mapInArrow(_rows(vocabulary), "doc_id long, toxic int, x binary, swapped array<int>").collect()
     discard(sample)
     rows.sort(key=lambda r: (r.doc_id, r.toxic))
     x, y = np.zeros((len(rows), len(vocabulary)), np.float32), np.array([r.toxic for r in rows])
@@ -171,23 +205,19 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, featur
         n = len(r.x) // 3
         x[k, np.frombuffer(r.x, "<u2", n)] = np.frombuffer(r.x, np.uint8, n, 2 * n)
     place = {c: k for k, c in enumerate(vocabulary)}
-    kinds = [(g, w) for g, names in enumerate(IDENTITY) for w in names]
 
-    def vector(word: str) -> np.ndarray:
+    def vector(k: int) -> np.ndarray:
         v = np.zeros(len(vocabulary), np.float32)
-        for c in codes(word):
+        for c in codes(NAMES[k][1]) if k < NO_NAME else ():
             if c in place:
                 v[place[c]] += 1
         return v
 
-    vectors = [vector(w) for _, w in kinds]
-    swaps = []
-    for r in rows:
-        for k in r.named:
-            swaps.append(vectors[k])  # the name left out
-            swaps += [vectors[k] - vectors[j] for j, (g, _) in enumerate(kinds) if g == kinds[k][0] and j != k]
-    swaps = np.array([s for s in swaps if s.any()], np.float32).reshape(-1, len(vocabulary))
-    w, b = fit(x, y.astype(np.float32), swaps, penalty=penalty)
+    found = Counter(n for r in rows for n in r.swapped)
+    pairs = sorted(found)
+    swaps = np.array([vector(n // (NO_NAME + 1)) - vector(n % (NO_NAME + 1)) for n in pairs], np.float32).reshape(-1, len(vocabulary))
+    times = np.array([found[n] for n in pairs], np.float64)
+    w, b = fit(x, y.astype(np.float32), swaps, times, penalty=penalty)
     return Classifier({c: float(w[k]) for c, k in place.items()}, float(b))
 
 
