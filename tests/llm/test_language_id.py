@@ -1,3 +1,6 @@
+import re
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -57,6 +60,50 @@ def test_regression_equals_closed_form():
     assert np.allclose(got[order], want, atol=1e-3)
 
 
+def test_predictions_equal_brute_force(spark, sf_dir):
+    """The whole result, from n-gram sets without hashing."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+
+    def grams(text):
+        t = " " + re.sub(r" +", " ", "".join(c if c.isalpha() else " " for c in (text or "").lower())) + " "
+        t = re.sub(r" +", " ", t)
+        return frozenset(t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)) if t.strip() else None
+
+    sets = {r.doc_id: grams(r.text) for r in rows}
+    learn = sorted((r.lang, r.doc_id) for r in rows if r.lang and sets[r.doc_id] and zlib.crc32(str(r.doc_id).encode()) % 4 != 2)
+    langs = sorted({x for x, _ in learn})
+    marks = [k for lang in langs for k in [i for x, i in learn if x == lang][: L.LANDMARKS]]
+    kernel = lambda a, b: np.array([[len(sets[i] & sets[j]) / np.sqrt(len(sets[i]) * len(sets[j])) for j in b] for i in a])
+    inner, cross = kernel(marks, marks), kernel([i for _, i in learn], marks)
+    weight = np.array([1 / sum(x == y for y, _ in learn) for x, _ in learn])
+    target = np.array([[x == y for y in langs] for x, _ in learn], float)
+    # ridge regression in the span of the landmarks
+    solved = np.linalg.lstsq(cross.T @ (cross * weight[:, None]) + L.RIDGE / len(langs) * inner, cross.T @ (target * weight[:, None]), rcond=1e-10)[0]
+    got = {r.doc_id: r for r in L.identify(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect()}
+    with_letters = [i for i in sets if sets[i]]
+    f = kernel(with_letters, marks) @ solved
+    e = np.exp(L.SHARPNESS * (f - f.max(1, keepdims=True)))
+    right = [got[i].lang_pred == langs[k] for i, k in zip(with_letters, f.argmax(1), strict=True)]
+    assert np.mean(right) >= 0.99 and all(got[i].lang_pred == "und" for i in sets if not sets[i])
+    assert np.median(np.abs([got[i].score for i in with_letters] - e.max(1) / e.sum(1))) < 0.02
+
+
+def test_filter_rejects_what_no_language_claims(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    odd = spark.createDataFrame([(-1, "Привет мир это текст о погоде", None), (-2, "日本語のテキスト", None), (-3, "qzx vbk wpx jjq zkv", None), (-4, "12", None), (-5, None, "en")], docs.schema)
+    got = L.accepted(docs.union(odd))
+    assert got.where("doc_id < 0").count() == 0 and got.count() == docs.where(F.col("text").rlike(r"\p{L}")).count()
+
+
+def test_many_labels_are_bounded(spark, docs, monkeypatch):
+    monkeypatch.setattr(L, "LANGUAGES", 2)
+    more = docs.union(docs.where("lang = 'en'").withColumn("doc_id", F.col("doc_id") + 1000)).union(docs.where("lang = 'fr'").withColumn("doc_id", F.col("doc_id") + 1000))
+    assert L.train(more).languages == ["en", "fr"]
+    # an id with very many rows is one text
+    again = docs.where("doc_id = 0").select("text", "lang").crossJoin(spark.range(300)).select(F.lit(0).cast("long").alias("doc_id"), F.concat("text", F.col("id").cast("string")).alias("text"), "lang")
+    assert len(L.train(again).bits) == 1
+
+
 def test_held_out_is_not_learned(spark, docs):
     flipped = docs.withColumn("lang", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, "xx").otherwise(F.col("lang")))
     assert L.identify(flipped).where("lang_pred = 'xx'").count() == 0
