@@ -83,6 +83,48 @@ def hashed_sample(df: DataFrame, strata: list[str], per_stratum: int, seed: int)
     )
 
 
+#: A key counts as hot if it has more than this share of the rows; so there are
+#: at most 1 / HOT hot keys, a bound on what is broadcast.
+HOT = 1 / 4096
+#: Tasks that a hot key's rows are dealt to.
+WAYS = 64
+
+
+def salted(rows: DataFrame, keys: list[str], salt: Column, counts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with a column ``_salt`` that deals hot keys' rows to ``WAYS``
+    parts and is 0 for others, and the hot keys (a written table).
+
+    counts: (keys, ``_n``), if known already.
+    """
+    if counts is None:
+        counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    counts = written(counts.select(*keys, "_n"))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    hot = written(counts.where(F.col("_n") > max(2.0, total * HOT)).select(*(F.col(k).alias(f"_hot_{k}") for k in keys)))
+    discard(counts)
+    return rows.join(F.broadcast(hot), _on_hot(keys), "left").select(*rows.columns, F.when(F.col(f"_hot_{keys[0]}").isNotNull(), F.pmod(salt, F.lit(WAYS))).otherwise(0).cast("int").alias("_salt")), hot
+
+
+def salted_table(table: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:
+    """A table of one row a key, with hot keys' rows once for each ``_salt``."""
+    ways = F.when(F.col(f"_hot_{keys[0]}").isNotNull(), F.sequence(F.lit(0), F.lit(WAYS - 1))).otherwise(F.array(F.lit(0)))
+    return table.join(F.broadcast(hot), _on_hot(keys), "left").select(*table.columns, F.explode(ways).alias("_salt"))
+
+
+def _on_hot(keys: list[str]) -> Column:
+    on = F.col(keys[0]) == F.col(f"_hot_{keys[0]}")
+    for k in keys[1:]:
+        on = on & (F.col(k) == F.col(f"_hot_{k}"))
+    return on
+
+
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], salt: Column, counts: DataFrame | None = None) -> DataFrame:
+    """``rows`` joined with a table of one row a key, where no task gets all
+    rows of a hot key. Keys must not be null."""
+    rows, hot = salted(rows, keys, salt, counts)
+    return rows.join(salted_table(table, keys, hot), [*keys, "_salt"]).drop("_salt")
+
+
 def ranked(df: DataFrame, keys: list[str], order: list[str], salt: Column, name: str) -> DataFrame:
     """Adds a 1-based rank within ``keys`` without a task that holds a whole key.
 

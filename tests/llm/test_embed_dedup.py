@@ -69,13 +69,64 @@ def test_decoder_finds_all_caps():
     for row, found in zip(x, c.decode(x), strict=True):
         want = []
         for k in range(E.CODES):
-            y = row @ c.rotations[k]
+            y = c.rotated(row[None], k)[0]
             score = (c.codes[k, 0] @ y[:half])[:, None] + (c.codes[k, 1] @ y[half:])[None, :]
             i, j = np.nonzero(score >= c.alpha)
             want += ((k * c.words + i) * c.words + j).tolist()
         assert found.tolist() == sorted(want)
 
 
+def test_dimensions_do_not_meet(spark):
+    """Very wide vectors beside short ones, links within each dimension."""
+    r = np.random.default_rng(7)
+    data = []
+    for d in (1, 2, 64, 4096, 4097, 5000):
+        for _ in range(3):
+            c = r.standard_normal(d)
+            data += [(len(data) + k, (c * (k + 1) + r.standard_normal(d) * 0.02).tolist()) for k in range(4)]
+    d = spark.createDataFrame([(i, v, 0) for i, v in data], COLUMNS)
+    got = sorted((x.vec_id, x.n_links, x.component_id) for x in E.near_duplicates(d).collect())
+    assert got == sorted(brute(data))
+    assert sum(n for _, n, _ in got) > 6 * 3 * 12 - 1
+
+
+def test_wide_rotation_keeps_lengths_and_angles():
+    r = np.random.default_rng(3)
+    c = E.Code(700, 100, 0.95)
+    x = np.zeros((5, c.width))
+    x[:, :700] = r.standard_normal((5, 700))
+    for k in (0, E.CODES - 1):
+        y = c.rotated(x, k)
+        assert np.allclose(y @ y.T, x @ x.T)
+
+
+def test_sketches_rule_out_no_pair_at_the_threshold():
+    r = np.random.default_rng(11)
+    for d in (2, 8, 64, 1000):
+        x = E._units([v.tobytes() for v in r.standard_normal((3000, d))], d)
+        z = r.standard_normal((3000, d))
+        z -= (z * x).sum(1, keepdims=True) * x
+        y = 0.95 * x + np.sqrt(1 - 0.95**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+        a, b = (np.frombuffer(b"".join(E.sketches(v)), np.uint8).reshape(3000, -1) for v in (x, y))
+        apart = np.bitwise_count(a ^ b).sum(1)
+        assert apart.max() <= E.APART and (d < 8 or abs(apart.mean() - 25.9) < 2)
+
+
+def test_common_members():
+    r = np.random.default_rng(2)
+    lists = [np.unique(r.integers(0, 60, r.integers(0, 9))) for _ in range(40)]
+    p, q = r.integers(0, 40, 300), r.integers(0, 40, 300)
+    assert E._common(lists, p, q).tolist() == [bool(set(lists[i]) & set(lists[j])) for i, j in zip(p, q, strict=True)]
+
+
+def test_an_id_with_several_vectors(spark):
+    a, b = [1.0, 0.0, 0.0, 0.1], [0.0, 1.0, 0.0, 0.1]
+    near = lambda v: [x + 0.01 for x in v]
+    d = spark.createDataFrame([(1, a, 0), (1, b, 0), (2, near(a), 0), (3, near(b), 0), (4, near(near(b)), 0)], COLUMNS)
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in E.near_duplicates(d).collect())
+    assert got == [(1, 1, 1), (1, 2, 1), (2, 1, 1), (3, 2, 1), (4, 2, 1)]
+
+
 def test_repeated_ids_and_empty_table(spark):
     v = [1.0, 0.5, 0.25, 0.125]
     d = spark.createDataFrame([(1, v, 0), (1, v, 0), (2, v, 0), (None, v, 0)], COLUMNS)
