@@ -36,7 +36,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from folioscope.llm.common import discard, written
 
@@ -53,8 +52,8 @@ PRIOR_WORDS, PRIOR_LINES, PRIOR_REPEATS = 100, 1, 4
 #: Least standard deviation of each statistic given those before it: a guard for
 #: groups whose rows are equal or lie on a plane.
 FLOOR = (0.004, 0.004, 0.03, 0.008)
-#: Cells a unit for medians of the statistics and for distances.
-CELLS = 512
+#: Cells a unit for medians of the statistics, and for distances.
+CELLS, NEAR = 512, 64
 
 
 def let(value: Column, body) -> Column:
@@ -138,11 +137,12 @@ def consistency(p: float) -> float:
 
 
 def cell_quantile(rows: DataFrame, keys: list[str], value: Column, cells: float, share: float, name: str) -> DataFrame:
-    """The upper end of the cell in which ``share`` of each key's rows is reached."""
+    """The upper end of the cell in which ``share`` of each key's rows is reached.
+
+    Rows are counted by cell first; what meets in a task are counts of cells.
+    """
     n = rows.groupBy(*keys, F.floor(value * cells).alias("_cell")).agg(F.count(F.lit(1)).alias("_n"))
-    up = W.partitionBy(*keys).orderBy("_cell")
-    n = n.withColumn("_upto", F.sum("_n").over(up)).withColumn("_all", F.sum("_n").over(W.partitionBy(*keys)))
-    return n.where(F.col("_upto") >= F.ceil(F.col("_all") * share)).groupBy(*keys).agg(((F.min("_cell") + 1) / cells).alias(name), F.first("_all").alias("_all"))
+    return n.groupBy(*keys).agg(((F.floor(F.percentile("_cell", F.lit(share), F.col("_n"))) + 1) / cells).alias(name))
 
 
 PAIRS = [(i, j) for i in range(D) for j in range(i + 1)]
@@ -179,9 +179,9 @@ def _distances(rows: DataFrame, shape: DataFrame, keys: list[str]) -> DataFrame:
 def _starts(fit: DataFrame) -> DataFrame:
     """Centres and shapes (g, s, n, m, l, det) that concentration begins from."""
     long = fit.select("g", F.posexplode(F.array(*FEATURES)).alias("i", "x"))
-    middle = written(cell_quantile(long, ["g", "i"], F.col("x"), CELLS, 0.5, "m").drop("_all"))
+    middle = written(cell_quantile(long, ["g", "i"], F.col("x"), CELLS, 0.5, "m"))
     away = long.join(middle.withColumnsRenamed({"g": "_g", "i": "_i"}), (F.col("g") == F.col("_g")) & (F.col("i") == F.col("_i"))).select("g", "i", F.abs(F.col("x") - F.col("m")).alias("x"))
-    spread = cell_quantile(away, ["g", "i"], F.col("x"), CELLS, 0.5, "s").drop("_all")
+    spread = cell_quantile(away, ["g", "i"], F.col("x"), CELLS, 0.5, "s")
     guard = F.element_at(F.array(*map(F.lit, FLOOR)), F.col("i") + 1)
     both = middle.join(spread.withColumnsRenamed({"g": "_g", "i": "_i"}), (F.col("g") == F.col("_g")) & (F.col("i") == F.col("_i")))
     both = both.groupBy("g").agg(*(F.max(F.when(F.col("i") == i, F.col("m"))).alias(f"a{i}") for i in range(D)), *(F.max(F.when(F.col("i") == i, F.greatest(1.4826 * F.col("s"), guard))).alias(f"s{i}") for i in range(D)))
@@ -216,7 +216,7 @@ def estimate(fit: DataFrame) -> DataFrame:
     shape = _starts(fit)
     for step in range(STEPS):
         d = _distances(tried, shape, keys)
-        cut = written(cell_quantile(d, keys, near, CELLS, KEEP, "cut").drop("_all").withColumnsRenamed({k: f"_{k}" for k in keys}))
+        cut = written(cell_quantile(d, keys, near, NEAR, KEEP, "cut").withColumnsRenamed({k: f"_{k}" for k in keys}))
         nearest = d.join(cut, (F.col("g") == F.col("_g")) & (F.col("s") == F.col("_s"))).where(near < F.col("cut"))
         after = written(_moments(nearest, keys, consistency(KEEP)))
         fell = after.join(shape.select("g", "s", F.col("det").alias("_det")), keys).select(F.max(F.col("_det") - F.col("det"))).first()[0]

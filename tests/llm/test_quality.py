@@ -56,10 +56,9 @@ def test_outliers_are_rejected_and_clean_kept(spark):
     assert np.mean([got[k].kept for k in range(300) if k % 15]) == 1.0
 
 
-def cell(x, share):
+def cell(x, share, cells=Q.CELLS):
     """The upper end of the cell in which the share of the values is reached."""
-    cells, n = np.unique(np.floor(x * Q.CELLS), return_counts=True)
-    return (cells[np.cumsum(n) >= np.ceil(len(x) * share)][0] + 1) / Q.CELLS
+    return (np.floor(np.quantile(np.floor(x * cells), share)) + 1) / cells
 
 
 def brute_estimate(x):
@@ -89,7 +88,7 @@ def brute_estimate(x):
         s = guarded(s)
         for _ in range(Q.STEPS):
             near = np.log1p(distance(centre, s))
-            centre, s = moments(x[near < cell(near, Q.KEEP)], Q.consistency(Q.KEEP))
+            centre, s = moments(x[near < cell(near, Q.KEEP, Q.NEAR)], Q.consistency(Q.KEEP))
         out.append((np.linalg.slogdet(s)[1], centre, s))
     _, centre, s = min(out, key=lambda r: r[0])
     centre, s = moments(x[distance(centre, s) <= Q.chi2_quantile(0.975, Q.D)], Q.consistency(0.975))
