@@ -40,7 +40,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioscope.llm.bytesets import ODD, U, mix, parts, slices, text_bytes
-from folioscope.llm.common import discard, written
+from folioscope.llm.common import discard, salted, salted_table, spread_join, written
 
 BANDS, ROWS = 20, 4
 BINS = BANDS * ROWS
@@ -221,7 +221,9 @@ def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Edges (src, dst) whose sets are similar enough; sets: (doc_id, items)."""
     a = sets.select(F.col("doc_id").alias("src"), F.col("items").alias("x"))
     b = sets.select(F.col("doc_id").alias("dst"), F.col("items").alias("y"))
-    return edges.join(a, "src").join(b, "dst").select("src", "dst", "x", "y").mapInArrow(_confirm(percent), "src long, dst long")
+    # a centre of many stars is a hot key with a large row
+    both = spread_join(edges, a, ["src"], F.xxhash64("dst"))
+    return both.join(b, "dst").select("src", "dst", "x", "y").mapInArrow(_confirm(percent), "src long, dst long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -231,20 +233,24 @@ def components(edges: DataFrame) -> DataFrame:
     changes; each round is written to the shared folder.
     """
     both = written(edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct())
+    dealt, hot = salted(both, ["dst"], F.xxhash64("src"))
+    dealt = written(dealt)
     labels = written(both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("component")).withColumnRenamed("src", "doc_id"))
     while True:
-        near = both.join(labels.withColumnRenamed("doc_id", "dst"), "dst").groupBy("src").agg(F.min("component").alias("_near"))
+        near = dealt.join(salted_table(labels.withColumnRenamed("doc_id", "dst"), ["dst"], hot), ["dst", "_salt"]).groupBy("src").agg(F.min("component").alias("_near"))
         spread = labels.join(near, labels["doc_id"] == near["src"], "left").select("doc_id", F.col("component").alias("_was"), F.least("component", "_near").alias("component"))
         spread = written(spread)
-        jump = labels.select(F.col("doc_id").alias("_mid"), F.col("component").alias("_far"))
-        after = written(spread.join(jump, F.col("component") == F.col("_mid"), "left").select("doc_id", "_was", F.least("component", F.coalesce("_far", "component")).alias("component")))
+        jump = labels.select(F.col("doc_id").alias("component"), F.col("component").alias("_far"))
+        # every row has a label that is a row itself
+        after = written(spread_join(spread, jump, ["component"], F.xxhash64("doc_id")).select("doc_id", "_was", F.least("component", F.coalesce("_far", "component")).alias("component")))
         changed = after.where("component <> _was").limit(1).count()
         discard(labels)
         discard(spread)
         labels = after.select("doc_id", "component")
         labels._folioscope_path = after._folioscope_path
         if not changed:
-            discard(both)
+            for t in (both, dealt, hot):
+                discard(t)
             return labels
 
 
@@ -269,7 +275,8 @@ def mixed_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
     components, and the size ``_n`` of their bucket."""
     named = members.join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     mixed = named.groupBy("band", "bucket").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count(F.lit(1)).alias("_n")).where("_lo <> _hi").drop("_lo", "_hi")
-    return named.join(mixed, ["band", "bucket"])
+    mixed = written(mixed)
+    return spread_join(written(named), mixed, ["band", "bucket"], F.xxhash64("doc_id"), mixed)
 
 
 def residual_pairs(mixed: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -294,8 +301,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH)
     groups = written(full.groupBy(*equal).agg(F.min("doc_id").alias("rep")))
     reps = full.join(groups, equal).where("doc_id = rep").dropDuplicates(["doc_id", *equal])
     bucketed = reps.select("doc_id", F.posexplode("bands").alias("band", "bucket"))
-    shared = bucketed.groupBy("band", "bucket").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("_last")).where("centre <> _last").drop("_last")
-    members = written(bucketed.join(shared, ["band", "bucket"]))
+    shared = bucketed.groupBy("band", "bucket").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("_last"), F.count(F.lit(1)).alias("_n")).where("centre <> _last").drop("_last")
+    shared = written(shared)
+    members = written(spread_join(bucketed, shared.drop("_n"), ["band", "bucket"], F.xxhash64("doc_id"), shared))
+    discard(shared)
     stars = written(members.where("doc_id <> centre").select(F.col("centre").alias("src"), F.col("doc_id").alias("dst")).distinct())
 
     # sets are made only of the texts that some candidate edge names; those ids

@@ -32,12 +32,6 @@ def test_language_stage(steps):
     assert {r.doc_id for r in after} == {r.doc_id for r in before if r.text and any(c.isalpha() for c in r.text)}
 
 
-def test_near_duplicate_stage(steps):
-    before, after, _ = steps[1]
-    parts = test_minhash.brute([(r.doc_id, r.text) for r in before])
-    assert Counter(r.doc_id for r in after) == Counter({i: 1 for i, c in parts.items() if i == c})
-
-
 def test_repeat_stage(steps):
     before, after, _ = steps[2]
     want = {r.doc_id: b[0] - b[1] for r, b in zip(before, test_suffix_dedup.brute([(r.doc_id, r.text) for r in before]), strict=True)}
