@@ -2,22 +2,25 @@
 
 A page is read as blocks of text. What lies in menus, headers, footers, asides,
 forms, scripts and the like, by element or by the words of its class, id or
-role, is left out. If the page marks its content (``article``, else ``main``),
-the blocks in there are its text.
-
-Otherwise the text is told from boilerplate by a suffix array of its host: the
-token streams of all pages of a host, outside of marked content, are
-concatenated, with a token between blocks. Suffixes are dealt to buckets by
-their first ``RUN`` tokens, so that a host of any size spreads over tasks; each
-bucket sorts its part of the array and counts the pages that agree on ``RUN``
-tokens. Where these are the share ``SHARE`` of the host's pages, and two at
-least, the tokens are covered. Pages of a host with equal content are one page
-in this, so a text that is published again under another address is not held
-against itself. Covered runs are removed and the unique runs of a block are
-kept.
-
-Marked content is not held against the array: texts that a host publishes twice
-are repeated across its pages without being boilerplate.
+role, is never main text. If the page marks its content (``article``, or
+``main`` where articles are only parts of it), the blocks in there are
+candidates, otherwise all others are.
+
+The suffix array of the page's host decides about every candidate. The token
+streams of a host's pages, with a token between blocks, are concatenated;
+suffixes are dealt to buckets by their first ``RUN`` tokens, so that a host of
+any size spreads over tasks. A bucket sorts its suffixes, takes the longest
+common prefixes of neighbours, and finds for each suffix the longest string of
+``RUN`` to ``DEPTH`` tokens that enough distinct pages of the host share.
+Covered runs of a page that marks nothing are removed and the unique runs kept;
+``SHARE`` of the host's pages, and two at least, make a repeat. Of marked
+content, whole blocks of up to ``LONGEST`` tokens are removed if ``MARKED`` of
+the host's pages, and ``MARKED_LEAST`` at least, repeat them: lines like
+"subscribe to our letter" within articles. There the array takes the suffixes
+at every ``DEPTH``-th token, elsewhere all.
+
+Pages of a host with equal content are one page in this, so a text that is
+published again under another address is not held against itself.
 
 Cases: a null or empty page, or one without text, gives an empty string; a page
 cut off within an element ends there; repeated rows of an id are pages each; a
@@ -34,15 +37,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import written
+from folioscope.llm.common import discard, salted, salted_table, spread_join, written
 from folioscope.llm.suffix_dedup import squeeze, unsqueeze
 
-RUN = 6
+#: Tokens that a repeat has at least, and up to which suffixes are compared.
+RUN, DEPTH = 6, 16
 #: Share of a host's distinct pages that repeat what is boilerplate.
 SHARE = 0.1
+#: The same for blocks of marked content, pages at least, and tokens at most.
+MARKED, MARKED_LEAST, LONGEST = 0.5, 8, 48
+#: Suffixes that a bucket of the array holds, about.
+BUCKET = 1 << 21
+#: Suffixes that a task holds before it sends them.
+HELD = 1 << 18
 #: Elements whose content is never main text.
 OUT = frozenset("nav header footer aside form button select textarea label option menu dialog noscript template svg canvas iframe object audio video map head".split())
 RAW = ("script", "style", "title", "noscript", "iframe", "textarea", "template", "svg")
@@ -61,6 +72,8 @@ KEPT = frozenset("article main body html".split())
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 #: Words that make a name say what an element has or lacks, not what it is.
 ABOUT = frozenset("has no not with without show hide is post page single type format category tag hentry entry".split())
+#: Names of an element that holds the content, whatever else it is named.
+CONTENT = frozenset("content article story article-body article-content entry-content post-body post-content story-body main-content".split())
 NAME = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORD = re.compile(r"[a-z]+")
 END_RAW = {x: re.compile(rf"</{x}\s*>", re.I) for x in RAW}
@@ -70,7 +83,10 @@ def _named_out(attributes: str) -> bool:
     if "=" not in attributes:
         return False
     for m in NAME.finditer(attributes):
-        for name in (m[1] or m[2] or m[3] or "").lower().split():
+        names = (m[1] or m[2] or m[3] or "").lower().split()
+        if CONTENT.intersection(names):
+            return False
+        for name in names:
             words = WORD.findall(name)
             if words and words[0] not in ABOUT and any(w in NAMED for w in words):
                 return True
@@ -78,8 +94,9 @@ def _named_out(attributes: str) -> bool:
 
 
 def blocks(page: str | None) -> list[tuple[str, str | None]]:
-    """(text, place) of the blocks of a page; place: article, main, body, or
-    None for what is left out. Titles, scripts and styles have no block."""
+    """(text, place) of the blocks of a page; place: article, inner (an article
+    in main), main, body, or None for what is left out. Titles, scripts and
+    styles have no block."""
     if not page:
         return []
     out: list[tuple[str, str | None]] = []
@@ -92,7 +109,7 @@ def blocks(page: str | None) -> list[tuple[str, str | None]]:
             # references are decoded in the whole block: a tag cannot split one
             joined = " ".join(html.unescape("".join(text)).split())
             if joined:
-                out.append((joined, None if skip else "article" if inside["article"] else "main" if inside["main"] else "body"))
+                out.append((joined, None if skip else PLACES[inside["article"] > 0, inside["main"] > 0]))
             text.clear()
 
     while at < n:
@@ -142,32 +159,66 @@ def blocks(page: str | None) -> list[tuple[str, str | None]]:
     return out
 
 
-def marked(found: list[tuple[str, str | None]]) -> list[str] | None:
-    """The blocks in marked content, or None if the page marks none."""
-    for place in ("article", "main"):
-        if any(p == place for _, p in found):
-            return [t for t, p in found if p == place]
-    return None
+PLACES = {(True, True): "inner", (True, False): "article", (False, True): "main", (False, False): "body"}
 
 
-def _stream(found: list[tuple[str, str | None]]) -> np.ndarray:
-    """Hashes of the tokens outside of marked content; 0 before each block and at the end."""
-    out = [0]
-    for t, p in found:
-        if p in (None, "body"):
-            out += [xxhash.xxh3_64_intdigest(w) | 1 for w in t.split()]
-            out.append(0)
-    return np.array(out, np.uint64)
+def marked(found: list[tuple[str, str | None]]) -> set[str]:
+    """The places that hold the marked content; none if the page marks none.
 
+    Articles, but all of ``main`` where they are less than half of it.
+    """
+    size = {p: sum(len(t) for t, q in found if q == p) for p in PLACES.values()}
+    if size["article"] or size["inner"] and size["inner"] >= size["main"]:
+        return {"article", "inner"}
+    return {"inner", "main"} if size["inner"] or size["main"] else set()
+
+
+#: What a block is to the array: evidence alone, a candidate, or marked content.
+LEFT_OUT, BODY, IN_CONTENT = 0, 1, 2
+
+
+def kinds(found: list[tuple[str, str | None]]) -> list[int | None]:
+    """The kind of each block; None for what is outside of marked content but not left out."""
+    places = marked(found)
+    return [LEFT_OUT if p is None else IN_CONTENT if p in places else None if places else BODY for _, p in found]
+
+
+def _stream(found: list[tuple[str, str | None]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The page's tokens as hashes, 0 before each block and at the end, and the
+    place and kind of each suffix of it that the array holds.
+
+    Of marked content only blocks of ``RUN`` to ``LONGEST`` tokens can repeat;
+    others stand for one token.
+    """
+    tokens, places, kind_of = [0], [], []
+    for (t, _), kind in zip(found, kinds(found), strict=True):
+        if kind is None:
+            continue
+        words = t.split()
+        at, n = len(tokens), len(words)
+        if kind == IN_CONTENT and not RUN <= n <= LONGEST:
+            tokens += [_token(t), 0]
+            continue
+        tokens += map(_token, words)
+        tokens.append(0)
+        # a run may begin with the mark before the block
+        first = range(at, at + n, DEPTH) if kind == IN_CONTENT else range(at - 1, at + n)
+        places += first
+        kind_of += [kind] * len(first)
+    return np.array(tokens, "<u4"), np.array(places, "<u4"), np.array(kind_of, np.uint8)
+
+
+def _token(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word) >> 32 | 1
 
-def _windows(stream: np.ndarray) -> np.ndarray:
-    """A hash of the first ``RUN`` tokens of each suffix that has as many."""
-    if len(stream) < RUN:
-        return np.zeros(0, np.uint64)
-    h = np.zeros(len(stream) - RUN + 1, np.uint64)
-    for k in range(RUN):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + stream[k : k + len(h)]
-    return h ^ (h >> np.uint64(31))
+
+def _contexts(tokens: np.ndarray, places: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """The first ``DEPTH`` tokens of suffixes. Those of ``whole`` end with their
+    block; after that, and after the page's end, comes what no token is."""
+    end = np.arange(1, DEPTH + 1, dtype="<u4") * np.uint32(2)
+    out = np.lib.stride_tricks.sliding_window_view(np.concatenate([tokens, end]), DEPTH)[places]
+    over = np.logical_or.accumulate(out == 0, axis=1) & (out != 0) & whole[:, None]
+    return np.where(over, end[-1], out)
 
 
 def _host(url: str | None) -> str:
@@ -175,140 +226,213 @@ def _host(url: str | None) -> str:
 
 
 def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each page its host, a hash of its content, whether it asks the array, and its stream."""
+    """Of each page its host, a hash of its content, its stream and the number of its suffixes."""
     for b in batches:
-        hosts, contents, asks, streams = [], [], [], []
+        hosts, contents, numbers, streams = [], [], [], []
         for url, page in zip(b.column("url").to_pylist(), b.column("html"), strict=True):
             found = blocks(page.as_py())
-            kept = marked(found)
             host = xxhash.xxh3_64_intdigest(_host(url))
             hosts.append(host)
-            contents.append(xxhash.xxh3_64_intdigest("\n".join([t for t, p in found if p == "body"] if kept is None else kept), seed=host))
-            asks.append(kept is None)
-            streams.append(squeeze(_stream(found)))
+            contents.append(xxhash.xxh3_64_intdigest("\n".join([t for (t, _), k in zip(found, kinds(found), strict=True) if k]), seed=host))
+            stream = _stream(found)
+            numbers.append(len(stream[1]))
+            streams.append(squeeze(*stream))
         as_long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-        yield pa.RecordBatch.from_arrays([b.column("_owner"), as_long(hosts), as_long(contents), pa.array(asks, pa.bool_()), pa.array(streams, pa.binary())], ["_owner", "_host", "_content", "asks", "stream"])
+        yield pa.RecordBatch.from_arrays([b.column("_owner"), as_long(hosts), as_long(contents), pa.array(numbers, pa.int64()), pa.array(streams, pa.binary())], ["_owner", "_host", "_content", "suffixes", "stream"])
 
 
-def _dealt(buckets: int, h: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-    bucket = ((h >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32)
-    order = np.argsort(bucket, kind="stable")
-    at = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0]))
-    if len(h):
-        yield pa.RecordBatch.from_arrays([pa.array(bucket[order[at]]), pa.array([squeeze(h[x], *(c[x] for c in columns)) for x in np.split(order, at[1:])], pa.binary())], ["bucket", "sent"])
+#: pages: how many have the suffix; own: tokens that it shares with another suffix
+#: of the same page, so the page counts among those that share more.
+SUFFIX = np.dtype([("host", "<u8"), ("context", "<u4", (DEPTH,)), ("pages", "<u4"), ("own", "u1"), ("owner", "<i8"), ("place", "<u4"), ("need", "<u4")])
 
 
-def _hashed(b: pa.RecordBatch) -> list[np.ndarray]:
-    hosts = b.column("_host").to_numpy().view(np.uint64)
-    return [_windows(unsqueeze(x, np.uint64)[0]) ^ host for x, host in zip(b.column("stream").to_pylist(), hosts, strict=True)]
+def _suffixes(b: pa.RecordBatch, k: int) -> np.ndarray:
+    """The suffixes of a page that may begin a repeat, with the pages that it takes for a candidate."""
+    tokens, places, kind = unsqueeze(b.column("stream")[k].as_py(), "<u4", "<u4", np.uint8)
+    # a repeat does not begin within RUN tokens of the page's end
+    some = (places + RUN <= len(tokens)) | (kind == IN_CONTENT)
+    places, kind = places[some], kind[some]
+    x = np.zeros(len(places), SUFFIX)
+    x["host"] = b.column("_host")[k].as_py() & 0xFFFFFFFFFFFFFFFF
+    x["context"], x["place"] = _contexts(tokens, places, kind == IN_CONTENT), places
+    if "need_body" in b.schema.names:
+        x["owner"] = b.column("_owner")[k].as_py()
+        x["need"] = np.array([0, b.column("need_body")[k].as_py(), b.column("need_content")[k].as_py()])[kind]
+    return x
 
 
-def _counted(buckets: int):
-    """The suffixes of distinct pages, and how many pages of the batch have each."""
+def _key(x: np.ndarray) -> np.ndarray:
+    """Host and context as bytes that sort like them."""
+    raw = np.concatenate([x["host"].astype(">u8")[:, None].view(np.uint8), np.ascontiguousarray(x["context"].astype(">u4")).view(np.uint8)], axis=1)
+    return np.ascontiguousarray(raw).view(f"V{raw.shape[1]}").reshape(-1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *map(np.unique, _hashed(b))]), return_counts=True)
-            none = np.zeros(len(h), np.int64)
-            yield from _dealt(buckets, h, none, none.astype("<u4"), none, n.astype(np.int64))
 
-    return run
+def _dealt(buckets: int, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Suffixes packed by bucket, which their host and first tokens choose."""
+    if not len(x):
+        return
+    h = x["host"].copy()
+    for k in range(RUN):
+        h = (h ^ x["context"][:, k]) * np.uint64(0x9E3779B97F4A7C15)
+    bucket = ((h >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
+    order = np.lexsort((x["place"], x["owner"], h, bucket))
+    x, bucket = x[order], bucket[order]
+    at = np.flatnonzero(np.concatenate([[True], np.diff(bucket) != 0]))
+    sent = [squeeze(y["host"].copy(), np.ascontiguousarray(y["context"]).reshape(-1), *(y[c].copy() for c in SUFFIX.names[2:])) for y in np.split(x, at[1:])]
+    yield pa.RecordBatch.from_arrays([pa.array(bucket[at]), pa.array(sent, pa.binary())], ["bucket", "sent"])
+
+
+def _common_prefix(x: np.ndarray) -> np.ndarray:
+    """The tokens that each suffix shares with the one before it."""
+    same = (x["context"][1:] == x["context"][:-1]) & (x["host"][1:] == x["host"][:-1])[:, None]
+    return np.concatenate([[0], np.logical_and.accumulate(same, axis=1).sum(1)])[: len(x)]
+
+
+def _counts(held: list[np.ndarray]) -> np.ndarray:
+    """Distinct suffixes of pages, with the number of pages that have each."""
+    x = np.concatenate(held)
+    page = np.repeat(np.arange(len(held)), [len(y) for y in held])
+    rank = np.unique(_key(x), return_inverse=True)[1]
+    order = np.lexsort((rank, page))
+    x, page, rank = x[order], page[order], rank[order]
+    x["own"] = np.where(np.diff(page, prepend=-1) != 0, 0, _common_prefix(x))
+    some = x["own"] < DEPTH
+    x, rank = x[some], rank[some] * (DEPTH + 1) + x["own"][some]
+    _, at, n = np.unique(rank, return_index=True, return_counts=True)
+    out = x[at]
+    out["pages"], out["place"] = n, 0
+    return out
 
 
-def _asked(buckets: int):
-    """The suffixes of pages that ask, where they are, and the pages it takes."""
+def _sent(buckets: int, merge):
+    """Suffixes of pages, held until there are ``HELD``, merged, and dealt."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for b in batches:
-            found = _hashed(b)
-            size = [len(h) for h in found]
-            if sum(size):
-                h = np.concatenate(found)
-                owner, need = np.repeat(b.column("_owner").to_numpy(), size), np.repeat(b.column("need").to_numpy(), size)
-                yield from _dealt(buckets, h, owner, np.concatenate([np.arange(n, dtype="<u4") for n in size]), need, np.zeros(len(h), np.int64))
+            for k in range(b.num_rows):
+                x = _suffixes(b, k)
+                held.append(x)
+                n += len(x)
+                if n >= HELD:
+                    yield from _dealt(buckets, merge(held))
+                    held, n = [], 0
+        if n:
+            yield from _dealt(buckets, merge(held))
 
     return run
 
 
-def _sorted_part(table):
-    """One bucket of the array: places of pages that ask which enough pages have."""
-    parts = [unsqueeze(x, np.uint64, np.int64, "<u4", np.int64, np.int64) for x in table["sent"].to_pylist()]
-    h, k, p, need, n = (np.concatenate([x[i] for x in parts]) for i in range(5))
-    order = np.argsort(h, kind="stable")
-    at = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
-    pages = np.repeat(np.add.reduceat(n[order], at), np.diff(np.append(at, len(h))))
-    covered = order[(need[order] > 0) & (pages >= need[order])]
-    return pa.table({"_owner": pa.array(k[covered], pa.int64()), "place": pa.array(p[covered].astype(np.int64))})
+def _candidates(held: list[np.ndarray]) -> np.ndarray:
+    x = np.concatenate(held)
+    return x[x["need"] > 0]
 
 
-SCHEMA = "page_id long, url string, text string, n_chars long"
+def repeats(x: np.ndarray) -> np.ndarray:
+    """The part of the suffix array that a bucket holds: for each suffix the
+    length of its longest prefix of ``RUN`` tokens or more that ``need`` pages
+    share (0: none; candidates do not count as pages themselves)."""
+    order = np.argsort(_key(x), kind="stable")
+    y = x[order]
+    lcp = _common_prefix(y)
+    length = np.zeros(len(x), np.int64)
+    for n in range(RUN, DEPTH + 1):
+        at = np.flatnonzero(lcp < n)
+        pages = np.where(y["own"] < n, y["pages"], 0).astype(np.int64)
+        pages = np.repeat(np.add.reduceat(pages, at), np.diff(np.append(at, len(y))))
+        length[order[(y["need"] > 0) & (pages >= y["need"])]] = n
+    return length
 
 
-def _rows(b: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+def _sorted_part(table):
+    """One bucket of the array: places of candidates that enough pages have."""
+    columns = [unsqueeze(x, "<u8", "<u4", "<u4", "u1", "<i8", "<u4", "<u4") for x in table["sent"].to_pylist()]
+    x = np.zeros(sum(len(c[0]) for c in columns), SUFFIX)
+    for k, name in enumerate(SUFFIX.names):
+        x[name] = np.concatenate([c[k] for c in columns]).reshape(x[name].shape)
+    length = repeats(x)
+    x, length = x[length > 0], length[length > 0]
+    return pa.table({"_owner": pa.array(x["owner"], pa.int64()), "place": pa.array(x["place"].astype(np.int64)), "length": pa.array(length, pa.int64())})
 
 
-def _marked_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        texts = []
-        for page in b.column("html"):
-            found = blocks(page.as_py())
-            kept = marked(found)
-            texts.append("\n".join([t for t, p in found if p == "body"] if kept is None else kept))
-        yield _rows(b, texts)
+def _packed(found: list[tuple[str, str | None]]) -> bytes:
+    """The candidates, and of what is left out the number of tokens, compressed."""
+    lines = [f"{kind}{t if kind else len(t.split())}" for (t, _), kind in zip(found, kinds(found), strict=True) if kind is not None]
+    return zstandard.compress("\n".join(lines).encode("utf-8", "surrogatepass"), 3)
 
 
-def unique_runs(found: list[tuple[str, str | None]], places: np.ndarray) -> list[str]:
-    """The blocks outside of what is left out, without the covered tokens.
+def decided(lines: list[tuple[int, str]], places: np.ndarray, lengths: np.ndarray) -> list[str]:
+    """The candidates, without what the array covers.
 
-    Of a block, covered stretches of ``RUN`` tokens or more go, or all of it; a
-    few covered tokens only continue what its neighbours repeat.
+    Of a block of a page that marks nothing, covered stretches of ``RUN`` tokens
+    or more go, or all of it; a few covered tokens only continue what its
+    neighbours repeat. A block of marked content goes only as a whole.
     """
-    cover = np.zeros(len(_stream(found)) + RUN, bool)
-    for k in range(RUN):
-        cover[places + k] = True
+    width = [int(t) if kind == LEFT_OUT else 1 if kind == IN_CONTENT and not RUN <= len(t.split()) <= LONGEST else len(t.split()) for kind, t in lines]
+    edge = np.zeros(2 + sum(width) + len(width) + DEPTH, np.int64)
+    np.add.at(edge, places, 1)
+    np.add.at(edge, places + lengths, -1)
+    cover = np.cumsum(edge) > 0
     out, at = [], 1
-    for t, p in found:
-        if p in (None, "body"):
-            words = t.split()
-            own = cover[at : at + len(words)].copy()
+    for (kind, t), n in zip(lines, width, strict=True):
+        own = cover[at : at + n].copy()
+        at += n + 1
+        if kind == IN_CONTENT:
+            if not own.all():
+                out.append(t)
+        elif kind == BODY:
             edges = np.flatnonzero(np.diff(np.concatenate([[False], own, [False]]).astype(np.int8)))
             for a, b in zip(edges[::2], edges[1::2], strict=True):
-                if b - a < min(RUN, len(words)):
+                if b - a < min(RUN, n):
                     own[a:b] = False
-            rest = " ".join(w for w, c in zip(words, own, strict=True) if not c)
-            at += len(words) + 1
-            if p and rest:
+            rest = " ".join(w for w, c in zip(t.split(), own, strict=True) if not c)
+            if rest:
                 out.append(rest)
     return out
 
 
-def _unmarked_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        packed = pa.array([_packed(blocks(x.as_py())) for x in b.column("html")], pa.binary())
+        yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), b.column("_owner"), packed, b.column("_salt")], ["page_id", "url", "_owner", "packed", "_salt"])
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts = []
-        for page, places in zip(b.column("html"), b.column("places").to_pylist(), strict=True):
-            found = blocks(page.as_py())
-            kept = marked(found)
-            texts.append("\n".join(unique_runs(found, np.array(places or [], np.int64)) if kept is None else kept))
-        yield _rows(b, texts)
+        for packed, places, lengths in zip(b.column("packed").to_pylist(), b.column("places").to_pylist(), b.column("lengths").to_pylist(), strict=True):
+            text = zstandard.decompress(packed).decode("utf-8", "surrogatepass")
+            lines = [(int(x[0]), x[1:]) for x in text.split("\n")] if text else []
+            texts.append("\n".join(decided(lines, np.array(places or [], np.int64), np.array(lengths or [], np.int64))))
+        yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+
+
+def covered(pages: DataFrame) -> DataFrame:
+    """(_owner, places, lengths) of the pages (_owner, url, html) that have
+    candidates which their host repeats."""
+    streams = written(pages.mapInArrow(_streams, "_owner long, _host long, _content long, suffixes long, stream binary"))
+    buckets = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * (streams.agg(F.sum("suffixes")).first()[0] or 0) // BUCKET)
+    distinct = written(streams.groupBy("_host", "_content").agg(F.min("stream").alias("stream")))
+    # written so that the planner sees its size
+    hosts = written(distinct.groupBy("_host").agg(F.count(F.lit(1)).alias("_n")))
+    need = lambda share, least: F.greatest(F.lit(least), F.ceil(F.col("_n") * share)).cast("long")
+    asking = spread_join(streams.dropDuplicates(["_owner"]), hosts, ["_host"], F.col("_owner"), hosts).where("_n > 1")
+    asking = asking.select("_owner", "_host", "stream", need(SHARE, 2).alias("need_body"), need(MARKED, MARKED_LEAST).alias("need_content"))
+    sent = "bucket int, sent binary"
+    suffixes = distinct.select("_host", "stream").mapInArrow(_sent(buckets, _counts), sent).union(asking.mapInArrow(_sent(buckets, _candidates), sent))
+    found = suffixes.groupBy("bucket").applyInArrow(_sorted_part, "_owner long, place long, length long")
+    out = written(found.groupBy("_owner").agg(F.collect_list(F.struct("place", "length")).alias("p")).select("_owner", F.col("p.place").alias("places"), F.col("p.length").alias("lengths")))
+    for t in (streams, distinct, hosts):
+        discard(t)
+    return out
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of ``pages`` (page_id, url, html)."""
-    spark = pages.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
-    marks = F.col("html").rlike(r"(?i)<(article|main)[\s/>]")
-    simple = rows.where(marks).mapInArrow(_marked_text, SCHEMA)
-    keyed = rows.withColumn("_owner", F.xxhash64("url", "html"))
-    streams = written(keyed.select("_owner", "url", "html").mapInArrow(_streams, "_owner long, _host long, _content long, asks boolean, stream binary"))
-    distinct = streams.groupBy("_host", "_content").agg(F.min("stream").alias("stream"))
-    # written so that the planner sees its size
-    hosts = written(streams.groupBy("_host", "_content").agg(F.lit(1).alias("_one")).groupBy("_host").agg(F.count(F.lit(1)).alias("_n")))
-    need = F.greatest(F.lit(2), F.ceil(F.col("_n") * SHARE)).cast("long")
-    asking = streams.where("asks").dropDuplicates(["_owner"]).join(hosts, "_host").select("_owner", "_host", "stream", need.alias("need"))
-    sent = "bucket int, sent binary"
-    suffixes = distinct.select("_host", "stream").mapInArrow(_counted(buckets), sent).union(asking.mapInArrow(_asked(buckets), sent))
-    covered = suffixes.groupBy("bucket").applyInArrow(_sorted_part, "_owner long, place long").groupBy("_owner").agg(F.collect_list("place").alias("places"))
-    rest = keyed.where(~marks).join(covered, "_owner", "left").select("page_id", "url", "html", "places")
-    return simple.union(rest.mapInArrow(_unmarked_text, SCHEMA))
+    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("_owner", F.xxhash64("url", "html"))
+    places = covered(rows.select("_owner", "url", "html"))
+    # what is exchanged are the candidates, compressed; copies of a page are dealt apart
+    packed, hot = salted(rows, ["_owner"], F.xxhash64("page_id"))
+    packed = packed.mapInArrow(_read, "page_id long, url string, _owner long, packed binary, _salt int")
+    joined = packed.join(salted_table(places, ["_owner"], hot), ["_owner", "_salt"], "left")
+    return joined.select("page_id", "url", "packed", "places", "lengths").mapInArrow(_texts, "page_id long, url string, text string, n_chars long")

@@ -6,10 +6,13 @@ from folioscope.llm import html_extract as H
 COLUMNS = "page_id long, url string, html string"
 
 
+NONE = np.zeros(0, np.int64)
+
+
 def text(page):
+    """The text of a page that is alone on its host."""
     found = H.blocks(page)
-    kept = H.marked(found)
-    return "\n".join([t for t, p in found if p == "body"] if kept is None else kept)
+    return "\n".join(t for (t, _), k in zip(found, H.kinds(found), strict=True) if k)
 
 
 def test_article_without_the_rest():
@@ -49,22 +52,91 @@ def test_unmarked_pages_lose_what_their_host_repeats(spark):
     assert got == want
 
 
-def brute_cover(streams, k):
-    """Places of page k covered by RUN tokens that another page has, too."""
-    grams = lambda s: {tuple(s[i : i + H.RUN]) for i in range(len(s) - H.RUN + 1)}
-    others = set().union(*(grams(s) for j, s in enumerate(streams) if j != k))
-    s = streams[k]
-    return {i for i in range(len(s) - H.RUN + 1) if tuple(s[i : i + H.RUN]) in others}
-
-
-def test_array_equals_brute_force(spark):
-    r = np.random.default_rng(6)
-    htmls = ["<body>" + "".join("<p>" + " ".join(r.choice(["a", "b", "c"], r.integers(1, 9))) + "</p>" for _ in range(6)) + "</body>" for _ in range(20)]
-    streams = [H._stream(H.blocks(h)).tolist() for h in htmls]
-    got = {x.page_id: x.text for x in H.extract(pages(spark, [(k, "http://h/", h) for k, h in enumerate(htmls)])).collect()}
-    for k, h in enumerate(htmls):
-        places = np.array(sorted(brute_cover(streams, k)), np.int64)
-        assert got[k] == "\n".join(H.unique_runs(H.blocks(h), places))
+def brute(htmls, need):
+    """The texts of unmarked pages of one host: tokens in runs that enough pages have."""
+    streams = []
+    for h in htmls:
+        streams.append([w for t, _ in H.blocks(h) for w in ["", *t.split()]] + [""])
+    grams = [{tuple(s[i : i + H.RUN]) for i in range(len(s) - H.RUN + 1)} for s in streams]
+    out = []
+    for h, s in zip(htmls, streams, strict=True):
+        cover = set()
+        for i in range(len(s) - H.RUN + 1):
+            if sum(tuple(s[i : i + H.RUN]) in g for g in grams) >= need:
+                cover |= set(range(i, i + H.RUN))
+        kept, at = [], 1
+        for t, _ in H.blocks(h):
+            words = t.split()
+            own = [at + k in cover for k in range(len(words))]
+            at += len(words) + 1
+            rest, k = [], 0
+            while k < len(words):
+                e = k
+                while e < len(words) and own[e] == own[k]:
+                    e += 1
+                if not own[k] or e - k < min(H.RUN, len(words)):
+                    rest += words[k:e]
+                k = e
+            if rest:
+                kept.append(" ".join(rest))
+        out.append("\n".join(kept))
+    return out
+
+
+def test_array_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(H, "BUCKET", 50)
+    monkeypatch.setattr(H, "HELD", 40)
+    for seed in range(3):
+        r = np.random.default_rng(seed)
+        htmls = ["<body>" + "".join("<p>" + " ".join(r.choice(["a", "b", "c"], r.integers(1, 40))) + "</p>" for _ in range(6)) + "</body>" for _ in range(25)]
+        got = {x.page_id: x.text for x in H.extract(pages(spark, [(k, "http://h/", h) for k, h in enumerate(htmls)])).collect()}
+        assert [got[k] for k in range(25)] == brute(htmls, 3)
+
+
+def test_repeats_are_those_of_a_suffix_array():
+    """Lengths from sorted neighbours equal those of comparing all suffixes."""
+    r = np.random.default_rng(4)
+    x = np.zeros(300, H.SUFFIX)
+    x["context"] = np.sort(r.integers(0, 2, (300, H.DEPTH)), axis=1)
+    x["host"], x["need"], x["pages"] = r.integers(0, 2, 300), r.integers(0, 40, 300), r.integers(0, 3, 300)
+    x["own"] = r.integers(0, 12, 300)
+    want = []
+    for y in x:
+        length = 0
+        for n in range(H.RUN, H.DEPTH + 1):
+            same = (x["context"][:, :n] == y["context"][:n]).all(1) & (x["host"] == y["host"])
+            if y["need"] and x["pages"][same & (x["own"] < n)].sum() >= y["need"]:
+                length = n
+        want.append(length)
+    assert H.repeats(x).tolist() == want and 0 < sum(v > 0 for v in want) < 300
+
+
+def test_marked_content_loses_lines_that_its_host_repeats(spark):
+    """The array decides on pages with articles, too: a line of the template goes,
+    a paragraph that three of many pages share stays."""
+    line, shared = "Please subscribe to our weekly letter for more of this", "this paragraph stands in three of the pages of the host only"
+    own = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    rows = [(k, f"http://h.example/{k}", f"<nav>Menu</nav><article><h1>Title</h1><p>{own(k)}</p><p>{line}</p>{f'<p>{shared}</p>' if k < 3 else ''}</article>") for k in range(12)]
+    got = {r.page_id: r.text for r in H.extract(pages(spark, rows)).collect()}
+    for k in range(12):
+        assert got[k] == "\n".join(["Title", own(k)] + [shared] * (k < 3))
+    # alone on its host, the same page keeps the line
+    assert line in H.extract(pages(spark, rows[:1])).first().text
+
+
+def test_pages_without_a_usable_article_use_the_array(spark):
+    """An article that is named out, empty, or in a comment or script marks nothing."""
+    line = "boilerplate that every page of this host repeats in full"
+    odd = ["<article class='comment-body'>said</article>", "<!-- <article>x</article> -->", "<script>var a='<main>';</script>", "<article></article>", "<aside><main></main></aside>", ""]
+    rows = [(k, f"http://h.example/{k}", f"<body>{odd[k]}<p>own text {' '.join(f'w{k}x{i}' for i in range(9))}</p><p>{line}</p></body>") for k in range(6)]
+    for r in H.extract(pages(spark, rows)).collect():
+        assert r.text == f"own text {' '.join(f'w{r.page_id}x{i}' for i in range(9))}"
+
+
+def test_parts_of_main_and_content_names():
+    assert text("<main><article>teaser</article><p>all the rest of the main text</p></main><p>out") == "teaser\nall the rest of the main text"
+    assert text("<main><article>the long article that is the page</article><p>more</p></main>") == "the long article that is the page"
+    assert text("<div class='content share-enabled'><p>kept</p></div><div class='share'>out</div>") == "kept"
 
 
 def test_empty_table(spark):
