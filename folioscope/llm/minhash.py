@@ -218,7 +218,7 @@ def _confirm(percent: int):
 
 
 def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Edges (src, dst) whose sets are similar enough; sets: (doc_id, items)."""
+    """Edges (src, dst), a written table, whose sets are similar enough; sets: (doc_id, items)."""
     a = sets.select(F.col("doc_id").alias("src"), F.col("items").alias("x"))
     b = sets.select(F.col("doc_id").alias("dst"), F.col("items").alias("y"))
     # a centre of many stars is a hot key with a large row
@@ -315,7 +315,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH)
     discard(stars)
     labels = components(links)
     mixed = mixed_buckets(members.select("band", "bucket", "doc_id"), labels)
-    found = written(confirmed(residual_pairs(mixed, reps.select("doc_id", "n_shingles", "parity"), percent), sets, percent))
+    # written: the join by centre reads its edges twice
+    maybe = written(residual_pairs(mixed, reps.select("doc_id", "n_shingles", "parity"), percent))
+    found = written(confirmed(maybe, sets, percent))
+    discard(maybe)
     if found.limit(1).count():
         labels = components(links.union(found))
     for t in (members, sets):
