@@ -79,3 +79,17 @@ def mean_pool(rows: DataFrame, keys: Sequence[str], vector: str = "vector") -> D
     some = rows.where(F.col(vector).isNotNull()).select(*keys, vector).mapInArrow(_sums(keys, vector, True), schema)
     sums = some.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_sums(keys, vector, False), schema)
     return sums.where("_sum IS NOT NULL").select(*keys, normalise(F.transform("_sum", lambda x: x / F.col("_n"))).alias(vector))
+
+
+#: Partial sums that a centroid adds up last.
+LANES = 64
+
+
+def centroid(rows: DataFrame, vector: str = "vector") -> DataFrame:
+    """Renormalised mean of all vectors: one row ``_centre``, none without a
+    vector or if lengths differ. Sums go through ``LANES`` tasks before the last."""
+    schema = "_lane int, _sum array<double>, _n long"
+    sums = rows.where(F.col(vector).isNotNull()).select((F.spark_partition_id() % LANES).alias("_lane"), vector).mapInArrow(_sums(["_lane"], vector, True), schema)
+    sums = sums.repartition("_lane").sortWithinPartitions("_lane").mapInArrow(_sums(["_lane"], vector, False), schema)
+    last = sums.withColumn("_lane", F.lit(0)).repartition(1).mapInArrow(_sums(["_lane"], vector, False), schema)
+    return last.where("_sum IS NOT NULL").select(normalise(F.transform("_sum", lambda x: x / F.col("_n"))).alias("_centre"))

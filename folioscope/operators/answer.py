@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.providers import Offline, completed
 from folioscope.functions.text import citations, sanitize_prompt, source_label, wrap_untrusted
-from folioscope.functions.vectors import dot, mean_pool
+from folioscope.functions.vectors import centroid, dot
 from folioscope.operators.catalog import budgeted
 
 BUDGET = 16_000
@@ -68,7 +68,7 @@ def distilled_sources(chunks: DataFrame, selected: DataFrame, top: int = 3) -> D
     chunks: id, note_id, vector; selected: note_id.
     """
     c = chunks.join(selected, "note_id", "left_semi").where("vector IS NOT NULL")
-    centre = mean_pool(c.withColumn("all", F.lit(1)), ["all"]).select(F.col("vector").alias("_centre"))
+    centre = centroid(c)
     # one row
     scored = c.crossJoin(F.broadcast(centre)).select("note_id", "id", F.round(dot(F.col("vector"), F.col("_centre")), 6).alias("score"))
     return scored.withColumn("rank", F.row_number().over(W.partitionBy("note_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= top)

@@ -82,10 +82,16 @@ def dashboard(notes: DataFrame, chunks: DataFrame) -> DataFrame:
     return n.crossJoin(chunks.agg(F.count(F.lit(1)).alias("chunks")))
 
 
+def duplicate_groups(notes: DataFrame) -> DataFrame:
+    """(content_hash, n, first_id) of non-empty contents that several notes have."""
+    g = notes.where("content_hash <> ''").groupBy("content_hash").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
+    return g.where("n > 1")
+
+
 def exact_duplicates(notes: DataFrame) -> DataFrame:
-    """Groups of notes with one non-empty content hash, largest first."""
-    g = notes.where("content_hash <> ''").groupBy("content_hash").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.sort_array(F.collect_list("id")).alias("ids"))
-    return g.where("n > 1").select("content_hash", "n", "first_id", F.array_join("ids", ",").alias("ids"))
+    """The notes that share a non-empty content, a row each, with their group's
+    size and lowest id; no group is gathered."""
+    return notes.select("content_hash", "id").join(duplicate_groups(notes), "content_hash").select("content_hash", "n", "first_id", "id")
 
 
 def unused_tags(tags: DataFrame, note_tags: DataFrame) -> DataFrame:
@@ -111,19 +117,50 @@ def reconcile_tags(rows: DataFrame, canonical: dict[str, str], tags: str = "tags
     return rows.withColumn(tags, F.array_distinct(F.filter(F.transform(tags, one), lambda t: t != "")))
 
 
+#: Cells into which a round of a quantile divides what is left of a group.
+CELLS = 1024
+
+
 def quantile(rows: DataFrame, keys: Sequence[str], value: str, q: float, name: str) -> DataFrame:
     """Nearest-rank quantile: the sorted value at round(q * (n - 1)), half to even.
 
-    Ranks come from a window, so that no group is gathered to one array.
+    A number. Each of two rounds counts a group's rows in ``CELLS`` cells between
+    its least and greatest value and goes on with the cell of the wanted rank; of
+    the distinct values that are left the one of that rank is taken. Windows run
+    over counts of cells, never over the rows of a group.
     """
-    w = W.partitionBy(*keys)
-    r = rows.where(F.col(value).isNotNull()).withColumn("_k", F.row_number().over(w.orderBy(value))).withColumn("_n", F.count(F.lit(1)).over(w))
-    return r.where(F.col("_k") == F.rint(F.lit(q) * (F.col("_n") - 1)) + 1).select(*keys, F.col(value).alias(name))
+    keys = list(keys)
+    left = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    goal = left.groupBy(*keys).agg(F.rint(F.lit(q) * (F.count(F.lit(1)) - 1)).cast("long").alias("_rank"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+
+    def with_goal(rows: DataFrame) -> DataFrame:
+        named = goal.withColumnsRenamed({k: f"_goal_{k}" for k in keys})
+        on = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_goal_{k}")) for k in keys], F.lit(True))
+        return rows.join(named, on).drop(*[f"_goal_{k}" for k in keys])
+
+    for _ in range(2):
+        width = F.col("_high").cast("double") - F.col("_low").cast("double")
+        cell = F.when(width > 0, F.least(F.lit(CELLS - 1), F.floor((F.col("_v").cast("double") - F.col("_low").cast("double")) / width * CELLS))).otherwise(0)
+        placed = with_goal(left).select(*keys, "_v", "_rank", cell.alias("_cell"))
+        counts = placed.groupBy(*keys, "_cell", "_rank").agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+        before = F.coalesce(F.sum("_n").over(W.partitionBy(*keys).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        goal = counts.withColumn("_before", before).where("_before <= _rank AND _rank < _before + _n").select(*keys, (F.col("_rank") - F.col("_before")).alias("_rank"), "_low", "_high")
+        left = with_goal(left).where("_v BETWEEN _low AND _high").select(*keys, "_v")
+    counts = with_goal(left.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n")))
+    upto = F.sum("_n").over(W.partitionBy(*keys).orderBy("_v"))
+    return counts.withColumn("_upto", upto).where("_rank < _upto AND _rank >= _upto - _n").select(*keys, F.col("_v").alias(name))
 
 
 def newest(rows: DataFrame, order: str, keep: int) -> DataFrame:
-    """Rows beyond the newest ``keep``, for deletion."""
-    return rows.withColumn("_k", F.row_number().over(W.orderBy(F.desc(order)))).where(F.col("_k") > keep).drop("_k")
+    """Rows beyond the newest ``keep``, for deletion; of rows as old as the last
+    kept one none goes.
+
+    The newest are found by a distributed top-k, and its last value is one row.
+    """
+    if keep <= 0:
+        return rows
+    last = rows.select(order).orderBy(F.desc(order)).limit(keep).agg(F.count(F.lit(1)).alias("_n"), F.min(order).alias("_last"))
+    return rows.join(F.broadcast(last), (F.col("_n") == keep) & (F.col(order) < F.col("_last"))).select(*rows.columns)
 
 
 def last_turns(turns: DataFrame, keep: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 SIZE, OVERLAP = 1500, 150
 
+log = logging.getLogger(__name__)
+
 
 def window_step(size: int, overlap: int) -> int:
     return size - (overlap if overlap < size else size // 2)
@@ -97,6 +100,7 @@ def semantic(rows: DataFrame, embed: Callable[[list[str]], list[list[float]]], s
                 try:
                     v = np.array(embed(said), float) if said else np.zeros((0, 1))
                 except Exception:  # noqa: BLE001  the provider may fail in any way
+                    log.warning("no vectors for the sentences of a text; paragraphs are packed", exc_info=True)
                     out.append(fallback)
                     continue
                 done, held, mean = [], [], None

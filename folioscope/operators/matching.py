@@ -18,18 +18,27 @@ def similarity(a: Column, b: Column) -> Column:
     return F.greatest(edit, within)
 
 
+#: Words of a mention by which similar titles are looked up.
+RAREST = 3
+
+
 def resolved_mentions(mentions: DataFrame, notes: DataFrame, least: float = 55.0) -> DataFrame:
     """(mention, id, how): by exact path, else by exact title, else the most
     similar title, if it is similar enough; ties go to the lowest id.
 
     mentions: mention; notes: id, path, title. The similar titles are those that
-    share a token with the mention.
+    share one of the mention's ``RAREST`` rarest words.
     """
     m = mentions.select("mention").distinct()
     path = m.join(notes, F.col("mention") == F.col("path")).select("mention", "id", F.lit(0).alias("_o"), F.lit(100.0).alias("_s"))
     title = m.join(notes, F.lower("mention") == F.lower("title")).select("mention", "id", F.lit(1).alias("_o"), F.lit(100.0).alias("_s"))
-    words = lambda c: F.explode(F.array_distinct(F.regexp_extract_all(fold(c), F.lit("([a-z0-9]{2,})"), 1)))
-    near = m.select("mention", words(F.col("mention")).alias("w")).join(notes.select("id", "title", words(F.col("title")).alias("w")), "w").select("mention", "id", "title").distinct()
+    words = lambda c: F.array_distinct(F.regexp_extract_all(fold(c), F.lit("([a-z0-9]{2,})"), 1))
+    asked, named = m.select("mention", words(F.col("mention")).alias("words")), notes.select("id", "title", words(F.col("title")).alias("words"))
+    # by the words that fewest titles have: a word of all titles would pair all
+    df = named.select(F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("_df"))
+    rare = asked.select("mention", F.explode("words").alias("w")).join(df, "w").groupBy("mention").agg(F.slice(F.sort_array(F.collect_list(F.struct("_df", "w"))), 1, RAREST).alias("r"))
+    rare = rare.select("mention", F.explode("r.w").alias("w"))
+    near = rare.join(named.select("id", "title", F.explode("words").alias("w")), "w").select("mention", "id", "title").distinct()
     near = near.select("mention", "id", F.lit(2).alias("_o"), similarity(F.col("mention"), F.col("title")).alias("_s")).where(F.col("_s") >= least)
     best = F.row_number().over(W.partitionBy("mention").orderBy("_o", F.desc("_s"), "id"))
     found = path.union(title).union(near).withColumn("_k", best).where("_k = 1")

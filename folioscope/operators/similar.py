@@ -15,6 +15,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BLOCK = 2048
+#: The score of what does not count.
+NEVER = -1e6
 
 
 def _blocks(rows: DataFrame, n: int) -> DataFrame:
@@ -47,17 +49,20 @@ def _same_length(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("vector").isNotNull() & (F.size("vector") > 0))
 
 
-def top_k(queries: DataFrame, items: DataFrame, needed: int, decimals: int = 6) -> DataFrame:
-    """(query_id, id, note_id, score): the best ``needed`` items of each query.
+def top_k(queries: DataFrame, items: DataFrame, needed: int, decimals: int = 6, apart: bool = False, least: float | None = None) -> DataFrame:
+    """(query_id, id, note_id, score, rank): the best ``needed`` items of each query.
 
     queries: id, vector; items: id, note_id, vector. Scores are inner products,
     rounded; ties go to the lower id. Vectors of other lengths do not match.
+    apart: queries have a note_id, and items of that note do not count. Scores
+    below ``least`` do not leave their block.
     """
-    queries, items = _same_length(queries.select("id", "vector")), _same_length(items.select("id", "note_id", "vector"))
+    own = F.col("note_id") if apart else F.lit(None).cast("long").alias("note_id")
+    queries, items = _same_length(queries.select("id", own, "vector")), _same_length(items.select("id", "note_id", "vector"))
     nq, ni = queries.count(), items.count()
     q, x = _blocks(queries, nq), _blocks(items, ni)
     qb, xb = max(1, -(-nq // BLOCK)), max(1, -(-ni // BLOCK))
-    left = q.select("_b", F.explode(F.sequence(F.lit(0), F.lit(xb - 1))).alias("_c"), F.lit(0).alias("side"), "id", F.lit(None).cast("long").alias("note_id"), F.col("vector").cast("array<double>").alias("vector"))
+    left = q.select("_b", F.explode(F.sequence(F.lit(0), F.lit(xb - 1))).alias("_c"), F.lit(0).alias("side"), "id", "note_id", F.col("vector").cast("array<double>").alias("vector"))
     right = x.select(F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("_b"), F.col("_b").alias("_c"), F.lit(1).alias("side"), "id", "note_id", F.col("vector").cast("array<double>").alias("vector"))
 
     def run(key, table):
@@ -72,10 +77,14 @@ def top_k(queries: DataFrame, items: DataFrame, needed: int, decimals: int = 6)
             ids = b["id"].to_numpy()
             order = np.argsort(ids, kind="stable")
             score = np.round(_matrix(a["vector"]) @ _matrix(b["vector"]).T, decimals)[:, order]
+            if apart:
+                score[a["note_id"].to_numpy()[:, None] == b["note_id"].to_numpy()[order][None, :]] = NEVER
             best = _best(score, needed, decimals)
             rows = np.repeat(np.arange(len(a)), best.shape[1])
-            at = order[best.ravel()]
-            out.append(pa.table({"query_id": a["id"].take(rows), "id": b["id"].take(at), "note_id": b["note_id"].take(at), "score": np.take_along_axis(score, best, 1).ravel()}))
+            at, found = order[best.ravel()], np.take_along_axis(score, best, 1).ravel()
+            good = np.flatnonzero(found >= (NEVER + 1 if least is None else least))
+            rows, at = rows[good], at[good]
+            out.append(pa.table({"query_id": a["id"].take(rows), "id": b["id"].take(at), "note_id": b["note_id"].take(at), "score": found[good]}))
         schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("note_id", pa.int64()), ("score", pa.float64())])
         return pa.concat_tables(out).cast(schema) if out else schema.empty_table()
 
@@ -172,12 +181,8 @@ def claim_pairs(claims: DataFrame, seen: DataFrame | None = None, least: float =
     claims: id, note_id, vector; each claim proposes its ``top`` nearest.
     """
     asked = claims if focus is None else claims.join(focus, "id", "left_semi")
-    near = pairs_over(claims, least)
-    both = near.select(F.col("a_id").alias("id"), F.col("b_id").alias("other"), "score").union(near.select("b_id", "a_id", "score"))
-    note = claims.select("id", "note_id")
-    both = both.join(asked.select("id", "note_id"), "id").join(note.withColumnsRenamed({"id": "other", "note_id": "other_note"}), "other").where("note_id <> other_note")
-    rank = F.row_number().over(W.partitionBy("id").orderBy(F.desc("score"), "other"))
-    out = both.withColumn("rank", rank).where(F.col("rank") <= top).select(F.least("id", "other").alias("a_id"), F.greatest("id", "other").alias("b_id"), "score").distinct()
+    near = top_k(asked, claims, top, apart=True, least=least)
+    out = near.select(F.least("query_id", "id").alias("a_id"), F.greatest("query_id", "id").alias("b_id"), "score").distinct()
     if seen is not None:
         s = seen.select(F.least("claim_a_id", "claim_b_id").alias("a_id"), F.greatest("claim_a_id", "claim_b_id").alias("b_id"))
         out = out.join(s, ["a_id", "b_id"], "left_anti")

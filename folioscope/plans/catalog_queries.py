@@ -188,7 +188,7 @@ def a5_dashboard(spark, sf_dir):
 
 
 @query("a6_exact_duplicates", sql("notes", """
-SELECT content_hash, count(*) AS n, min(id) AS first_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM notes WHERE content_hash <> '' GROUP BY 1 HAVING count(*) > 1"""))
+SELECT content_hash, count(*) OVER (PARTITION BY content_hash) AS n, min(id) OVER (PARTITION BY content_hash) AS first_id, id FROM notes WHERE content_hash <> '' QUALIFY count(*) OVER (PARTITION BY content_hash) > 1"""))
 def a6_exact_duplicates(spark, sf_dir):
     return C.exact_duplicates(V.notes(spark, sf_dir))
 

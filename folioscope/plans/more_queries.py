@@ -148,10 +148,10 @@ def f37_failures(spark, sf_dir):
 
 
 @for_notes
-@query("x3_ranked_union", V.sql("chunks", "").rstrip() + ", " + _INDEX.strip() + " SELECT query_id, count(*) AS n FROM (SELECT query_id, id FROM bm25 WHERE rank <= 10 UNION SELECT query_id, note_id * 1000 FROM bm25 WHERE rank <= 10) GROUP BY 1")
+@query("x3_ranked_union", V.sql("chunks", "").rstrip() + ", " + _INDEX.strip() + " SELECT query_id, count(*) AS n FROM (SELECT query_id, id FROM bm25 WHERE rank <= 10 UNION SELECT query_id, note_id * 1000000 FROM bm25 WHERE rank <= 10) GROUP BY 1")
 def x3_ranked_union(spark, sf_dir, asked=None):
     r = r1_bm25(spark, sf_dir, asked).where("rank <= 10")
-    return r.select("query_id", "id").union(r.select("query_id", F.col("note_id") * 1000)).distinct().groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    return r.select("query_id", "id").union(r.select("query_id", F.col("note_id") * V.CHUNKS_PER_NOTE)).distinct().groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("x5_distinct_edges", "SELECT l_partkey AS src, l_suppkey AS dst, arg_min(l_linenumber, (l_orderkey, l_linenumber)) AS label FROM lineitem GROUP BY 1, 2")
@@ -166,9 +166,9 @@ def x7_stale_indices(spark, sf_dir):
     return p.groupBy("note_id").agg(F.array_join(F.sort_array(F.collect_list("chunk_index")), ",").alias("indices"))
 
 
-@query("r12_exact_duplicates", sql("notes", "SELECT content_hash, count(*) AS n FROM notes GROUP BY 1 HAVING count(*) > 1"))
+@query("r12_exact_duplicates", sql("notes", "SELECT content_hash, count(*) AS n, min(id) AS first_id FROM notes WHERE content_hash <> '' GROUP BY 1 HAVING count(*) > 1"))
 def r12_exact_duplicates(spark, sf_dir):
-    return C.exact_duplicates(V.notes(spark, sf_dir)).select("content_hash", "n")
+    return C.duplicate_groups(V.notes(spark, sf_dir))
 
 
 @query("r26_dispatch", sql("chunks", "SELECT note_id, count(*) AS n FROM chunks GROUP BY 1"))
@@ -204,9 +204,9 @@ def r32_eval_run(spark, sf_dir):
     return E.scored(turns).select(F.col("item_id").alias("case_id"), "hit_at_1", "hit_at_3", "mrr")
 
 
-@query("r36_compaction", "SELECT count(*) AS n, sum(l_orderkey) AS keys FROM lineitem")
+@query("r36_compaction", "SELECT count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS keys FROM lineitem")
 def r36_compaction(spark, sf_dir):
-    return store.compact(V.table(spark, sf_dir, "lineitem"), 4).agg(F.count(F.lit(1)).alias("n"), F.sum("l_orderkey").cast("decimal(38,0)").alias("keys"))
+    return store.compact(V.table(spark, sf_dir, "lineitem"), 4).agg(F.count(F.lit(1)).alias("n"), F.sum("l_orderkey").alias("keys"))
 
 
 @query("r38_claim_vectors", sql("claims", "SELECT note_id, count(*) AS claims, count(vector) AS paired FROM claims GROUP BY 1"))
@@ -224,7 +224,7 @@ def r39_show(spark, sf_dir):
 
 
 @for_notes
-@query("r41_result_metadata", V.sql("chunks", "").rstrip() + ", " + _INDEX.strip() + " SELECT query_id, b.id, 'doc-' || b.note_id AS title, CAST(b.id % 1000 + 1 AS INT) AS page FROM bm25 b WHERE rank <= 10")
+@query("r41_result_metadata", V.sql("chunks", "").rstrip() + ", " + _INDEX.strip() + " SELECT query_id, b.id, 'doc-' || b.note_id AS title, CAST(b.id % 1000000 + 1 AS INT) AS page FROM bm25 b WHERE rank <= 10")
 def r41_result_metadata(spark, sf_dir, asked=None):
     r = r1_bm25(spark, sf_dir, asked).where("rank <= 10").select("query_id", "id", "note_id")
     c = V.chunks(spark, sf_dir).select("id", (F.col("chunk_index") + 1).alias("page"))
@@ -233,4 +233,4 @@ def r41_result_metadata(spark, sf_dir, asked=None):
 
 @query("r42_dedupe_report", sql("notes", "SELECT count(*) AS groups, CAST(sum(n) AS BIGINT) AS notes FROM (SELECT count(*) AS n FROM notes WHERE content_hash <> '' GROUP BY content_hash HAVING count(*) > 1)"))
 def r42_dedupe_report(spark, sf_dir):
-    return C.exact_duplicates(V.notes(spark, sf_dir)).agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("notes"))
+    return C.duplicate_groups(V.notes(spark, sf_dir)).agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("notes"))

@@ -14,6 +14,8 @@ from folioscope.functions.hashing import content_hash, file_hash
 MODEL = "lexical-768"
 ROOTS = {"en": "reference", "fr": "journal", "de": "projects"}
 FORMATS = ["md", "txt", "html", "pdf"]
+#: Ids of chunks are apart for texts of up to 1.35 billion characters.
+CHUNKS_PER_NOTE = 1_000_000
 #: The day on which freshness is judged.
 TODAY = "2025-02-01 00:00:00"
 
@@ -64,7 +66,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioscope.operators.chunking import sliding_windows
 
     return sliding_windows(notes(spark, sf_dir).select(F.col("id").alias("note_id"), "text"), 1500, 150).select(
-        (F.col("note_id") * 1000 + F.col("chunk_index")).alias("id"), "note_id", "chunk_index", F.col("chunk").alias("text_content")
+        (F.col("note_id") * CHUNKS_PER_NOTE + F.col("chunk_index")).alias("id"), "note_id", "chunk_index", F.col("chunk").alias("text_content")
     )
 
 
@@ -118,7 +120,7 @@ SQL = {
   UNION SELECT doc_id, 'toxic' FROM labels WHERE toxic = 1)""",
     "tags": """tags AS (SELECT tag AS name FROM note_tags UNION SELECT lower(r_name) FROM region)""",
     "chunks": """chunks AS (
-  SELECT note_id * 1000 + k AS id, note_id, CAST(k AS INT) AS chunk_index, substr(text, CAST(k * 1350 + 1 AS BIGINT), 1500) AS text_content
+  SELECT note_id * 1000000 + k AS id, note_id, CAST(k AS INT) AS chunk_index, substr(text, CAST(k * 1350 + 1 AS BIGINT), 1500) AS text_content
   FROM (SELECT doc_id AS note_id, text, unnest(generate_series(0, CAST(ceil(greatest(length(text) - 1500, 0) / 1350.0) AS BIGINT))) AS k FROM documents WHERE length(text) > 0))""",
     "raw_vectors": """raw_vectors AS (
   SELECT vec_id + 1 AS id, vec_id // 5 AS note_id, CAST(vec_id % 5 AS INT) AS chunk_index, embedding AS vector, label FROM embeddings)""",
