@@ -16,8 +16,8 @@ Covered runs of a page that marks nothing are removed and the unique runs kept;
 ``SHARE`` of the host's pages, and two at least, make a repeat. Of marked
 content, whole blocks of up to ``LONGEST`` tokens are removed if ``MARKED`` of
 the host's pages, and ``MARKED_LEAST`` at least, repeat them: lines like
-"subscribe to our letter" within articles. There the array takes the suffixes
-at every ``DEPTH``-th token, elsewhere all.
+"subscribe to our letter" within articles. There the array takes the suffix at
+the beginning of each block, its tail told by a fingerprint; elsewhere all.
 
 Pages of a host with equal content are one page in this, so a text that is
 published again under another address is not held against itself.
@@ -202,7 +202,7 @@ def _stream(found: list[tuple[str, str | None]]) -> tuple[np.ndarray, np.ndarray
         tokens += map(_token, words)
         tokens.append(0)
         # a run may begin with the mark before the block
-        first = range(at, at + n, DEPTH) if kind == IN_CONTENT else range(at - 1, at + n)
+        first = [at] if kind == IN_CONTENT else range(at - 1, at + n)
         places += first
         kind_of += [kind] * len(first)
     return np.array(tokens, "<u4"), np.array(places, "<u4"), np.array(kind_of, np.uint8)
@@ -213,12 +213,17 @@ def _token(word: str) -> int:
 
 
 def _contexts(tokens: np.ndarray, places: np.ndarray, whole: np.ndarray) -> np.ndarray:
-    """The first ``DEPTH`` tokens of suffixes. Those of ``whole`` end with their
-    block; after that, and after the page's end, comes what no token is."""
+    """The first ``DEPTH`` tokens of suffixes; after the page's end comes what no
+    token is. Of ``whole`` blocks, two hashes of the block follow ``RUN`` tokens."""
     end = np.arange(1, DEPTH + 1, dtype="<u4") * np.uint32(2)
-    out = np.lib.stride_tricks.sliding_window_view(np.concatenate([tokens, end]), DEPTH)[places]
-    over = np.logical_or.accumulate(out == 0, axis=1) & (out != 0) & whole[:, None]
-    return np.where(over, end[-1], out)
+    out = np.lib.stride_tricks.sliding_window_view(np.concatenate([tokens, end]), DEPTH)[places].copy()
+    for k in np.flatnonzero(whole):
+        at = int(places[k])
+        block = tokens[at : at + int(np.argmax(tokens[at:] == 0))]
+        h = xxhash.xxh3_64_intdigest(block.tobytes())
+        out[k, RUN:] = end[-1]
+        out[k, RUN : RUN + 2] = h & 0xFFFFFFFF, h >> 32
+    return out
 
 
 def _host(url: str | None) -> str:
@@ -247,7 +252,8 @@ SUFFIX = np.dtype([("host", "<u8"), ("context", "<u4", (DEPTH,)), ("pages", "<u4
 
 
 def _suffixes(b: pa.RecordBatch, k: int) -> np.ndarray:
-    """The suffixes of a page that may begin a repeat, with the pages that it takes for a candidate."""
+    """The suffixes of a page that may begin a repeat: as evidence, if the page
+    stands for its content, and as questions."""
     tokens, places, kind = unsqueeze(b.column("stream")[k].as_py(), "<u4", "<u4", np.uint8)
     # a repeat does not begin within RUN tokens of the page's end
     some = (places + RUN <= len(tokens)) | (kind == IN_CONTENT)
@@ -255,9 +261,8 @@ def _suffixes(b: pa.RecordBatch, k: int) -> np.ndarray:
     x = np.zeros(len(places), SUFFIX)
     x["host"] = b.column("_host")[k].as_py() & 0xFFFFFFFFFFFFFFFF
     x["context"], x["place"] = _contexts(tokens, places, kind == IN_CONTENT), places
-    if "need_body" in b.schema.names:
-        x["owner"] = b.column("_owner")[k].as_py()
-        x["need"] = np.array([0, b.column("need_body")[k].as_py(), b.column("need_content")[k].as_py()])[kind]
+    x["owner"], x["pages"] = b.column("_owner")[k].as_py(), b.column("first")[k].as_py()
+    x["need"] = np.array([0, b.column("need_body")[k].as_py(), b.column("need_content")[k].as_py()])[kind]
     return x
 
 
@@ -288,23 +293,30 @@ def _common_prefix(x: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.logical_and.accumulate(same, axis=1).sum(1)])[: len(x)]
 
 
-def _counts(held: list[np.ndarray]) -> np.ndarray:
-    """Distinct suffixes of pages, with the number of pages that have each."""
+def _common_prefix(x: np.ndarray) -> np.ndarray:
+    """The tokens that each suffix shares with the one before it."""
+    same = (x["context"][1:] == x["context"][:-1]) & (x["host"][1:] == x["host"][:-1])[:, None]
+    return np.concatenate([[0], np.logical_and.accumulate(same, axis=1).sum(1)])[: len(x)]
+
+
+def _merged(held: list[np.ndarray]) -> np.ndarray:
+    """Suffixes of pages, with what each shares with others of its page; of those
+    that ask nothing the distinct ones with the number of pages that have them."""
     x = np.concatenate(held)
     page = np.repeat(np.arange(len(held)), [len(y) for y in held])
     rank = np.unique(_key(x), return_inverse=True)[1]
     order = np.lexsort((rank, page))
     x, page, rank = x[order], page[order], rank[order]
     x["own"] = np.where(np.diff(page, prepend=-1) != 0, 0, _common_prefix(x))
-    some = x["own"] < DEPTH
-    x, rank = x[some], rank[some] * (DEPTH + 1) + x["own"][some]
-    _, at, n = np.unique(rank, return_index=True, return_counts=True)
-    out = x[at]
-    out["pages"], out["place"] = n, 0
-    return out
+    ask = x["need"] > 0
+    some = ~ask & (x["own"] < DEPTH) & (x["pages"] > 0)
+    _, at, n = np.unique(rank[some] * (DEPTH + 1) + x["own"][some], return_index=True, return_counts=True)
+    evidence = x[some][at]
+    evidence["pages"], evidence["place"], evidence["owner"] = n, 0, 0
+    return np.concatenate([evidence, x[ask]])
 
 
-def _sent(buckets: int, merge):
+def _sent(buckets: int):
     """Suffixes of pages, held until there are ``HELD``, merged, and dealt."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,23 +327,18 @@ def _sent(buckets: int, merge):
                 held.append(x)
                 n += len(x)
                 if n >= HELD:
-                    yield from _dealt(buckets, merge(held))
+                    yield from _dealt(buckets, _merged(held))
                     held, n = [], 0
         if n:
-            yield from _dealt(buckets, merge(held))
+            yield from _dealt(buckets, _merged(held))
 
     return run
 
 
-def _candidates(held: list[np.ndarray]) -> np.ndarray:
-    x = np.concatenate(held)
-    return x[x["need"] > 0]
-
-
 def repeats(x: np.ndarray) -> np.ndarray:
     """The part of the suffix array that a bucket holds: for each suffix the
     length of its longest prefix of ``RUN`` tokens or more that ``need`` pages
-    share (0: none; candidates do not count as pages themselves)."""
+    share (0: none, or the suffix asks nothing)."""
     order = np.argsort(_key(x), kind="stable")
     y = x[order]
     lcp = _common_prefix(y)
@@ -373,12 +380,13 @@ def decided(lines: list[tuple[int, str]], places: np.ndarray, lengths: np.ndarra
     np.add.at(edge, places, 1)
     np.add.at(edge, places + lengths, -1)
     cover = np.cumsum(edge) > 0
+    whole = set(places[lengths == DEPTH].tolist())
     out, at = [], 1
     for (kind, t), n in zip(lines, width, strict=True):
-        own = cover[at : at + n].copy()
+        own, begin = cover[at : at + n].copy(), at
         at += n + 1
         if kind == IN_CONTENT:
-            if not own.all():
+            if begin not in whole:
                 out.append(t)
         elif kind == BODY:
             edges = np.flatnonzero(np.diff(np.concatenate([[False], own, [False]]).astype(np.int8)))
@@ -410,19 +418,23 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def covered(pages: DataFrame) -> DataFrame:
     """(_owner, places, lengths) of the pages (_owner, url, html) that have
     candidates which their host repeats."""
-    streams = written(pages.mapInArrow(_streams, "_owner long, _host long, _content long, suffixes long, stream binary"))
+    streams = pages.mapInArrow(_streams, "_owner long, _host long, _content long, suffixes long, stream binary")
+    # numbered as they are written
+    streams = written(streams.withColumn("_row", F.monotonically_increasing_id()))
     buckets = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * (streams.agg(F.sum("suffixes")).first()[0] or 0) // BUCKET)
-    distinct = written(streams.groupBy("_host", "_content").agg(F.min("stream").alias("stream")))
+    # one row a page asks, and one row a content of a host counts
+    owners = written(streams.groupBy("_owner", "_host", "_content").agg(F.min("_row").alias("_row")))
+    contents = written(owners.groupBy("_host", "_content").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n")))
     # written so that the planner sees its size
-    hosts = written(distinct.groupBy("_host").agg(F.count(F.lit(1)).alias("_n")))
+    hosts = written(contents.groupBy("_host").agg(F.count(F.lit(1)).alias("_n")))
+    asking = spread_join(owners, contents.drop("_n"), ["_host", "_content"], F.col("_row"), contents)
+    asking = spread_join(asking, hosts, ["_host"], F.col("_row")).where("_n > 1")
     need = lambda share, least: F.greatest(F.lit(least), F.ceil(F.col("_n") * share)).cast("long")
-    asking = spread_join(streams.dropDuplicates(["_owner"]), hosts, ["_host"], F.col("_owner"), hosts).where("_n > 1")
-    asking = asking.select("_owner", "_host", "stream", need(SHARE, 2).alias("need_body"), need(MARKED, MARKED_LEAST).alias("need_content"))
-    sent = "bucket int, sent binary"
-    suffixes = distinct.select("_host", "stream").mapInArrow(_sent(buckets, _counts), sent).union(asking.mapInArrow(_sent(buckets, _candidates), sent))
-    found = suffixes.groupBy("bucket").applyInArrow(_sorted_part, "_owner long, place long, length long")
+    asking = asking.select("_row", (F.col("_row") == F.col("_first")).cast("int").alias("first"), need(SHARE, 2).alias("need_body"), need(MARKED, MARKED_LEAST).alias("need_content"))
+    sent = streams.join(asking, "_row").select("_owner", "_host", "stream", "first", "need_body", "need_content").mapInArrow(_sent(buckets), "bucket int, sent binary")
+    found = sent.groupBy("bucket").applyInArrow(_sorted_part, "_owner long, place long, length long")
     out = written(found.groupBy("_owner").agg(F.collect_list(F.struct("place", "length")).alias("p")).select("_owner", F.col("p.place").alias("places"), F.col("p.length").alias("lengths")))
-    for t in (streams, distinct, hosts):
+    for t in (streams, owners, contents, hosts):
         discard(t)
     return out
 
