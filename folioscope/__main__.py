@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import sys
 
 from pyspark.sql import SparkSession
 
@@ -26,6 +27,22 @@ def parser() -> argparse.ArgumentParser:
         s.add_argument("--format", action="append", default=[])
         s.add_argument("--tag", action="append", default=[])
     c.add_parser("eval").add_argument("golden")
+    for name in ("show", "dismiss", "resolve"):
+        c.add_parser(name, help="a contradiction").add_argument("id", type=int)
+    d = c.add_parser("distil", help="a note from all notes with a tag or in a category")
+    d.add_argument("--tag")
+    d.add_argument("--category")
+    m = c.add_parser("migrate", help="embed with another model")
+    m.add_argument("model")
+    m.add_argument("--batch", type=int)
+    m.add_argument("--abort", action="store_true")
+    c.add_parser("mirror", help="read claims and judge pairs").add_argument("--full", action="store_true")
+    c.add_parser("listed", help="contradictions").add_argument("--status", default="open")
+    c.add_parser("backup").add_argument("stamp")
+    c.add_parser("serve").add_argument("--port", type=int, default=8765)
+    c.add_parser("tools", help="a tool server on standard input and output")
+    c.add_parser("check-decay")
+    c.add_parser("preflight")
     for name in ("connect", "dedupe", "graph", "stale", "tags", "categories", "status", "sensitive", "maintain"):
         c.add_parser(name)
     return p
@@ -45,6 +62,31 @@ def main(argv: list[str] | None = None) -> None:
         e.evaluate(load_golden(spark, open(a.golden, encoding="utf-8").read())).show(100, truncate=80)
     elif a.command == "maintain":
         print(e.maintain())
+    elif a.command == "mirror":
+        print(e.mirror(full=a.full))
+    elif a.command == "listed":
+        e.listed(a.status).show(100, truncate=80)
+    elif a.command == "show":
+        e.show(a.id).show(truncate=False, vertical=True)
+    elif a.command in ("dismiss", "resolve"):
+        e.settle(spark.createDataFrame([(a.id,)], "id long"), {"dismiss": "dismissed", "resolve": "resolved"}[a.command])
+    elif a.command == "distil":
+        for row in e.distil(a.tag, a.category).collect():
+            print(row.markdown)
+    elif a.command == "migrate":
+        print(e.abort_migration(a.model) if a.abort else e.migrate(a.model, e.provider, a.batch))
+    elif a.command == "backup":
+        print(e.backup(a.stamp))
+    elif a.command == "check-decay":
+        e.check_decay().show(100, truncate=120)
+    elif a.command == "serve":
+        from folioscope.serve import Service, server
+
+        server(Service(e), port=a.port).serve_forever()
+    elif a.command == "tools":
+        from folioscope.serve import Service, ToolServer
+
+        ToolServer(Service(e)).lines(sys.stdin, sys.stdout)
     else:
         out = {"dedupe": e.duplicates}.get(a.command, getattr(e, a.command, None))()
         for t in out if isinstance(out, tuple) else (out,):

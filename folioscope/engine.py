@@ -16,14 +16,24 @@ from folioscope.functions import hashing
 from folioscope.functions.providers import Offline, embedded
 from folioscope.functions.text import sensitive_classes
 from folioscope.functions.vectors import mean_pool
-from folioscope.operators import answer, catalog, chunking, evaluate, freshness, graph, search, similar, store
+from folioscope.operators import answer, catalog, chunking, evaluate, freshness, graph, mirror, preflight, search, similar, store
+from folioscope.sources import files
 from folioscope.sources import formats as extractors
 from folioscope.sources import vault as vaults
 from folioscope.sources.config import Settings
 from folioscope.streaming import debounce
 
 NOTES = "id long, path string, title string, category string, format string, content_hash string, file_hash string, size_bytes long, last_seen timestamp, last_tagged timestamp, text string"
+CLAIMS = "id long, note_id long, claim_text string, char_start int, char_end int, vector array<double>, extracted_at timestamp"
+CONTRADICTIONS = "id long, claim_a_id long, claim_b_id long, severity string, explanation string, status string, detected_at timestamp, resolved_at timestamp"
+STATES = "note_id long, content_hash string"
+RUNS = "ran_at timestamp, notes_scanned long, claims_extracted long, pairs_checked long, contradictions_found long"
 CHUNKS = "id long, note_id long, chunk_index int, text_content string, vector array<double>, page int, heading string, chunk_hash string"
+#: Tables of which old versions are dropped.
+TABLES = (
+    "notes note_tags chunks places lengths freshness claims contradictions mirror_runs claim_states scanned changed candidates scan_report orphans matrix "
+    "to_read extracted claim_vectors claim_pairs decay"
+).split()
 
 
 class Engine:
@@ -49,7 +59,19 @@ class Engine:
 
     @property
     def freshness(self) -> DataFrame:
-        return self.table("freshness", "note_path string, last_verified timestamp, window_days int")
+        return self.table("freshness", "note_path string, last_verified timestamp, window_days int, decay_check_at timestamp, likely_stale boolean")
+
+    @property
+    def claims(self) -> DataFrame:
+        return self.table("claims", CLAIMS)
+
+    @property
+    def contradictions(self) -> DataFrame:
+        return self.table("contradictions", CONTRADICTIONS)
+
+    @property
+    def mirror_runs(self) -> DataFrame:
+        return self.table("mirror_runs", RUNS)
 
     def index(self) -> search.TextIndex:
         places = self.table("places", "token string, id long, note_id long, length int, place int")
@@ -62,11 +84,9 @@ class Engine:
         """Bring the index up to date with a folder, or with the paths ``only``
         in it; returns how files fared."""
         s, now = self.settings, F.current_timestamp() if now is None else now
-        files = vaults.scan(self.spark, vault, formats or s.formats, s.ignored_dirs, s.sidecar_dir).select(F.col("rel").alias("path"), "ext", "content")
-        if only is not None:
-            files = files.join(only.select("path").distinct(), "path", "left_semi")
+        there = vaults.scan(self.spark, vault, formats or s.formats, s.ignored_dirs, s.sidecar_dir, only=only).select(F.col("rel").alias("path"), "ext", "content")
         stored = self.notes
-        hashed = files.withColumn("file_hash", F.sha2("content", 256))
+        hashed = there.withColumn("file_hash", F.sha2("content", 256))
         same = hashed.select("path", "file_hash").join(stored.select("path", F.col("file_hash")), ["path", "file_hash"], "left_semi")
         docs = extractors.extracted(hashed.join(same, "path", "left_anti"))
         private = F.coalesce(F.element_at("metadata", "privacy"), F.lit("")) == "never_process"
@@ -132,31 +152,153 @@ class Engine:
         kept = own.drop("page", "heading").join(plan.where("action IN ('keep', 'reanchor')").select("id", "page", "heading"), "id").select(*columns)
         rest = stored.join(texts.select("note_id"), "note_id", "left_anti").select(*columns)
         self.tables.replace("chunks", rest.union(kept).union(made))
-        self.reindex()
+        self._store_index(search.updated_index(self.index(), new.select("id"), self.chunks))
 
     def reindex(self) -> None:
         """The full-text index of the current chunks."""
-        index = search.text_index(self.chunks)
+        self._store_index(search.text_index(self.chunks))
+
+    def _store_index(self, index: search.TextIndex) -> None:
         self.tables.replace("places", index.places.repartitionByRange("token", "id").sortWithinPartitions("token", "id"))
         self.tables.replace("lengths", index.chunks)
 
     def _seeded(self) -> DataFrame:
-        return freshness.seed(self.notes, self.freshness).where("action <> 'remove'").select("note_path", "last_verified", "window_days")
+        verdicts = self.freshness.select("note_path", "decay_check_at", "likely_stale")
+        return freshness.seed(self.notes, self.freshness).where("action <> 'remove'").join(verdicts, "note_path", "left").select("note_path", "last_verified", "window_days", "decay_check_at", "likely_stale")
 
     def prune(self, vault: str, formats: Sequence[str] | None = None) -> DataFrame:
         """Drop what belongs to files that are gone; returns the orphans."""
         s = self.settings
-        files = vaults.scan(self.spark, vault, formats or s.formats, s.ignored_dirs, s.sidecar_dir).select(F.col("rel").alias("path"))
-        self.tables.replace("orphans", catalog.orphans(self.notes, files))
-        current = {"notes": self.notes, "note_tags": self.note_tags, "chunks": self.chunks, "freshness": self.freshness}
-        for name, rows in store.prune_missing(current, files).items():
+        there = vaults.scan(self.spark, vault, formats or s.formats, s.ignored_dirs, s.sidecar_dir).select(F.col("rel").alias("path"))
+        self.tables.replace("orphans", catalog.orphans(self.notes, there))
+        current = {"notes": self.notes, "note_tags": self.note_tags, "chunks": self.chunks, "freshness": self.freshness, "claims": self.claims, "claim_states": self.table("claim_states", STATES)}
+        for name, rows in store.prune_missing(current, there).items():
             self.tables.replace(name, rows)
+        left = self.claims.select("id")
+        pairs = self.contradictions
+        for side in ("claim_a_id", "claim_b_id"):
+            pairs = pairs.join(left.withColumnRenamed("id", side), side, "left_semi")
+        self.tables.replace("contradictions", pairs.select(*[c.split()[0] for c in CONTRADICTIONS.split(", ")]))
         self.reindex()
         return self.tables.current("orphans")
 
     def maintain(self, keep: int = 5) -> dict[str, list[int]]:
         """Drop old versions of all tables."""
-        return {t: self.tables.prune(t, keep) for t in ("notes", "note_tags", "chunks", "places", "lengths", "freshness", "scanned", "changed", "candidates", "scan_report", "orphans")}
+        return {t: self.tables.prune(t, keep) for t in TABLES}
+
+    def backup(self, stamp: str, keep: int = 5) -> list[str]:
+        """Copy what cannot be made again from the files; returns dropped backups."""
+        return self.tables.backup(["notes", "note_tags", "chunks", "freshness", "claims", "contradictions"], stamp, keep)
+
+    # -- contradictions
+
+    def mirror(self, now: Column | None = None, full: bool = False) -> dict[str, int]:
+        """Read the claims of notes that changed (or of all), and have pairs of
+        near claims judged; returns the run's counters, which are recorded too."""
+        now = F.current_timestamp() if now is None else now
+        states = self.table("claim_states", STATES)
+        notes = self.notes.select("id", "content_hash", "text")
+        self.tables.replace("to_read", notes if full else mirror.to_read(notes, states))
+        read = self.tables.current("to_read")
+        self.tables.replace("extracted", mirror.extracted(read, self.provider))
+        found = self.tables.current("extracted")
+        columns = [c.split()[0] for c in CLAIMS.split(", ")]
+        after, new = store.replace_claims(self.claims, found)
+        placed = found.where("claim_text IS NOT NULL").select("note_id", "claim_text", F.col("char_start").alias("_s"), F.col("char_end").alias("_e")).dropDuplicates(["note_id", "claim_text"])
+        after = after.join(placed, ["note_id", "claim_text"], "left").withColumns({"char_start": F.coalesce("_s", "char_start"), "char_end": F.coalesce("_e", "char_end"), "extracted_at": F.coalesce("extracted_at", now)})
+        self.tables.replace("claims", after.select(*columns))
+        # also those whose vector could not be made before
+        missing = self.claims.where("vector IS NULL").select("id", "claim_text")
+        self.tables.replace("claim_vectors", embedded(missing, "claim_text", self.provider).where("vector IS NOT NULL"))
+        fresh = self.tables.current("claim_vectors")
+        with_vectors = self.claims.join(fresh.withColumnRenamed("vector", "_v"), "id", "left").withColumn("vector", F.coalesce("vector", "_v"))
+        self.tables.replace("claims", with_vectors.select(*columns))
+        claims = self.claims.where("vector IS NOT NULL")
+        pairs = similar.claim_pairs(claims, self.contradictions, self.settings.claim_threshold, focus=fresh.select("id"))
+        self.tables.replace("claim_pairs", pairs)
+        pairs = self.tables.current("claim_pairs")
+        before = self.contradictions.count()
+        self.tables.replace("contradictions", mirror.recorded(mirror.judged(pairs, claims, self.provider), self.contradictions, now))
+        rest = states.join(read.select(F.col("id").alias("note_id")), "note_id", "left_anti")
+        self.tables.replace("claim_states", rest.unionByName(read.select(F.col("id").alias("note_id"), "content_hash")))
+        out = {"notes_scanned": read.count(), "claims_extracted": found.where("claim_text IS NOT NULL").count(), "pairs_checked": pairs.count(), "contradictions_found": self.contradictions.count() - before}
+        run = self.spark.range(1).select(now.alias("ran_at"), *(F.lit(v).cast("long").alias(k) for k, v in out.items()))
+        self.tables.replace("mirror_runs", self.mirror_runs.unionByName(run))
+        return out
+
+    def listed(self, status: str | None = "open") -> DataFrame:
+        return freshness.listed_contradictions(self.contradictions, self.claims, status)
+
+    def show(self, contradiction: int) -> DataFrame:
+        return mirror.shown(self.contradictions.where(F.col("id") == contradiction), self.claims, self.notes)
+
+    def settle(self, ids: DataFrame, status: str, now: Column | None = None) -> None:
+        """Dismiss, resolve or open again contradictions (id)."""
+        now = F.current_timestamp() if now is None else now
+        self.tables.replace("contradictions", freshness.set_status(self.contradictions, ids, status, now))
+
+    def check_decay(self, now: Column | None = None, today: Column | None = None) -> DataFrame:
+        """Have stale notes judged; the verdicts are kept with their freshness."""
+        now = F.current_timestamp() if now is None else now
+        self.tables.replace("decay", mirror.decay(self.stale(today), self.notes, self.provider))
+        verdicts = self.tables.current("decay")
+        v = verdicts.where("likely_stale IS NOT NULL").select("note_path", F.col("likely_stale").alias("_v"))
+        f = self.freshness.join(v, "note_path", "left")
+        self.tables.replace("freshness", f.select("note_path", "last_verified", "window_days", F.when(F.col("_v").isNotNull(), now).otherwise(F.col("decay_check_at")).alias("decay_check_at"), F.coalesce("_v", "likely_stale").alias("likely_stale")))
+        return verdicts
+
+    # -- changing the model
+
+    def migrate(self, model: str, provider, batch: int | None = None) -> dict[str, int | bool]:
+        """Embed chunks again with another model beside the current vectors, and
+        swap when none is missing. ``batch`` chunks at most are embedded in a
+        call, so that a migration can be continued; failed ones come again."""
+        m = store.Migration(self.tables, "chunks", model)
+        m.begin()
+        left = m.pending()
+        left = left.orderBy("id").limit(batch) if batch else left
+        columns = [c.split()[0] for c in CHUNKS.split(", ")]
+        asked = left.drop("vector").withColumn("chunk_hash", hashing.chunk_hash(model, F.col("text_content")))
+        made = asked.join(embedded(left.select("id", "text_content"), "text_content", provider), "id")
+        m.add(made.select(*columns))
+        done, total = m.progress()
+        swapped = m.swap()
+        if swapped:
+            self.model, self.provider = model, provider
+            self.reindex()
+        return {"done": done, "total": total, "swapped": swapped}
+
+    def abort_migration(self, model: str) -> None:
+        store.Migration(self.tables, "chunks", model).abort()
+
+    def matrix(self) -> DataFrame:
+        """The pooled vectors of all notes, kept until the chunks change."""
+        seal = catalog.signature(self.chunks).select(F.concat_ws(":", "n", "max_id", "bytes").alias("seal")).first().seal
+        kept = self.tables.current("matrix")
+        if kept is None or kept.where(F.col("seal") == seal).limit(1).count() == 0:
+            self.tables.replace("matrix", self.pooled().withColumn("seal", F.lit(seal)))
+            kept = self.tables.current("matrix")
+        return kept.drop("seal")
+
+    def available(self) -> dict[str, bool]:
+        """Whether full text and vectors can be searched; vectors must be of one length."""
+        v = catalog.signature(self.chunks.where("vector IS NOT NULL")).first()
+        return {"full_text": bool(self.tables.versions("places")), "vectors": bool(v.n and v.uniform)}
+
+    def preflight(self) -> DataFrame:
+        found = self.chunks.where("vector IS NOT NULL").select(F.size("vector").alias("n")).first()
+        return preflight.preflight(self.spark, self.settings, self.provider, found.n if found else None)
+
+    def distil(self, tag: str | None = None, category: str | None = None) -> DataFrame:
+        """A note distilled from all notes with a tag or in a category."""
+        kind, value = files.selector(tag, category)
+        if kind == "tag":
+            chosen = self.note_tags.where(F.col("tag") == value).select("note_id").distinct()
+        else:
+            chosen = catalog.by_category(self.notes, value).select(F.col("id").alias("note_id"))
+        written = self.notes.where(F.col("text").rlike(r"(?s)\A---\n(?:[^\n]*\n)*?generated: true\n")).select(F.col("id").alias("note_id"))
+        passages = answer.distilled_sources(self.chunks, chosen.join(written, "note_id", "left_anti"))
+        return answer.synthesis(passages, self.chunks, self.notes, self.provider)
 
     # -- asking
 
@@ -190,9 +332,9 @@ class Engine:
 
     def graph(self) -> tuple[DataFrame, DataFrame]:
         """Nodes and edges."""
-        p = self.pooled()
-        none = self.spark.createDataFrame([], "src long, dst long, severity string")
-        return graph.nodes(self.notes, self.note_tags), graph.build(graph.wikilink_edges(self.notes), similar.suggested_edges(p, p.select("id", F.col("id").alias("note_id"), "vector")), none)
+        p = self.matrix()
+        opposed = graph.contradiction_edges(self.contradictions, self.claims)
+        return graph.nodes(self.notes, self.note_tags), graph.build(graph.wikilink_edges(self.notes), similar.suggested_edges(p, p.select("id", F.col("id").alias("note_id"), "vector")), opposed)
 
     def stale(self, today: Column | None = None) -> DataFrame:
         return freshness.stale(self.freshness, self.notes, F.current_timestamp() if today is None else today)

@@ -11,9 +11,13 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 DIM = 768
+#: A prompt begins with its task on a line of its own.
+TASK = "TASK "
+SENTENCE = re.compile(r"[^.!?\n]+[.!?]")
 WORD = re.compile(r"[a-z0-9]+")
 #: The tags that the offline provider gives.
 TAGS = ["infra", "retention", "vector", "ops", "theory", "index", "research"]
@@ -48,11 +52,50 @@ class Offline:
         return v / n
 
     def complete(self, prompt: str) -> str:
-        """Tags, summary and category as JSON, from the digest of the prompt."""
+        """JSON for the prompt's task; without one tags, summary and category.
+        What is not quoted from the prompt follows from its digest."""
+        if prompt.startswith(TASK):
+            head, _, body = prompt.partition("\n")
+            return json.dumps(getattr(self, "_" + head.removeprefix(TASK))(body))
         h = hashlib.md5(prompt.encode()).digest()
         return json.dumps({"tags": sorted({TAGS[b % len(TAGS)] for b in h[:3]}), "summary": f"summary {h[:4].hex()}", "category": TAGS[h[5] % len(TAGS)]})
 
 
+    @staticmethod
+    def _digest(body: str) -> str:
+        return hashlib.md5(body.encode()).hexdigest()
+
+    def _claims(self, body: str) -> dict:
+        """The first three sentences."""
+        return {"claims": [{"text": s.strip()} for s in SENTENCE.findall(body)[:3]]}
+
+    def _verdict(self, body: str) -> dict:
+        """A quarter of the pairs contradict each other."""
+        h = self._digest(body)
+        return {"contradiction": h[0] in "0123", "severity": ("low", "medium", "high")[int(h[1], 16) % 3], "explanation": f"they differ in {h[2:8]}"}
+
+    def _decay(self, body: str) -> dict:
+        h = self._digest(body)
+        return {"stale": h[0] in "01234567", "reason": f"checked {h[2:8]}"}
+
+    def _rewrite(self, body: str) -> dict:
+        """The question with the last line of its history."""
+        history, _, question = body.rpartition("\nQuestion: ")
+        return {"question": f"{question} ({history.rsplit(chr(10), 1)[-1]})"}
+
+    def _distil(self, body: str) -> dict:
+        return {"title": f"Synthesis {self._digest(body)[:6]}", "body": SENTENCE.findall(body)[0].strip() if SENTENCE.search(body) else ""}
+
+    def stream(self, prompt: str) -> Iterator[str]:
+        """The words of a reply, one at a time."""
+        yield from re.findall(r"\S+\s*", self.complete(prompt))
+
+
+def task_prompt(task: str, *parts: Column) -> Column:
+    """A prompt for a task from columns of text, one after another."""
+    return F.concat(F.lit(f"{TASK}{task}\n"), *parts)
+
+
 def embedded(rows: DataFrame, text: str, provider: Callable[[], Provider] = Offline, name: str = "vector", batch: int = 32) -> DataFrame:
     """``rows`` without the text and with its vector; blank texts have none.
 
@@ -91,13 +134,14 @@ def json_object(reply: str) -> dict | None:
 
 
 def completed(rows: DataFrame, prompt: str, provider: Callable[[], Provider] = Offline, name: str = "reply") -> DataFrame:
-    """``rows`` with the provider's JSON answer to a prompt column, null if none."""
+    """``rows`` with the provider's JSON answer to a prompt column, null if none; a
+    null prompt is not asked."""
     schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + f", `{name}` string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = provider()
         for b in batches:
-            found = [json_object(p.complete(t or "")) for t in b.column(prompt).to_pylist()]
+            found = [None if t is None else json_object(p.complete(t)) for t in b.column(prompt).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([None if f is None else json.dumps(f) for f in found], pa.string())], [*b.schema.names, name])
 
     return rows.mapInArrow(run, schema)

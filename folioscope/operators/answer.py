@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folioscope.functions.providers import Offline, completed
+from folioscope.functions.providers import Offline, completed, task_prompt
 from folioscope.functions.text import citations, sanitize_prompt, source_label, wrap_untrusted
 from folioscope.functions.vectors import centroid, dot
 from folioscope.operators.catalog import budgeted
@@ -75,17 +75,57 @@ def distilled_sources(chunks: DataFrame, selected: DataFrame, top: int = 3) -> D
 
 
 def rewrites(turns: DataFrame, provider=Offline, last: int = 3, most: int = 300) -> DataFrame:
-    """Questions that may need their history, with a prompt of the last turns.
+    """(conv_id, turn, question, history, rewrite, rewritten) of users' turns.
 
+    A question that may depend on its history is rewritten by the provider from
+    the last turns; without an answer, and where nothing points back, it stays.
     turns: conv_id, turn, role, text.
     """
     from folioscope.functions.text import needs_rewrite
 
     w = W.partitionBy("conv_id").orderBy("turn").rowsBetween(-2 * last, -1)
-    said = F.concat("role", F.lit(": "), F.when(F.col("role") == "assistant", F.substring("text", 1, most)).otherwise(F.col("text")))
-    t = turns.withColumn("history", F.array_join(F.collect_list(said).over(w), "\n"))
-    asked = t.where("role = 'user'")
-    return asked.select("conv_id", "turn", F.col("text").alias("question"), "history", needs_rewrite(F.col("text"), F.col("history") != "").alias("rewrite"))
+    text = F.when(F.col("role") == "assistant", F.substring("text", 1, most)).otherwise(F.col("text"))
+    lines = lambda x: F.array_join(F.collect_list(F.concat("role", F.lit(": "), x)).over(w), "\n")
+    # of the history in the prompt the texts are made safe, not the roles
+    asked = turns.withColumns({"history": lines(text), "_safe": lines(sanitize_prompt(text))}).where("role = 'user'")
+    asked = asked.select("conv_id", "turn", F.col("text").alias("question"), "history", "_safe", needs_rewrite(F.col("text"), F.col("history") != "").alias("rewrite"))
+    prompt = F.when(F.col("rewrite"), task_prompt("rewrite", F.col("_safe"), F.lit("\nQuestion: "), sanitize_prompt(F.col("question"))))
+    r = completed(asked.withColumn("prompt", prompt), "prompt", provider)
+    said = F.nullif(F.trim(F.coalesce(F.get_json_object("reply", "$.question"), F.lit(""))), F.lit(""))
+    return r.select("conv_id", "turn", "question", "history", "rewrite", F.when(F.col("rewrite"), F.coalesce(said, "question")).otherwise(F.col("question")).alias("rewritten"))
+
+
+def synthesis(passages: DataFrame, chunks: DataFrame, notes: DataFrame, provider=Offline, budget: int = BUDGET) -> DataFrame:
+    """(title, markdown, notes): one note distilled from passages (note_id, id, rank).
+
+    The passages go in order of note and rank into one prompt of at most
+    ``budget`` characters; none gives no row.
+    """
+    # more passages than characters cannot fit
+    first = passages.orderBy("note_id", "rank", "id").limit(budget)
+    hits = first.select(F.lit(1).alias("query_id"), "id", "note_id", F.row_number().over(W.orderBy("note_id", "rank", "id")).alias("rank"))
+    c = context(hits, chunks, notes, budget)
+    r = completed(c.select("context", "sources", task_prompt("distil", F.col("context")).alias("prompt")), "prompt", provider)
+    title, body = F.coalesce(F.get_json_object("reply", "$.title"), F.lit("Synthesis")), F.coalesce(F.get_json_object("reply", "$.body"), F.lit(""))
+    listed = F.array_join(F.transform("sources", lambda s: F.concat(F.lit("- [["), s, F.lit("]]"))), "\n")
+    text = F.concat(F.lit("---\ngenerated: true\n---\n# "), title, F.lit("\n\n"), body, F.lit("\n\n## Sources\n\n"), listed, F.lit("\n"))
+    return r.select(title.alias("title"), text.alias("markdown"), F.size("sources").alias("notes"))
+
+
+def transcripts(turns: DataFrame) -> DataFrame:
+    """(conv_id, markdown): conversations as Markdown, a heading a turn."""
+    said = F.concat(F.lit("## "), F.initcap("role"), F.lit("\n\n"), F.coalesce("text", F.lit("")), F.lit("\n"))
+    listed = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", said.alias("s")))).alias("t"))
+    return listed.select("conv_id", F.array_join(F.transform("t", lambda x: x["s"]), "\n").alias("markdown"))
+
+
+def streamed(provider, prompt: str):
+    """Events of an answer as it is made: ("token", piece) and at last ("done", whole)."""
+    pieces = []
+    for piece in provider.stream(prompt) if hasattr(provider, "stream") else [provider.complete(prompt)]:
+        pieces.append(piece)
+        yield "token", piece
+    yield "done", "".join(pieces)
 
 
 def markdown_export(answers: DataFrame) -> DataFrame:

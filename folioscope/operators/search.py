@@ -42,6 +42,14 @@ def text_index(chunks: DataFrame, text: str = "text_content") -> TextIndex:
     return TextIndex(at, words.select("id", "note_id", "length"))
 
 
+def updated_index(index: TextIndex, changed: DataFrame, chunks: DataFrame, text: str = "text_content") -> TextIndex:
+    """The index after the chunks ``changed`` (id) got another text or are new:
+    these and chunks that are gone lose their places, and only these are taken apart."""
+    left = index.chunks.select("id").join(chunks.select("id"), "id", "left_semi").join(changed, "id", "left_anti")
+    add = text_index(chunks.join(changed.distinct(), "id", "left_semi"), text)
+    return TextIndex(index.places.join(left, "id", "left_semi").unionByName(add.places), index.chunks.join(left, "id", "left_semi").unionByName(add.chunks))
+
+
 def bm25(index: TextIndex, questions: DataFrame, limit: int = 20, allowed: DataFrame | None = None) -> DataFrame:
     """(query_id, id, note_id, score, rank); the lower the score the better.
 

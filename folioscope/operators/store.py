@@ -41,20 +41,61 @@ class Snapshots:
         return self.spark.read.parquet(f"{self.root}/{name}/v{v[-1]}") if v else None
 
     def replace(self, name: str, rows: DataFrame) -> int:
-        """Write the next version and make it current."""
-        v = self.versions(name)
-        new = (v[-1] if v else 0) + 1
+        """Write the next version and make it current.
+
+        The number is claimed by a file that only one writer can create; of two
+        writers the later one gets the next number, and its version is current.
+        """
         at = f"{self.root}/{name}"
+        fs, new = self._files(at), max(self._claimed(name), default=0) + 1
+        while True:
+            try:
+                fs.create(self._path(f"{at}/claim-{new}"), False).close()
+                break
+            except Exception:  # noqa: BLE001  file systems differ in what they raise
+                if not fs.exists(self._path(f"{at}/claim-{new}")):
+                    raise
+                new += 1
         rows.write.mode("overwrite").parquet(f"{at}/v{new}")
-        self._files(at).create(self._path(f"{at}/current-{new}"), True).close()
+        fs.create(self._path(f"{at}/current-{new}"), True).close()
         return new
 
+    def _claimed(self, name: str) -> list[int]:
+        at = self._path(f"{self.root}/{name}")
+        fs = self._files(self.root)
+        names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+        return [int(n.rsplit("-", 1)[-1].removeprefix("v")) for n in names if n.rsplit("-", 1)[-1].removeprefix("v").isdigit()]
+
+    def files(self, name: str) -> int:
+        """Number of data files of the current version."""
+        v = self.versions(name)
+        at = self._path(f"{self.root}/{name}/v{v[-1]}") if v else None
+        return sum(s.getPath().getName().endswith(".parquet") for s in self._files(self.root).listStatus(at)) if v else 0
+
+    def compacted(self, name: str, files: int) -> int:
+        """Rewrite the current version in fewer files; returns its number."""
+        return self.replace(name, compact(self.current(name), files))
+
+    def backup(self, names: Sequence[str], stamp: str, keep: int = 5) -> list[str]:
+        """Copy the current versions to ``backups/stamp``; the newest ``keep``
+        backups stay, the dropped ones are returned."""
+        fs, conf = self._files(self.root), self.spark._jsc.hadoopConfiguration()
+        for name in names:
+            if v := self.versions(name):
+                self._hadoop.FileUtil.copy(fs, self._path(f"{self.root}/{name}/v{v[-1]}"), fs, self._path(f"{self.root}/backups/{stamp}/{name}"), False, conf)
+        have = sorted(s.getPath().getName() for s in fs.listStatus(self._path(f"{self.root}/backups")))
+        old = have[:-keep] if keep else []
+        for x in old:
+            fs.delete(self._path(f"{self.root}/backups/{x}"), True)
+        return old
+
     def prune(self, name: str, keep: int = 5) -> list[int]:
         """Drop all but the newest versions."""
         old = self.versions(name)[:-keep] if keep else []
         for v in old:
             fs = self._files(self.root)
             fs.delete(self._path(f"{self.root}/{name}/current-{v}"), False)
+            fs.delete(self._path(f"{self.root}/{name}/claim-{v}"), False)
             fs.delete(self._path(f"{self.root}/{name}/v{v}"), True)
         return old
 
@@ -182,6 +223,19 @@ class Migration:
         good = embedded.where("vector IS NOT NULL")
         self.snapshots.replace(self.shadow, good if done is None else done.unionByName(good))
 
+    def begin(self) -> bool:
+        """Start anew; False, and nothing changes, if a migration is under way."""
+        if self.snapshots.versions(self.shadow):
+            return False
+        now = self.snapshots.current(self.name)
+        self.snapshots.replace(self.shadow, now.limit(0))
+        return True
+
+    def progress(self) -> tuple[int, int]:
+        """Chunks done, and all."""
+        done = self.snapshots.current(self.shadow)
+        return 0 if done is None else done.count(), self.snapshots.current(self.name).count()
+
     def swap(self) -> bool:
         """Make the new vectors current if none is missing."""
         if self.pending().limit(1).count():

@@ -104,6 +104,25 @@ def load_taxonomy(spark: SparkSession, text: str) -> tuple[DataFrame, DataFrame]
     )
 
 
+def category_tree(rows: list[tuple[str, str, int]]) -> dict[str, Any]:
+    """The nested mapping of (path, parent, ordinal); leaves are None."""
+    below: dict[str, list[str]] = {}
+    for path, parent, _ in sorted(rows, key=lambda r: (r[1], r[2], r[0])):
+        below.setdefault(parent or "", []).append(path)
+
+    def build(parent: str) -> dict[str, Any] | None:
+        return {p.rsplit("/", 1)[-1]: build(p) for p in below[parent]} if parent in below else None
+
+    return build("") or {}
+
+
+def dump_taxonomy(vocabulary: DataFrame, categories: DataFrame) -> str:
+    """The file that ``load_taxonomy`` reads; taxonomies are small and edited by hand."""
+    words = [r.name for r in vocabulary.orderBy("ordinal").collect()]
+    tree = category_tree([(r.path, r.parent, r.ordinal) for r in categories.collect()])
+    return yaml.safe_dump({"vocabulary": words, "categories": tree}, allow_unicode=True, sort_keys=False)
+
+
 CASE_KEYS = {"id", "question", "expected_sources", "expected_keywords", "category", "negative", "follow_ups"}
 
 
