@@ -83,6 +83,12 @@ def outcomes(turns: DataFrame) -> DataFrame:
     return turns.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
+def failures(turns: DataFrame, top: int = 5) -> DataFrame:
+    """(case_id, turn_index, outcome, shown) of turns that failed, with the first
+    titles retrieved."""
+    return turns.where(~F.col("outcome").isin("ok", "na")).select("case_id", "turn_index", "outcome", F.slice("titles", 1, top).alias("shown"))
+
+
 def stage_means(turns: DataFrame, timings: str = "timings") -> DataFrame:
     """Mean of each stage over the turns that report it."""
     return turns.select(F.explode(timings).alias("stage", "seconds")).groupBy("stage").agg(F.round(F.avg("seconds"), 6).alias("seconds"))

@@ -248,12 +248,6 @@ def w11_retention(spark, sf_dir):
     return C.newest(V.table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 5)
 
 
-@query("w8_budget")
-def w8_budget(spark, sf_dir):
-    c = V.table(spark, sf_dir, "conversations")
-    return C.budgeted(c, ["conv_id"], ["turn"], "text", 1200)
-
-
 @query("x1_reconcile_tags", sql("", """
 SELECT doc_id, array_to_string(list_distinct_ordered, ',') AS tags FROM (
   SELECT doc_id, CASE WHEN lang = source THEN [lang] ELSE [CASE lang WHEN 'en' THEN 'english' ELSE lang END, source] END AS list_distinct_ordered FROM documents)"""))

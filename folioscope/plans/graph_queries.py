@@ -87,12 +87,6 @@ def f32_canvas(spark, sf_dir):
     return G.canvas_places(V.notes(spark, sf_dir))
 
 
-@query("k15_graph_json")
-def k15_graph_json(spark, sf_dir):
-    e = r14_wikilink_edges(spark, sf_dir).select("src", "dst", F.lit("wikilink").alias("kind"), F.lit(1.0).alias("weight"), "label")
-    return G.as_json(G.nodes(V.notes(spark, sf_dir), V.note_tags(spark, sf_dir)), e)
-
-
 @query("r30_stale", sql("notes freshness", f"""
 SELECT note_path, title, days, window_days, days - window_days AS days_overdue FROM (
   SELECT f.note_path, n.title, CAST(date_diff('day', last_verified, TIMESTAMP '{TODAY}') AS INT) AS days, window_days FROM freshness f JOIN notes n ON n.path = f.note_path) WHERE days > window_days"""))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions import hashing as H
@@ -27,15 +31,6 @@ def s4_extension(spark, sf_dir):
     return V.notes(spark, sf_dir).select("id", vault.extension(path).alias("ext"))
 
 
-@query("s5_markdown")
-def s5_markdown(spark, sf_dir):
-    from folioscope.sources.formats import extracted
-
-    d = V.table(spark, sf_dir, "documents")
-    raw = F.concat(F.lit("---\nlang: "), "lang", F.lit("\n---\n# Title "), "doc_id", F.lit("\n"), "text").cast("binary")
-    return extracted(d.select(F.col("doc_id").cast("string").alias("path"), F.lit("md").alias("ext"), raw.alias("content"))).select("path", "title", "content_hash", F.element_at("metadata", "lang").alias("lang"), "error")
-
-
 @query("s7_html_sections")
 def s7_html_sections(spark, sf_dir):
     from folioscope.sources.formats import extracted
@@ -49,11 +44,6 @@ def s7_html_titles(spark, sf_dir):
     return V.table(spark, sf_dir, "pages").select("page_id", F.trim(F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1)).alias("title"))
 
 
-@query("s15_sniff", "SELECT page_id, CASE WHEN regexp_matches(substr(html, 1, 512), '(?is)^\\s*<(!doctype\\s+html|html)') THEN 'html' END AS kind FROM pages")
-def s15_sniff(spark, sf_dir):
-    return V.table(spark, sf_dir, "pages").select("page_id", vault.sniffed(F.col("html").cast("binary")).alias("kind"))
-
-
 @query("s18_key_scan", sql("raw_vectors", "SELECT id, note_id FROM raw_vectors"))
 def s18_key_scan(spark, sf_dir):
     return V.raw_vectors(spark, sf_dir).select("id", "note_id")
@@ -83,13 +73,6 @@ def k22_event_lines(spark, sf_dir):
     return V.table(spark, sf_dir, "events").select("event_id", event_line(F.date_format("ts", "yyyy-MM-dd"), F.col("event_type"), {"user": F.col("user_id").cast("string")}).alias("line"))
 
 
-@query("k23_index_update", V.sql("chunks", "").rstrip() + ", " + _INDEX.strip() + """
-SELECT token, count(*) AS places FROM (SELECT * FROM places WHERE note_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)) GROUP BY 1""")
-def k23_index_update(spark, sf_dir):
-    gone = V.table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("note_id"))
-    return S.text_index(V.chunks(spark, sf_dir)).places.join(gone, "note_id", "left_anti").groupBy("token").agg(F.count(F.lit(1)).alias("places"))
-
-
 @query("k24_dim_uniformity", sql("raw_vectors", "SELECT note_id, min(len(vector)) = max(len(vector)) AS uniform, count(*) AS n FROM raw_vectors GROUP BY 1"))
 def k24_dim_uniformity(spark, sf_dir):
     return V.raw_vectors(spark, sf_dir).groupBy("note_id").agg((F.min(F.size("vector")) == F.max(F.size("vector"))).alias("uniform"), F.count(F.lit(1)).alias("n"))
@@ -116,37 +99,17 @@ def f14_history(spark, sf_dir):
     return listed.select("conv_id", F.array_join(F.transform("t", lambda x: x["s"]), "\n").alias("history"))
 
 
-@query("f19_resolve_category", sql("notes", "SELECT id, category FROM notes"))
-def f19_resolve_category(spark, sf_dir):
-    n = V.notes(spark, sf_dir).select("id", "category")
-    tree = n.select(F.col("category").alias("path")).where("path IS NOT NULL").distinct()
-    return N.resolved_categories(n.withColumn("category", F.replace(F.upper("category"), F.lit("/"), F.lit(" / "))), tree)
-
-
 @query("f20_children", sql("notes", "SELECT DISTINCT string_split(category, '/')[1] AS parent, string_split(category, '/')[2] AS name FROM notes WHERE category IS NOT NULL"))
 def f20_children(spark, sf_dir):
     return V.notes(spark, sf_dir).where("category IS NOT NULL").select(F.split_part("category", F.lit("/"), F.lit(1)).alias("parent"), F.split_part("category", F.lit("/"), F.lit(2)).alias("name")).distinct()
 
 
-@query("f23_json_replies")
-def f23_json_replies(spark, sf_dir):
-    n = V.notes(spark, sf_dir).select("id", "text")
-    return P.completed(n, "text").select("id", F.get_json_object("reply", "$.category").alias("category"))
-
-
 @query("f33_similar_titles", """
 SELECT p_partkey, round(greatest(100 * (1 - levenshtein(lower(p_name), lower(p_type)) / greatest(length(p_name), length(p_type))), CASE WHEN contains(lower(p_type), lower(p_name)) OR contains(lower(p_name), lower(p_type)) THEN 90 ELSE 0 END), 6)::DOUBLE AS score FROM part""")
 def f33_similar_titles(spark, sf_dir):
     return V.table(spark, sf_dir, "part").select("p_partkey", F.round(N.similarity(F.col("p_name"), F.col("p_type")), 6).alias("score"))
 
 
-@query("f37_failures", sql("", """
-SELECT item_id, substr(text, 1, 20) AS question, [text, 'x'][1:1] = [text] AS first FROM benchmark"""))
-def f37_failures(spark, sf_dir):
-    ranked = F.array(F.col("text"), F.lit("x"))
-    return V.table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 20).alias("question"), (F.slice(ranked, 1, 1) == F.array("text")).alias("first"))
-
-
 @for_notes
 @query("x3_ranked_union", V.sql("chunks", "").rstrip() + ", " + _INDEX.strip() + " SELECT query_id, count(*) AS n FROM (SELECT query_id, id FROM bm25 WHERE rank <= 10 UNION SELECT query_id, note_id * 1000000 FROM bm25 WHERE rank <= 10) GROUP BY 1")
 def x3_ranked_union(spark, sf_dir, asked=None):
@@ -177,17 +140,33 @@ def r26_dispatch(spark, sf_dir):
     return K.chunked(d, "unknown").groupBy("note_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("r29_migration", sql("chunks", f"SELECT count(*) AS total, count(*) FILTER (WHERE substr(sha256('{MODEL}' || chr(0) || text_content), 1, 1) < '8') AS done FROM chunks"))
-def r29_migration(spark, sf_dir):
-    c = V.chunks(spark, sf_dir).select("id", H.cache_key(MODEL, F.col("text_content")).alias("key"))
-    done = c.where("substring(key, 1, 1) < '8'")
-    left = C.pending(c, done.select("id"))
-    return c.agg(F.count(F.lit(1)).alias("total")).crossJoin(left.agg(F.count(F.lit(1)).alias("left"))).select("total", (F.col("total") - F.col("left")).alias("done"))
-
-
-_EVAL = V.sql("chunks", "").rstrip() + ", " + _INDEX.strip().replace("questions(query_id, question) AS (VALUES (1, 'the thing éau der ondre ThE'), (2, 'que elle licensed under MIT'), (3, 'nicht und-die einen'))", "questions AS (SELECT item_id AS query_id, text AS question FROM benchmark)").replace("string_split_regex(question, '\\s+') AS t", "list_filter(string_split_regex(question, '\\s+'), lambda x: x <> '')[1:50] AS t").replace(
-    "WHERE len(t) = 1 OR EXISTS (SELECT 1 FROM places s WHERE s.id = p.id AND s.place = p.place + 1 AND s.token = t[2])", "WHERE len(t) = 1"
+#: The index's SQL with the items of ``benchmark`` as questions and phrases of any length.
+_EVAL = V.sql("chunks", "").rstrip() + ", " + re.sub(r"questions\(query_id, question\) AS \(VALUES .*?\)\),\n", "questions AS (SELECT item_id AS query_id, text AS question FROM benchmark),\n", _INDEX.strip()).replace(
+    "string_split_regex(question, '\\s+') AS t", "list_filter(string_split_regex(question, '\\s+'), lambda x: x <> '')[1:50] AS t"
 )
+_EVAL = re.sub(r"found AS \(.*?\),\n  df AS", """parts AS (SELECT query_id, term, len(t) AS m, unnest(t) AS token, unnest(generate_series(0, len(t) - 1)) AS j FROM asked WHERE len(t) > 0),
+  starts AS (SELECT query_id, term, m, p.id, p.note_id, p.length, p.place - j AS start FROM parts JOIN places p USING (token) GROUP BY ALL HAVING count(DISTINCT j) = m),
+  found AS (SELECT query_id, term, id, note_id, length, count(*) AS tf FROM starts GROUP BY ALL),
+  df AS""", _EVAL, flags=re.S)
+
+
+def _holders(documents, items):
+    """(doc_id, item_id): documents that hold an item's text.
+
+    Whoever holds it has its words but the first and the last one whole, so the
+    first three of these are looked up together and only the documents that have
+    them are searched. Items of fewer words are few-worded by nature and looked
+    up by the one that is left; those without any are held by no document.
+    """
+    words = lambda c: F.filter(F.split(c, r"\s+"), lambda x: x != "")
+    inner = F.slice(words(F.col("asked")), 2, F.least(F.lit(3), F.greatest(F.size(words(F.col("asked"))) - 2, F.lit(0))))
+    keys = items.select("item_id", "asked", inner.alias("w")).where("size(w) > 0").withColumns({"n": F.size("w"), "key": F.xxhash64(F.array_join("w", " "))})
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda k: F.xxhash64(F.array_join(F.slice("w", k, n), " ")))
+    sizes = [r.n for r in keys.select("n").distinct().collect()] or [3]  # of 1, 2 and 3
+    w = documents.select("doc_id", words(F.col("text")).alias("w"))
+    held = reduce(DataFrame.union, [w.select("doc_id", F.lit(n).alias("n"), F.explode(F.array_distinct(runs(n))).alias("key")) for n in sizes])
+    found = held.join(keys, ["n", "key"]).select("doc_id", "item_id", "asked")
+    return found.join(documents.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("asked"))).select("doc_id", "item_id")
 
 
 @query("r32_eval_run", _EVAL + """,
@@ -197,8 +176,8 @@ SELECT h.item_id AS case_id, bool_or(coalesce(rank, 99) <= 1) AS hit_at_1, bool_
 FROM holders h LEFT JOIN ranked r ON r.query_id = h.item_id AND r.note_id = h.doc_id GROUP BY 1""")
 def r32_eval_run(spark, sf_dir):
     b, d = V.table(spark, sf_dir, "benchmark"), V.table(spark, sf_dir, "documents")
-    holders = d.join(b.withColumnRenamed("text", "asked"), F.contains("text", F.col("asked"))).groupBy("item_id").agg(F.collect_list(F.concat(F.lit("doc-"), "doc_id")).alias("expected"))
-    hits = S.ranked_notes(S.bm25(S.text_index(V.chunks(spark, sf_dir)), b.select(F.col("item_id").alias("query_id"), F.col("text").alias("question")), 20))
+    holders = _holders(d, b.withColumnRenamed("text", "asked")).groupBy("item_id").agg(F.collect_list(F.concat(F.lit("doc-"), "doc_id")).alias("expected"))
+    hits = S.ranked_notes(S.bm25(V.index(spark, sf_dir), b.select(F.col("item_id").alias("query_id"), F.col("text").alias("question")), 20))
     titles = hits.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", F.concat(F.lit("doc-"), "note_id").alias("t")))), lambda x: x["t"]).alias("titles"))
     turns = holders.join(titles, F.col("item_id") == F.col("query_id"), "left").withColumns({"titles": F.coalesce("titles", F.array().cast("array<string>")), "negative": F.lit(False)})
     return E.scored(turns).select(F.col("item_id").alias("case_id"), "hit_at_1", "hit_at_3", "mrr")
@@ -209,11 +188,6 @@ def r36_compaction(spark, sf_dir):
     return store.compact(V.table(spark, sf_dir, "lineitem"), 4).agg(F.count(F.lit(1)).alias("n"), F.sum("l_orderkey").alias("keys"))
 
 
-@query("r38_claim_vectors", sql("claims", "SELECT note_id, count(*) AS claims, count(vector) AS paired FROM claims GROUP BY 1"))
-def r38_claim_vectors(spark, sf_dir):
-    return V.claims(spark, sf_dir).groupBy("note_id").agg(F.count(F.lit(1)).alias("claims"), F.count("vector").alias("paired"))
-
-
 @query("r39_show", sql("claims contradictions", "SELECT c.id, a.claim_text AS text_a, b.claim_text AS text_b, a.claim_text AS paragraph FROM contradictions c JOIN claims a ON a.id = claim_a_id JOIN claims b ON b.id = claim_b_id"))
 def r39_show(spark, sf_dir):
     from folioscope.operators.freshness import listed_contradictions

@@ -70,7 +70,7 @@ def held(rows):
 
 def _lexed(spark, sf_dir):
     """Chunks with their offline vectors."""
-    return held(P.embedded(V.chunks(spark, sf_dir).select("id", "note_id", "chunk_index", "text_content"), "text_content"))
+    return V.lexical(spark, sf_dir)
 
 
 _SOME = "held AS (SELECT id, note_id, text_content FROM chunks)"
@@ -79,7 +79,7 @@ _CHUNK_LEX = _LEX.format(key="id", text="text_content", table="held")
 
 @query("a16_corpus_stats", _with("chunks", _INDEX) + " SELECT token, count(DISTINCT id) AS chunks, (SELECT docs FROM stats) AS docs, round((SELECT mean FROM stats), 6) AS mean FROM places GROUP BY token")
 def a16_corpus_stats(spark, sf_dir):
-    index = S.text_index(V.chunks(spark, sf_dir))
+    index = V.index(spark, sf_dir)
     stats = index.chunks.agg(F.count(F.lit(1)).alias("docs"), F.round(F.avg("length"), 6).alias("mean"))
     return index.places.select("token", "id").distinct().groupBy("token").agg(F.count(F.lit(1)).alias("chunks")).crossJoin(F.broadcast(stats))
 
@@ -87,7 +87,7 @@ def a16_corpus_stats(spark, sf_dir):
 @for_notes
 @query("r1_bm25", _with("chunks", _INDEX) + " SELECT query_id, id, note_id, score, rank FROM bm25 WHERE rank <= 20")
 def r1_bm25(spark, sf_dir, asked=None):
-    return S.bm25(S.text_index(V.chunks(spark, sf_dir)), asked or questions(spark), 20)
+    return S.bm25(V.index(spark, sf_dir), asked or questions(spark), 20)
 
 
 @for_notes
@@ -96,7 +96,7 @@ SELECT query_id, id, note_id, score, row_number() OVER (PARTITION BY query_id OR
 WHERE note_id IN (SELECT id FROM notes WHERE category = 'journal' OR category LIKE 'journal/%') QUALIFY rank <= 10""".replace("FROM bm25", "FROM (SELECT query_id, id, note_id, score FROM bm25)"))
 def r1_bm25_filtered(spark, sf_dir, asked=None):
     allowed = C.note_filter(V.notes(spark, sf_dir), V.note_tags(spark, sf_dir), category="journal")
-    return S.bm25(S.text_index(V.chunks(spark, sf_dir)), asked or questions(spark), 10, allowed)
+    return S.bm25(V.index(spark, sf_dir), asked or questions(spark), 10, allowed)
 
 
 _RAW_DOT = """
@@ -165,8 +165,7 @@ def _asked(spark, asked=None):
 
 
 def _hybrid(spark, sf_dir, asked=None, **how):
-    c = V.chunks(spark, sf_dir)
-    return S.hybrid(_asked(spark, asked), S.text_index(c), _lexed(spark, sf_dir), **how)
+    return S.hybrid(_asked(spark, asked), V.index(spark, sf_dir), _lexed(spark, sf_dir), **how)
 
 
 @for_notes
@@ -178,9 +177,8 @@ def r6_hybrid(spark, sf_dir, asked=None):
 @for_notes
 @query("w3_fusion", _HYBRID + " SELECT query_id, id, score, dense_rank, bm25_rank FROM fused")
 def w3_fusion(spark, sf_dir, asked=None):
-    c = V.chunks(spark, sf_dir)
     near = S.dense(_asked(spark, asked), _lexed(spark, sf_dir), 20, notes=False)
-    return S.fuse(near, S.bm25(S.text_index(c), asked or questions(spark), 20)).select("query_id", "id", "score", "dense_rank", "bm25_rank")
+    return S.fuse(near, S.bm25(V.index(spark, sf_dir), asked or questions(spark), 20)).select("query_id", "id", "score", "dense_rank", "bm25_rank")
 
 
 @for_notes
@@ -199,9 +197,8 @@ def w4_ranked_notes(spark, sf_dir, asked=None):
 
 
 def _pool(spark, sf_dir, asked=None):
-    c = V.chunks(spark, sf_dir)
     near = S.dense(_asked(spark, asked), _lexed(spark, sf_dir), 20, notes=False)
-    return S.fuse(near, S.bm25(S.text_index(c), asked or questions(spark), 20)).where("rank <= 20")
+    return S.fuse(near, S.bm25(V.index(spark, sf_dir), asked or questions(spark), 20)).where("rank <= 20")
 
 
 @for_notes
@@ -245,7 +242,7 @@ _POOLED = """
 
 
 def _pooled(spark, sf_dir):
-    return held(X.mean_pool(_lexed(spark, sf_dir), ["note_id"]).select(F.col("note_id").alias("id"), "vector"))
+    return V.pooled(spark, sf_dir)
 
 
 @query("j15_note_pairs", _with("chunks", _SOME, _CHUNK_LEX, _POOLED) + " SELECT a_id, b_id, score FROM pairs WHERE a_id < b_id AND score >= 0.85")

@@ -192,20 +192,6 @@ def _anchored(spark, sf_dir):
     return V.chunks(spark, sf_dir).withColumns({"page": F.col("chunk_index") + 1, "heading": F.lit(None).cast("string")})
 
 
-@for_notes
-@query("r18_context")
-def r18_context(spark, sf_dir, asked=None):
-    return A.context(r6_hybrid(spark, sf_dir, asked), _anchored(spark, sf_dir), V.notes(spark, sf_dir), 3000)
-
-
-@for_notes
-@query("r19_ask")
-def r19_ask(spark, sf_dir, asked=None):
-    from folioscope.plans.retrieval_queries import questions
-
-    return A.ask(asked or questions(spark), r18_context(spark, sf_dir, asked))
-
-
 @query("f11_verify_citations", """
 SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'as [[doc-1#p.2]] and [[doc-2]] say, not other' ELSE 'as doc-1#p.2 and [[doc-2]] say, not other' END AS answer, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 2 END AS dropped FROM documents""")
 def f11_verify_citations(spark, sf_dir):
@@ -220,21 +206,8 @@ def f11_verify_citations(spark, sf_dir):
   s AS (SELECT note_id, id, round(sum(w * m), 6) AS score FROM lex JOIN chosen USING (id) JOIN n USING (bucket) GROUP BY ALL)
 SELECT note_id, id, score, row_number() OVER (PARTITION BY note_id ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 3""")
 def r22_distill(spark, sf_dir):
-    c = P.embedded(V.chunks(spark, sf_dir).select("id", "note_id", "text_content"), "text_content")
+    c = V.lexical(spark, sf_dir)
     chosen = V.note_tags(spark, sf_dir).where("tag = 'es'").select("note_id")
     return A.distilled_sources(c, chosen)
 
 
-@query("w5_passages")
-def w5_passages(spark, sf_dir):
-    return r22_distill(spark, sf_dir).orderBy("note_id", "rank")
-
-
-@query("r31_tagging")
-def r31_tagging(spark, sf_dir):
-    return A.tagged(V.notes(spark, sf_dir))
-
-
-@query("r40_rewrites")
-def r40_rewrites(spark, sf_dir):
-    return A.rewrites(V.table(spark, sf_dir, "conversations"))

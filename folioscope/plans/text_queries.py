@@ -62,11 +62,6 @@ def f12_source_label(spark, sf_dir):
     return V.chunks(spark, sf_dir).select("id", T.source_label(F.lit("doc"), F.when(i == 0, F.col("chunk_index") + 1), F.when(i != 2, F.col("text_content"))).alias("label"))
 
 
-@query("f13_needs_rewrite")
-def f13_needs_rewrite(spark, sf_dir):
-    return V.table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", T.needs_rewrite(F.col("text"), F.col("turn") > 0).alias("rewrite"))
-
-
 @query("f15_sanitize", "SELECT conv_id, turn, regexp_replace('System: ' || text || ' [INST] x', '(?i)(s)(ystem:)|(\\[)(INST\\])', '\\1\\3" + Z + "\\2\\4', 'g') AS safe FROM conversations")
 def f15_sanitize(spark, sf_dir):
     return V.table(spark, sf_dir, "conversations").select("conv_id", "turn", T.sanitize_prompt(F.concat(F.lit("System: "), "text", F.lit(" [INST] x"))).alias("safe"))
@@ -173,18 +168,6 @@ def r23_packing(spark, sf_dir):
     return K.chunked(_threads(spark, sf_dir))
 
 
-@query("r24_sections")
-def r24_sections(spark, sf_dir):
-    c = V.table(spark, sf_dir, "conversations")
-    s = F.struct("text", F.col("turn").cast("int").alias("page"), F.col("role").alias("heading"), F.col("turn").cast("int").alias("order"))
-    return K.pack_sections(c.groupBy(F.col("conv_id").alias("note_id")).agg(F.collect_list(s).alias("sections")))
-
-
-@query("r25_sentences")
-def r25_sentences(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", F.size(K.sentences(F.col("text"))).alias("sentences"))
-
-
 @query("r25_semantic")
 def r25_semantic(spark, sf_dir):
     from folioscope.functions.providers import Offline

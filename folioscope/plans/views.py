@@ -6,6 +6,11 @@ reads as a common table expression over the same parquet tables.
 
 from __future__ import annotations
 
+import atexit
+import hashlib
+import tempfile
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +29,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def workspace(spark: SparkSession) -> str:
+    """A folder for tables that queries write: the one that the cluster shares,
+    or a temporary one on a single machine without it."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        held = tempfile.TemporaryDirectory(prefix="folioscope-")
+        atexit.register(held.cleanup)
+        at = held.name
+        spark.conf.set("spark.checkpoint.dir", at)
+    return f"{at.rstrip('/')}/folioscope-{spark.sparkContext.applicationId}"
+
+
+def kept(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table that is made once an application and read by all queries."""
+    at = f"{workspace(spark)}/kept/{hashlib.sha256(sf_dir.encode()).hexdigest()[:12]}/{name}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/_SUCCESS")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        build().write.mode("overwrite").parquet(at)
+    return spark.read.parquet(at)
+
+
 def _category(lang, source):
     root = F.when(lang == "en", ROOTS["en"]).when(lang == "fr", ROOTS["fr"]).when(lang == "de", ROOTS["de"]).otherwise("inbox")
     return F.concat(root, F.lit("/"), source)
@@ -104,6 +130,29 @@ def freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select(F.col("path").alias("note_path"), F.col("last_seen").alias("last_verified"), (30 + F.col("id") % 5 * 60).cast("int").alias("window_days"))
 
 
+def index(spark: SparkSession, sf_dir: str):
+    """The full-text index of the chunks, made once."""
+    from folioscope.operators import search
+
+    made = lambda: search.text_index(chunks(spark, sf_dir))
+    places = kept(spark, sf_dir, "places", lambda: made().places.repartitionByRange("token", "id").sortWithinPartitions("token", "id"))
+    return search.TextIndex(places, kept(spark, sf_dir, "lengths", lambda: made().chunks))
+
+
+def lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks (id, note_id, chunk_index, vector) with their offline vectors, made once."""
+    from folioscope.functions.providers import embedded
+
+    return kept(spark, sf_dir, "lexical", lambda: embedded(chunks(spark, sf_dir).select("id", "note_id", "chunk_index", "text_content"), "text_content"))
+
+
+def pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes (id, vector) with the mean of their chunks' vectors, made once."""
+    from folioscope.functions.vectors import mean_pool
+
+    return kept(spark, sf_dir, "pooled", lambda: mean_pool(lexical(spark, sf_dir), ["note_id"]).select(F.col("note_id").alias("id"), "vector"))
+
+
 SQL = {
     "notes": r"""notes AS (
   SELECT doc_id AS id, source || '/' || doc_id || '.md' AS path, 'doc-' || doc_id AS title,
