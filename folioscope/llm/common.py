@@ -18,18 +18,32 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders that go when the application ends.
+_REGISTERED: set[str] = set()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests on one machine) a temporary folder is used.
+    Only where that is unset on one machine (tests) a temporary folder is used.
+    What an application writes below it goes when the application ends.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("on a cluster, spark.checkpoint.dir must name a shared folder")
         held = tempfile.TemporaryDirectory(prefix="folioscope-")
         atexit.register(held.cleanup)
         at = held.name
         spark.conf.set("spark.checkpoint.dir", at)
-    return f"{at.rstrip('/')}/folioscope-{spark.sparkContext.applicationId}"
+    out = f"{at.rstrip('/')}/folioscope-{spark.sparkContext.applicationId}"
+    if out not in _REGISTERED:
+        _REGISTERED.add(out)
+        path = spark._jvm.org.apache.hadoop.fs.Path(out)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+    return out
 
 
 def written(df: DataFrame) -> DataFrame:

@@ -43,7 +43,7 @@ FEATURES = ("f0", "f1", "f2", "f3")
 D = len(FEATURES)
 KEEP = 0.75
 #: Concentration steps at most, and the fall of a log determinant that still counts.
-STEPS, SETTLED = 20, 1e-3
+STEPS, SETTLED = 20, 1e-2
 STARTS = 3
 LEAST = 100
 CUT = 0.9999
