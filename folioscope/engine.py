@@ -32,7 +32,7 @@ CHUNKS = "id long, note_id long, chunk_index int, text_content string, vector ar
 #: Tables of which old versions are dropped.
 TABLES = (
     "notes note_tags chunks places lengths freshness claims contradictions mirror_runs claim_states scanned changed candidates scan_report orphans matrix "
-    "to_read extracted claim_vectors claim_pairs decay"
+    "places_as_made to_read extracted claim_vectors claim_pairs decay"
 ).split()
 
 
@@ -159,7 +159,8 @@ class Engine:
         self._store_index(search.text_index(self.chunks))
 
     def _store_index(self, index: search.TextIndex) -> None:
-        self.tables.replace("places", index.places.repartitionByRange("token", "id").sortWithinPartitions("token", "id"))
+        self.tables.replace("places_as_made", index.places)
+        self.tables.replace("places", search.sorted_places(self.tables.current("places_as_made")))
         self.tables.replace("lengths", index.chunks)
 
     def _seeded(self) -> DataFrame:

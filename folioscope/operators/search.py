@@ -18,6 +18,10 @@ K1, B = 1.2, 0.75
 MOST_TERMS = 50
 
 
+#: Tokens that are looked up by name.
+LISTED = 1000
+
+
 @dataclass
 class TextIndex:
     """places: token, id, note_id, length, place; chunks: id, note_id, length."""
@@ -28,7 +32,12 @@ class TextIndex:
     def postings(self, wanted: DataFrame | None = None) -> DataFrame:
         """token, id, note_id, length and its sorted places; only of the tokens
         ``wanted``, if given, which are picked before anything is exchanged."""
-        at = self.places if wanted is None else self.places.join(wanted.select("token").distinct(), "token", "left_semi")
+        at = self.places
+        if wanted is not None:
+            asked = wanted.select("token").distinct()
+            few = [r.token for r in asked.limit(LISTED + 1).collect()]
+            # few tokens are looked up in the files' statistics, many by a join
+            at = at.where(F.col("token").isin(few)) if len(few) <= LISTED else at.join(asked, "token", "left_semi")
         return at.groupBy("token", "id", "note_id", "length").agg(F.sort_array(F.collect_list("place")).alias("places"))
 
 
@@ -42,6 +51,11 @@ def text_index(chunks: DataFrame, text: str = "text_content") -> TextIndex:
     return TextIndex(at, words.select("id", "note_id", "length"))
 
 
+def sorted_places(places: DataFrame) -> DataFrame:
+    """Places in order of token and chunk, a frequent token over several files."""
+    return places.repartitionByRange("token", "id").sortWithinPartitions("token", "id")
+
+
 def updated_index(index: TextIndex, changed: DataFrame, chunks: DataFrame, text: str = "text_content") -> TextIndex:
     """The index after the chunks ``changed`` (id) got another text or are new:
     these and chunks that are gone lose their places, and only these are taken apart."""

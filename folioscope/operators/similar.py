@@ -2,11 +2,13 @@
 
 Rows are dealt to blocks of bounded size; each pair of blocks is one matrix
 product in one task. Only the best hits of a block, or the pairs over a
-threshold, leave it.
+threshold, leave it. A few queries go to the items' own tasks instead.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -25,7 +27,7 @@ def _blocks(rows: DataFrame, n: int) -> DataFrame:
 
 def _matrix(column) -> np.ndarray:
     """Vectors of one length as rows of a matrix."""
-    column = column.combine_chunks()
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(column), -1)
 
 
@@ -49,6 +51,49 @@ def _same_length(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("vector").isNotNull() & (F.size("vector") > 0))
 
 
+def _hits(score: np.ndarray, order: np.ndarray, own, notes, needed: int, decimals: int, least: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, columns before ``order`` and scores of each row's best columns."""
+    if own is not None:
+        score[own.to_numpy()[:, None] == notes.to_numpy()[order][None, :]] = NEVER
+    best = _best(score, needed, decimals)
+    rows = np.repeat(np.arange(len(score)), best.shape[1])
+    at, found = order[best.ravel()], np.take_along_axis(score, best, 1).ravel()
+    good = np.flatnonzero(found >= (NEVER + 1 if least is None else least))
+    return rows[good], at[good], found[good]
+
+
+HITS = "query_id long, id long, note_id long, score double"
+#: Queries that go to the items with the task instead of by an exchange.
+FEW = 256
+
+
+def _scored(queries: pa.Table, needed: int, decimals: int, apart: bool, least: float | None):
+    """The best items of each batch for at most ``FEW`` queries."""
+    queries = queries.combine_chunks()
+    size = _lengths(queries["vector"]) if len(queries) else np.zeros(0, np.int64)
+    known = {int(d): (q := queries.take(np.flatnonzero(size == d)), _matrix(q["vector"])) for d in np.unique(size)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            lengths = _lengths(t["vector"])
+            for d, (q, matrix) in known.items():
+                b = t.take(np.flatnonzero(lengths == d))
+                if not len(b):
+                    continue
+                order = np.argsort(b["id"].to_numpy(), kind="stable")
+                score = np.round(matrix @ _matrix(b["vector"]).T, decimals)[:, order]
+                rows, at, score = _hits(score, order, q["note_id"] if apart else None, b["note_id"], needed, decimals, least)
+                yield from pa.table({"query_id": q["id"].take(rows), "id": b["id"].take(at), "note_id": b["note_id"].take(at), "score": score}).to_batches()
+
+    return run
+
+
+def _ranked(hits: DataFrame, needed: int) -> DataFrame:
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return hits.withColumn("rank", rank).where(F.col("rank") <= needed)
+
+
 def top_k(queries: DataFrame, items: DataFrame, needed: int, decimals: int = 6, apart: bool = False, least: float | None = None) -> DataFrame:
     """(query_id, id, note_id, score, rank): the best ``needed`` items of each query.
 
@@ -59,6 +104,9 @@ def top_k(queries: DataFrame, items: DataFrame, needed: int, decimals: int = 6,
     """
     own = F.col("note_id") if apart else F.lit(None).cast("long").alias("note_id")
     queries, items = _same_length(queries.select("id", own, "vector")), _same_length(items.select("id", "note_id", "vector"))
+    found = queries.limit(FEW + 1).toArrow()
+    if len(found) <= FEW:
+        return _ranked(items.mapInArrow(_scored(found, needed, decimals, apart, least), HITS), needed)
     nq, ni = queries.count(), items.count()
     q, x = _blocks(queries, nq), _blocks(items, ni)
     qb, xb = max(1, -(-nq // BLOCK)), max(1, -(-ni // BLOCK))
@@ -77,20 +125,12 @@ def top_k(queries: DataFrame, items: DataFrame, needed: int, decimals: int = 6,
             ids = b["id"].to_numpy()
             order = np.argsort(ids, kind="stable")
             score = np.round(_matrix(a["vector"]) @ _matrix(b["vector"]).T, decimals)[:, order]
-            if apart:
-                score[a["note_id"].to_numpy()[:, None] == b["note_id"].to_numpy()[order][None, :]] = NEVER
-            best = _best(score, needed, decimals)
-            rows = np.repeat(np.arange(len(a)), best.shape[1])
-            at, found = order[best.ravel()], np.take_along_axis(score, best, 1).ravel()
-            good = np.flatnonzero(found >= (NEVER + 1 if least is None else least))
-            rows, at = rows[good], at[good]
-            out.append(pa.table({"query_id": a["id"].take(rows), "id": b["id"].take(at), "note_id": b["note_id"].take(at), "score": found[good]}))
+            rows, at, score = _hits(score, order, a["note_id"] if apart else None, b["note_id"], needed, decimals, least)
+            out.append(pa.table({"query_id": a["id"].take(rows), "id": b["id"].take(at), "note_id": b["note_id"].take(at), "score": score}))
         schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("note_id", pa.int64()), ("score", pa.float64())])
         return pa.concat_tables(out).cast(schema) if out else schema.empty_table()
 
-    hits = left.union(right).groupBy("_b", "_c").applyInArrow(run, "query_id long, id long, note_id long, score double")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return hits.withColumn("rank", rank).where(F.col("rank") <= needed)
+    return _ranked(left.union(right).groupBy("_b", "_c").applyInArrow(run, HITS), needed)
 
 
 def oversample(top: int, excludes: bool, per_note: bool) -> int:

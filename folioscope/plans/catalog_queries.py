@@ -190,7 +190,7 @@ def a5_dashboard(spark, sf_dir):
 @query("a6_exact_duplicates", sql("notes", """
 SELECT content_hash, count(*) OVER (PARTITION BY content_hash) AS n, min(id) OVER (PARTITION BY content_hash) AS first_id, id FROM notes WHERE content_hash <> '' QUALIFY count(*) OVER (PARTITION BY content_hash) > 1"""))
 def a6_exact_duplicates(spark, sf_dir):
-    return C.exact_duplicates(V.notes(spark, sf_dir))
+    return C.exact_duplicates(V.hashes(spark, sf_dir))
 
 
 _POOL = """

@@ -131,7 +131,7 @@ def x7_stale_indices(spark, sf_dir):
 
 @query("r12_exact_duplicates", sql("notes", "SELECT content_hash, count(*) AS n, min(id) AS first_id FROM notes WHERE content_hash <> '' GROUP BY 1 HAVING count(*) > 1"))
 def r12_exact_duplicates(spark, sf_dir):
-    return C.duplicate_groups(V.notes(spark, sf_dir))
+    return C.duplicate_groups(V.hashes(spark, sf_dir))
 
 
 @query("r26_dispatch", sql("chunks", "SELECT note_id, count(*) AS n FROM chunks GROUP BY 1"))
@@ -207,4 +207,4 @@ def r41_result_metadata(spark, sf_dir, asked=None):
 
 @query("r42_dedupe_report", sql("notes", "SELECT count(*) AS groups, CAST(sum(n) AS BIGINT) AS notes FROM (SELECT count(*) AS n FROM notes WHERE content_hash <> '' GROUP BY content_hash HAVING count(*) > 1)"))
 def r42_dedupe_report(spark, sf_dir):
-    return C.duplicate_groups(V.notes(spark, sf_dir)).agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("notes"))
+    return C.duplicate_groups(V.hashes(spark, sf_dir)).agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("notes"))

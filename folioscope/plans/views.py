@@ -29,16 +29,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders that go when the application ends.
+_REGISTERED: set[str] = set()
+
+
 def workspace(spark: SparkSession) -> str:
     """A folder for tables that queries write: the one that the cluster shares,
     or a temporary one on a single machine without it."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("on a cluster, spark.checkpoint.dir must name a shared folder")
         held = tempfile.TemporaryDirectory(prefix="folioscope-")
         atexit.register(held.cleanup)
         at = held.name
         spark.conf.set("spark.checkpoint.dir", at)
-    return f"{at.rstrip('/')}/folioscope-{spark.sparkContext.applicationId}"
+    out = f"{at.rstrip('/')}/folioscope-{spark.sparkContext.applicationId}"
+    if out not in _REGISTERED:
+        _REGISTERED.add(out)
+        path = spark._jvm.org.apache.hadoop.fs.Path(out)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+    return out
 
 
 def kept(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
@@ -46,7 +59,8 @@ def kept(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFr
     at = f"{workspace(spark)}/kept/{hashlib.sha256(sf_dir.encode()).hexdigest()[:12]}/{name}"
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/_SUCCESS")
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        build().write.mode("overwrite").parquet(at)
+        # small row groups: a question reads those of its tokens
+        build().write.mode("overwrite").option("parquet.block.size", 4 << 20).parquet(at)
     return spark.read.parquet(at)
 
 
@@ -130,13 +144,20 @@ def freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select(F.col("path").alias("note_path"), F.col("last_seen").alias("last_verified"), (30 + F.col("id") % 5 * 60).cast("int").alias("window_days"))
 
 
+def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes' ids and content hashes, made once."""
+    return kept(spark, sf_dir, "hashes", lambda: notes(spark, sf_dir).select("id", "content_hash"))
+
+
 def index(spark: SparkSession, sf_dir: str):
     """The full-text index of the chunks, made once."""
     from folioscope.operators import search
 
     made = lambda: search.text_index(chunks(spark, sf_dir))
-    places = kept(spark, sf_dir, "places", lambda: made().places.repartitionByRange("token", "id").sortWithinPartitions("token", "id"))
-    return search.TextIndex(places, kept(spark, sf_dir, "lengths", lambda: made().chunks))
+    # texts are taken apart once: sorting by range reads its input twice
+    parts = lambda: kept(spark, sf_dir, "places_as_made", lambda: made().places)
+    places = kept(spark, sf_dir, "places", lambda: search.sorted_places(parts()))
+    return search.TextIndex(places, kept(spark, sf_dir, "lengths", lambda: parts().select("id", "note_id", "length").distinct().unionByName(made().chunks.where("length = 0"))))
 
 
 def lexical(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -310,3 +310,23 @@ def test_quantile_and_newest(spark):
         assert got[None] == 1.0
     assert sorted(r.v for r in catalog.newest(spark.createDataFrame([(k,) for k in (5, 1, 4, 4, 2)], "v int"), "v", 2).collect()) == [1, 2]
     assert catalog.newest(spark.range(3), "id", 5).count() == 0
+
+
+def test_few_queries_and_many_find_the_same(spark, monkeypatch):
+    import numpy as np
+
+    from folioscope.operators import similar
+
+    r = np.random.default_rng(1)
+    rows = [(k, k % 7, (r.standard_normal(4 if k % 5 else 3)).tolist()) for k in range(120)] + [(200, 1, None), (201, 1, [])]
+    d = spark.createDataFrame(rows, "id long, note_id long, vector array<double>").repartition(5)
+    q = d.where("id % 10 = 0")
+    found = {}
+    for few in (256, 3):
+        monkeypatch.setattr(similar, "FEW", few)
+        monkeypatch.setattr(similar, "BLOCK", 16)
+        found[few] = [sorted(map(tuple, similar.top_k(q, d, 4, apart=a, least=m).collect())) for a in (False, True) for m in (None, 0.5)]
+    assert found[256] == found[3] and all(found[3])
+    notes = {k: n for k, n, _ in rows}
+    assert all(notes[x[0]] != x[2] for x in found[3][2])
+    assert similar.top_k(q.limit(0), d, 4).count() == 0
