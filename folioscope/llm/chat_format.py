@@ -12,7 +12,8 @@ has a letter. Escaped text holds no control string, so splitting at control
 strings and undoing the escapes gives back every role and text.
 
 Cases: a null text or role is an empty one; a null list of parts has none, and
-unknown kinds of parts are documents; equal turns are ordered by role, then by
+unknown kinds of parts are documents; a column ``parts`` that is no list of
+parts (kind, text, ref, units) is another column and the text counts; equal turns are ordered by role, then by
 text; repeated rows are turns each; a null conversation id is a conversation;
 an empty table gives an empty result; other columns are not read.
 """
@@ -69,7 +70,12 @@ def format_conversations(turns: DataFrame) -> DataFrame:
 
     turns: conv_id, turn, role, and parts or text.
     """
-    parts = F.coalesce(F.col("parts").cast(PARTS), F.array().cast(PARTS)) if "parts" in turns.columns else text_part(F.col("text"))
+    own = dict(turns.dtypes).get("parts", "")
+    if own.startswith("array<struct<") and all(f"{x.split(':')[0].strip()}:" in own for x in PARTS[13:-2].split(",")):
+        kinds = F.transform("parts", lambda p: F.struct(p["kind"].cast("string").alias("kind"), p["text"].cast("string").alias("text"), p["ref"].cast("string").alias("ref"), p["units"].cast("int").alias("units")))
+        parts = F.coalesce(kinds, F.array().cast(PARTS))
+    else:
+        parts = text_part(F.col("text"))
     t = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), parts.alias("parts"))
     t = t.select("conv_id", "turn", "role", F.array_join(F.transform("parts", visit), "").alias("content"), attachments(F.col("parts")).alias("attached"))
     head = F.concat(F.lit(TURN), escape(F.col("role")), F.lit(TEXT))

@@ -66,6 +66,17 @@ def discard(df: DataFrame) -> None:
         at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def input_bytes(df: DataFrame) -> int:
+    """The planner's estimate of what ``df`` reads, 0 where it has none."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < 1 << 56 else 0
+
+
+def buckets_for(df: DataFrame, most: int) -> int:
+    """Buckets of about ``most`` bytes of input, as many as shuffle partitions at least."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(df) // most))
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a whole text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

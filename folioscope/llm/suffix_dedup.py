@@ -42,11 +42,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.bytesets import ODD, U, mix, parts, text_bytes
+from folioscope.llm.common import buckets_for
 
 SPAN, GRAM = 50, 24
 #: Bytes of context on each side of an anchor, and places of a string around it.
 SIDE = SPAN - GRAM
 PLACES = SIDE + 1
+#: Bytes of input a bucket of anchors, or a group of documents.
+BUCKET = 1 << 25
 #: Anchors of a batch that are held before they are sent.
 HELD = 1 << 18
 #: Bytes of a text that are hashed at once.
@@ -462,8 +465,7 @@ def remove_repeats(docs: DataFrame, texts: bool = False, keep: list[str] | None
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row; with
     ``texts`` also kept_text; the columns ``keep`` of ``docs`` are carried along
     with ``_fs_`` before their names."""
-    spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets_for(docs.select("doc_id", "text"), BUCKET)
     extra = [c for c in (keep or []) if c not in ("doc_id", "text")]
     key = F.coalesce(F.col("doc_id"), F.lit(LAST)).cast("long")
     # both joins take the same columns, so that the texts are exchanged once

@@ -66,3 +66,10 @@ def test_parts(spark):
 def test_no_python_in_the_plan(spark):
     plan = C.digests(C.format_conversations(C.probe(spark)))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_a_column_named_parts_of_another_type(spark):
+    d = spark.createDataFrame([(1, 0, "user", "hello", 7)], "conv_id long, turn long, role string, text string, parts int")
+    plain = C.format_conversations(d.drop("parts")).first()
+    for e in (d, d.withColumn("parts", F.array(F.lit("x"))), d.withColumn("parts", F.lit("x"))):
+        assert C.format_conversations(e).first() == plain

@@ -1,6 +1,7 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from folioscope.llm import mixing, packing, queries
@@ -64,6 +65,22 @@ def test_extra_columns_and_empty_table(spark, sf_dir):
         assert docs.columns[-3:] == ["size", "kept_text", "replies"] and docs.count() == 0
 
 
+def test_extra_columns_are_carried(spark, sf_dir):
+    """Columns that clash with the operators' own names keep their values, over
+    rows with nulls, empty and very long texts, repeats and a null id."""
+    base = spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").limit(40)
+    odd = spark.createDataFrame([(900, None, None, None, None), (901, "", "en", None, 0), (902, " .,12 ", None, "s", 6), (None, "a text without an id " * 9, "en", "s", 1), (903, "the long one of them " * 60_000, "en", "s", 1)], base.schema)
+    docs = base.unionByName(odd).unionByName(base.limit(2))
+    clash = ["size", "kept_text", "replies", "_salt", "component_id", "copies", "source_size", "score"]
+    docs = docs.select("*", *(F.col("doc_id").alias(c) for c in clash))
+    for name, stage in P.STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+        assert docs.columns == [*COLUMNS, *clash], name
+        rows = docs.collect()
+        assert rows and all(r[c] == r.doc_id for r in rows for c in clash), name
+    assert written(P.STAGES[-1][1](spark, docs, sf_dir)).count() > 0
+
+
 def test_registered():
     names = set(queries.queries())
     assert {n.split("_")[0] for n in names} == {f"op{k}" for k in range(1, 11)}
