@@ -7,7 +7,9 @@ over HTTPS. Objects hold settings alone, so tasks can make their own.
 from __future__ import annotations
 
 import json
+import urllib.error
 import urllib.request
+from collections.abc import Iterator
 from dataclasses import dataclass
 from urllib.parse import urlsplit
 
@@ -42,12 +44,27 @@ class _Server:
         """A server is its own factory."""
         return self
 
-    def post(self, path: str, body: dict) -> dict:
+    def _open(self, path: str, body: dict | None = None):
         headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {self.key}"} if self.key else {})
-        request = urllib.request.Request(self.url + path, json.dumps(body).encode(), headers)
-        with urllib.request.urlopen(request, timeout=self.seconds) as r:
+        request = urllib.request.Request(self.url + path, None if body is None else json.dumps(body).encode(), headers)
+        return urllib.request.urlopen(request, timeout=self.seconds)
+
+    def post(self, path: str, body: dict) -> dict:
+        with self._open(path, body) as r:
             return json.load(r)
 
+    def get(self, path: str) -> dict:
+        with self._open(path) as r:
+            return json.load(r)
+
+    def _lines(self, path: str, body: dict) -> Iterator[dict]:
+        """Objects of a streamed reply, one a line, with or without ``data:``."""
+        with self._open(path, body) as r:
+            for raw in r:
+                line = raw.decode("utf-8", "replace").strip().removeprefix("data:").strip()
+                if line and line != "[DONE]":
+                    yield json.loads(line)
+
     def _vectors(self, texts: list[str]) -> list[list[float]]:
         raise NotImplementedError
 
@@ -69,7 +86,21 @@ class LocalServer(_Server):
     """The interface with ``/api/generate`` and ``/api/embed``."""
 
     def _vectors(self, texts):
-        return self.post("/api/embed", {"model": self.embedding_model, "input": texts})["embeddings"]
+        try:
+            return self.post("/api/embed", {"model": self.embedding_model, "input": texts})["embeddings"]
+        except urllib.error.HTTPError as e:
+            if e.code != 404:
+                raise
+        # servers that know one text a call
+        return [self.post("/api/embeddings", {"model": self.embedding_model, "prompt": t})["embedding"] for t in texts]
+
+    def models(self) -> list[str]:
+        return [m["name"] for m in self.get("/api/tags").get("models", [])]
+
+    def stream(self, prompt: str) -> Iterator[str]:
+        for part in self._lines("/api/generate", {"model": self.model, "prompt": prompt, "stream": True}):
+            if part.get("response"):
+                yield part["response"]
 
     def complete(self, prompt: str) -> str:
         try:
@@ -81,6 +112,15 @@ class LocalServer(_Server):
 class ChatServer(_Server):
     """The interface with ``/v1/chat/completions`` and ``/v1/embeddings``."""
 
+    def models(self) -> list[str]:
+        return [m["id"] for m in self.get("/v1/models").get("data", [])]
+
+    def stream(self, prompt: str) -> Iterator[str]:
+        body = {"model": self.model, "messages": [{"role": "user", "content": prompt}], "stream": True}
+        for part in self._lines("/v1/chat/completions", body):
+            if piece := ((part.get("choices") or [{}])[0].get("delta") or {}).get("content"):
+                yield piece
+
     def _vectors(self, texts):
         rows = self.post("/v1/embeddings", {"model": self.embedding_model, "input": texts})["data"]
         return [r["embedding"] for r in sorted(rows, key=lambda r: r["index"])]

@@ -53,3 +53,41 @@ def test_addresses():
     for bad, remote in (("http://example.org", False), ("https://example.org", False), ("http://example.org", True), ("ftp://localhost", True), ("x", False)):
         with pytest.raises(ValueError):
             checked_url(bad, remote)
+
+
+class Old(BaseHTTPRequestHandler):
+    """A server without batches, that streams and lists its models."""
+
+    def _send(self, status, text):
+        self.send_response(status)
+        self.end_headers()
+        self.wfile.write(text.encode())
+
+    def do_GET(self):
+        self._send(200, json.dumps({"/api/tags": {"models": [{"name": "m:latest"}]}, "/v1/models": {"data": [{"id": "c"}]}}[self.path]))
+
+    def do_POST(self):
+        body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+        if self.path == "/api/embeddings":
+            return self._send(200, json.dumps({"embedding": [float(len(body["prompt"])), 0.0]}))
+        if self.path == "/api/generate" and body["stream"]:
+            return self._send(200, '{"response": "a "}\n{"response": "b"}\n{"done": true}\n')
+        if self.path == "/v1/chat/completions" and body["stream"]:
+            return self._send(200, 'data: {"choices": [{"delta": {"content": "x"}}]}\n\ndata: {"choices": [{"delta": {}}]}\n\ndata: [DONE]\n')
+        return self._send(404, "{}")
+
+    def log_message(self, *args):
+        pass
+
+
+def test_single_texts_streams_and_model_lists():
+    from folioscope.operators.answer import streamed
+
+    server = HTTPServer(("127.0.0.1", 0), Old)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{server.server_port}"
+    local, chat = LocalServer(at, "m", "e"), ChatServer(at, "c", "e")
+    assert local.embed(["ab", " ", "c"]) == [[1.0, 0.0], None, [1.0, 0.0]] and chat.embed(["ab"]) == [None]
+    assert local.models() == ["m:latest"] and chat.models() == ["c"]
+    assert list(streamed(local, "p")) == [("token", "a "), ("token", "b"), ("done", "a b")] and list(chat.stream("p")) == ["x"]
+    server.shutdown()
