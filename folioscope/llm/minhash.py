@@ -272,20 +272,30 @@ def _tiles(percent: int):
 
 def mixed_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
     """The members (band, bucket, doc_id, component) of buckets with several
-    components, and the size ``_n`` of their bucket."""
-    named = members.join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = named.groupBy("band", "bucket").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count(F.lit(1)).alias("_n")).where("_lo <> _hi").drop("_lo", "_hi")
-    mixed = written(mixed)
-    return spread_join(written(named), mixed, ["band", "bucket"], F.xxhash64("doc_id"), mixed)
+    components, with the size ``_n`` of their bucket, its largest component
+    ``_major`` and the size ``_most`` of that."""
+    named = written(members.join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
+    parts = named.groupBy("band", "bucket", "component").agg(F.count(F.lit(1)).alias("_c"))
+    mixed = parts.groupBy("band", "bucket").agg(F.sum("_c").alias("_n"), F.max(F.struct("_c", "component")).alias("_m"), F.count(F.lit(1)).alias("_parts")).where("_parts > 1")
+    mixed = written(mixed.select("band", "bucket", "_n", F.col("_m.component").alias("_major"), F.col("_m._c").alias("_most")))
+    return spread_join(named, mixed, ["band", "bucket"], F.xxhash64("doc_id"), mixed)
 
 
 def residual_pairs(mixed: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Pairs from different components that share a bucket and may be similar."""
-    blocks = F.ceil(F.col("_n") / TILE).cast("int")
-    rows = mixed.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    """Pairs from different components that share a bucket and may be similar.
+
+    Members of a bucket's largest component are not held against each other, so
+    a bucket of near copies beside a few others costs its size, not its square.
+    """
+    others, major = F.ceil((F.col("_n") - F.col("_most")) / TILE).cast("int"), F.ceil(F.col("_most") / TILE).cast("int")
+    own = F.col("component") == F.col("_major")
+    h = F.xxhash64("doc_id")
+    rows = mixed.withColumns({"others": others, "blocks": others + major})
+    # blocks of the other components come first
+    rows = rows.withColumn("block", F.when(own, F.col("others") + F.pmod(h, F.col("blocks") - F.col("others"))).otherwise(F.pmod(h, F.col("others"))).cast("int"))
     # a row of block i is on the left of tiles (i, j >= i) and on the right of tiles (j < i, i)
-    left = rows.withColumn("j", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1))).select("band", "bucket", F.col("block").alias("i"), "j", F.lit(0).alias("side"), "doc_id", "component")
-    right = rows.where("block > 0").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("block") - 1))).select("band", "bucket", "i", F.col("block").alias("j"), F.lit(1).alias("side"), "doc_id", "component")
+    left = rows.where("block < others").withColumn("j", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1))).select("band", "bucket", F.col("block").alias("i"), "j", F.lit(0).alias("side"), "doc_id", "component")
+    right = rows.where("block > 0").withColumn("i", F.explode(F.sequence(F.lit(0), F.least("block", "others") - 1))).select("band", "bucket", "i", F.col("block").alias("j"), F.lit(1).alias("side"), "doc_id", "component")
     tiles = left.union(right).join(sketches, "doc_id").withColumn("tile", F.xxhash64("band", "bucket"))
     # few bytes but many comparisons: not to be coalesced by size
     tiles = tiles.repartition(4 * int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions")), "tile", "i", "j")
