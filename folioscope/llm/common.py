@@ -46,12 +46,12 @@ def shared_dir(spark: SparkSession) -> str:
     return out
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """``df`` written to the shared folder and read again: lineage is cut, and
     the rows outlive any executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._folioscope_path = path
     return out
