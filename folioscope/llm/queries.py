@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import chat_format, embed_dedup, html_extract, language_id, media_stream, minhash, mixing, packing, quality, suffix_dedup, toxicity
+from folioscope.llm import chat_format, embed_dedup, html_extract, language_id, media_stream, minhash, mixing, packing, quality, suffix_dedup, token_align, toxicity
 from folioscope.llm.common import read_table
 
 
@@ -59,6 +59,10 @@ def op11_media_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_stream.digests(read_table(spark, sf_dir, "documents"))
 
 
+def op13_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.align(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
