@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import chat_format, embed_dedup, html_extract, language_id, media_stream, minhash, mixing, packing, quality, suffix_dedup, token_align, toxicity
+from folioscope.llm import chat_format, embed_dedup, html_extract, language_id, media_stream, minhash, mixing, packing, quality, suffix_dedup, token_align, toxicity, vector_codes
 from folioscope.llm.common import read_table
 
 
@@ -59,6 +59,10 @@ def op11_media_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_stream.digests(read_table(spark, sf_dir, "documents"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.codes(read_table(spark, sf_dir, "embeddings"))
+
+
 def op13_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_align.align(read_table(spark, sf_dir, "documents"))
 
@@ -68,4 +72,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.SQL, "op9_chat_format": chat_format.SQL}
+    return {"op3_mixing": mixing.SQL, "op9_chat_format": chat_format.SQL, "op12_vector_codes": vector_codes.sql()}
