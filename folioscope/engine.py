@@ -1,8 +1,9 @@
 """The engine's operations over an index folder.
 
-An index is a set of snapshot tables: notes, note_tags, chunks, places (of the
-full-text index), freshness, claims and contradictions. Operations read the
-current versions, and those that change something write the next ones.
+An index is a set of tables of the commit log: notes, note_tags, chunks, text
+(the segments of the full-text index), freshness, claims and contradictions.
+Operations read the current versions; those that change something write what
+changes, as deltas or segments.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from folioscope.functions import hashing
 from folioscope.functions.providers import Offline, embedded
 from folioscope.functions.text import sensitive_classes
 from folioscope.functions.vectors import mean_pool
-from folioscope.operators import answer, catalog, chunking, evaluate, freshness, graph, mirror, preflight, search, similar, store
+from folioscope.operators import answer, catalog, chunking, evaluate, freshness, graph, mirror, preflight, search, segments, similar, store
 from folioscope.sources import files
 from folioscope.sources import formats as extractors
 from folioscope.sources import vault as vaults
@@ -31,15 +32,20 @@ RUNS = "ran_at timestamp, notes_scanned long, claims_extracted long, pairs_check
 CHUNKS = "id long, note_id long, chunk_index int, text_content string, vector array<double>, page int, heading string, chunk_hash string"
 #: Tables of which old versions are dropped.
 TABLES = (
-    "notes note_tags chunks places lengths freshness claims contradictions mirror_runs claim_states scanned changed candidates scan_report orphans matrix "
-    "places_as_made to_read extracted claim_vectors claim_pairs decay"
+    "notes note_tags chunks text freshness claims contradictions mirror_runs claim_states scanned changed candidates plan scan_report orphans pruned matrix "
+    "to_read extracted claim_vectors claim_pairs decay"
 ).split()
 
 
+def pooled(chunks: DataFrame) -> DataFrame:
+    return mean_pool(chunks, ["note_id"]).withColumnRenamed("note_id", "id")
+
+
 class Engine:
     def __init__(self, spark: SparkSession, root: str, settings: Settings | None = None, provider=Offline, model: str = "lexical-768"):
         self.spark, self.settings, self.provider, self.model = spark, settings or Settings(), provider, model
         self.tables = store.Snapshots(spark, root)
+        self.text = segments.Segments(self.tables)
 
     def table(self, name: str, schema: str) -> DataFrame:
         found = self.tables.current(name)
@@ -73,10 +79,8 @@ class Engine:
     def mirror_runs(self) -> DataFrame:
         return self.table("mirror_runs", RUNS)
 
-    def index(self) -> search.TextIndex:
-        places = self.table("places", "token string, id long, note_id long, length int, place int")
-        lengths = self.table("lengths", "id long, note_id long, length int")
-        return search.TextIndex(places, lengths)
+    def index(self) -> segments.Index:
+        return self.text.index()
 
     # -- building
 
@@ -106,14 +110,16 @@ class Engine:
             rows = store.with_ids(rows, stored, ["path"], ["path"]).withColumn("tags", F.array().cast("array<string>"))
         self.tables.replace("changed", rows)
         rows = self.tables.current("changed")
-        notes = store.upsert(stored, rows.select(*columns), ["path"], keep_old=["file_hash", "size_bytes"])
+        before = stored.join(rows.select("path"), "path", "left_semi")
+        self.tables.merge("notes", store.upsert(before.select(*columns), rows.select(*columns), ["path"], keep_old=["file_hash", "size_bytes"]), ["path"])
         touched = good.join(status.where("status = 'unchanged_text'"), "path").select("path", "file_hash")
-        self.tables.replace("notes", store.upsert(notes, touched, ["path"]).select(*columns))
-        self.tables.replace("note_tags", store.sync_tags(self.note_tags, rows.select(F.col("id").alias("note_id"), "tags")))
+        self.tables.merge("notes", stored.drop("file_hash").join(touched, "path").select(*columns), ["path"])
+        named = rows.select(F.col("id").alias("note_id"), F.explode("tags").alias("tag")).where("tag <> ''").distinct()
+        self.tables.merge("note_tags", named, ["note_id"], gone=rows.select(F.col("id").alias("note_id")))
 
         sections = docs.select("path", "sections").join(rows.select("path", "id"), "path")
         self._rechunk(rows.select(F.col("id").alias("note_id"), "text"), sections.select(F.col("id").alias("note_id"), "sections"))
-        self.tables.replace("freshness", self._seeded())
+        self._seed()
         failed = docs.where("error IS NOT NULL").select("path", F.lit("error").alias("status"))
         hidden = docs.where("private").select("path", F.lit("private").alias("status"))
         report = status.union(failed).union(hidden).union(same.select("path", F.lit("unchanged_bytes").alias("status")))
@@ -143,44 +149,49 @@ class Engine:
         fresh, stored = self.tables.current("candidates"), self.chunks
         # notes that were read and have no chunks now lose theirs
         own = stored.join(texts.select("note_id"), "note_id", "left_semi")
-        plan = store.chunk_plan(own, fresh)
+        self.tables.replace("plan", store.chunk_plan(own, fresh))
+        plan = self.tables.current("plan")
         todo = plan.where("action IN ('insert', 'replace')").select("note_id", "chunk_index").join(fresh, ["note_id", "chunk_index"])
         new = store.with_ids(todo, stored, ["note_id", "chunk_index"], ["note_id", "chunk_index"])
         vectors = embedded(new.select("id", "text_content"), "text_content", self.provider)
         columns = [c.split()[0] for c in CHUNKS.split(", ")]
         made = new.join(vectors, "id").where("vector IS NOT NULL").select(*columns)
-        kept = own.drop("page", "heading").join(plan.where("action IN ('keep', 'reanchor')").select("id", "page", "heading"), "id").select(*columns)
-        rest = stored.join(texts.select("note_id"), "note_id", "left_anti").select(*columns)
-        self.tables.replace("chunks", rest.union(kept).union(made))
-        self._store_index(search.updated_index(self.index(), new.select("id"), self.chunks))
+        moved = own.drop("page", "heading").join(plan.where("action = 'reanchor'").select("id", "page", "heading"), "id").select(*columns)
+        gone = plan.where("action IN ('delete', 'replace')").select("id")
+        self.tables.merge("chunks", moved.unionByName(made), ["id"], gone=gone)
+        self.text.update(self.chunks.join(todo.select("note_id", "chunk_index"), ["note_id", "chunk_index"], "left_semi"), gone)
 
     def reindex(self) -> None:
-        """The full-text index of the current chunks."""
-        self._store_index(search.text_index(self.chunks))
-
-    def _store_index(self, index: search.TextIndex) -> None:
-        self.tables.replace("places_as_made", index.places)
-        self.tables.replace("places", search.sorted_places(self.tables.current("places_as_made")))
-        self.tables.replace("lengths", index.chunks)
-
-    def _seeded(self) -> DataFrame:
+        """Bring the full-text index to the current chunks; only those that it
+        does not have, or has too many, are written."""
+        have, now = self.index().chunks.select("id", "length", "words"), self.chunks
+        read = segments.forward_of(now).select("id", F.col("words").alias("_w"))
+        other = now.join(read.join(have, "id", "left").where("words IS NULL OR words <> _w").select("id"), "id", "left_semi")
+        self.text.update(other, have.select("id").join(now.select("id"), "id", "left_anti"))
+
+    def _seed(self) -> None:
         verdicts = self.freshness.select("note_path", "decay_check_at", "likely_stale")
-        return freshness.seed(self.notes, self.freshness).where("action <> 'remove'").join(verdicts, "note_path", "left").select("note_path", "last_verified", "window_days", "decay_check_at", "likely_stale")
+        seeds = freshness.seed(self.notes, self.freshness).where("action <> 'keep'")
+        rows = seeds.where("action <> 'remove'").join(verdicts, "note_path", "left").select("note_path", "last_verified", "window_days", "decay_check_at", "likely_stale")
+        self.tables.merge("freshness", rows, ["note_path"], gone=seeds.where("action = 'remove'"))
 
     def prune(self, vault: str, formats: Sequence[str] | None = None) -> DataFrame:
         """Drop what belongs to files that are gone; returns the orphans."""
         s = self.settings
         there = vaults.scan(self.spark, vault, formats or s.formats, s.ignored_dirs, s.sidecar_dir).select(F.col("rel").alias("path"))
         self.tables.replace("orphans", catalog.orphans(self.notes, there))
-        current = {"notes": self.notes, "note_tags": self.note_tags, "chunks": self.chunks, "freshness": self.freshness, "claims": self.claims, "claim_states": self.table("claim_states", STATES)}
-        for name, rows in store.prune_missing(current, there).items():
-            self.tables.replace(name, rows)
-        left = self.claims.select("id")
+        gone = self.notes.join(there, "path", "left_anti").select("id", "path")
+        self.tables.replace("pruned", gone)
+        gone = self.tables.current("pruned")
+        of_note, of_path = gone.select(F.col("id").alias("note_id")), gone.select(F.col("path").alias("note_path"))
+        self.text.update(None, self.chunks.join(of_note, "note_id", "left_semi").select("id"))
+        lost = self.claims.join(of_note, "note_id", "left_semi").select("id")
         pairs = self.contradictions
-        for side in ("claim_a_id", "claim_b_id"):
-            pairs = pairs.join(left.withColumnRenamed("id", side), side, "left_semi")
-        self.tables.replace("contradictions", pairs.select(*[c.split()[0] for c in CONTRADICTIONS.split(", ")]))
-        self.reindex()
+        sides = [pairs.join(lost.withColumnRenamed("id", side), side, "left_semi").select("id") for side in ("claim_a_id", "claim_b_id")]
+        self.tables.merge("contradictions", None, ["id"], gone=sides[0].union(sides[1]).distinct()) if self.tables.version("contradictions") else None
+        for name, keys, rows in (("note_tags", "note_id", of_note), ("chunks", "note_id", of_note), ("claims", "note_id", of_note), ("claim_states", "note_id", of_note), ("freshness", "note_path", of_path), ("notes", "path", gone)):
+            if self.tables.version(name):
+                self.tables.merge(name, None, [keys], gone=rows)
         return self.tables.current("orphans")
 
     def maintain(self, keep: int = 5) -> dict[str, list[int]]:
@@ -224,7 +235,7 @@ class Engine:
         self.tables.replace("claim_states", rest.unionByName(read.select(F.col("id").alias("note_id"), "content_hash")))
         out = {"notes_scanned": read.count(), "claims_extracted": found.where("claim_text IS NOT NULL").count(), "pairs_checked": pairs.count(), "contradictions_found": self.contradictions.count() - before}
         run = self.spark.range(1).select(now.alias("ran_at"), *(F.lit(v).cast("long").alias(k) for k, v in out.items()))
-        self.tables.replace("mirror_runs", self.mirror_runs.unionByName(run))
+        self.tables.append("mirror_runs", run)
         return out
 
     def listed(self, status: str | None = "open") -> DataFrame:
@@ -273,18 +284,18 @@ class Engine:
         store.Migration(self.tables, "chunks", model).abort()
 
     def matrix(self) -> DataFrame:
-        """The pooled vectors of all notes, kept until the chunks change."""
-        seal = catalog.signature(self.chunks).select(F.concat_ws(":", "n", "max_id", "bytes").alias("seal")).first().seal
-        kept = self.tables.current("matrix")
-        if kept is None or kept.where(F.col("seal") == seal).limit(1).count() == 0:
-            self.tables.replace("matrix", self.pooled().withColumn("seal", F.lit(seal)))
-            kept = self.tables.current("matrix")
-        return kept.drop("seal")
+        """The pooled vectors of all notes, kept until there is another version
+        of the chunks they were made from."""
+        of = self.tables.version("chunks")
+        if not self.tables.version("matrix") or self.tables.manifest("matrix")["about"].get("chunks") != of:
+            chunks = self.tables.at("chunks", of) if of else self.chunks
+            self.tables.replace("matrix", pooled(chunks), self.tables.version("matrix"), {"chunks": of})
+        return self.tables.current("matrix")
 
     def available(self) -> dict[str, bool]:
         """Whether full text and vectors can be searched; vectors must be of one length."""
         v = catalog.signature(self.chunks.where("vector IS NOT NULL")).first()
-        return {"full_text": bool(self.tables.versions("places")), "vectors": bool(v.n and v.uniform)}
+        return {"full_text": bool(self.index().docs), "vectors": bool(v.n and v.uniform)}
 
     def preflight(self) -> DataFrame:
         found = self.chunks.where("vector IS NOT NULL").select(F.size("vector").alias("n")).first()
@@ -325,7 +336,7 @@ class Engine:
         return similar.connect(self.chunks.where("vector IS NOT NULL"), least=self.settings.connect_threshold)
 
     def pooled(self) -> DataFrame:
-        return mean_pool(self.chunks, ["note_id"]).withColumnRenamed("note_id", "id")
+        return pooled(self.chunks)
 
     def duplicates(self) -> tuple[DataFrame, DataFrame]:
         """Groups of equal notes, and pairs of similar ones."""

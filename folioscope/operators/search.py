@@ -5,92 +5,182 @@ Every operator keeps a ``query_id``, so many questions are one plan.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import snippet, tokens
+from folioscope.operators.segments import K1, B, Index, impact
 from folioscope.operators.similar import oversample, per_note, top_k
+from folioscope.operators.store import held
 
-K1, B = 1.2, 0.75
 MOST_TERMS = 50
-
-
+#: Terms of a question whose best blocks are scored first.
+SEEDS = 4
+#: Room for scores that are rounded before they are ranked.
+EPSILON = 2e-6
 #: Tokens that are looked up by name.
 LISTED = 1000
 
 
-@dataclass
-class TextIndex:
-    """places: token, id, note_id, length, place; chunks: id, note_id, length."""
-
-    places: DataFrame
-    chunks: DataFrame
-
-    def postings(self, wanted: DataFrame | None = None) -> DataFrame:
-        """token, id, note_id, length and its sorted places; only of the tokens
-        ``wanted``, if given, which are picked before anything is exchanged."""
-        at = self.places
-        if wanted is not None:
-            asked = wanted.select("token").distinct()
-            few = [r.token for r in asked.limit(LISTED + 1).collect()]
-            # few tokens are looked up in the files' statistics, many by a join
-            at = at.where(F.col("token").isin(few)) if len(few) <= LISTED else at.join(asked, "token", "left_semi")
-        return at.groupBy("token", "id", "note_id", "length").agg(F.sort_array(F.collect_list("place")).alias("places"))
-
-
-def text_index(chunks: DataFrame, text: str = "text_content") -> TextIndex:
-    """Places of the tokens of chunks (id, note_id, text).
-
-    Write them to a table to search more than once.
-    """
-    words = chunks.select("id", "note_id", tokens(F.col(text)).alias("w")).withColumn("length", F.size("w"))
-    at = words.select("id", "note_id", "length", F.posexplode("w").alias("place", "token"))
-    return TextIndex(at, words.select("id", "note_id", "length"))
-
-
-def sorted_places(places: DataFrame) -> DataFrame:
-    """Places in order of token and chunk, a frequent token over several files."""
-    return places.repartitionByRange("token", "id").sortWithinPartitions("token", "id")
-
-
-def updated_index(index: TextIndex, changed: DataFrame, chunks: DataFrame, text: str = "text_content") -> TextIndex:
-    """The index after the chunks ``changed`` (id) got another text or are new:
-    these and chunks that are gone lose their places, and only these are taken apart."""
-    left = index.chunks.select("id").join(chunks.select("id"), "id", "left_semi").join(changed, "id", "left_anti")
-    add = text_index(chunks.join(changed.distinct(), "id", "left_semi"), text)
-    return TextIndex(index.places.join(left, "id", "left_semi").unionByName(add.places), index.chunks.join(left, "id", "left_semi").unionByName(add.chunks))
-
-
-def bm25(index: TextIndex, questions: DataFrame, limit: int = 20, allowed: DataFrame | None = None) -> DataFrame:
+def _picked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of the tokens ``wanted``: few are looked up in the files' statistics,
+    many by a join."""
+    few = [r.token for r in wanted.limit(LISTED + 1).collect()]
+    return rows.where(F.col("token").isin(few)) if len(few) <= LISTED else rows.join(wanted, "token", "left_semi")
+
+
+def _terms(questions: DataFrame) -> DataFrame:
+    """(query_id, term, parts, repeats): the tokens of each term, which is a
+    phrase if there are several."""
+    words = questions.select("query_id", F.explode(F.slice(F.array_remove(F.split("question", r"\s+"), ""), 1, MOST_TERMS)).alias("word"))
+    parts = words.select("query_id", tokens(F.col("word")).alias("parts")).where("size(parts) > 0")
+    return parts.groupBy("query_id", F.array_join("parts", " ").alias("term"), "parts").agg(F.count(F.lit(1)).alias("repeats"))
+
+
+def _phrase_hits(index: Index, terms: DataFrame) -> DataFrame:
+    """(term, segment, id, tf, length) of phrases: chunks of a phrase's rarest
+    token in which its tokens follow each other."""
+    phrases = terms.where("size(parts) > 1").select("term", "parts").distinct()
+    each = phrases.select("term", "parts", F.explode("parts").alias("token"))
+    wanted = each.select("token").distinct()
+    rare = each.join(_picked(index.vocabulary(wanted), wanted), "token").groupBy("term", "parts").agg(F.min_by("token", "n").alias("token"))
+    at = rare.join(_picked(index.blocks, wanted), "token").select("term", "parts", "segment", F.explode("ids").alias("id"))
+    read = index.live(at).join(index.forward.select("segment", "id", "length", "words"), ["segment", "id"])
+    last = F.col("length") - F.size("parts") + 1
+    tf = F.size(F.filter(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.slice("words", i, F.size("parts")) == F.col("parts")))
+    return read.select("term", "segment", "id", tf.alias("tf"), "length").where("tf > 0")
+
+
+def _highest(bound: Column, mean: float) -> Column:
+    """The highest impact of postings with these bounds (tf, least length)."""
+    return F.array_max(F.transform(bound, lambda b: impact(b["tf"], b["length"], mean)))
+
+
+def _weighed(index: Index, terms: DataFrame, hits: DataFrame) -> DataFrame:
+    """Terms that occur, with their weight and the most they add to a score."""
+    wanted = terms.where("size(parts) = 1").select(F.col("term").alias("token")).distinct()
+    single = _picked(index.vocabulary(wanted), wanted).withColumnRenamed("token", "term")
+    least = hits.groupBy("term", "tf").agg(F.min("length").alias("length"), F.count(F.lit(1)).alias("n"))
+    phrase = least.groupBy("term").agg(F.sum("n").alias("n"), F.collect_list(F.struct("tf", "length")).alias("bound"))
+    known = terms.join(single.unionByName(phrase), "term")
+    idf = F.log((F.lit(index.docs) - F.col("n") + 0.5) / (F.col("n") + 0.5))
+    weight = F.when(idf <= 0, 1e-6).otherwise(idf) * F.col("repeats")
+    return known.select("query_id", "term", "parts", weight.alias("w"), "bound").select("query_id", "term", "parts", "w", (F.col("w") * _highest(F.col("bound"), index.mean)).alias("top"))
+
+
+_SCORED = "query_id long, id long, note_id long, score double"
+
+
+def _score(mean: float):
+    """Scores of chunks for a question each: the words of a chunk against the
+    question's terms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            b = b.take(pa.array(np.argsort(b.column("query_id").to_numpy(), kind="stable")))
+            asked, first = np.unique(b.column("query_id").to_numpy(), return_index=True)
+            words, length = b.column("words"), b.column("length").to_numpy().astype(np.float64)
+            sizes = words.value_lengths().to_numpy(zero_copy_only=False)
+            coded = words.flatten().dictionary_encode()
+            flat, place = coded.indices.to_numpy(), {t: k for k, t in enumerate(coded.dictionary.to_pylist())}
+            row = np.repeat(np.arange(b.num_rows), sizes)
+            ends = np.concatenate(([0], np.cumsum(sizes)))
+            score = np.zeros(b.num_rows)
+            shrink = K1 * (1 - B + B * length / mean)
+            for begin, end in zip(first, np.append(first[1:], b.num_rows), strict=True):
+                code, at = flat[ends[begin] : ends[end]], row[ends[begin] : ends[end]]
+                for parts, w in zip(b.column("terms")[int(begin)].as_py(), b.column("weights")[int(begin)].as_py(), strict=True):
+                    codes = [place.get(t, -1) for t in parts]
+                    if -1 in codes:
+                        continue
+                    hit = code == codes[0]
+                    for j, c in enumerate(codes[1:], 1):
+                        hit[: len(code) - j] &= (code[j:] == c) & (at[j:] == at[: len(code) - j])
+                        hit[max(len(code) - j, 0) :] = False
+                    tf = np.bincount(at[hit] - begin, minlength=end - begin)
+                    score[begin:end] += w * tf * (K1 + 1) / (tf + shrink[begin:end])
+            yield pa.RecordBatch.from_arrays([b.column("query_id"), b.column("id"), b.column("note_id"), pa.array(score)], ["query_id", "id", "note_id", "score"])
+
+    return run
+
+
+def _scores(index: Index, pairs: DataFrame, weights: DataFrame, allowed: DataFrame | None) -> DataFrame:
+    """Scores of pairs (query_id, segment, id) that are live and allowed."""
+    asked = weights.groupBy("query_id").agg(F.collect_list("parts").alias("terms"), F.collect_list("w").alias("weights"))
+    read = index.live(pairs).join(index.forward, ["segment", "id"])
+    if allowed is not None:
+        read = read.join(allowed.select(F.col("id").alias("note_id")), "note_id", "left_semi")
+    rows = read.join(asked, "query_id").select("query_id", "id", "note_id", "length", "words", "terms", "weights")
+    return rows.mapInArrow(_score(index.mean or 1.0), _SCORED).where("score > 0")
+
+
+def _candidates(index: Index, questions: DataFrame, limit: int, allowed: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Weighed terms, and all pairs (query_id, segment, id) that can be among the
+    best ``limit``; see ``bm25``."""
+    terms = held(_terms(questions))
+    hits = held(_phrase_hits(index, terms))
+    weights = held(_weighed(index, terms, hits))
+    single = weights.where("size(parts) = 1").withColumnRenamed("term", "token")
+    wanted = single.select("token").distinct()
+    blocks = _picked(index.blocks, wanted)
+    bound = F.array_max(F.zip_with("bound_tfs", "bound_lengths", lambda tf, n: impact(tf, n, index.mean or 1.0)))
+
+    most = single.withColumn("_k", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("top"), "token"))).where(F.col("_k") <= SEEDS)
+    best = most.join(blocks, "token").groupBy("query_id", "token").agg(F.max_by(F.struct("segment", "ids"), bound).alias("b"))
+    seeds = best.select("query_id", F.col("b.segment").alias("segment"), F.explode("b.ids").alias("id")).distinct()
+    ranked = _scores(index, seeds, weights, allowed).withColumn("_k", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"))))
+    least = ranked.where(F.col("_k") == limit).select("query_id", F.col("score").alias("least"))
+
+    whole = W.partitionBy("query_id")
+    upto = whole.orderBy("top", "term").rowsBetween(W.unboundedPreceding, 0)
+    needed = F.coalesce("least", F.lit(0.0)) - EPSILON
+    needy = (
+        weights.withColumns({"_upto": F.sum("top").over(upto), "_all": F.sum("top").over(whole)}).join(least, "query_id", "left")
+        .where(F.col("_upto") >= needed).select("query_id", "term", "w", (needed - F.col("_all") + F.col("top")).alias("needed"))
+    )
+    read = needy.withColumnRenamed("term", "token").join(blocks, "token").where(F.col("w") * bound >= F.col("needed"))
+    found = read.select("query_id", "segment", F.explode("ids").alias("id"))
+    phrases = needy.join(hits, "term").where(F.col("w") * impact(F.col("tf"), F.col("length"), index.mean or 1.0) >= F.col("needed")).select("query_id", "segment", "id")
+    return weights, found.unionByName(phrases).distinct()
+
+
+def bm25(index: Index, questions: DataFrame, limit: int = 20, allowed: DataFrame | None = None) -> DataFrame:
     """(query_id, id, note_id, score, rank); the lower the score the better.
 
     questions: query_id, question. White space parts the terms; a term of
     several tokens is a phrase. Terms in most chunks count almost nothing.
     allowed: ids of notes, or None for all; cut after it applies.
+
+    Not every posting is read. The best blocks of a question's weightiest terms
+    are scored first; their ``limit``-th score is one that a result must reach.
+    Of the terms in order of what they can add, those that together stay below
+    it cannot make a result by themselves; they are looked up only in the
+    candidates. Of the others only those blocks are read whose bound reaches it
+    with all that the other terms can add. The ranks are those of scoring all.
     """
-    terms = questions.select("query_id", F.posexplode(F.slice(F.array_remove(F.split("question", r"\s+"), ""), 1, MOST_TERMS)).alias("term", "word"))
-    asked = terms.select("query_id", "term", tokens(F.col("word")).alias("t")).select("query_id", "term", F.size("t").alias("m"), F.posexplode("t").alias("j", "token"))
-    hit = asked.join(index.postings(asked), "token")
-    begins = F.transform("places", lambda p: p - F.col("j"))
-    grouped = hit.withColumn("begins", begins).groupBy("query_id", "term", "m", "id", "note_id", "length").agg(F.collect_list("begins").alias("all"))
-    tf = F.size(F.aggregate(F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(0))), F.get("all", 0), lambda a, x: F.array_intersect(a, x)))
-    found = grouped.where("size(all) = m").withColumn("tf", F.when(F.col("m") == 1, F.size(F.get("all", 0))).otherwise(tf)).where("tf > 0")
-    df = found.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("n"))
-    # one row of corpus figures
-    stats = index.chunks.agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("mean"))
-    idf = F.log((F.col("docs") - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    weight = F.when(idf <= 0, 1e-6).otherwise(idf)
-    part = weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    scored = found.join(df, ["query_id", "term"]).crossJoin(F.broadcast(stats)).groupBy("query_id", "id", "note_id").agg(F.round(-F.sum(part), 6).alias("score"))
-    if allowed is not None:
-        scored = scored.join(allowed.select(F.col("id").alias("note_id")), "note_id", "left_semi")
+    weights, pairs = _candidates(index, questions, limit, allowed)
+    scored = _scores(index, pairs, weights, allowed).select("query_id", "id", "note_id", F.round(-F.col("score"), 6).alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= limit).select("query_id", "id", "note_id", "score", "rank")
 
 
+def effort(index: Index, questions: DataFrame, limit: int = 20) -> DataFrame:
+    """(query_id, postings, scored): postings of a question's terms, and the
+    chunks that are scored for it."""
+    weights, pairs = _candidates(index, questions, limit, None)
+    wanted = weights.select(F.explode("parts").alias("token")).distinct()
+    n = index.vocabulary(wanted)
+    postings = weights.select("query_id", F.explode("parts").alias("token")).join(n, "token").groupBy("query_id").agg(F.sum("n").alias("postings"))
+    return postings.join(pairs.groupBy("query_id").agg(F.count(F.lit(1)).alias("scored")), "query_id")
+
+
 def dense(questions: DataFrame, chunks: DataFrame, top: int = 5, excluded: DataFrame | None = None, notes: bool = True, allowed: DataFrame | None = None) -> DataFrame:
     """The nearest chunks, one a note if ``notes``; questions: query_id, vector."""
     if allowed is not None:
@@ -114,7 +204,7 @@ def fuse(near: DataFrame, text: DataFrame, rrf_k: int = 60) -> DataFrame:
     return out.withColumn("rank", F.row_number().over(order))
 
 
-def hybrid(questions: DataFrame, index: TextIndex, chunks: DataFrame, top: int = 5, rrf_k: int = 60, allowed: DataFrame | None = None, rerank=None) -> DataFrame:
+def hybrid(questions: DataFrame, index: Index, chunks: DataFrame, top: int = 5, rrf_k: int = 60, allowed: DataFrame | None = None, rerank=None) -> DataFrame:
     """Fused retrieval; questions: query_id, question, vector.
 
     rerank: a function of the pool (query_id, id, note_id, score, rank) that

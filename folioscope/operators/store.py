@@ -1,26 +1,52 @@
 """Incremental maintenance of the tables, as merges of DataFrames.
 
-A table is a folder of numbered snapshots and a pointer to the current one. A
-merge reads the current snapshot, writes the next one whole, and moves the
-pointer last, so a reader never sees half a merge and a failed writer leaves
-nothing behind but an unreferenced folder.
+A table is a folder with a log of commits, each of which names the folders that
+make up a version; so a reader never sees half a change.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+import time
+import uuid
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+class Conflict(RuntimeError):
+    """Another writer has committed since the version that a change starts from."""
+
+
 class Snapshots:
-    """Versioned Parquet tables under a root folder."""
+    """Versioned Parquet tables under a root folder, by a log of commits.
+
+    A commit is a small file that names the version it was made from and the
+    parts of the table: folders of rows, and deltas, whose keys take the place
+    of all earlier rows with these keys. Data is written first; then the commit
+    file of the next number is created, which only one writer can do. A writer
+    that finds the number taken either plays its change again on what is there
+    now (appends, merges, compactions), or is refused (``replace``), so that no
+    commit is lost. A failed writer leaves nothing behind but unnamed folders.
+
+    Deltas are merged on reading: of a key, rows of the last delta that has it
+    and of later parts count. After ``MOST_DELTAS`` of them the table is written
+    anew. Keys must not be null. The file system must create files exclusively,
+    as HDFS and POSIX do.
+    """
+
+    MOST_DELTAS = 8
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self._hadoop = spark._jvm.org.apache.hadoop.fs
+        #: The versions that this writer has read or written last.
+        self._known: dict[str, int] = {}
+
+    # -- files
 
     def _path(self, at: str):
         return self._hadoop.Path(at)
@@ -28,78 +54,189 @@ class Snapshots:
     def _files(self, at: str):
         return self._path(at).getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def versions(self, name: str) -> list[int]:
-        at = f"{self.root}/{name}"
+    def _names(self, at: str) -> list[str]:
         fs = self._files(at)
-        if not fs.exists(self._path(at)):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(self._path(at))]
-        return sorted(int(n[1:]) for n in names if n[0] == "v" and n[1:].isdigit() and fs.exists(self._path(f"{at}/current-{n[1:]}")))
+        return [s.getPath().getName() for s in fs.listStatus(self._path(at))] if fs.exists(self._path(at)) else []
 
-    def current(self, name: str) -> DataFrame | None:
-        v = self.versions(name)
-        return self.spark.read.parquet(f"{self.root}/{name}/v{v[-1]}") if v else None
+    def size(self, at: str) -> int:
+        """Bytes of a folder."""
+        fs = self._files(at)
+        return fs.getContentSummary(self._path(at)).getLength() if fs.exists(self._path(at)) else 0
+
+    def new_folder(self, name: str) -> str:
+        return f"{self.root}/{name}/{uuid.uuid4().hex}"
 
-    def replace(self, name: str, rows: DataFrame) -> int:
-        """Write the next version and make it current.
+    # -- commits
 
-        The number is claimed by a file that only one writer can create; of two
-        writers the later one gets the next number, and its version is current.
+    def versions(self, name: str) -> list[int]:
+        return sorted(int(n[7:]) for n in self._names(f"{self.root}/{name}") if n.startswith("commit-"))
+
+    def version(self, name: str) -> int:
+        """The number of the last commit, 0 for none."""
+        return max(self.versions(name), default=0)
+
+    def manifest(self, name: str, version: int | None = None) -> dict:
+        """The commit of a version: its base, its parts and what else it says."""
+        v = self.version(name) if version is None else version
+        if not v:
+            return {"base": 0, "parts": [], "about": {}}
+        text = ""
+        for _ in range(50):
+            stream = self._files(self.root).open(self._path(f"{self.root}/{name}/commit-{v}"))
+            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            stream.close()
+            if text.endswith("}"):
+                return json.loads(text)
+            time.sleep(0.1)  # its writer has created it and not closed it yet
+        raise RuntimeError(f"commit {v} of {name} is not whole: {text!r}")
+
+    def commit(self, name: str, change: Callable[[list[dict]], list[dict]], base: int | None = None, about: dict | None = None) -> int:
+        """Make what ``change`` makes of the current parts the next version.
+
+        With a base the change is refused if that is not the current version;
+        without one it is played again until no other writer is faster.
         """
-        at = f"{self.root}/{name}"
-        fs, new = self._files(at), max(self._claimed(name), default=0) + 1
+        fs = self._files(self.root)
         while True:
+            v = self.version(name)
+            if base is not None and v != base:
+                raise Conflict(f"{name} is at version {v}; the change was made from {base}")
+            text = json.dumps({"base": v, "parts": change(self.manifest(name, v)["parts"]), "about": about or {}})
+            at = self._path(f"{self.root}/{name}/commit-{v + 1}")
             try:
-                fs.create(self._path(f"{at}/claim-{new}"), False).close()
-                break
+                out = fs.create(at, False)
             except Exception:  # noqa: BLE001  file systems differ in what they raise
-                if not fs.exists(self._path(f"{at}/claim-{new}")):
+                if not fs.exists(at):
                     raise
-                new += 1
-        rows.write.mode("overwrite").parquet(f"{at}/v{new}")
-        fs.create(self._path(f"{at}/current-{new}"), True).close()
-        return new
+                continue
+            out.write(bytearray(text.encode()))
+            out.close()
+            self._known[name] = v + 1
+            return v + 1
 
-    def _claimed(self, name: str) -> list[int]:
-        at = self._path(f"{self.root}/{name}")
-        fs = self._files(self.root)
-        names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
-        return [int(n.rsplit("-", 1)[-1].removeprefix("v")) for n in names if n.rsplit("-", 1)[-1].removeprefix("v").isdigit()]
+    # -- reading
+
+    def current(self, name: str) -> DataFrame | None:
+        v = self.version(name)
+        self._known[name] = v
+        return self.rows(self.manifest(name, v)["parts"]) if v else None
+
+    def at(self, name: str, version: int) -> DataFrame:
+        return self.rows(self.manifest(name, version)["parts"])
+
+    def rows(self, parts: list[dict]) -> DataFrame:
+        """The rows of parts, deltas merged."""
+        read = self.spark.read
+        deltas = [k for k, p in enumerate(parts) if p.get("keys")]
+        if not deltas:
+            return read.parquet(*(p["rows"] for p in parts))
+        frames = [read.parquet(p["rows"]).withColumn("_part", F.lit(k)) for k, p in enumerate(parts) if p.get("rows")]
+        out = reduce(lambda a, b: a.unionByName(b), frames)
+        for keys in dict.fromkeys(tuple(parts[k]["keys"]) for k in deltas):
+            taken = [read.parquet(p[side]).select(*keys, F.lit(k).alias("_part")) for k in deltas if tuple((p := parts[k])["keys"]) == keys for side in ("rows", "gone") if p.get(side)]
+            last = reduce(lambda a, b: a.unionByName(b), taken).groupBy(*keys).agg(F.max("_part").alias("_last"))
+            out = out.join(last, list(keys), "left").where("_last IS NULL OR _part >= _last").drop("_last")
+        first = frames[0].columns
+        return out.select(*[c for c in first if c != "_part"])
+
+    # -- changes
+
+    def _write(self, name: str, rows: DataFrame) -> str:
+        at = self.new_folder(name)
+        rows.write.parquet(at)
+        return at
+
+    def replace(self, name: str, rows: DataFrame, base: int | None = None, about: dict | None = None) -> int:
+        """Write all rows anew. Refused if there is a commit after ``base``, by
+        default the version of this table that this writer knows."""
+        base = self._known.get(name, self.version(name)) if base is None else base
+        if base != self.version(name):
+            raise Conflict(f"{name} is at version {self.version(name)}; the change was made from {base}")
+        part = {"rows": self._write(name, rows)}
+        return self.commit(name, lambda _: [part], base, about)
+
+    def append(self, name: str, rows: DataFrame) -> int:
+        part = {"rows": self._write(name, rows)}
+        return self.commit(name, lambda parts: [*parts, part])
+
+    def merge(self, name: str, rows: DataFrame | None, keys: Sequence[str], gone: DataFrame | None = None) -> int:
+        """Rows take the place of all that have their keys; those with the keys
+        of ``gone`` go. Only these are written."""
+        part = {"keys": list(keys)}
+        if rows is not None:
+            part["rows"] = self._write(name, rows)
+        if gone is not None:
+            part["gone"] = self._write(name, gone.select(*keys))
+        written = [self.spark.read.parquet(part[side]) for side in ("rows", "gone") if side in part]
+        if self.version(name) and not any(w.limit(1).count() for w in written):
+            return self.version(name)  # nothing changes
+        v = self.commit(name, lambda parts: [*parts, part])
+        if sum("keys" in p for p in self.manifest(name, v)["parts"]) > self.MOST_DELTAS:
+            return self.compacted(name)
+        return v
+
+    def compacted(self, name: str, files: int | None = None) -> int:
+        """Write the current rows as one part, of so many files; what others
+        commit meanwhile stays behind it. Refused if they replace the table."""
+        v = self.version(name)
+        old = self.manifest(name, v)["parts"]
+        rows = self.rows(old)
+        part = {"rows": self._write(name, compact(rows, files) if files else rows)}
+
+        def change(parts: list[dict]) -> list[dict]:
+            if parts[: len(old)] != old:
+                raise Conflict(f"{name} was replaced while it was compacted")
+            return [part, *parts[len(old) :]]
+
+        return self.commit(name, change)
+
+    # -- upkeep
+
+    def folders(self, name: str) -> list[str]:
+        return [p[side] for p in self.manifest(name)["parts"] for side in ("rows", "gone") if p.get(side)]
 
     def files(self, name: str) -> int:
         """Number of data files of the current version."""
-        v = self.versions(name)
-        at = self._path(f"{self.root}/{name}/v{v[-1]}") if v else None
-        return sum(s.getPath().getName().endswith(".parquet") for s in self._files(self.root).listStatus(at)) if v else 0
-
-    def compacted(self, name: str, files: int) -> int:
-        """Rewrite the current version in fewer files; returns its number."""
-        return self.replace(name, compact(self.current(name), files))
+        return sum(n.endswith(".parquet") for at in self.folders(name) for n in self._names(at))
 
     def backup(self, names: Sequence[str], stamp: str, keep: int = 5) -> list[str]:
-        """Copy the current versions to ``backups/stamp``; the newest ``keep``
+        """Write the current rows to ``backups/stamp``; the newest ``keep``
         backups stay, the dropped ones are returned."""
-        fs, conf = self._files(self.root), self.spark._jsc.hadoopConfiguration()
         for name in names:
-            if v := self.versions(name):
-                self._hadoop.FileUtil.copy(fs, self._path(f"{self.root}/{name}/v{v[-1]}"), fs, self._path(f"{self.root}/backups/{stamp}/{name}"), False, conf)
-        have = sorted(s.getPath().getName() for s in fs.listStatus(self._path(f"{self.root}/backups")))
+            if self.version(name):
+                self.current(name).write.mode("overwrite").parquet(f"{self.root}/backups/{stamp}/{name}")
+        have = sorted(self._names(f"{self.root}/backups"))
         old = have[:-keep] if keep else []
         for x in old:
-            fs.delete(self._path(f"{self.root}/backups/{x}"), True)
+            self._files(self.root).delete(self._path(f"{self.root}/backups/{x}"), True)
         return old
 
     def prune(self, name: str, keep: int = 5) -> list[int]:
-        """Drop all but the newest versions."""
-        old = self.versions(name)[:-keep] if keep else []
+        """Drop all but the newest versions, and the folders that only they name."""
+        have = self.versions(name)
+        old, left = (have[:-keep], have[-keep:]) if keep else ([], have)
+        named = lambda vs: {s for v in vs for s in _strings(self.manifest(name, v)["parts"]) if s.startswith(f"{self.root}/{name}/")}
+        fs = self._files(self.root)
+        for at in named(old) - named(left):
+            fs.delete(self._path(at), True)
         for v in old:
-            fs = self._files(self.root)
-            fs.delete(self._path(f"{self.root}/{name}/current-{v}"), False)
-            fs.delete(self._path(f"{self.root}/{name}/claim-{v}"), False)
-            fs.delete(self._path(f"{self.root}/{name}/v{v}"), True)
+            fs.delete(self._path(f"{self.root}/{name}/commit-{v}"), False)
         return old
 
 
+def _strings(value) -> set[str]:
+    """All strings in a manifest's parts."""
+    if isinstance(value, str):
+        return {value}
+    inner = value.values() if isinstance(value, dict) else value if isinstance(value, list) else []
+    return {s for v in inner for s in _strings(v)}
+
+
+def held(rows: DataFrame) -> DataFrame:
+    """Rows that several steps read, in the checkpoint folder if there is one."""
+    return rows.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else rows
+
+
 def with_ids(new: DataFrame, existing: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """``new`` with ids: those that its keys have already, else the next ones.
 
@@ -219,16 +356,16 @@ class Migration:
         return now if done is None else now.join(done, "id", "left_anti")
 
     def add(self, embedded: DataFrame) -> None:
-        done = self.snapshots.current(self.shadow)
-        good = embedded.where("vector IS NOT NULL")
-        self.snapshots.replace(self.shadow, good if done is None else done.unionByName(good))
+        """Only the new vectors are written."""
+        columns = self.snapshots.current(self.name).columns
+        self.snapshots.append(self.shadow, embedded.where("vector IS NOT NULL").select(*columns))
 
     def begin(self) -> bool:
         """Start anew; False, and nothing changes, if a migration is under way."""
-        if self.snapshots.versions(self.shadow):
+        if self.snapshots.version(self.shadow):
             return False
         now = self.snapshots.current(self.name)
-        self.snapshots.replace(self.shadow, now.limit(0))
+        self.snapshots.replace(self.shadow, now.limit(0), base=0)
         return True
 
     def progress(self) -> tuple[int, int]:
@@ -237,16 +374,19 @@ class Migration:
         return 0 if done is None else done.count(), self.snapshots.current(self.name).count()
 
     def swap(self) -> bool:
-        """Make the new vectors current if none is missing."""
+        """Make the new vectors current if none is missing; refused if the
+        table changes meanwhile."""
+        base = self.snapshots.version(self.name)
         if self.pending().limit(1).count():
             return False
-        self.snapshots.replace(self.name, self.snapshots.current(self.shadow))
+        self.snapshots.replace(self.name, self.snapshots.current(self.shadow), base=base)
         self.abort()
         return True
 
     def abort(self) -> None:
         at = self.snapshots._path(f"{self.snapshots.root}/{self.shadow}")
         self.snapshots._files(self.snapshots.root).delete(at, True)
+        self.snapshots._known.pop(self.shadow, None)
 
 
 def compact(rows: DataFrame, files: int) -> DataFrame:

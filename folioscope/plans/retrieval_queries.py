@@ -9,6 +9,7 @@ from folioscope.functions import vectors as X
 from folioscope.operators import catalog as C
 from folioscope.operators import search as S
 from folioscope.operators import similar as M
+from folioscope.operators.store import held
 from folioscope.plans import views as V
 from folioscope.plans.registry import query
 
@@ -63,11 +64,6 @@ def _with(views: str, *parts: str) -> str:
     return "WITH " + ",\n".join([V.SQL[v] for v in views.split()] + list(parts))
 
 
-def held(rows):
-    """Rows that several steps read, in the checkpoint folder if there is one."""
-    return rows.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else rows
-
-
 def _lexed(spark, sf_dir):
     """Chunks with their offline vectors."""
     return V.lexical(spark, sf_dir)
@@ -80,8 +76,7 @@ _CHUNK_LEX = _LEX.format(key="id", text="text_content", table="held")
 @query("a16_corpus_stats", _with("chunks", _INDEX) + " SELECT token, count(DISTINCT id) AS chunks, (SELECT docs FROM stats) AS docs, round((SELECT mean FROM stats), 6) AS mean FROM places GROUP BY token")
 def a16_corpus_stats(spark, sf_dir):
     index = V.index(spark, sf_dir)
-    stats = index.chunks.agg(F.count(F.lit(1)).alias("docs"), F.round(F.avg("length"), 6).alias("mean"))
-    return index.places.select("token", "id").distinct().groupBy("token").agg(F.count(F.lit(1)).alias("chunks")).crossJoin(F.broadcast(stats))
+    return index.vocabulary().select("token", F.col("n").alias("chunks"), F.lit(index.docs).alias("docs"), F.lit(round(index.mean, 6)).alias("mean"))
 
 
 @for_notes

@@ -149,15 +149,21 @@ def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept(spark, sf_dir, "hashes", lambda: notes(spark, sf_dir).select("id", "content_hash"))
 
 
+def stored(spark: SparkSession, sf_dir: str):
+    """The tables that queries make once an application."""
+    from folioscope.operators.store import Snapshots
+
+    return Snapshots(spark, f"{workspace(spark)}/kept/{hashlib.sha256(sf_dir.encode()).hexdigest()[:12]}")
+
+
 def index(spark: SparkSession, sf_dir: str):
     """The full-text index of the chunks, made once."""
-    from folioscope.operators import search
+    from folioscope.operators.segments import Segments
 
-    made = lambda: search.text_index(chunks(spark, sf_dir))
-    # texts are taken apart once: sorting by range reads its input twice
-    parts = lambda: kept(spark, sf_dir, "places_as_made", lambda: made().places)
-    places = kept(spark, sf_dir, "places", lambda: search.sorted_places(parts()))
-    return search.TextIndex(places, kept(spark, sf_dir, "lengths", lambda: parts().select("id", "note_id", "length").distinct().unionByName(made().chunks.where("length = 0"))))
+    text = Segments(stored(spark, sf_dir))
+    if not text.tables.version(text.name):
+        text.update(chunks(spark, sf_dir))
+    return text.index()
 
 
 def lexical(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from folioscope.operators import catalog as C
 from folioscope.operators import chunking as K
 from folioscope.operators import search as S
 from folioscope.operators import similar as M
+from folioscope.operators.segments import unstored
 from folioscope.operators.store import Migration, Snapshots, chunk_plan, plan_counts, replace_claims, upsert, with_ids
 
 
@@ -53,7 +54,7 @@ def test_bm25(spark):
     texts = {1: "needle matches query", 2: "unrelated corpus item", 3: "needle needle needle keyword", 4: "other words entirely", 5: "query of queries"}
     chunks = spark.createDataFrame([(i, i, t) for i, t in texts.items()], "id long, note_id long, text_content string")
     q = spark.createDataFrame([(1, "Needle query needle"), (2, '"OR" (AND) ...'), (3, "")], "query_id long, question string")
-    got = S.bm25(S.text_index(chunks), q).collect()
+    got = S.bm25(unstored(chunks), q).collect()
     assert {r.id: r.score for r in got} == brute_bm25(texts, "needle query needle")
     assert {r.query_id for r in got} == {1}
 
@@ -61,16 +62,16 @@ def test_bm25(spark):
 def test_bm25_phrase_is_adjacent(spark):
     chunks = spark.createDataFrame([(1, 1, "foo bar baz"), (2, 2, "foo baz bar"), (3, 3, "x y"), (4, 4, "z")], "id long, note_id long, text_content string")
     q = spark.createDataFrame([(1, "foo-bar")], "query_id long, question string")
-    assert [r.id for r in S.bm25(S.text_index(chunks), q).collect()] == [1]
+    assert [r.id for r in S.bm25(unstored(chunks), q).collect()] == [1]
 
 
 def test_hybrid_ranks_agreement_first(spark):
     rows = [(1, 1, "needle matches query", [1.0, 0.0, 0.0]), (2, 2, "unrelated corpus item", [0.9, 0.1, 0.0]), (3, 3, "needle needle needle keyword", [0.0, 0.0, 1.0]), (4, 4, "a", [0.0, 1.0, 0.0]), (5, 5, "b", [0.0, 1.0, 0.0])]
     c = spark.createDataFrame(rows, "id long, note_id long, text_content string, vector array<double>")
     q = spark.createDataFrame([(1, "needle", [1.0, 0.0, 0.0])], "query_id long, question string, vector array<double>")
-    got = S.hybrid(q, S.text_index(c), c, 5).orderBy("rank").collect()
+    got = S.hybrid(q, unstored(c), c, 5).orderBy("rank").collect()
     assert got[0].id == 1
-    assert all(r.note_id != 3 for r in S.hybrid(q, S.text_index(c), c, 5, allowed=spark.createDataFrame([(1,), (2,)], "id long")).collect())
+    assert all(r.note_id != 3 for r in S.hybrid(q, unstored(c), c, 5, allowed=spark.createDataFrame([(1,), (2,)], "id long")).collect())
 
 
 def test_oversample_window_is_seen(spark):

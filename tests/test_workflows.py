@@ -97,6 +97,11 @@ class Mended(Offline):
         return [[0.0, 1.0, 0.0] for _ in texts]
 
 
+class Same(Offline):
+    def embed(self, texts):
+        return [[-1.0, 0.0] for _ in texts]
+
+
 class Other(Offline):
     def embed(self, texts):
         return [None if "two" in t else [0.0, 1.0, 0.0] for t in texts]
@@ -126,6 +131,25 @@ def test_matrix_is_kept_until_chunks_change(spark, tmp_path):
     e.tables.replace("chunks", c.withColumn("id", F.lit(2).cast("long")))
     e.matrix()
     assert e.tables.versions("matrix") == [1, 2]
+    # a note of equal length, with the same ids, and a model of the same dimension
+    e.tables.merge("chunks", c.withColumn("id", F.lit(2).cast("long")).withColumn("vector", F.array(F.lit(0.0), F.lit(1.0))), ["id"])
+    assert e.matrix().first().vector == [0.0, 1.0] == e.pooled().first().vector
+    assert e.migrate("other", Same)["swapped"] and e.matrix().first().vector == [-1.0, 0.0]
+
+
+def test_graph_follows_an_edited_note(spark, tmp_path):
+    vault = tmp_path / "v"
+    vault.mkdir()
+    for name, text in (("a", "red green blue cyan"), ("b", "lion tiger bear wolf"), ("c", "iron steel gold zinc")):
+        (vault / f"{name}.md").write_text(text)
+    e = Engine(spark, str(tmp_path / "i"))
+    e.scan(str(vault))
+    assert not [r for r in e.graph()[1].collect() if r.kind == "suggested"]
+    (vault / "c.md").write_text("red green blue zinc")
+    e.scan(str(vault))
+    ids = {r.path: r.id for r in e.notes.collect()}
+    found = {(r.src, r.dst) for r in e.graph()[1].collect() if r.kind == "suggested"}
+    assert found == {(ids["a.md"], ids["c.md"]), (ids["c.md"], ids["a.md"])}
 
 
 def test_distilled_note_and_transcript(spark, tmp_path):
@@ -257,18 +281,61 @@ def test_versions_backup_and_compaction(spark, tmp_path):
     s = store.Snapshots(spark, str(tmp_path / "i"))
     assert s.replace("t", spark.range(100).repartition(6)) == 1 and s.files("t") == 6
     assert s.compacted("t", 2) == 2 and s.files("t") == 2 and s.current("t").count() == 100
-    got, threads = [], [threading.Thread(target=lambda k=k: got.append(s.replace("t", spark.range(k)))) for k in range(4)]
+    # four writers of one table: none is lost
+    got, threads = [], [threading.Thread(target=lambda k=k: got.append(s.append("t", spark.range(1000 + k, 1001 + k)))) for k in range(4)]
     for t in threads:
         t.start()
     for t in threads:
         t.join()
     assert sorted(got) == [3, 4, 5, 6] and s.versions("t") == [1, 2, 3, 4, 5, 6]
+    assert s.current("t").count() == 104 and s.current("t").where("id >= 1000").count() == 4
     for k in range(7):
         dropped = s.backup(["t", "none"], f"2025010{k}")
     assert dropped == ["20250101"] and spark.read.parquet(f"{s.root}/backups/20250106/t").count() == s.current("t").count()
     assert s.prune("t", 1) == [1, 2, 3, 4, 5] and s.replace("t", spark.range(1)) == 7
 
 
+def test_two_writers_of_one_base(spark, tmp_path):
+    """Both read a version and write the next: the later one is refused, and
+    deltas are played again; a compaction keeps what came meanwhile."""
+    a, b = (store.Snapshots(spark, str(tmp_path / "i")) for _ in range(2))
+    rows = lambda *ids: spark.createDataFrame([(i, f"{w}") for i, w in ids], "id long, word string")
+    a.replace("t", rows((0, "zero"), (1, "one")))
+    ra, rb = a.current("t"), b.current("t")
+    a.replace("t", ra.union(rows((2, "two"))))
+    with pytest.raises(store.Conflict):
+        b.replace("t", rb.union(rows((3, "three"))))
+    b.replace("t", b.current("t").union(rows((3, "three"))))
+    with pytest.raises(store.Conflict):
+        a.replace("t", ra)
+    a.merge("t", rows((1, "eins"), (4, "four")), ["id"], gone=rows((0, "")))
+    b.merge("t", rows((4, "vier")), ["id"])
+    have = lambda s: {r.id: r.word for r in s.current("t").collect()}
+    assert have(a) == have(b) == {1: "eins", 2: "two", 3: "three", 4: "vier"}
+    real, late = a.commit, []
+
+    def slow(name, change, base=None, about=None):
+        if not late:
+            late.append(b.append("t", rows((9, "late"))))
+        return real(name, change, base, about)
+
+    a.commit = slow
+    a.compacted("t", 1)
+    assert have(b) == {1: "eins", 2: "two", 3: "three", 4: "vier", 9: "late"} and len(b.manifest("t")["parts"]) == 2
+    late.clear()
+    a.commit = lambda name, change, base=None, about=None: (late or late.append(b.replace("t", rows((7, "new")), b.version("t"))), real(name, change, base, about))[1]
+    with pytest.raises(store.Conflict):
+        a.compacted("t")
+    assert have(b) == {7: "new"}
+    assert a.merge("t", rows().limit(0), ["id"]) == b.version("t")
+    for k in range(12):
+        b.merge("t", rows((k % 3, f"w{k}")), ["id"])
+    assert have(a) == {7: "new", 0: "w9", 1: "w10", 2: "w11"} and sum("keys" in p for p in a.manifest("t")["parts"]) <= b.MOST_DELTAS
+    before = set(a.folders("t"))
+    a.prune("t", 1)
+    assert have(b) == {7: "new", 0: "w9", 1: "w10", 2: "w11"} and set(a.folders("t")) == before
+
+
 def test_serving(spark, tmp_path):
     vault = tmp_path / "v"
     vault.mkdir()
