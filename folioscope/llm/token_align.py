@@ -16,7 +16,7 @@ meet the corpus-wide counts by pair (hot pairs are salted); the highest count of
 a B id is taken over at most one row an A id; and the answers of a chunk go back
 to it. A chunk has at most ``CHUNK`` links, a long document spans several.
 
-Words are tokenised once a task: between a printable ASCII or Latin character
+Words are tokenised once: between a printable ASCII or Latin character
 and the space after it no token of either vocabulary runs on (no piece of B has
 a space after another character, and the pattern of A starts anew there), so
 texts are cut there and the ids of up to ``WORDS`` short pieces are remembered.
@@ -50,7 +50,9 @@ VOCABULARY_A, VOCABULARY_B = "byte_bpe_50k", "piece_bpe_32k"
 #: Events in a block, links in a chunk.
 BLOCK, CHUNK = 4096, 1 << 21
 #: Pieces of texts whose ids are remembered, and their longest length.
-WORDS, WORD = 150_000, 24
+WORDS, WORD = 100_000, 24
+#: Pieces that are tokenised as one text, and the ids of one that cannot be.
+TOGETHER, LOST = 2048, (b"lost", b"lost")
 #: Ids are below this, so that a pair is one integer.
 IDS = 1 << 16
 A, B, NONE = 0, 1, 2
@@ -65,7 +67,8 @@ ALIGNED = (
 class Tokens:
     """Ids of both vocabularies, and what their tokens' bytes are."""
 
-    CUT = re.compile("(?<=[!-~À-ɏ]) ")
+    #: Where texts are cut, spaces at which they are not, and ends of pieces.
+    CUT, WITHIN, SAFE = re.compile("(?<=[!-~À-ɏ]) "), re.compile("(?:^|[^!-~À-ɏ]) "), re.compile("[!-~À-ɏ]")
 
     def __init__(self, a: str, b: str):
         import public_tokenizers
@@ -80,7 +83,7 @@ class Tokens:
             self.bytes_a[k] = self.a.fast.decode_single_token_bytes(k)
         if any(re.search("[^▁]▁", p) for p in pieces) or max(len(self.bytes_a), len(pieces)) > IDS:
             raise ValueError("texts cannot be cut at spaces for this vocabulary")
-        self.held: dict[str, tuple[bytes, bytes] | None] = {}
+        self.held: dict[str, tuple[bytes, bytes]] = {}
 
     @functools.cached_property
     def plain(self):
@@ -91,32 +94,61 @@ class Tokens:
         out.encode_special_tokens = True
         return out
 
-    def _encoded(self, piece: str) -> tuple[bytes, bytes] | None:
-        """Ids of a space and a piece; None where its bytes do not come back."""
-        text = " " + piece
-        a = self.plain.encode(text, add_special_tokens=False).ids if self.a.OTHER.search(text) else self.a.fast.encode_ordinary(text)
-        b = self.b.encode(piece) if piece else [self.b.piece_to_id("▁")]
-        raw = text.encode()
+    def _ids(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of a space and a text; None where its bytes do not come back."""
+        raw = f" {text}"
+        a = self.plain.encode(raw, add_special_tokens=False).ids if self.a.OTHER.search(raw) else self.a.fast.encode_ordinary(raw)
+        b = self.b.encode(text) if text else [self.b.piece_to_id("▁")]
+        raw = raw.encode()
         if any(b"".join(map(table.__getitem__, ids)) != raw for table, ids in ((self.bytes_a, a), (self.bytes_b, b))):
             return None
-        return np.array(a, np.uint16).tobytes(), np.array(b, np.uint16).tobytes()
-
-    def encode(self, text: str) -> tuple[bytes, bytes] | None:
-        """Ids of a whole text, a space before it, as two bytes each."""
-        held, out = self.held, []
-        for piece in self.CUT.split(text):
-            if piece in held:
-                ids = held[piece]
+        return np.array(a, np.uint16), np.array(b, np.uint16)
+
+    def _together(self, pieces: list[str]) -> list[tuple[bytes, bytes]]:
+        """Ids of pieces that end where texts are cut, of one text of them."""
+        found = self._ids(" ".join(pieces))
+        if found is None:
+            if len(pieces) == 1:
+                return [LOST]
+            half = len(pieces) // 2
+            return self._together(pieces[:half]) + self._together(pieces[half:])
+        ends = np.cumsum([len(p.encode()) + 1 for p in pieces])
+        sides = []
+        for ids, lengths in zip(found, self.lengths, strict=True):
+            at = np.searchsorted(np.cumsum(lengths[ids]), ends) + 1
+            data = ids.tobytes()
+            sides.append([data[2 * i : 2 * j] for i, j in zip([0, *at[:-1].tolist()], at.tolist(), strict=True)])
+        return list(zip(*sides, strict=True))
+
+    def _learn(self, pieces: list[str]) -> dict[str, tuple[bytes, bytes]]:
+        """Ids of pieces, many at a time."""
+        out, groups = {}, {False: [], True: []}
+        for p in pieces:
+            if len(p) > WORD or not self.SAFE.match(p[-1:]):
+                ids = self._ids(p)
+                out[p] = LOST if ids is None else (ids[0].tobytes(), ids[1].tobytes())
             else:
-                ids = self._encoded(piece)
-                if len(piece) <= WORD:
-                    if len(held) >= WORDS:
-                        held.clear()
-                    held[piece] = ids
-            if ids is None:
-                return None
-            out.append(ids)
-        return b"".join([x for x, _ in out]), b"".join([x for _, x in out])
+                groups[bool(self.a.OTHER.search(p))].append(p)
+        for group in groups.values():
+            for k in range(0, len(group), TOGETHER):
+                some = group[k : k + TOGETHER]
+                out.update(zip(some, self._together(some), strict=True))
+        return out
+
+    def encode(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
+        """Ids of whole texts, a space before each, as two bytes each; None for
+        those without tokens."""
+        cut = [(x.split(" ") if not self.WITHIN.search(x) else self.CUT.split(x)) if x else None for x in texts]
+        held = self.held
+        fresh = self._learn(list({p for pieces in cut if pieces for p in pieces if p not in held}))
+        out = []
+        for pieces in cut:
+            ids = [held.get(p) or fresh[p] for p in pieces] if pieces else [LOST]
+            out.append(None if LOST in ids else (b"".join([x for x, _ in ids]), b"".join([x for _, x in ids])))
+        room = WORDS - len(held)
+        if room > 0:
+            held.update([x for x in fresh.items() if len(x[0]) <= WORD][:room])
+        return out
 
     @functools.cached_property
     def lengths(self) -> tuple[np.ndarray, np.ndarray]:
@@ -139,10 +171,9 @@ def events(docs: DataFrame, a: str = VOCABULARY_A, b: str = VOCABULARY_B) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokens(a, b)
-        for batch in parts(batches):
+        for batch in parts(batches, 500):
             at, offset, side, ids = [], [], [], []
-            for k, text in enumerate(batch.column("text")):
-                both = t.encode(x) if (x := text.as_py()) else None
+            for k, both in enumerate(t.encode(batch.column("text").to_pylist())):
                 if both is None:
                     at.append(k)
                     offset.append(0)
