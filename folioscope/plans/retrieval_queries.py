@@ -11,7 +11,7 @@ from folioscope.operators import search as S
 from folioscope.operators import similar as M
 from folioscope.operators.store import held
 from folioscope.plans import views as V
-from folioscope.plans.registry import query
+from folioscope.plans.registry import ORACLES, query
 
 QUESTION = "(1, 'the thing éau der ondre ThE'), (2, 'que elle licensed under MIT'), (3, 'nicht und-die einen')"
 
@@ -26,12 +26,14 @@ def note_questions(spark, sf_dir):
     return V.notes(spark, sf_dir).where("id % 50 = 0 AND text IS NOT NULL").select(F.col("id").alias("query_id"), F.col("text").alias("question"))
 
 
-def for_notes(f):
-    """Registers ``f``, which takes questions, a second time over those of notes.
+#: The same as DuckDB's common table expressions.
+_GIVEN = f"questions(query_id, question) AS (VALUES {QUESTION})"
+_OF_NOTES = "questions AS (SELECT doc_id AS query_id, text AS question FROM documents WHERE doc_id % 50 = 0 AND text IS NOT NULL)"
+
 
-    SQL is too slow for these; they are tested against brute force.
-    """
-    query(f"{f.__name__}_notes")(lambda spark, sf_dir: f(spark, sf_dir, held(note_questions(spark, sf_dir))))
+def for_notes(f):
+    """Registers ``f``, which takes questions, a second time over those of notes."""
+    query(f"{f.__name__}_notes", ORACLES[f.__name__].replace(_GIVEN, _OF_NOTES))(lambda spark, sf_dir: f(spark, sf_dir, held(note_questions(spark, sf_dir))))
     return f
 
 
@@ -41,12 +43,13 @@ _INDEX = f"""
   lengths AS (SELECT id, note_id, len(w) AS length FROM words),
   places AS (SELECT id, note_id, len(w) AS length, unnest(w) AS token, unnest(generate_series(1, len(w))) AS place FROM words),
   stats AS (SELECT count(*) AS docs, avg(length) AS mean FROM lengths),
-  questions(query_id, question) AS (VALUES {QUESTION}),
-  terms AS (SELECT query_id, unnest(generate_series(1, len(t))) AS term, unnest(t) AS word FROM (SELECT query_id, string_split_regex(question, '\\s+') AS t FROM questions)),
+  {_GIVEN},
+  terms AS (SELECT query_id, unnest(generate_series(1, len(t))) AS term, unnest(t) AS word FROM (
+    SELECT query_id, list_filter(string_split_regex(question, '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '')[:50] AS t FROM questions)),
   asked AS (SELECT query_id, term, {_TOKENS.format("word")} AS t FROM terms),
   found AS (
-    SELECT query_id, term, p.id, p.note_id, p.length, count(*) AS tf FROM asked JOIN places p ON p.token = t[1]
-    WHERE len(t) = 1 OR EXISTS (SELECT 1 FROM places s WHERE s.id = p.id AND s.place = p.place + 1 AND s.token = t[2]) GROUP BY ALL),
+    SELECT query_id, term, p.id, p.note_id, p.length, count(*) AS tf FROM asked JOIN places p ON p.token = t[1] JOIN words w ON w.id = p.id
+    WHERE len(t) = 1 OR list_slice(w.w, p.place, p.place + len(t) - 1) = t GROUP BY ALL),
   df AS (SELECT query_id, term, count(*) AS n FROM found GROUP BY ALL),
   weighed AS (
     SELECT f.query_id, f.id, f.note_id, CASE WHEN ln((docs - n + 0.5) / (n + 0.5)) <= 0 THEN 1e-6 ELSE ln((docs - n + 0.5) / (n + 0.5)) END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean)) AS part
@@ -137,7 +140,7 @@ def r27_embed(spark, sf_dir):
 
 
 _QLEX = """
-  q_words AS (SELECT query_id, unnest(regexp_extract_all(lower(question), '[a-z0-9]+')) AS w FROM questions),
+  q_words AS (SELECT query_id, unnest(regexp_extract_all(lower(substr(question, 1, 32000)), '[a-z0-9]+')) AS w FROM questions),
   q_sums AS (SELECT query_id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 768 AS bucket, sum(CASE WHEN CAST('0x' || substr(md5(w), 9, 2) AS INT) % 2 = 1 THEN 1.0 ELSE -1.0 END) AS s FROM q_words GROUP BY ALL),
   q_lex AS (SELECT query_id, bucket, s / sqrt(sum(s * s) OVER (PARTITION BY query_id)) AS w FROM q_sums WHERE s <> 0),
   near AS (

@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from folioscope.engine import Engine
 from folioscope.functions import hashing as H
 from folioscope.functions import providers as P
 from folioscope.functions import text as T
@@ -23,7 +24,7 @@ from folioscope.operators import graph as G
 from folioscope.operators import matching as N
 from folioscope.operators import mirror
 from folioscope.operators import search as S
-from folioscope.operators import store
+from folioscope.operators import segments, store
 from folioscope.plans import views as V
 from folioscope.plans.graph_queries import _BODIES, _GOLD, _LINKS, _turns, r14_wikilink_edges
 from folioscope.plans.registry import ORACLES, query
@@ -305,16 +306,24 @@ def k18_taxonomy_file(spark, sf_dir):
 # -- stored tables
 
 
-@query("k23_index_update", sql("chunks", "").rstrip() + ", " + _INDEX.strip().replace("FROM chunks", "FROM (SELECT * EXCLUDE (text_content), CASE WHEN note_id % 10 = 0 THEN text_content || ' zzfresh' ELSE text_content END AS text_content FROM chunks)") + """
-SELECT token, count(*) AS places FROM places WHERE note_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY 1""")
+@query("k23_index_update", sql("chunks", "").rstrip() + ", " + _INDEX.strip().replace("FROM chunks", "FROM (SELECT * EXCLUDE (text_content), text_content || CASE WHEN note_id % 10 = 0 THEN ' zzfresh' ELSE '' END || CASE WHEN note_id % 15 = 0 THEN ' again zzfresh' ELSE '' END AS text_content FROM chunks WHERE note_id % 7 <> 3)") + """
+SELECT token, count(*) AS places, count(DISTINCT id) AS chunks, (SELECT docs FROM stats) AS docs, round((SELECT mean FROM stats), 6) AS mean
+FROM places GROUP BY 1""")
 def k23_index_update(spark, sf_dir):
-    """An index after some notes are gone and others have another text."""
-    gone = V.table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("note_id"))
+    """Three changes of a stored index: some chunks get another text, some of
+    these once more, and some are gone. What is live in its segments is counted,
+    and that their vocabulary agrees."""
+    text = segments.Segments(_snapshots(spark))
     c = V.chunks(spark, sf_dir)
-    other = F.when(F.col("note_id") % 10 == 0, F.concat("text_content", F.lit(" zzfresh"))).otherwise(F.col("text_content"))
-    now = c.withColumn("text_content", other).join(gone, "note_id", "left_anti")
-    index = S.updated_index(V.index(spark, sf_dir), now.where("note_id % 10 = 0").select("id"), now)
-    return index.places.groupBy("token").agg(F.count(F.lit(1)).alias("places"))
+    text.update(c)
+    with_more = lambda rows, more: rows.withColumn("text_content", F.concat("text_content", F.lit(more)))
+    text.update(with_more(c.where("note_id % 10 = 0"), " zzfresh"))
+    text.update(None, c.where("note_id % 7 = 3").select("id"))
+    both = F.when(F.col("note_id") % 10 == 0, F.concat("text_content", F.lit(" zzfresh"))).otherwise(F.col("text_content"))
+    text.update(with_more(c.where("note_id % 15 = 0 AND note_id % 7 <> 3").withColumn("text_content", both), " again zzfresh"))
+    index = text.index()
+    places = index.chunks.select(F.explode("words").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("places"))
+    return places.join(index.vocabulary(), "token").select("token", "places", F.col("n").alias("chunks"), F.lit(index.docs).alias("docs"), F.lit(round(index.mean, 6)).alias("mean"))
 
 
 @query("r29_migration", sql("chunks", "").rstrip() + """, n AS (SELECT count(*) AS total, count(*) FILTER (WHERE id % 3 = 0) AS first, count(*) FILTER (WHERE id % 3 <> 2) AS second FROM chunks)
@@ -358,6 +367,39 @@ def k25_matrix_seal(spark, sf_dir):
     return seal(0).union(seal(1))
 
 
+@query("k25_matrix", sql("raw_vectors", "").rstrip() + """, v AS (SELECT note_id, CASE WHEN id % 4 = 0 THEN list_transform(vector, lambda x, i: CASE WHEN i = 1 THEN 2 * x::DOUBLE ELSE -x::DOUBLE END) ELSE vector::DOUBLE[] END AS vector FROM raw_vectors),
+  m AS (SELECT note_id, i, avg(x) AS x FROM (SELECT note_id, unnest(vector) AS x, generate_subscripts(vector, 1) AS i FROM v) GROUP BY ALL)
+SELECT note_id AS id, round(sum(x * i) / sqrt(sum(x * x)), 6) AS moment FROM m GROUP BY 1""")
+def k25_matrix(spark, sf_dir):
+    """The kept matrix after chunks got other vectors of the same length under the same ids."""
+    e = Engine(spark, f"{V.workspace(spark)}/{uuid.uuid4().hex}")
+    rows = V.raw_vectors(spark, sf_dir).select("id", "note_id", F.col("vector").cast("array<double>").alias("vector"))
+    e.tables.replace("chunks", rows)
+    e.matrix()
+    other = F.transform("vector", lambda x, i: F.when(i == 0, 2 * x).otherwise(-x))
+    e.tables.merge("chunks", rows.where("id % 4 = 0").withColumn("vector", other), ["id"])
+    return e.matrix().select("id", F.round(F.aggregate(F.transform("vector", lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x), 6).alias("moment"))
+
+
+@query("k19_commits", """
+SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 1 THEN 'x' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 10 = 1 THEN 0 ELSE round(o_totalprice, 2) END AS o_totalprice
+FROM orders WHERE o_orderkey % 7 <> 2""")
+def k19_commits(spark, sf_dir):
+    """Two writers of one table: what they append from one version, then merge,
+    delete and compact, is all there."""
+    a = _snapshots(spark)
+    b = store.Snapshots(spark, a.root)
+    orders = V.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.round("o_totalprice", 2).alias("o_totalprice"))
+    a.replace("orders", orders.where("o_orderkey % 3 = 0"))
+    a.current("orders"), b.current("orders")
+    a.append("orders", orders.where("o_orderkey % 3 = 1"))
+    b.append("orders", orders.where("o_orderkey % 3 = 2"))
+    a.merge("orders", orders.where("o_orderkey % 10 = 1 AND o_orderkey % 7 <> 2").withColumns({"o_orderstatus": F.lit("x"), "o_totalprice": F.lit(0.0)}), ["o_orderkey"])
+    b.merge("orders", None, ["o_orderkey"], gone=orders.where("o_orderkey % 7 = 2"))
+    a.compacted("orders")
+    return b.current("orders")
+
+
 @query("k26_threads", "SELECT conv_id, turn, text FROM conversations QUALIFY row_number() OVER (ORDER BY conv_id * 1000 + turn DESC) <= 6")
 def k26_threads(spark, sf_dir):
     """A thread saved and loaded again, its last six turns."""

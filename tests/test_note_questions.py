@@ -52,7 +52,8 @@ def test_bm25_of_all_notes_equals_brute_force(spark, sf_dir):
 
 @pytest.mark.parametrize("name", NAMES)
 def test_every_question_is_asked(spark, sf_dir, name):
-    assert f"{name}_notes" in QUERIES and f"{name}_notes" not in ORACLES
+    """What they return is compared with SQL by test_oracles."""
+    assert f"{name}_notes" in QUERIES and "VALUES (1, " not in ORACLES[f"{name}_notes"]
     want = {r.id for r in V.notes(spark, sf_dir).where("id % 50 = 0 AND length(trim(text)) > 0").collect()}
     got = {r.query_id for r in QUERIES[f"{name}_notes"](spark, sf_dir).select("query_id").distinct().collect()}
     assert got <= want and (got == want or name == "r1_bm25_filtered")
