@@ -308,8 +308,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH)
     # a link of two rows of one id says nothing; equal sets collapse to their smallest id
     full = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL")
     equal = ["n_shingles", "fp1", "fp2"]
-    groups = written(full.groupBy(*equal).agg(F.min("doc_id").alias("rep")))
-    reps = full.join(groups, equal).where("doc_id = rep").dropDuplicates(["doc_id", *equal])
+    # one row an equal set, its text of smallest id, before anything is exchanged
+    first = F.min_by(F.struct("doc_id", "bands", "parity"), "doc_id")
+    reps = written(full.groupBy(*equal).agg(first.alias("r"), F.count(F.lit(1)).alias("_n")).select(*equal, "_n", "r.*"))
+    groups = reps.select(*equal, "_n", F.col("doc_id").alias("rep"))
     bucketed = reps.select("doc_id", F.posexplode("bands").alias("band", "bucket"))
     shared = bucketed.groupBy("band", "bucket").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("_last"), F.count(F.lit(1)).alias("_n")).where("centre <> _last").drop("_last")
     shared = written(shared)
@@ -336,8 +338,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH)
 
     # ids with several different sets join those sets' groups
     of_group = groups.join(labels.withColumnRenamed("doc_id", "rep"), "rep", "left").select(*equal, F.coalesce("component", "rep").alias("component_id"))
-    out = sketch.join(of_group, equal, "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    out = out.withColumn("component_id", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")))
+    grouped = spread_join(full.select("doc_id", *equal), of_group, equal, F.xxhash64("doc_id"), groups)
+    alone = sketch.where("NOT (n_shingles > 0 AND doc_id IS NOT NULL)").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    out = grouped.select("doc_id", "n_shingles", "component_id").unionByName(alone)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
