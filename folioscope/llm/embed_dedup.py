@@ -390,16 +390,18 @@ def _tiled(sent: DataFrame) -> DataFrame:
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of ``vectors``."""
     rows = written(vectors.select("vec_id", "embedding").mapInArrow(_read, "vec_id long, dim int, key binary, data binary"))
-    groups = written(rows.where("key IS NOT NULL AND vec_id IS NOT NULL").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
-    # a group's key names its vector: an id may have several
-    reps = written(rows.join(groups, "key").where("vec_id = rep").select("key", "vec_id", "copies", "dim", "data").dropDuplicates(["key"]))
+    full = rows.where("key IS NOT NULL AND vec_id IS NOT NULL")
+    # one row an equal vector, its smallest id, before anything is exchanged
+    first = F.min_by(F.struct("vec_id", "dim", "data"), "vec_id")
+    reps = written(full.groupBy("key").agg(first.alias("r"), F.count(F.lit(1)).alias("copies")).select("key", "copies", "r.*"))
+    groups = written(reps.select("key", F.col("vec_id").alias("rep"), "copies"))
     n = groups.count()
     sent = written(reps.select("key", "dim", "data").mapInArrow(_decode(n, cosine), CAPS))
     near = written(_tiled(sent).groupBy("tile", "i", "j").applyInArrow(_similar(n, cosine), "dim int, filter long, i int, j int, side int, key binary, before binary"))
     discard(sent)
     h, cells = F.xxhash64("dim", "filter"), 1 + near.count() // CELL
-    full = near.join(reps.drop("dim"), "key").withColumn("tile", F.when((F.col("i") == 0) & (F.col("j") == 0), F.pmod(h, F.lit(cells))).otherwise(h))
-    links = written(full.groupBy("tile", "i", "j").applyInArrow(_verify(n, cosine), "key binary, vec_id long, n long, low long"))
+    sides = near.join(reps.drop("dim"), "key").withColumn("tile", F.when((F.col("i") == 0) & (F.col("j") == 0), F.pmod(h, F.lit(cells))).otherwise(h))
+    links = written(sides.groupBy("tile", "i", "j").applyInArrow(_verify(n, cosine), "key binary, vec_id long, n long, low long"))
     for t in (near, reps):
         discard(t)
     labels = components(links.select(F.col("low").alias("src"), F.col("vec_id").alias("dst")))
@@ -410,9 +412,6 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         .join(labels, F.col("rep") == labels["doc_id"], "left")
         .select("key", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     )
-    of_group = of_group.withColumnsRenamed({"key": "_key"})
-    out = rows.join(of_group, F.col("key") == F.col("_key"), "left")
-    linked = F.col("_key").isNotNull() & F.col("vec_id").isNotNull()
-    return out.select(
-        "vec_id", F.when(linked, F.col("n_links")).otherwise(0).cast("long").alias("n_links"), F.when(linked, F.col("component_id")).otherwise(F.col("vec_id")).alias("component_id")
-    ).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    linked = spread_join(full.select("vec_id", "key"), of_group, ["key"], F.xxhash64("vec_id"), groups.withColumnRenamed("copies", "_n"))
+    alone = rows.where("key IS NULL OR vec_id IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return linked.select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id").unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
