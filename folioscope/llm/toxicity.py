@@ -136,13 +136,13 @@ def _rows(vocabulary: list[int]):
             out, swapped = [], []
             for text in b.column("text"):
                 words = words_of(text.as_py())
-                x = np.zeros(len(vocabulary), np.uint8)
+                x = np.zeros(len(vocabulary), np.uint32)
                 for w in words:
                     for c in codes(w):
-                        if (k := place.get(c)) is not None and x[k] < 255:
+                        if (k := place.get(c)) is not None:
                             x[k] += 1
                 at = np.flatnonzero(x).astype("<u2")
-                out.append(at.tobytes() + x[at].tobytes())
+                out.append(at.tobytes() + x[at].astype("<u4").tobytes())
                 # a name that some text holds very often says no more than once
                 swapped.append([i * (NO_NAME + 1) + j for i, j in sorted(set(counterfactuals(text.as_py())))])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(out, pa.binary()), pa.array(swapped, pa.list_(pa.int32()))], ["doc_id", "toxic", "x", "swapped"])
@@ -202,8 +202,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, featur
     rows.sort(key=lambda r: (r.doc_id, r.toxic))
     x, y = np.zeros((len(rows), len(vocabulary)), np.float32), np.array([r.toxic for r in rows])
     for k, r in enumerate(rows):
-        n = len(r.x) // 3
-        x[k, np.frombuffer(r.x, "<u2", n)] = np.frombuffer(r.x, np.uint8, n, 2 * n)
+        n = len(r.x) // 6
+        x[k, np.frombuffer(r.x, "<u2", n)] = np.frombuffer(r.x, "<u4", n, 2 * n)
     place = {c: k for k, c in enumerate(vocabulary)}
 
     def vector(k: int) -> np.ndarray:
