@@ -1,12 +1,21 @@
 """Exact similarity of vectors, block by block.
 
-Rows are dealt to blocks of bounded size; each pair of blocks is one matrix
-product in one task. Only the best hits of a block, or the pairs over a
-threshold, leave it. A few queries go to the items' own tasks instead.
+Vectors go with the nearest of a sample of pivots, and a block has those of a
+few pivots near each other, or a part of those of one, about ``BLOCK`` of them;
+each pair of blocks is one matrix product in one task. Only the best hits of a
+block, or the pairs over a threshold, leave it. The angle between a vector and a
+pivot, less the radius of the pivot's vectors, bounds every score of the vector
+with these: a vector goes only to blocks where it can
+reach the threshold or, for the best ``k``, the ``k``-th score that it has in
+the blocks nearest to it. So results are those of comparing everything. Where a
+sample says that bounds would spare little, blocks go by id and all of them
+meet. A few queries go to the items' own tasks instead.
 """
 
 from __future__ import annotations
 
+import copy
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,13 +25,159 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from folioscope.operators.store import held
+
 BLOCK = 2048
 #: The score of what does not count.
 NEVER = -1e6
 
 
-def _blocks(rows: DataFrame, n: int) -> DataFrame:
-    return rows.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // BLOCK)))).cast("int"))
+#: Most pivots, and blocks that a query is compared with first.
+PIVOTS, FIRST = 4096, 2
+#: Share of the vectors beyond which bounds are not worth their passes.
+MOSTLY = 0.6
+#: Room for rounded scores, and for angles in double precision.
+NEAR, TURN = 2e-6, 1e-6
+
+
+def _norms(x: np.ndarray) -> np.ndarray:
+    return np.sqrt((x * x).sum(axis=1))
+
+
+class Pivots:
+    """A sample of vectors by length, and the blocks around them."""
+
+    def __init__(self, vectors: list[list[float]]):
+        self.of: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # length: (numbers, unit vectors)
+        self.norms = np.array([math.sqrt(sum(x * x for x in v)) for v in vectors])
+        for d in {len(v) for v in vectors}:
+            own = np.array([k for k, v in enumerate(vectors) if len(v) == d])
+            x = np.array([vectors[k] for k in own], np.float64)
+            self.of[d] = own, x / np.maximum(_norms(x), 1e-300)[:, None]
+        self.n = len(vectors)
+
+    @classmethod
+    def among(cls, rows: DataFrame, n: int) -> Pivots:
+        """About the root of ``n`` vectors, and one of each length."""
+        many = min(PIVOTS, max(1, math.isqrt(n)))
+        order = F.xxhash64("id")
+        some = rows.select("vector", order.alias("_h")).orderBy("_h").limit(many).collect()
+        lengths = {len(r.vector) for r in some}
+        rest = rows.where(~F.size("vector").isin(sorted(lengths))) if lengths else rows
+        other = rest.groupBy(F.size("vector").alias("d")).agg(F.min_by("vector", order).alias("vector")).limit(PIVOTS).collect()
+        return cls([list(r.vector) for r in (*some, *other)])
+
+    def reach(self, n: int, needed: int = 0, least: float | None = None) -> float:
+        """About the share of vectors that a vector is compared with: of the
+        sample with all, where a score of ``least`` or of rank ``needed`` counts."""
+        shares = []
+        for own, unit in self.of.values():
+            x = unit * self.norms[own][:, None]
+            floor = np.full(len(x), -np.inf if least is None else least)
+            if needed and len(x) > 1:
+                rank = min(len(x) - 2, needed * len(x) // max(n, 1))
+                others = np.where(np.eye(len(x), dtype=bool), -np.inf, x @ x.T)
+                floor = np.maximum(floor, -np.sort(-others, axis=1)[:, rank])
+            size = self.size[own]
+            shares.append((((self.bounds(x, self.angles(x)) >= floor[:, None]) | (floor <= 0)[:, None]) * size).sum(axis=1) / max(1, size.sum()))
+        return float(np.concatenate(shares).mean()) if shares else 1.0
+
+    def angles(self, x: np.ndarray) -> np.ndarray:
+        """Of rows with all pivots of their length; a zero vector is anywhere."""
+        cos = (x @ self.of[x.shape[1]][1].T) / np.maximum(_norms(x), 1e-300)[:, None]
+        return np.arccos(np.clip(cos, -1, 1)) * (_norms(x) > 0)[:, None]
+
+    def blocks(self, rows: DataFrame) -> Pivots:
+        """Takes the radius, largest norm and size of each pivot's vectors."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            angle, norm, count = np.zeros(self.n), np.zeros(self.n), np.zeros(self.n, np.int64)
+            for b in batches:
+                for own, x, _ in _by_length(b, self.of):
+                    at = self.angles(x)
+                    near = at.argmin(axis=1)
+                    k = own[near]
+                    np.maximum.at(angle, k, at[np.arange(len(x)), near])
+                    np.maximum.at(norm, k, _norms(x))
+                    np.add.at(count, k, 1)
+            k = np.flatnonzero(count)
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(angle[k]), pa.array(norm[k]), pa.array(count[k])], ["k", "angle", "norm", "n"])
+
+        # a row a pivot
+        found = rows.mapInArrow(run, "k long, angle double, norm double, n long").groupBy("k").agg(F.max("angle").alias("angle"), F.max("norm").alias("norm"), F.sum("n").alias("n")).collect()
+        self.radius, self.norm, self.size = np.full(self.n, 0.0), np.zeros(self.n), np.zeros(self.n, np.int64)
+        for r in found:
+            self.radius[r.k], self.norm[r.k], self.size[r.k] = r.angle + TURN, r.norm, r.n
+        self._filled()
+        return self
+
+    def _filled(self) -> None:
+        """Blocks: a pivot with many vectors has several, pivots near each other
+        with few of them share one."""
+        self.parts, self.first = np.maximum(-(-self.size // BLOCK), 1), np.zeros(self.n, np.int64)
+        last = 0
+        for own, unit in self.of.values():
+            heads = unit[: max(1, -(-int(self.size[own].sum()) // BLOCK))]
+            near = (unit @ heads.T).argmax(axis=1)
+            room = 0
+            for k in own[np.lexsort((-self.size[own], near))]:
+                if self.size[k] > room or self.parts[k] > 1:
+                    last, room = last + 1, BLOCK
+                self.first[k] = last
+                last += self.parts[k] - 1
+                room = 0 if self.parts[k] > 1 else room - self.size[k]
+        self.count = last + 1
+
+    def bounds(self, x: np.ndarray, angles: np.ndarray) -> np.ndarray:
+        """The most that a row scores with a vector of each pivot."""
+        own = self.of[x.shape[1]][0]
+        apart = np.cos(np.minimum(np.maximum(angles - self.radius[own], 0), np.pi / 2))
+        return _norms(x)[:, None] * self.norm[own] * apart + NEAR
+
+    def home(self, ids: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """The block of vectors of a pivot: one of its parts by id."""
+        h = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
+        return self.first[k] + (h % np.maximum(self.parts[k], 1).astype(np.uint64)).astype(np.int64)
+
+    def spread(self, go: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Rows and blocks, as one number each, of a mask of rows and pivots:
+        all blocks of the pivots."""
+        rows, k = np.nonzero(go)
+        k = own[k]
+        n = self.parts[k]
+        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return np.unique(np.repeat(rows, n) * self.count + np.repeat(self.first[k], n) + inside)
+
+
+class Whole:
+    """Blocks by id, where nearly all vectors meet anyway."""
+
+    def __init__(self, n: int):
+        self.count = max(1, -(-n // BLOCK))
+
+    def home(self, ids: np.ndarray) -> np.ndarray:
+        return ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(self.count)).astype(np.int64)
+
+
+def _by_length(b: pa.RecordBatch, of: dict) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pivots' numbers, vectors and rows of each length that has pivots."""
+    size = _lengths(b.column("vector"))
+    for d in np.unique(size):
+        if int(d) in of:
+            at = np.flatnonzero(size == d)
+            yield of[int(d)][0], _matrix(b.column("vector").take(pa.array(at))), at
+
+
+_TILE = pa.struct([("i", pa.int64()), ("j", pa.int64()), ("side", pa.int32())])
+_TILES = "_t array<struct<i:long,j:long,side:int>>"
+
+
+def _sent(b: pa.RecordBatch, row: np.ndarray, i: np.ndarray, j: np.ndarray, side: np.ndarray, columns: list[str]) -> pa.RecordBatch:
+    """A batch's rows with the tiles that each goes to."""
+    order = np.argsort(row, kind="stable")
+    tiles = pa.StructArray.from_arrays([pa.array(i[order]), pa.array(j[order]), pa.array(side[order].astype(np.int32))], fields=list(_TILE))
+    ends = np.searchsorted(row[order], np.arange(b.num_rows + 1))
+    return pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tiles)], [*columns, "_t"])
 
 
 def _matrix(column) -> np.ndarray:
@@ -107,11 +262,71 @@ def top_k(queries: DataFrame, items: DataFrame, needed: int, decimals: int = 6,
     found = queries.limit(FEW + 1).toArrow()
     if len(found) <= FEW:
         return _ranked(items.mapInArrow(_scored(found, needed, decimals, apart, least), HITS), needed)
-    nq, ni = queries.count(), items.count()
-    q, x = _blocks(queries, nq), _blocks(items, ni)
-    qb, xb = max(1, -(-nq // BLOCK)), max(1, -(-ni // BLOCK))
-    left = q.select("_b", F.explode(F.sequence(F.lit(0), F.lit(xb - 1))).alias("_c"), F.lit(0).alias("side"), "id", "note_id", F.col("vector").cast("array<double>").alias("vector"))
-    right = x.select(F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("_b"), F.col("_b").alias("_c"), F.lit(1).alias("side"), "id", "note_id", F.col("vector").cast("array<double>").alias("vector"))
+    ni = items.count()
+    pivots = Pivots.among(items, ni).blocks(items)
+    kind = items.schema["vector"].dataType
+    queries = queries.withColumn("vector", F.col("vector").cast(kind))
+    if pivots.reach(ni, needed, least) > MOSTLY:
+        whole = Whole(ni)
+        return _ranked(_tiled(queries.withColumn("_least", F.lit(NEVER)), items, Whole(queries.count()), whole, needed, decimals, apart, least, False), needed)
+    asking = copy.copy(pivots).blocks(queries)
+    first = held(_tiled(queries.withColumn("_least", F.lit(NEVER)), items, asking, pivots, needed, decimals, apart, least, True))
+    reached = _ranked(first, needed).where(F.col("rank") == needed).select(F.col("query_id").alias("id"), F.col("score").alias("_least"))
+    asked = queries.join(reached, "id", "left").withColumn("_least", F.coalesce("_least", F.lit(NEVER)))
+    return _ranked(first.unionByName(_tiled(asked, items, asking, pivots, needed, decimals, apart, least, False)), needed)
+
+
+def _tiled(queries: DataFrame, items: DataFrame, asking: Pivots, pivots: Pivots, needed: int, decimals: int, apart: bool, least: float | None, begin: bool) -> DataFrame:
+    """Hits of queries, in blocks of theirs, in the blocks nearest to them
+    (begin), or in all others in which they can reach ``_least``."""
+    columns = ["id", "note_id", "vector"]
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if isinstance(pivots, Whole):
+                row, j = np.divmod(np.arange(b.num_rows * pivots.count), pivots.count)
+                yield _sent(b, row, asking.home(b.column("id").to_numpy())[row], j, np.zeros(len(row), np.int64), columns)
+                continue
+            row, i, j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            ids, floor = b.column("id").to_numpy(), b.column("_least").to_numpy()
+            for own, x, at in _by_length(b, pivots.of):
+                angles = pivots.angles(x)
+                bound = np.where(pivots.size[own] > 0, pivots.bounds(x, angles), -np.inf)
+                near = np.zeros(bound.shape, bool)
+                k = min(FIRST, len(own))
+                np.put_along_axis(near, np.argpartition(-bound, k - 1, axis=1)[:, :k], True, 1)
+                near &= pivots.size[own] > 0
+                some = bound >= least if least is not None and least > 0 else pivots.size[own] > 0
+                pair = pivots.spread(near & some, own)
+                if not begin:
+                    reached = (bound >= floor[at][:, None]) | (floor[at][:, None] < 0)
+                    pair = np.setdiff1d(pivots.spread(reached & some & (pivots.size[own] > 0), own), pair, True)
+                r, block = np.divmod(pair, pivots.count)
+                row.append(at[r])
+                i.append(asking.home(ids[at], own[angles.argmin(axis=1)])[r])
+                j.append(block)
+            row, i, j = map(np.concatenate, (row, i, j))
+            yield _sent(b, row, i, j, np.zeros(len(row), np.int64), columns)
+
+    def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if isinstance(pivots, Whole):
+                j = pivots.home(b.column("id").to_numpy())
+                yield _sent(b, np.arange(b.num_rows), j, j, np.ones(b.num_rows, np.int64), columns)
+                continue
+            row, j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for own, x, at in _by_length(b, pivots.of):
+                row.append(at)
+                j.append(pivots.home(b.column("id").take(pa.array(at)).to_numpy(), own[pivots.angles(x).argmin(axis=1)]))
+            row, j = map(np.concatenate, (row, j))
+            yield _sent(b, row, j, j, np.ones(len(row), np.int64), columns)
+
+    kind = items.schema["vector"].dataType.simpleString()
+    schema = f"id long, note_id long, vector {kind}, {_TILES}"
+    tile = lambda rows: rows.select(*columns, F.explode("_t").alias("t")).select(*columns, F.col("t.i").alias("_i"), F.col("t.j").alias("_j"), "t.side")
+    left = tile(queries.select(*columns, "_least").mapInArrow(ask, schema))
+    tiles = held(left.groupBy("_i", "_j").agg(F.count(F.lit(1)).alias("_n")).select("_i", "_j"))
+    right = tile(items.select(*columns).mapInArrow(offer, schema)).drop("_i").join(tiles, "_j").select(*left.columns)
 
     def run(key, table):
         table = table.combine_chunks()
@@ -130,7 +345,7 @@ def top_k(queries: DataFrame, items: DataFrame, needed: int, decimals: int = 6,
         schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("note_id", pa.int64()), ("score", pa.float64())])
         return pa.concat_tables(out).cast(schema) if out else schema.empty_table()
 
-    return _ranked(left.union(right).groupBy("_b", "_c").applyInArrow(run, HITS), needed)
+    return left.unionByName(right).groupBy("_i", "_j").applyInArrow(run, HITS)
 
 
 def oversample(top: int, excludes: bool, per_note: bool) -> int:
@@ -153,11 +368,7 @@ def per_note(hits: DataFrame, top: int, excluded: DataFrame | None = None) -> Da
 
 def pairs_over(rows: DataFrame, least: float, decimals: int = 6) -> DataFrame:
     """(a_id, b_id, score) with a_id < b_id and rounded score >= ``least``; rows: id, vector."""
-    rows = _same_length(rows.select("id", F.col("vector").cast("array<double>").alias("vector")))
-    n = max(1, -(-rows.count() // BLOCK))
-    b = rows.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-    left = b.select(F.col("_b").alias("_i"), F.explode(F.sequence(F.col("_b"), F.lit(n - 1))).alias("_j"), F.lit(0).alias("side"), "id", "vector")
-    right = b.select(F.explode(F.sequence(F.lit(0), F.col("_b"))).alias("_i"), F.col("_b").alias("_j"), F.lit(1).alias("side"), "id", "vector").where("_i < _j")
+    tiles = _paired(rows, least)
 
     def run(key, table):
         table = table.combine_chunks()
@@ -181,7 +392,51 @@ def pairs_over(rows: DataFrame, least: float, decimals: int = 6) -> DataFrame:
         cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
         return pa.table({"a_id": cat(a_ids, np.int64), "b_id": cat(b_ids, np.int64), "score": cat(scores, np.float64)})
 
-    return left.union(right).groupBy("_i", "_j").applyInArrow(run, "a_id long, b_id long, score double")
+    return tiles.groupBy("_i", "_j").applyInArrow(run, "a_id long, b_id long, score double")
+
+
+def _paired(rows: DataFrame, least: float) -> DataFrame:
+    """Vectors with the pairs of blocks (_i, _j, side) in which they can have a
+    pair of that score: their own block with each block near enough."""
+    rows = _same_length(rows.select("id", "vector"))
+    n = rows.count()
+    pivots = Pivots.among(rows, n).blocks(rows)
+    whole = Whole(n) if least <= 0 or pivots.reach(n, least=least) > MOSTLY else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, i, j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            ids = b.column("id").to_numpy()
+            if whole:
+                r, k = np.divmod(np.arange(b.num_rows * whole.count), whole.count)
+                h = whole.home(ids)[r]
+                yield _sent(b, r, np.minimum(h, k), np.maximum(h, k), (h > k).astype(np.int64), ["id", "vector"])
+                continue
+            for own, x, at in _by_length(b, pivots.of):
+                angles = pivots.angles(x)
+                home = pivots.home(ids[at], own[angles.argmin(axis=1)])
+                go = np.broadcast_to(pivots.size[own] > 0, angles.shape)
+                if least > 0:
+                    go = go & (pivots.bounds(x, angles) >= least)
+                r, block = np.divmod(pivots.spread(go, own), pivots.count)
+                row.append(at[r])
+                i.append(home[r])
+                j.append(block)
+            row, i, j = map(np.concatenate, (row, i, j))
+            yield _sent(b, row, np.minimum(i, j), np.maximum(i, j), (i > j).astype(np.int64), ["id", "vector"])
+
+    kind = rows.schema["vector"].dataType.simpleString()
+    sent = rows.mapInArrow(run, f"id long, vector {kind}, {_TILES}")
+    return sent.select("id", "vector", F.explode("_t").alias("t")).select("id", "vector", F.col("t.i").alias("_i"), F.col("t.j").alias("_j"), "t.side")
+
+
+def compared(rows: DataFrame, least: float) -> float:
+    """The share of all pairs of vectors that ``pairs_over`` compares."""
+    n = rows.count()
+    sides = _paired(rows, least).groupBy("_i", "_j").agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
+    same = F.col("_i") == F.col("_j")
+    done = sides.agg(F.sum(F.when(same, F.col("a") * (F.col("a") - 1) / 2).otherwise(F.col("a") * F.col("b"))).alias("n")).first().n or 0
+    return done / max(1, n * (n - 1) // 2)
 
 
 def connect(chunks: DataFrame, top: int = 12, least: float = 0.7, keep: int = 3) -> DataFrame:
