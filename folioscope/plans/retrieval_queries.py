@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from folioscope.functions import providers as P
@@ -9,7 +11,8 @@ from folioscope.functions import vectors as X
 from folioscope.operators import catalog as C
 from folioscope.operators import search as S
 from folioscope.operators import similar as M
-from folioscope.operators.store import held
+from folioscope.operators.nearest import NearIndex
+from folioscope.operators.store import Snapshots, held
 from folioscope.plans import views as V
 from folioscope.plans.registry import ORACLES, query
 
@@ -118,6 +121,34 @@ def r3_dense_knn(spark, sf_dir):
     return S.dense(q.select(F.col("id").alias("query_id"), "vector"), r, 5, q.select(F.col("id").alias("query_id"), "note_id"))
 
 
+@query("r2_indexed_knn", "SELECT count(*) AS queries, true AS enough FROM embeddings WHERE (vec_id + 1) % 50 = 0")
+def r2_indexed_knn(spark, sf_dir):
+    """How many vectors are asked, and whether the stored index finds nine tenths
+    of the ten nearest that comparing everything finds."""
+    r = V.raw_vectors(spark, sf_dir).select("id", "note_id", "vector")
+    near = NearIndex(Snapshots(spark, f"{V.workspace(spark)}/{uuid.uuid4().hex}"))
+    near.add(r)
+    asked = r.where("id % 50 = 0")
+    want = M.top_k(asked, r, 10).select("query_id", "id")
+    hit = want.join(near.search(asked, 10).select("query_id", "id", F.lit(1).alias("_hit")), ["query_id", "id"], "left")
+    return hit.agg(F.count_distinct("query_id").alias("queries"), (F.count("_hit") >= 0.9 * F.count(F.lit(1))).alias("enough"))
+
+
+@query("k24_vector_mirror", _with("raw_vectors") + """
+SELECT id, note_id, round(list_sum(list_transform(CASE WHEN note_id % 10 = 0 THEN list_transform(vector, lambda x: -x) ELSE vector END, lambda x, i: i * x::DOUBLE)), 6) AS moment
+FROM raw_vectors WHERE note_id % 7 <> 3 OR note_id % 10 = 0""")
+def k24_vector_mirror(spark, sf_dir):
+    """What the stored vector index holds after some vectors went, others were
+    replaced by the table's current ones, and some of another length were refused."""
+    r = V.raw_vectors(spark, sf_dir).select("id", "note_id", "vector")
+    near = NearIndex(Snapshots(spark, f"{V.workspace(spark)}/{uuid.uuid4().hex}"))
+    near.add(r)
+    near.remove(r.where("note_id % 7 = 3").select("id"))
+    now = r.where("note_id % 10 = 0").withColumn("vector", F.transform("vector", lambda x: -x)).union(r.where("note_id % 7 <> 3 AND note_id % 10 <> 0"))
+    near.backfill(now.union(r.where("note_id % 2 = 0").select((-F.col("id")).alias("id"), "note_id", F.slice("vector", 1, 3))))
+    return near.rows().select("id", "note_id", F.round(F.aggregate(F.transform("vector", lambda x, i: (i + 1) * x.cast("double")), F.lit(0.0), lambda s, x: s + x), 6).alias("moment"))
+
+
 @query("r5_dense_candidates", _with("raw_vectors", _RAW_DOT) + " SELECT query_id, id, note_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT query_id, id, note_id, score FROM k WHERE rank <= 20) ")
 def r5_dense_candidates(spark, sf_dir):
     r = V.raw_vectors(spark, sf_dir)
