@@ -148,7 +148,8 @@ def completed(rows: DataFrame, prompt: str, provider: Callable[[], Provider] = O
 
 
 class Breaker:
-    """Opens after consecutive failures and lets calls through again later."""
+    """Opens after consecutive failures and lets calls through again later; the
+    first of these opens it again if it fails, a success closes it."""
 
     def __init__(self, limit: int = 5, seconds: float = 120.0):
         self.limit, self.seconds, self.failures, self.until = limit, seconds, 0, 0.0
@@ -158,8 +159,8 @@ class Breaker:
 
     def record(self, ok: bool, now: float, optional: bool = False) -> None:
         if ok:
-            self.failures = 0
+            self.failures, self.until = 0, 0.0
         elif not optional:
             self.failures += 1
-            if self.failures >= self.limit:
-                self.failures, self.until = 0, now + self.seconds
+            if self.failures >= self.limit and now >= self.until:
+                self.until = now + self.seconds

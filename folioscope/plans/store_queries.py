@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from folioscope.functions import hashing as H
@@ -13,6 +15,7 @@ from folioscope.plans import views as V
 from folioscope.plans.registry import query
 from folioscope.plans.retrieval_queries import _CHUNK_LEX, _SOME, for_notes, r6_hybrid
 from folioscope.plans.views import MODEL, sql
+from folioscope.streaming import breaker
 from folioscope.streaming import debounce as D
 
 _OLD = "old AS (SELECT path, title, CASE WHEN id % 3 = 0 THEN 'h' ELSE file_hash END AS file_hash, size_bytes FROM notes WHERE id % 4 <> 1)"
@@ -183,6 +186,40 @@ def t9_failure_runs(spark, sf_dir):
     return D.failure_runs(V.table(spark, sf_dir, "events"), "user_id", F.col("value") > 30, ["event_id"])
 
 
+@query("t9_breaker", """
+WITH RECURSIVE e AS (SELECT user_id, event_id, ts, value <= 30 AS ok, event_id % 6 = 0 AS optional, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+s AS (
+  SELECT DISTINCT user_id, 0::BIGINT AS k, -1::BIGINT AS event_id, '' AS verdict, 0 AS failures, NULL::TIMESTAMP AS until FROM events
+  UNION ALL SELECT e.user_id, e.k, e.event_id,
+    CASE WHEN NOT optional AND e.ts < until THEN 'refused' WHEN ok THEN CASE WHEN failures > 0 OR until IS NOT NULL THEN 'closed' ELSE 'ok' END
+      WHEN NOT optional AND failures >= 2 THEN 'opened' ELSE 'failed' END,
+    CASE WHEN NOT optional AND e.ts < until THEN failures WHEN ok THEN 0 WHEN optional THEN failures ELSE failures + 1 END,
+    CASE WHEN NOT optional AND e.ts < until THEN until WHEN ok THEN NULL WHEN NOT optional AND failures >= 2 THEN e.ts + INTERVAL '1 day' ELSE until END
+  FROM s JOIN e ON e.user_id = s.user_id AND e.k = s.k + 1)
+SELECT user_id, event_id, verdict, failures FROM s WHERE k > 0""")
+def t9_breaker(spark, sf_dir):
+    """The events as a stream of calls of each user, judged by a breaker that
+    three failures open for a day."""
+    at = f"{V.workspace(spark)}/{uuid.uuid4().hex}"
+    e = V.table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), (F.col("value") <= 30).alias("ok"), (F.col("event_id") % 6 == 0).alias("optional"))
+    # calls wait for the watermark: one far ahead lets all others through
+    last = spark.range(2).select(F.lit("end").alias("key"), "id", F.timestamp_seconds(F.lit(8_000_000_000) + F.col("id") * 100_000).alias("ts"), F.lit(True).alias("ok"), F.lit(False).alias("optional"))
+    e.write.parquet(f"{at}/in/1")
+    last.coalesce(1).write.parquet(f"{at}/in/2")
+    calls = spark.readStream.schema(e.schema).parquet(f"{at}/in/*")
+    before = {k: spark.conf.get(k, None) for k in breaker.CONF}
+    for k, v in breaker.CONF.items():
+        spark.conf.set(k, v)
+    try:
+        q = breaker.judged(calls, limit=3, seconds=86_400).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v else spark.conf.unset(k)
+    out = spark.read.schema(breaker.JUDGED).parquet(f"{at}/out").where("key <> 'end'")
+    return out.select(F.col("key").cast("long").alias("user_id"), F.col("id").alias("event_id"), "verdict", "failures")
+
+
 @query("t10_daemon_status", "SELECT arg_max(event_type, (ts, event_id)) AS event, max(ts) AS at, count(*) AS events FROM events")
 def t10_daemon_status(spark, sf_dir):
     return D.newest_event(V.table(spark, sf_dir, "events").select(F.col("event_type").alias("event"), F.col("ts").alias("at"), F.col("event_id").alias("id")))
