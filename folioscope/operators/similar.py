@@ -1,11 +1,11 @@
 """Exact similarity of vectors, block by block.
 
-Vectors go with the nearest of a sample of pivots, and a block has those of a
-few pivots near each other, or a part of those of one, about ``BLOCK`` of them;
-each pair of blocks is one matrix product in one task. Only the best hits of a
-block, or the pairs over a threshold, leave it. The angle between a vector and a
-pivot, less the radius of the pivot's vectors, bounds every score of the vector
-with these: a vector goes only to blocks where it can
+Vectors go with the nearest of a sample of pivots, in a ring around it by their
+angle, and a block has those of a few rings near each other, or a part of those
+of one, about ``BLOCK`` of them; each pair of blocks is one matrix product in one
+task. Only the best hits of a block, or the pairs over a threshold, leave it. How
+far a vector's angle with a pivot is from the ring's angles bounds every score of
+the vector in the ring: a vector goes only to blocks where it can
 reach the threshold or, for the best ``k``, the ``k``-th score that it has in
 the blocks nearest to it. So results are those of comparing everything. Where a
 sample says that bounds would spare little, blocks go by id and all of them
@@ -34,6 +34,8 @@ NEVER = -1e6
 
 #: Most pivots, and blocks that a query is compared with first.
 PIVOTS, FIRST = 4096, 2
+#: Vectors for a pivot, and rings of angles around a pivot.
+EACH, RINGS = 32, 12
 #: Share of the vectors beyond which bounds are not worth their passes.
 MOSTLY = 0.6
 #: Room for rounded scores, and for angles in double precision.
@@ -58,8 +60,8 @@ class Pivots:
 
     @classmethod
     def among(cls, rows: DataFrame, n: int) -> Pivots:
-        """About the root of ``n`` vectors, and one of each length."""
-        many = min(PIVOTS, max(1, math.isqrt(n)))
+        """One in ``EACH`` of ``n`` vectors, and one of each length."""
+        many = min(PIVOTS, 1 + n // EACH)
         order = F.xxhash64("id")
         some = rows.select("vector", order.alias("_h")).orderBy("_h").limit(many).collect()
         lengths = {len(r.vector) for r in some}
@@ -78,7 +80,7 @@ class Pivots:
                 rank = min(len(x) - 2, needed * len(x) // max(n, 1))
                 others = np.where(np.eye(len(x), dtype=bool), -np.inf, x @ x.T)
                 floor = np.maximum(floor, -np.sort(-others, axis=1)[:, rank])
-            size = self.size[own]
+            size = self.size[self.own[x.shape[1]][0]]
             shares.append((((self.bounds(x, self.angles(x)) >= floor[:, None]) | (floor <= 0)[:, None]) * size).sum(axis=1) / max(1, size.sum()))
         return float(np.concatenate(shares).mean()) if shares else 1.0
 
@@ -87,40 +89,53 @@ class Pivots:
         cos = (x @ self.of[x.shape[1]][1].T) / np.maximum(_norms(x), 1e-300)[:, None]
         return np.arccos(np.clip(cos, -1, 1)) * (_norms(x) > 0)[:, None]
 
+    def ring(self, angles: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """The ring that each row is in: of its nearest pivot, by their angle."""
+        near = angles.argmin(axis=1)
+        at = angles[np.arange(len(angles)), near]
+        return own[near] * RINGS + np.minimum((at * (RINGS / np.pi)).astype(np.int64), RINGS - 1)
+
     def blocks(self, rows: DataFrame) -> Pivots:
-        """Takes the radius, largest norm and size of each pivot's vectors."""
+        """Takes the angles, largest norm and size of each ring's vectors."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            angle, norm, count = np.zeros(self.n), np.zeros(self.n), np.zeros(self.n, np.int64)
+            n = self.n * RINGS
+            low, high, norm, count = np.full(n, np.inf), np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
             for b in batches:
                 for own, x, _ in _by_length(b, self.of):
                     at = self.angles(x)
-                    near = at.argmin(axis=1)
-                    k = own[near]
-                    np.maximum.at(angle, k, at[np.arange(len(x)), near])
+                    k = self.ring(at, own)
+                    np.minimum.at(low, k, at.min(axis=1))
+                    np.maximum.at(high, k, at.min(axis=1))
                     np.maximum.at(norm, k, _norms(x))
                     np.add.at(count, k, 1)
             k = np.flatnonzero(count)
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(angle[k]), pa.array(norm[k]), pa.array(count[k])], ["k", "angle", "norm", "n"])
-
-        # a row a pivot
-        found = rows.mapInArrow(run, "k long, angle double, norm double, n long").groupBy("k").agg(F.max("angle").alias("angle"), F.max("norm").alias("norm"), F.sum("n").alias("n")).collect()
-        self.radius, self.norm, self.size = np.full(self.n, 0.0), np.zeros(self.n), np.zeros(self.n, np.int64)
-        for r in found:
-            self.radius[r.k], self.norm[r.k], self.size[r.k] = r.angle + TURN, r.norm, r.n
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(low[k]), pa.array(high[k]), pa.array(norm[k]), pa.array(count[k])], ["k", "low", "high", "norm", "n"])
+
+        # at most a row a ring
+        sums = rows.mapInArrow(run, "k long, low double, high double, norm double, n long").groupBy("k")
+        found = sorted(sums.agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("norm").alias("norm"), F.sum("n").alias("n")).collect())
+        self.rings = np.array([r.k for r in found], np.int64)
+        self.low, self.high = np.array([r.low - TURN for r in found]), np.array([r.high + TURN for r in found])
+        self.norm, self.size = np.array([r.norm for r in found]), np.array([r.n for r in found], np.int64)
+        pivot = self.rings // RINGS
+        #: length: places of its rings, and of their pivots among those of the length
+        self.own = {d: (at := np.flatnonzero(np.isin(pivot, own)), np.searchsorted(own, pivot[at])) for d, (own, _) in self.of.items()}
         self._filled()
         return self
 
     def _filled(self) -> None:
-        """Blocks: a pivot with many vectors has several, pivots near each other
+        """Blocks: a ring with many vectors has several, rings near each other
         with few of them share one."""
-        self.parts, self.first = np.maximum(-(-self.size // BLOCK), 1), np.zeros(self.n, np.int64)
+        self.parts, self.first = np.maximum(-(-self.size // BLOCK), 1), np.zeros(len(self.size), np.int64)
         last = 0
-        for own, unit in self.of.values():
-            heads = unit[: max(1, -(-int(self.size[own].sum()) // BLOCK))]
-            near = (unit @ heads.T).argmax(axis=1)
+        for d, (at, pivot) in self.own.items():
+            unit = self.of[d][1]
+            heads = unit[: max(1, -(-int(self.size[at].sum()) // BLOCK))]
+            near = (unit @ heads.T).argmax(axis=1)[pivot]
             room = 0
-            for k in own[np.lexsort((-self.size[own], near))]:
+            # far rings, which many vectors reach, are kept together
+            for k in at[np.lexsort((pivot, near, self.rings[at] % RINGS))]:
                 if self.size[k] > room or self.parts[k] > 1:
                     last, room = last + 1, BLOCK
                 self.first[k] = last
@@ -129,21 +144,23 @@ class Pivots:
         self.count = last + 1
 
     def bounds(self, x: np.ndarray, angles: np.ndarray) -> np.ndarray:
-        """The most that a row scores with a vector of each pivot."""
-        own = self.of[x.shape[1]][0]
-        apart = np.cos(np.minimum(np.maximum(angles - self.radius[own], 0), np.pi / 2))
-        return _norms(x)[:, None] * self.norm[own] * apart + NEAR
-
-    def home(self, ids: np.ndarray, k: np.ndarray) -> np.ndarray:
-        """The block of vectors of a pivot: one of its parts by id."""
+        """The most that a row scores with a vector of each ring of its length."""
+        at, pivot = self.own[x.shape[1]]
+        angles = angles[:, pivot]
+        apart = np.maximum(np.maximum(angles - self.high[at], self.low[at] - angles), 0)
+        return _norms(x)[:, None] * self.norm[at] * np.cos(np.minimum(apart, np.pi / 2)) + NEAR
+
+    def home(self, ids: np.ndarray, ring: np.ndarray) -> np.ndarray:
+        """The block of vectors of a ring: one of its parts by id."""
+        k = np.searchsorted(self.rings, ring)
         h = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
-        return self.first[k] + (h % np.maximum(self.parts[k], 1).astype(np.uint64)).astype(np.int64)
+        return self.first[k] + (h % self.parts[k].astype(np.uint64)).astype(np.int64)
 
-    def spread(self, go: np.ndarray, own: np.ndarray) -> np.ndarray:
-        """Rows and blocks, as one number each, of a mask of rows and pivots:
-        all blocks of the pivots."""
+    def spread(self, go: np.ndarray, d: int) -> np.ndarray:
+        """Rows and blocks, as one number each, of a mask of rows and rings: all
+        blocks of the rings."""
         rows, k = np.nonzero(go)
-        k = own[k]
+        k = self.own[d][0][k]
         n = self.parts[k]
         inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         return np.unique(np.repeat(rows, n) * self.count + np.repeat(self.first[k], n) + inside)
@@ -291,19 +308,20 @@ def _tiled(queries: DataFrame, items: DataFrame, asking: Pivots, pivots: Pivots,
             ids, floor = b.column("id").to_numpy(), b.column("_least").to_numpy()
             for own, x, at in _by_length(b, pivots.of):
                 angles = pivots.angles(x)
-                bound = np.where(pivots.size[own] > 0, pivots.bounds(x, angles), -np.inf)
+                bound, d = pivots.bounds(x, angles), x.shape[1]
+                if not bound.shape[1]:
+                    continue
                 near = np.zeros(bound.shape, bool)
-                k = min(FIRST, len(own))
+                k = min(FIRST, bound.shape[1])
                 np.put_along_axis(near, np.argpartition(-bound, k - 1, axis=1)[:, :k], True, 1)
-                near &= pivots.size[own] > 0
-                some = bound >= least if least is not None and least > 0 else pivots.size[own] > 0
-                pair = pivots.spread(near & some, own)
+                some = bound >= least if least is not None and least > 0 else np.ones(bound.shape, bool)
+                pair = pivots.spread(near & some, d)
                 if not begin:
                     reached = (bound >= floor[at][:, None]) | (floor[at][:, None] < 0)
-                    pair = np.setdiff1d(pivots.spread(reached & some & (pivots.size[own] > 0), own), pair, True)
+                    pair = np.setdiff1d(pivots.spread(reached & some, d), pair, True)
                 r, block = np.divmod(pair, pivots.count)
                 row.append(at[r])
-                i.append(asking.home(ids[at], own[angles.argmin(axis=1)])[r])
+                i.append(asking.home(ids[at], pivots.ring(angles, own))[r])
                 j.append(block)
             row, i, j = map(np.concatenate, (row, i, j))
             yield _sent(b, row, i, j, np.zeros(len(row), np.int64), columns)
@@ -317,7 +335,7 @@ def _tiled(queries: DataFrame, items: DataFrame, asking: Pivots, pivots: Pivots,
             row, j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for own, x, at in _by_length(b, pivots.of):
                 row.append(at)
-                j.append(pivots.home(b.column("id").take(pa.array(at)).to_numpy(), own[pivots.angles(x).argmin(axis=1)]))
+                j.append(pivots.home(b.column("id").take(pa.array(at)).to_numpy(), pivots.ring(pivots.angles(x), own)))
             row, j = map(np.concatenate, (row, j))
             yield _sent(b, row, j, j, np.ones(len(row), np.int64), columns)
 
@@ -414,11 +432,9 @@ def _paired(rows: DataFrame, least: float) -> DataFrame:
                 continue
             for own, x, at in _by_length(b, pivots.of):
                 angles = pivots.angles(x)
-                home = pivots.home(ids[at], own[angles.argmin(axis=1)])
-                go = np.broadcast_to(pivots.size[own] > 0, angles.shape)
-                if least > 0:
-                    go = go & (pivots.bounds(x, angles) >= least)
-                r, block = np.divmod(pivots.spread(go, own), pivots.count)
+                home = pivots.home(ids[at], pivots.ring(angles, own))
+                go = pivots.bounds(x, angles) >= least if least > 0 else np.ones((len(x), len(pivots.own[x.shape[1]][0])), bool)
+                r, block = np.divmod(pivots.spread(go, x.shape[1]), pivots.count)
                 row.append(at[r])
                 i.append(home[r])
                 j.append(block)
