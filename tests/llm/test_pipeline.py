@@ -83,7 +83,7 @@ def test_extra_columns_are_carried(spark, sf_dir):
 
 def test_registered():
     names = set(queries.queries())
-    assert {n.split("_")[0] for n in names} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in names} == {f"op{k}" for k in range(1, 14)}
 
 
 def test_near_duplicate_stage_takes_five_words(steps, monkeypatch):
