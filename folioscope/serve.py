@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hmac
 import json
 import time
 from collections import defaultdict, deque
@@ -163,7 +164,7 @@ def server(service: Service, host: str = "127.0.0.1", port: int = 0, key: str |
             client = self.client_address[0]
             if limit.refuses(client):
                 return self._reply(429, {"error": "too many failures"})
-            if key is not None and self.headers.get("Authorization") != f"Bearer {key}":
+            if key is not None and not hmac.compare_digest((self.headers.get("Authorization") or "").encode(), f"Bearer {key}".encode()):
                 limit.failed(client)
                 return self._reply(401, {"error": "no access"})
             try:
