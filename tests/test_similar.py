@@ -75,3 +75,22 @@ def test_most_pairs_are_not_compared(spark, monkeypatch):
     f = frame(spark, x)
     assert M.compared(f, 0.9) < 0.25
     assert {(r.a_id, r.b_id) for r in M.pairs_over(f, 0.9).collect()} == brute_pairs(x, 0.9).keys()
+
+
+def test_memory_does_not_grow_with_the_rows(spark, monkeypatch):
+    """Of 1,500 vectors with a hundred pivots no matrix has more than a few rows."""
+    monkeypatch.setattr(M, "CELLS", 4096)
+    monkeypatch.setattr(M, "EACH", 8)
+    x = clustered(1500, 8, 12, 6, lengths=True)
+    f = frame(spark, x)
+    pivots = M.Pivots.among(f, len(x)).blocks(f)
+    seen, bounds = [], M.Pivots.bounds
+    monkeypatch.setattr(M.Pivots, "bounds", lambda self, y, angles: seen.append(len(y) * self.width()) or bounds(self, y, angles))
+    share = pivots.reach(len(x), 6)
+    assert 0 < share <= 1 and max(seen) <= 4096
+    s = np.round(x @ x.T, 6)
+    got = {}
+    for r in M.top_k(f, f, 6).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.id))
+    for q in range(len(x)):
+        assert [i for _, i in sorted(got[q])] == sorted(range(len(x)), key=lambda j: (-s[q, j], j))[:6]
