@@ -142,3 +142,21 @@ def test_empty_index(spark, tmp_path, questions):
     assert text.index().docs == 2 and S.bm25(text.index(), questions).count() == 0
     text.update(None, spark.createDataFrame([(1,), (2,)], "id long"))
     assert text.index().docs == 0 and text.index().chunks.count() == 0
+
+
+@pytest.mark.parametrize("few", [0, 256])
+def test_all_chunks_scored_in_tiles(spark, tmp_path, questions, monkeypatch, few):
+    """Many questions, and those with a filter, go over tiles; the ranks stay."""
+    monkeypatch.setattr(S, "FEW", few)
+    monkeypatch.setattr(S, "CHUNKS", 16)
+    monkeypatch.setattr(S, "QUESTIONS", 3)
+    monkeypatch.setattr(S, "_candidates", lambda *a: pytest.fail("postings of all questions are read"))
+    text = G.Segments(Snapshots(spark, str(tmp_path / "i")))
+    rows = texts(130, 5)
+    text.update(frame(spark, rows))
+    text.update(None, spark.createDataFrame([(k,) for k in range(0, 130, 9)], "id long"))
+    rows = {k: t for k, t in rows.items() if k % 9}
+    allowed = spark.createDataFrame([(k,) for k in range(0, 44, 2)], "id long")
+    same(ranks(S.bm25(text.index(), questions, 5, allowed)), all_scores(rows, questions, 5, set(range(0, 44, 2))))
+    if not few:
+        same(ranks(S.bm25(text.index(), questions, 5)), all_scores(rows, questions, 5))
