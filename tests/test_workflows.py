@@ -397,3 +397,22 @@ def test_few_queries_and_many_find_the_same(spark, monkeypatch):
     notes = {k: n for k, n, _ in rows}
     assert all(notes[x[0]] != x[2] for x in found[3][2])
     assert similar.top_k(q.limit(0), d, 4).count() == 0
+
+
+def test_texts_whose_words_cancel_have_no_vector(spark, tmp_path):
+    """Two words of one bucket with opposite signs, as in SQL, which has no row of them."""
+    import duckdb
+
+    from folioscope.functions.providers import _place
+    from folioscope.plans.registry import ORACLES, QUERIES
+
+    first = {}
+    pair = next((f"{first[k, -s]} w{j}") for j in range(10_000) for k, s in [_place(f"w{j}")] if (k, -s) in first or first.setdefault((k, s), f"w{j}") is None)
+    rows = [(1, pair, "es", "s", 1), (2, "uno dos tres", "es", "s", 1), (3, "¡¿!", "es", "s", 1), (4, "  ", "es", "s", 1), (5, "dos cuatro", "es", "s", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(2, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    for name in ("r27_embed", "r22_distill", "w5_passages"):
+        want = c.sql(ORACLES[name])
+        assert sorted(tuple(r[x] for x in want.columns) for r in QUERIES[name](spark, str(tmp_path)).collect()) == sorted(want.fetchall()), name
