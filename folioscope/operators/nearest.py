@@ -30,6 +30,8 @@ from folioscope.operators.store import Snapshots, held
 SAMPLE, LISTS, PARTS, ENTRIES = 20_000, 1024, 16, 256
 #: Rounds of fitting, lists looked into, and candidates compared exactly for one result.
 ROUNDS, PROBES, EXACT = 8, 16, 10
+#: Of the sample, how many ask for how many neighbours, and the share to be found.
+ASKING, NEIGHBOURS, RECALL = 128, 10, 0.95
 ROWS = "list int, id long, note_id long, code binary, vector array<float>"
 FOUND = "query_id long, id long, note_id long, near double"
 
@@ -56,6 +58,7 @@ class Codes:
     def __init__(self, centres: np.ndarray, books: np.ndarray):
         self.centres, self.books = centres, books
         self.dim = centres.shape[1]
+        self.look, self.exact = PROBES, EXACT
 
     @classmethod
     def fit(cls, x: np.ndarray, n: int) -> Codes:
@@ -75,6 +78,32 @@ class Codes:
         rest = self._cut(x - self.centres[at])
         return at, np.stack([_nearest(rest[:, p], self.books[p]) for p in range(PARTS)], axis=1).astype(np.uint8)
 
+    def needed(self, x: np.ndarray, n: int) -> tuple[int, int]:
+        """Lists to look into and candidates to compare for one result, so that
+        some rows of a sample of ``n`` find their neighbours in it."""
+        q = x[:: -(-len(x) // ASKING)]
+        near = q @ x.T
+        near[np.arange(len(q)), np.arange(0, len(x), -(-len(x) // ASKING))] = -np.inf
+        k = min(NEIGHBOURS, len(x) - 1)
+        if k < 1:
+            return PROBES, EXACT
+        want = np.argpartition(-near, k - 1, axis=1)[:, :k]
+        at, code = self.encode(x)
+        lists = np.argsort(self.probes(q, len(self.centres)), axis=1)
+        part = np.einsum("qpw,pew->pqe", self._cut(q), self.books)
+        score = (q @ self.centres.T)[:, at] + sum(part[p][:, code[:, p]] for p in range(PARTS))
+        place = np.argsort(np.argsort(-score, axis=1), axis=1)
+        # the places of a sample are further apart in the table
+        place, lists = np.take_along_axis(place, want, 1) * (n / len(x)), np.take_along_axis(lists, at[want], 1)
+        probes = PROBES
+        while True:
+            for exact in (EXACT, 2 * EXACT, 4 * EXACT, 8 * EXACT):
+                if ((lists < probes) & (place < exact * k)).mean() >= RECALL:
+                    return probes, exact
+            if probes >= len(self.centres):
+                return probes, exact
+            probes *= 2
+
     def probes(self, q: np.ndarray, many: int) -> np.ndarray:
         return np.argsort(-(q @ self.centres.T), axis=1, kind="stable")[:, :many]
 
@@ -97,7 +126,9 @@ class NearIndex:
         if not self.tables.version(f"{self.name}-books"):
             return None
         r = self.tables.current(f"{self.name}-books").first()
-        return Codes(np.frombuffer(r.centres).reshape(-1, r.dim), np.frombuffer(r.books).reshape(PARTS, ENTRIES, -1))
+        codes = Codes(np.frombuffer(r.centres).reshape(-1, r.dim), np.frombuffer(r.books).reshape(PARTS, ENTRIES, -1))
+        codes.look, codes.exact = r.probes, r.exact
+        return codes
 
     def fit(self, chunks: DataFrame) -> None:
         """Fit to the commonest length of the vectors and start with an empty index."""
@@ -108,7 +139,8 @@ class NearIndex:
         rows = some.where(F.size("vector") == length.d).select("vector", F.xxhash64("id").alias("_h")).orderBy("_h").limit(SAMPLE).select("vector").toArrow()
         codes = Codes.fit(_matrix(rows["vector"]), length.n)
         spark = self.tables.spark
-        books = spark.createDataFrame([(length.d, bytearray(codes.centres.tobytes()), bytearray(codes.books.tobytes()))], "dim int, centres binary, books binary")
+        probes, exact = codes.needed(_matrix(rows["vector"]).astype(np.float64), length.n)
+        books = spark.createDataFrame([(length.d, bytearray(codes.centres.tobytes()), bytearray(codes.books.tobytes()), probes, exact)], "dim int, centres binary, books binary, probes int, exact int")
         self.tables.replace(f"{self.name}-books", books, self.tables.version(f"{self.name}-books"))
         self.tables.replace(self.name, spark.createDataFrame([], ROWS), self.tables.version(self.name))
 
@@ -155,13 +187,14 @@ class NearIndex:
     def available(self) -> bool:
         return self._codes() is not None and self.rows().limit(1).count() > 0
 
-    def search(self, queries: DataFrame, top: int = 10, probes: int = PROBES, decimals: int = 6) -> DataFrame:
+    def search(self, queries: DataFrame, top: int = 10, probes: int | None = None, decimals: int = 6) -> DataFrame:
         """(query_id, id, note_id, score, rank) for queries (id, vector); those
-        of another length find nothing."""
+        of another length find nothing. probes: lists to look into, or None for
+        as many as the sample needed."""
         codes, spark = self._codes(), self.tables.spark
         if codes is None:
             return spark.createDataFrame([], "query_id long, id long, note_id long, score double, rank int")
-        keep = EXACT * top
+        probes, keep = probes or codes.look, codes.exact * top
         rows = self.rows()
         # a row a list; a long list has several parts
         sizes = {r.list: -(-r.n // BLOCK) for r in rows.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}

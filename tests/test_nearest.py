@@ -70,3 +70,15 @@ def test_empty(spark, tmp_path, rows):
     assert index.search(table.where("vector IS NOT NULL"), 3).count() == 0 and not index.available()
     index.add(spark.createDataFrame([(5, 1, [1.0, 0.0])], table.schema))
     assert [r.id for r in index.search(spark.createDataFrame([(1, [0.0, 1.0])], "id long, vector array<float>"), 3).collect()] == [5]
+
+
+def test_recall_of_vectors_without_clusters(spark, tmp_path):
+    """Lists that are looked into follow from a sample, so that nine tenths are found."""
+    x = np.random.default_rng(7).standard_normal((4000, 48))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    rows = spark.createDataFrame([(k, k, v.tolist()) for k, v in enumerate(x)], "id long, note_id long, vector array<float>").repartition(4)
+    near = N.NearIndex(Snapshots(spark, str(tmp_path / "near")))
+    near.add(rows)
+    got = {(r.query_id, r.id) for r in near.search(rows.where("id % 50 = 0"), 10).collect()}
+    want = {(q, int(j)) for q in range(0, 4000, 50) for j in np.argsort(-(x[q] @ x.T))[:10]}
+    assert len(got & want) >= 0.9 * len(want)
