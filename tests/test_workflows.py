@@ -416,3 +416,10 @@ def test_texts_whose_words_cancel_have_no_vector(spark, tmp_path):
     for name in ("r27_embed", "r22_distill", "w5_passages"):
         want = c.sql(ORACLES[name])
         assert sorted(tuple(r[x] for x in want.columns) for r in QUERIES[name](spark, str(tmp_path)).collect()) == sorted(want.fetchall()), name
+
+
+def test_texts_are_read_once_for_their_hashes_and_not_for_pages(spark, sf_dir):
+    from folioscope.plans.registry import QUERIES
+
+    plan = lambda name: QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan("j8_duplicate_members") and "substring" not in plan("r41_result_metadata").lower()
