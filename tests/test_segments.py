@@ -160,3 +160,13 @@ def test_all_chunks_scored_in_tiles(spark, tmp_path, questions, monkeypatch, few
     same(ranks(S.bm25(text.index(), questions, 5, allowed)), all_scores(rows, questions, 5, set(range(0, 44, 2))))
     if not few:
         same(ranks(S.bm25(text.index(), questions, 5)), all_scores(rows, questions, 5))
+
+
+def test_postings_of_a_few_chunks_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(G, "ROWS", 3, raising=False)
+    b = pa.RecordBatch.from_pydict({"id": list(range(10)), "length": pa.array([2] * 10, pa.int32()), "words": [["a", f"w{k}"] for k in range(10)]})
+    out = list(G._postings(iter([b])))
+    assert max(len(set(x.column("id").to_pylist())) for x in out) == 3
+    assert sorted((t, i, n) for x in out for t, i, n in zip(*(x.column(c).to_pylist() for c in ("token", "id", "tf")), strict=True)) == sorted((t, k, 1) for k in range(10) for t in ("a", f"w{k}"))
