@@ -148,6 +148,7 @@ def test_empty_index(spark, tmp_path, questions):
 def test_all_chunks_scored_in_tiles(spark, tmp_path, questions, monkeypatch, few):
     """Many questions, and those with a filter, go over tiles; the ranks stay."""
     monkeypatch.setattr(S, "FEW", few)
+    monkeypatch.setattr(S, "PRUNED", 0)
     monkeypatch.setattr(S, "CHUNKS", 16)
     monkeypatch.setattr(S, "QUESTIONS", 3)
     monkeypatch.setattr(S, "_candidates", lambda *a: pytest.fail("postings of all questions are read"))
@@ -158,8 +159,7 @@ def test_all_chunks_scored_in_tiles(spark, tmp_path, questions, monkeypatch, few
     rows = {k: t for k, t in rows.items() if k % 9}
     allowed = spark.createDataFrame([(k,) for k in range(0, 44, 2)], "id long")
     same(ranks(S.bm25(text.index(), questions, 5, allowed)), all_scores(rows, questions, 5, set(range(0, 44, 2))))
-    if not few:
-        same(ranks(S.bm25(text.index(), questions, 5)), all_scores(rows, questions, 5))
+    same(ranks(S.bm25(text.index(), questions, 5)), all_scores(rows, questions, 5))
 
 
 def test_postings_of_a_few_chunks_at_a_time(monkeypatch):
