@@ -1,6 +1,9 @@
+import time
+
 from pyspark.sql import functions as F
 
 from folioscope.functions import hashing as H
+from folioscope.functions import providers as P
 from folioscope.functions import text as T
 from folioscope.sources.formats import content_hash
 
@@ -75,3 +78,16 @@ def test_content_hash_agrees_with_extractors(spark):
 def test_event_values(spark):
     assert one(spark, 'a "b" = c', T.event_value) == '"a \\"b\\" = c"'
     assert one(spark, "plain", T.event_value) == "plain"
+
+
+def test_claims_of_a_line_without_an_end_take_linear_time():
+    began = time.process_time()
+    found = P.Offline()._claims("One. a\nb! " + "word " * 60_000 + "\nlast.. Not this. ")
+    assert [c["text"] for c in found["claims"]] == ["One.", "b!", "last."]
+    assert time.process_time() - began < 2
+
+
+def test_role_markers_in_any_case(spark):
+    for m in T.ROLE_MARKERS:
+        for x in (m, m.upper(), m.lower(), m.swapcase()):
+            assert one(spark, f"s u {x}d [ <", T.sanitize_prompt) == f"s u {x[0]}{T.ZWSP}{x[1:]}d [ <"
