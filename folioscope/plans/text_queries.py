@@ -173,5 +173,5 @@ def r25_semantic(spark, sf_dir):
     from folioscope.functions.providers import Offline
 
     # a sentence without words has a vector, too
-    embed = lambda said: [Offline.vector(s).tolist() if s.strip() else None for s in said]
+    embed = lambda said: [Offline.vector(s) if s.strip() else None for s in said]
     return K.semantic(_docs(spark, sf_dir).select(F.col("doc_id").alias("note_id"), "text"), embed)

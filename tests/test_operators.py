@@ -1,4 +1,5 @@
 import math
+import re
 
 import numpy as np
 import pytest
@@ -191,3 +192,34 @@ def test_provider(spark):
     for _ in range(2):
         b.record(False, 0)
     assert not b.allows(5) and b.allows(5, optional=True) and b.allows(10)
+
+
+def test_only_texts_without_vectors_are_packed(spark):
+    d = spark.createDataFrame([(1, "A cat sat."), (2, "Stocks fell.\n\nBonds rose."), (3, None)], "note_id long, text string")
+
+    def embed(said):
+        if any("Stocks" in s for s in said):
+            raise ValueError
+        return [np.ones(3) for _ in said]
+
+    cut = K.semantic(d, embed)
+    plan = cut._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("\\n\\s*\\n") < plan.index("MapInArrow") and "\\n\\s*\\n" not in plan[plan.index("MapInArrow") :]
+    assert {(r.note_id, r.chunk) for r in cut.collect()} == {(1, "A cat sat."), (2, "Stocks fell.\n\nBonds rose.")}
+
+
+def test_sentences_after_abbreviations(spark):
+    texts = ["See Dr. Who. He ran.", "One. Two! Three?", "Cf. fig. No. A e.g. B. End.", "", "no mark", "a.  \"Q\" b.\n(C) d. e", None]
+
+    def brute(text):
+        out = []
+        for p in re.split(r"(?<=[.!?])\s+(?=[A-Z\"'(\[])", text):
+            if out and out[-1].split(" ")[-1].lower() in K.ABBREVIATIONS:
+                out[-1] += f" {p}"
+            elif p.strip(" "):
+                out.append(p)
+        return out
+
+    d = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+    got = dict(d.select("k", K.sentences(F.col("text"))).collect())
+    assert got == {k: None if t is None else brute(t) for k, t in enumerate(texts)}
