@@ -170,3 +170,41 @@ def test_postings_of_a_few_chunks_at_a_time(monkeypatch):
     out = list(G._postings(iter([b])))
     assert max(len(set(x.column("id").to_pylist())) for x in out) == 3
     assert sorted((t, i, n) for x in out for t, i, n in zip(*(x.column(c).to_pylist() for c in ("token", "id", "tf")), strict=True)) == sorted((t, k, 1) for k in range(10) for t in ("a", f"w{k}"))
+
+
+def test_postings_are_made_where_the_chunks_are_read(spark, monkeypatch):
+    """No exchange moves postings (one by range made them twice), and a token
+    has one row of counts and bounds though it is in blocks of several sorts."""
+    import pyarrow as pa
+
+    blocks = G.blocks_of(G.forward_of(frame(spark, texts(9, 3))), "s", 9.0)
+    assert "Exchange" not in blocks._jdf.queryExecution().executedPlan().toString()
+
+    # in this process, where sizes can be small
+    monkeypatch.setattr(G, "SORTED", 64, raising=False)
+    monkeypatch.setattr(G, "BLOCK", 4)
+    monkeypatch.setattr(G, "ROWS", 3)
+    words = [t.split() for t in texts(120, 3).values()]
+    chunks = pa.RecordBatch.from_pydict({"id": list(range(120)), "length": pa.array(map(len, words), pa.int32()), "words": pa.array(words, pa.list_(pa.string()))})
+    posted, rows = {}, []
+    for b in G._cut("s")(G._sorted(G._postings(iter([chunks])), 9.0)):
+        rows += b.to_pylist()
+        assert sum(b.column("n").to_pylist()) < 200
+    for r in rows:
+        assert r["n"] == len(r["ids"]) <= 4 and r["segment"] == "s"
+        at = dict(zip(r["bound_tfs"], r["bound_lengths"], strict=True))
+        for i, tf, length in zip(r["ids"], r["tfs"], r["lengths"], strict=True):
+            assert i not in posted.setdefault(r["token"], {}) and at[tf] <= length
+            posted[r["token"]][i] = tf, length
+    seen = {w: {k: (ws.count(w), len(ws)) for k, ws in enumerate(words) if w in ws} for w in set(sum(words, []))}
+    assert posted == seen
+    rows.sort(key=lambda r: r["token"])
+    kinds = pa.schema([("token", pa.string()), ("n", pa.int64()), ("bound_tfs", pa.list_(pa.int32())), ("bound_lengths", pa.list_(pa.int32()))])
+    parts = [pa.RecordBatch.from_pylist([{c: r[c] for c in kinds.names} for r in rows[k : k + 7]], kinds) for k in range(0, len(rows), 7)]
+    counted = [r for b in G._counted("s")(iter(parts)) for r in b.to_pylist()]
+    assert len(counted) == len(seen)
+    for r in counted:
+        least = {}
+        for tf, length in seen[r["token"]].values():
+            least[tf] = min(least.get(tf, length), length)
+        assert r["n"] == len(seen[r["token"]]) and [(b["tf"], b["length"]) for b in r["bound"]] == sorted(least.items())
