@@ -94,3 +94,47 @@ def test_memory_does_not_grow_with_the_rows(spark, monkeypatch):
         got.setdefault(r.query_id, []).append((r.rank, r.id))
     for q in range(len(x)):
         assert [i for _, i in sorted(got[q])] == sorted(range(len(x)), key=lambda j: (-s[q, j], j))[:6]
+
+
+def test_few_queries_are_not_worth_pivots(spark, monkeypatch):
+    """Angles of all items with the pivots would take longer than the job, and
+    items go to one block of queries only."""
+    monkeypatch.setattr(M.Pivots, "among", lambda *a: pytest.fail("pivots for few queries"))
+    monkeypatch.setattr(M, "EACH", 4)
+    x = clustered(400, 8, 5, 8)
+    f = frame(spark, x)
+    got = {}
+    for r in M.top_k(f.where("id < 50"), f, 6, apart=True).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.id, r.score))
+    s = np.round(x @ x.T, 6)
+    for q in range(50):
+        want = sorted((j for j in range(400) if j // 3 != q // 3), key=lambda j: (-s[q, j], j))[:6]
+        assert [i for _, i, _ in sorted(got[q])] == want and [v for *_, v in sorted(got[q])] == [s[q, j] for j in want], q
+
+
+@pytest.mark.parametrize("spread", [1e-7, 1e-5, 1e-2])
+@pytest.mark.parametrize("size", [1.0, 40.0, 1e3])
+def test_single_precision_decides_nothing(spread, size):
+    """Scores that differ by less than single precision can tell."""
+    r = np.random.default_rng(9)
+    y = r.standard_normal(256) + spread * r.standard_normal((3000, 256))
+    y *= size / np.linalg.norm(y, axis=1)[:, None]
+    y[100:120] = y[7]
+    x = y[:40]
+    own, notes = np.arange(40) // 3, np.arange(3000) // 3
+    s = np.round(np.einsum("id,jd->ij", x, y), 6)
+    for apart in (False, True):
+        # scores this large have no six sure decimals to compare with a floor
+        for least in (None, float(np.quantile(s, 0.999))) if size < 100 else (None,):
+            got = {}
+            for k, rows, at, score in M._found(x, y, own if apart else None, notes if apart else None, 7, 6, least):
+                for i, j, v in zip(rows, at, score, strict=True):
+                    got.setdefault(int(k + i), []).append((int(j), float(v)))
+            for q in range(40):
+                some = [j for j in range(3000) if not (apart and own[q] == notes[j])]
+                best = sorted(some, key=lambda j: (-s[q, j], j))[:7]
+                found = sorted(got.get(q, []), key=lambda h: (-h[1], h[0]))
+                want = [(j, s[q, j]) for j in best if least is None or s[q, j] >= least]
+                assert len(found) == len(want) and all(abs(a[1] - b[1]) <= 2e-6 + 1e-12 * size**2 for a, b in zip(found, want, strict=True)), (q, found, want)
+                if size < 100:
+                    assert sum(a[0] == b[0] for a, b in zip(found, want, strict=True)) >= len(want) - 1
