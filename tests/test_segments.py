@@ -208,3 +208,49 @@ def test_postings_are_made_where_the_chunks_are_read(spark, monkeypatch):
         for tf, length in seen[r["token"]].values():
             least[tf] = min(least.get(tf, length), length)
         assert r["n"] == len(seen[r["token"]]) and [(b["tf"], b["length"]) for b in r["bound"]] == sorted(least.items())
+
+
+def test_questions_by_the_hundred_move_no_chunk(spark, tmp_path, monkeypatch):
+    """Questions that are few and short go to the chunks; with long ones both are dealt."""
+    text = G.Segments(Snapshots(spark, str(tmp_path / "i")))
+    rows = texts(60, 6)
+    text.update(frame(spark, rows))
+    asked = {k: t for k, t in texts(400, 7).items() if t}
+    questions = spark.createDataFrame(list(asked.items()), "query_id long, question string")
+    hits = S.bm25(text.index(), questions, 5)
+    assert "CoGroup" not in hits._jdf.queryExecution().executedPlan().toString()
+    got = ranks(hits)
+    monkeypatch.setattr(S, "CARRIED", 100, raising=False)
+    monkeypatch.setattr(S, "QUESTIONS", 64)
+    dealt = S.bm25(text.index(), questions, 5)
+    assert "CoGroup" in dealt._jdf.queryExecution().executedPlan().toString()
+    assert got == ranks(dealt)
+    some = questions.where("query_id < 12")
+    same({q: h for q, h in got.items() if q < 12}, all_scores(rows, some, 5))
+
+
+@pytest.mark.parametrize("cells", [1, 300, 1 << 20])
+def test_best_of_a_tile(monkeypatch, cells):
+    """Scores of many questions at once, those of little room, and ties."""
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(S, "CELLS", cells, raising=False)
+    r = random.Random(8)
+    words = [r.choices("abcdefgh", k=r.randint(0, 12)) for _ in range(90)]
+    words[20:40] = [words[19]] * 20
+    terms = [[r.choices("abcdefgxy", k=r.choice([1, 1, 2, 3])) for _ in range(r.randint(1, 6))] for _ in range(25)] + [[["x"]]]
+    weights = [[r.choice([1e-6, 0.5, 2.0]) for _ in t] for t in terms]
+    chunks = pa.table({"id": pa.array(range(90), pa.int64()), "note_id": pa.array(range(90), pa.int64()), "length": pa.array(map(len, words), pa.int32()), "words": pa.array(words, pa.list_(pa.string()))})
+    asked = pa.table({"query_id": pa.array(range(26), pa.int64()), "terms": pa.array(terms, pa.list_(pa.list_(pa.string()))), "weights": pa.array(weights, pa.list_(pa.float64()))})
+    got = {}
+    for h in S._best(asked, chunks, 6.0, 7).to_pylist():
+        got.setdefault(h["query_id"], []).append((-h["score"], h["id"]))
+    for q in range(26):
+        score = np.zeros(90)
+        for t, w in zip(terms[q], weights[q], strict=True):
+            tf = np.array([sum(x[k : k + len(t)] == t for k in range(len(x) - len(t) + 1)) for x in words])
+            score += w * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * np.array([len(x) for x in words]) / 6.0))
+        want = sorted((-round(float(s), 6), k) for k, s in enumerate(score) if s > 0)[:7]
+        assert [i for _, i in sorted(got.get(q, []))] == [i for _, i in want], q
+        assert [s for s, _ in sorted(got.get(q, []))] == pytest.approx([s for s, _ in want], abs=1e-9)
