@@ -138,3 +138,52 @@ def test_single_precision_decides_nothing(spread, size):
                 assert len(found) == len(want) and all(abs(a[1] - b[1]) <= 2e-6 + 1e-12 * size**2 for a, b in zip(found, want, strict=True)), (q, found, want)
                 if size < 100:
                     assert sum(a[0] == b[0] for a, b in zip(found, want, strict=True)) >= len(want) - 1
+
+
+def test_where_all_meet_no_vector_is_sent_to_blocks(spark, monkeypatch):
+    """What is written does not grow with the square of the vectors."""
+    monkeypatch.setattr(M, "MOSTLY", -1.0)
+    x = clustered(200, 8, 5, 10)
+    f = frame(spark, x)
+    pairs, best = M.pairs_over(f, 0.8), M.top_k(f, f, 5)
+    for out in (pairs, best):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in plan and "vector" not in plan and "Generate" not in plan
+    assert "Exchange" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert {(r.a_id, r.b_id) for r in pairs.collect()} == brute_pairs(x, 0.8).keys()
+
+
+def test_many_copies_are_not_sent(spark, monkeypatch):
+    """Bounds that leave a vector many blocks would cost an exchange of as many copies."""
+    monkeypatch.setattr(M, "MOSTLY", 1.1)
+    f = frame(spark, clustered(300, 8, 5, 11))
+    rows = f.select("id", "vector", M.F.lit("").alias("unlike"))
+    assert M._paired(rows, 0.8) is not None
+    monkeypatch.setattr(M, "SENT", 8)
+    assert M._paired(rows, 0.8) is None
+
+
+def test_pairs_of_equal_texts_do_not_count(spark):
+    x = clustered(120, 8, 4, 12)
+    text = lambda k: "" if k % 5 == 0 else f"t{k % 3}"
+    f = frame(spark, x)
+    named = f.withColumn("h", M.F.when(M.F.col("id") % 5 == 0, "").otherwise(M.F.concat(M.F.lit("t"), M.F.col("id") % 3)))
+    got = {(r.a_id, r.b_id) for r in M.pairs_over(named, 0.7, unlike="h").collect()}
+    assert got == {(i, j) for i, j in brute_pairs(x, 0.7) if text(i) != text(j) or not text(i)}
+
+
+def test_leaders_of_several_blocks():
+    """The best so far, as blocks come; ties go to the lower id."""
+    r = np.random.default_rng(13)
+    scores, ids = np.round(r.random((6, 90)), 1), r.permutation(90)
+    best = M._Leaders(np.arange(6) * 10, 4, 0.3)
+    for k in range(0, 90, 15):
+        row, at = np.nonzero(scores[:, k : k + 15] >= best.floor[:, None])
+        best.add(row, ids[k + at], ids[k + at] + 1000, scores[row, k + at])
+        best.cut()
+    got = {}
+    for b in best.batches():
+        for h in b.to_pylist():
+            assert h["note_id"] == h["id"] + 1000
+            got.setdefault(h["query_id"], []).append((h["score"], h["id"]))
+    assert got == {q * 10: [(scores[q, j], ids[j]) for j in sorted((j for j in range(90) if scores[q, j] >= 0.3), key=lambda j: (-scores[q, j], ids[j]))[:4]] for q in range(6)}
