@@ -223,3 +223,15 @@ def test_sentences_after_abbreviations(spark):
     d = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
     got = dict(d.select("k", K.sentences(F.col("text"))).collect())
     assert got == {k: None if t is None else brute(t) for k, t in enumerate(texts)}
+
+
+def test_documents_that_hold_short_items(spark):
+    """Items of one or two words have no word whole in whoever holds them."""
+    from folioscope.plans.more_queries import _holders
+
+    texts = {1: "the cat sat on a mat", 2: "concatenate", 3: "", 4: None, 5: "at  sat", 6: "on a mat he sat down"}
+    items = {10: "at", 11: "on a", 12: "", 13: " ", 14: "t sat o", 15: None, 16: "no such words here", 17: "n a mat he s", 18: "at on"}
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    b = spark.createDataFrame(list(items.items()), "item_id long, asked string")
+    got = sorted(tuple(r) for r in _holders(d, b).collect())
+    assert got == sorted((i, j) for i, t in texts.items() for j, a in items.items() if t is not None and a is not None and a in t)
