@@ -254,3 +254,23 @@ def test_best_of_a_tile(monkeypatch, cells):
         want = sorted((-round(float(s), 6), k) for k, s in enumerate(score) if s > 0)[:7]
         assert [i for _, i in sorted(got.get(q, []))] == [i for _, i in want], q
         assert [s for s, _ in sorted(got.get(q, []))] == pytest.approx([s for s, _ in want], abs=1e-9)
+
+
+def test_chunks_of_tiles_are_not_written(spark, tmp_path, monkeypatch):
+    """Tasks read the chunks that they score, and merge what their tiles find:
+    what leaves them does not grow with the tiles."""
+    for name, value in (("FEW", 0), ("CHUNKS", 16), ("QUESTIONS", 8), ("HELD", 32), ("MOVED", 0)):
+        monkeypatch.setattr(S, name, value, raising=False)
+    words = ["alpha", "beta", "gamma", "delta", "epsilon"]
+    rows = [(k, k // 2, " ".join(words[(k * j + j) % 5] for j in range(1, 4 + k % 3))) for k in range(300)]
+    text = G.Segments(Snapshots(spark, str(tmp_path / "i")))
+    text.update(spark.createDataFrame(rows, "id long, note_id long, text_content string"))
+    asked = spark.createDataFrame([(q, f"{words[q % 5]} {words[(q + 1) % 5]}-{words[(q + 3) % 5]}") for q in range(20)], "query_id long, question string")
+    tiles = S._whole(text.index(), asked, 4, None)
+    plan = tiles._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    # by tiles of 16 chunks up to 19 of them give four hits a question
+    assert max(r["count"] for r in tiles.groupBy("query_id").count().collect()) <= 4 * text.index().forward.rdd.getNumPartitions()
+    got = [tuple(r) for r in S.bm25(text.index(), asked, 4).orderBy("query_id", "rank").collect()]
+    monkeypatch.setattr(S, "FEW", 8192)
+    assert got == [tuple(r) for r in S.bm25(text.index(), asked, 4).orderBy("query_id", "rank").collect()] and len(got) == 80
